@@ -1,12 +1,16 @@
 """Registered queries of the corpus operators and their SQL."""
 
-from mdmill.llm import bpe, exact_dedup
+from mdmill.llm import bpe, exact_dedup, fingerprints, mixing, sharding
 
 QUERIES = {
+    "op1_merkle_fingerprints": fingerprints.op1_merkle_fingerprints,
+    "op2_kd_sharding": sharding.op2_kd_sharding,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_poisson_mix": mixing.op5_poisson_mix,
     "op6_byte_bpe": bpe.op6_byte_bpe,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_poisson_mix": mixing.OP5_SQL,
 }
