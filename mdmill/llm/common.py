@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mdmill.session import save
+
 #: Bits of a membership bitmap: 2 MB at most, whatever the input.
 BITMAP_BITS = 1 << 24
 
@@ -47,3 +49,16 @@ def maybe_in(df: DataFrame, bitmap: DataFrame, hashed: Column, flag: str) -> Dat
         )
         .drop("__slot", "__pos", "__bucket", "__bits")
     )
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in ids (one column); rows with a null id stay.
+
+    Only rows that a bitmap of ids lets through are joined, so the texts of
+    nearly all rows that stay are not shuffled.
+    """
+    gone, _ = save(ids.toDF("__gone").where("__gone IS NOT NULL").distinct(), "gone")
+    bitmap, _ = save(membership_bitmap(gone, F.xxhash64("__gone")), "bitmap")
+    flagged = maybe_in(docs, bitmap, F.xxhash64(F.col(id_col)), "__maybe")
+    rest = flagged.where("__maybe").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return flagged.where(~F.col("__maybe")).unionByName(rest).select(*(F.col(f"`{c}`") for c in docs.columns))

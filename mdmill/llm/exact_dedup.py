@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.llm.common import maybe_in, membership_bitmap, text_of
+from mdmill.llm.common import drop_ids, maybe_in, membership_bitmap, text_of
 from mdmill.session import save, table
 
 #: Code points that the second level hashes.
@@ -78,12 +78,10 @@ def find_copies(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text a smaller id has; all columns stay.
 
-    The decisions are matched to the rows by id, so ids must identify texts; a
-    row that repeats another row's id and text stays once for each repeat.
+    Ids must identify texts. A row that repeats another row's id and text stays
+    once for each repeat; rows with a null id stay.
     """
-    gone = find_copies(docs, id_col, text_col).where(~F.col("kept")).select("doc_id")
-    gone = gone.distinct().withColumnRenamed("doc_id", "__gone")
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    return drop_ids(docs, find_copies(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
 
 
 def op3_exact_dedup(spark, sf_dir):
