@@ -22,7 +22,7 @@ FIT_TOXIC, FIT_CLEAN = 4000, 8000
 #: Lengths of the word beginnings that may enter the lexicon, besides whole words.
 STEMS = (4, 5, 6, 7)
 #: Share of a feature's documents that must be toxic, and how many documents: some, and a share of the toxic ones.
-PRECISION, LEAST_DOCS, LEAST_SHARE = 0.97, 3, 0.02
+PRECISION, LEAST_DOCS, LEAST_SHARE = 0.97, 3, 0.01
 #: A stem gives way to a longer feature that is found in nearly as many toxic documents.
 SAME_DOCS = 0.95
 #: Features of the lexicon at most; the most frequent ones stay.
