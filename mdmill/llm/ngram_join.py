@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from mdmill.session import save, table
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: The n-gram order is held as the rank of 2^BIN_BITS hash bins (4 MB).
-BIN_BITS = 20
+#: The n-gram order is held as the rank of 2^BIN_BITS hash bins (4 MB), counted in chunks of 2^CHUNK_BITS.
+BIN_BITS, CHUNK_BITS = 20, 14
 #: Fragments of the order; each counts its part of an overlap.
 FRAGMENTS = 8
 #: Width of the size classes that the last join keys on.
@@ -49,9 +50,17 @@ def ngram_order(texts: DataFrame, words: int) -> np.ndarray:
             part = held[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part])], names=["bin", "n"])
 
-    counts = np.zeros(1 << BIN_BITS, np.int64)
-    found = texts.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
-    counts[found["bin"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    def pack(pdf):
+        counts = np.zeros(1 << CHUNK_BITS, np.int64)
+        counts[pdf["bin"].to_numpy() & ((1 << CHUNK_BITS) - 1)] = pdf["n"].to_numpy()
+        return pd.DataFrame({"chunk": [int(pdf["bin"].iloc[0]) >> CHUNK_BITS], "counts": [counts.tobytes()]})
+
+    counts = np.zeros((1 << BIN_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.int64)
+    found = texts.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    packed = found.groupBy(F.shiftright("bin", CHUNK_BITS).alias("of")).applyInPandas(pack, "chunk long, counts binary")
+    for row in packed.collect():
+        counts[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
+    counts = counts.ravel()
     rank = np.empty(1 << BIN_BITS, np.int32)
     rank[np.argsort(counts, kind="stable")] = np.arange(1 << BIN_BITS, dtype=np.int32)
     heavy = np.cumsum(counts[np.argsort(counts, kind="stable")])
