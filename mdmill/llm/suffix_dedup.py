@@ -228,26 +228,36 @@ class RunIndex:
         ends = self.starts[1:] - 1
         joined[ends] = np.arange(len(strings))  # every end is a letter of its own
         self.lengths, self.ends = lengths, ends
-        rank, span, at_64 = joined, 1, joined
+        # Ranks by the first letters: four at once, then as many spans as fit 63 bits.
+        high = len(joined) + 257
+        fold = 3 if high**3 < 1 << 63 else 2
+        rank, span, parts = joined, 1, 4 if high**4 < 1 << 63 else 2
+        heads = (rank, span)
         while span < 2 * LENGTH:
-            ahead = np.concatenate([rank[span:], np.zeros(min(span, len(rank)), np.int64)])[: len(rank)]
-            _, rank = np.unique(rank * (len(joined) + 257) + ahead, return_inverse=True)
-            span *= 2
-            at_64 = rank if span == 64 else at_64
+            key = rank
+            for i in range(1, parts):
+                key = key * high + np.concatenate([rank[i * span :], np.zeros(min(i * span, len(rank)), np.int64)])[: len(rank)]
+            _, rank = np.unique(key, return_inverse=True)
+            span, parts = span * parts, fold
+            heads = (rank, span) if span <= LENGTH else heads
         suffixes = np.argsort(rank)
         before = joined[suffixes - 1]
-        heads = np.flatnonzero(np.diff(before, prepend=-1))
-        self.run_start, self.run_letter = heads, before[heads]
-        self.run_end_place = suffixes[np.concatenate([heads[1:], [len(before)]]) - 1]
+        runs = np.flatnonzero(np.diff(before, prepend=-1))
+        self.run_start, self.run_letter = runs, before[runs]
+        self.run_end_place = suffixes[np.concatenate([runs[1:], [len(before)]]) - 1]
         by_letter = np.argsort(self.run_letter, kind="stable")
-        size = np.diff(np.concatenate([heads, [len(before)]]))
-        target = np.empty(len(heads), np.int64)
+        size = np.diff(np.concatenate([runs, [len(before)]]))
+        target = np.empty(len(runs), np.int64)
         target[by_letter] = np.cumsum(size[by_letter]) - size[by_letter]
         self.run_target = target  # where a run's rows go when its letter is put before them
         self.end_rows = rank[ends]
-        tail = np.concatenate([at_64[LENGTH - 64 :], np.full(LENGTH - 64, -1)])
-        head, tail = at_64[suffixes], tail[suffixes]
-        self.classes = np.flatnonzero((np.diff(head, prepend=-2) != 0) | (np.diff(tail, prepend=-2) != 0))
+        border = np.zeros(len(suffixes), bool)
+        border[0] = True
+        rank, span = heads
+        for skip in [*range(0, LENGTH - span, span), LENGTH - span]:
+            part = np.concatenate([rank[skip:], np.full(skip, -1)])[: len(rank)][suffixes]
+            border[1:] |= part[1:] != part[:-1]
+        self.classes = np.flatnonzero(border)
         of = np.searchsorted(self.starts, suffixes, side="right") - 1
         self.order = order
         value = order[of] + suffixes - self.starts[of]
