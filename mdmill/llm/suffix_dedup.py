@@ -275,7 +275,7 @@ class RunIndex:
         to their first; where LENGTH letters have matched, the class of the row
         tells the earliest place.
         """
-        found = [[] for _ in self.lengths]
+        found = []
         live = np.argsort(-self.lengths, kind="stable")
         rows = self.end_rows[live]
         for step in range(1, int(self.lengths.max()) + 1):
@@ -286,9 +286,10 @@ class RunIndex:
             offset = self.lengths[live] - step
             own = self.order[live] + offset
             early = self.earliest[np.searchsorted(self.classes, rows, side="right") - 1] < own
-            for i, o in zip(live[early], offset[early]):
-                found[i].append(o)
-        return [np.array(f[::-1], np.int64) for f in found]
+            found.append(live[early] * (1 << 32) + offset[early])
+        found = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+        cuts = np.searchsorted(found, np.arange(1, len(self.lengths)) << 32)
+        return [part & 0xFFFFFFFF for part in np.split(found, cuts)]
 
 
 def snippet_repeats(snippets: DataFrame) -> DataFrame:
