@@ -1,8 +1,215 @@
 """All registered queries of the master-data operators and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
 
+import uuid
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from mdmill.functions import rules, text
+from mdmill.operators import audit, quality, resolve, vectors
+from mdmill.plans import statements
+from mdmill.session import scratch_root, table
+from mdmill.sources.materials import MATERIALS_SQL, enrich, materials
+from mdmill.streaming.issues import issues_through_stream
+
+M = f"WITH m AS ({MATERIALS_SQL.replace('{part}', 'part')})"
+TEXT = "concat(material_name, ' ', description, ' ')"
+
+
+def flagship(spark, sf_dir) -> DataFrame:
+    return quality.quality_report(materials(spark, sf_dir))
+
+
+def _statement(name):
+    text_of = statements.STATEMENTS[name]
+    return lambda spark, sf_dir: statements.run(spark, text_of, **{t: table(spark, sf_dir, t) for t in statements.inputs(text_of)})
+
+
+def _attribute(name):
+    return lambda spark, sf_dir: enrich(materials(spark, sf_dir)).select("row_id", name)
+
+
+def _cases(patterns, subject: str, rest: str) -> str:
+    def arm(value, pattern):
+        p = {"~316|316ss|sus316": "316([^l]|$)", "~304|304ss|cf8|sus304": "(304|cf8)([^l]|$)"}.get(pattern, pattern)
+        return f"WHEN regexp_matches({subject}, '{p}', 'i') THEN '{value}'"
+
+    return "CASE " + " ".join(arm(v, p) for v, p in patterns) + f" ELSE {rest} END"
+
+
+def _category_sql(name="material_name", raw="category") -> str:
+    mapped = " ".join(f"WHEN trim({raw}) = '{k}' THEN '{v}'" for k, v in rules.RAW_CATEGORIES.items())
+    rest = f"CASE WHEN trim({raw}) <> '' THEN trim({raw}) ELSE '{rules.OTHER}' END"
+    return f"CASE {mapped} ELSE {_cases(rules.CATEGORY_PATTERNS, f'concat({name}, chr(32), {raw})', rest)} END"
+
+
+def _attribute_sql() -> dict[str, str]:
+    model = ", ".join(
+        "nullif(regexp_extract(%s, '%s', 0, 'i'), '')" % (TEXT, p.replace("<", "\\b").replace(">", "\\b")) for p in rules.MODEL_PATTERNS
+    )
+    brands = " ".join(f"WHEN contains(lower({TEXT}), '{b.lower()}') THEN '{b}'" for b in rules.BRANDS)
+    inch = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.INCHES.items())
+    part = lambda p: f"nullif(regexp_extract({TEXT}, '{p}', 1, 'i'), '')"
+    inches = part("(\\d+)\\s*寸")
+    number = part("(\\d+\\.?\\d*)\\s*(mpa|bar|公斤)")
+    return {
+        "model": f"regexp_replace(upper(coalesce({model}, '')), '[–—]', '-', 'g')",
+        "brand": f"CASE {brands} ELSE '' END",
+        "dn": f"coalesce({part('DN\\s*(\\d+)')}, {part('(\\d+)\\s*mm')}, CASE {inches} {inch} ELSE {inches} END, '')",
+        "pressure": _cases(rules.PRESSURE_PATTERNS, TEXT, f"coalesce({number} || 'MPa', '')"),
+        "material": _cases(rules.MATERIAL_PATTERNS, f"lower({TEXT})", "''"),
+        "std_category": _category_sql(),
+    }
+
+
+def _standard_sql() -> str:
+    numeric = sorted((k for k in rules.SYNONYMS if k.isdigit()), key=int)
+    order = [*numeric, *(k for k in rules.SYNONYMS if not k.isdigit())]
+    value = "lower(trim(material_name || ' ' || description))"
+    for standard in order:
+        for synonym in rules.SYNONYMS[standard]:
+            quoted = "".join("\\" + c if not c.isalnum() and c.isascii() and c != " " else c for c in synonym.lower())
+            value = f"regexp_replace({value}, '{quoted}', '{standard}', 'gi')"
+    return f"{M} SELECT row_id, {value} AS standard FROM m"
+
+
+def standardized(spark, sf_dir):
+    return materials(spark, sf_dir).select("row_id", text.standardize(F.concat_ws(" ", "material_name", "description")).alias("standard"))
+
+
+def plants(spark, sf_dir):
+    raw = F.when(F.col("row_id") % 2 == 0, F.concat(F.lit(" "), F.lower("plant_code"))).otherwise(F.concat("plant_code", F.lit("_#1")))
+    return materials(spark, sf_dir).select("row_id", text.plant_code(raw).alias("plant"))
+
+
+def connectors(spark, sf_dir):
+    found = materials(spark, sf_dir).select("row_id", text.connector(F.col("system_source")).alias("c"))
+    return found.select("row_id", "c.connector", "c.source_table")
+
+
+def issues(spark, sf_dir):
+    return quality.record_issues(materials(spark, sf_dir))
+
+
+def issues_due(spark, sf_dir):
+    opened = F.lit("2026-01-01").cast("date")
+    return issues(spark, sf_dir).select("row_id", "code", quality.due_date(F.col("severity"), opened).cast("string").alias("due"))
+
+
+def streamed_issues(spark, sf_dir):
+    return issues_through_stream(materials(spark, sf_dir), f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}")
+
+
+def duplicates(spark, sf_dir):
+    return quality.duplicate_codes(materials(spark, sf_dir)).select("row_id", "n")
+
+
+def report(spark, sf_dir):
+    return quality.quality_report(materials(spark, sf_dir))
+
+
+def char_similarity(spark, sf_dir):
+    m = materials(spark, sf_dir)
+    a = m.select("row_id", F.col("material_name").alias("a"))
+    b = m.select((F.col("row_id") - 4).alias("row_id"), F.col("material_name").alias("b"))
+    return a.join(b, "row_id").select("row_id", F.round(text.char_jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+def term_frequency(spark, sf_dir):
+    rows = enrich(materials(spark, sf_dir))
+    standard = text.standardize(F.concat_ws(" ", "material_name", "description"))
+    tokens = text.semantic_tokens(*(F.col(a) for a in resolve.ATTRIBUTES), standard)
+    return rows.select("row_id", F.explode(tokens).alias("token")).groupBy("row_id", "token").agg(F.count("*").alias("tf"))
+
+
+def match_pairs(spark, sf_dir):
+    return resolve.match_pairs(enrich(materials(spark, sf_dir)))
+
+
+def golden_records(spark, sf_dir):
+    return resolve.golden_records(materials(spark, sf_dir))
+
+
+def audit_chain(spark, sf_dir):
+    blocks = audit.append_blocks(audit.ledger(table(spark, sf_dir, "events")))
+    return blocks.select("chain", "event_id", "height", "previous_hash", "block_hash")
+
+
+def audit_verify(spark, sf_dir):
+    checked = audit.verify(audit.append_blocks(audit.ledger(table(spark, sf_dir, "events"))))
+    bad = F.count_if(F.col("bad_height") | F.col("bad_link") | F.col("bad_hash"))
+    return checked.groupBy("chain").agg(F.count("*").alias("blocks"), bad.alias("errors"))
+
+
+def vector_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows.where("vec_id % 50 = 0"), rows, 10)
+
+
+QUERIES = {
+    **{name: _statement(name) for name in statements.STATEMENTS},
+    "txt1_standardize": standardized,
+    "txt2_category": _attribute("std_category"),
+    "txt3_brand": _attribute("brand"),
+    "txt4_model": _attribute("model"),
+    "txt5_dn": _attribute("dn"),
+    "txt6_pressure": _attribute("pressure"),
+    "txt7_material": _attribute("material"),
+    "txt10_term_frequency": term_frequency,
+    "txt12_char_jaccard": char_similarity,
+    "txt26_due_dates": issues_due,
+    "prj6_plants": plants,
+    "prj7_connectors": connectors,
+    "prj9_record_issues": issues,
+    "ag6_quality_report": report,
+    "jn1_match_pairs": match_pairs,
+    "er2_golden_records": golden_records,
+    "er6_vector_search": vector_search,
+    "st10_audit_append": audit_chain,
+    "wn2_audit_verify": audit_verify,
+    "str3_streamed_issues": streamed_issues,
+}
+
+_ATTRIBUTES = _attribute_sql()
+_ISSUES = " UNION ALL ".join(
+    [
+        *(f"SELECT row_id, 'MISSING_{f.upper()}' AS code, '{f}' AS field, '{s}' AS severity FROM m WHERE trim({f}) = ''" for f, _, s in rules.REQUIRED),
+        f"SELECT row_id, 'CATEGORY_UNRESOLVED', 'category', 'MEDIUM' FROM m WHERE trim(category) IN ('', '{rules.OTHER}')",
+    ]
+)
+_FILLED = " + ".join(f"({f} <> '')::INT" for f in quality.FIELDS)
+_NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+ORACLE_SQL = {
+    **{name: statements.oracle(sql) for name, sql in statements.STATEMENTS.items()},
+    **{
+        f"{key}_{name}": f"{M} SELECT row_id, {_ATTRIBUTES[column]} AS {column} FROM m"
+        for key, name, column in (
+            ("txt2", "category", "std_category"), ("txt3", "brand", "brand"), ("txt4", "model", "model"), ("txt5", "dn", "dn"),
+            ("txt6", "pressure", "pressure"), ("txt7", "material", "material"),
+        )
+    },
+    "txt1_standardize": _standard_sql(),
+    "txt12_char_jaccard": f"""{M}, p AS (SELECT a.row_id, list_distinct(string_split(regexp_replace(lower(a.material_name), '\\s+', '', 'g'), '')) AS x,
+ list_distinct(string_split(regexp_replace(lower(b.material_name), '\\s+', '', 'g'), '')) AS y FROM m a JOIN m b ON b.row_id = a.row_id + 4)
+ SELECT row_id, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 6) AS similarity FROM p""",
+    "txt26_due_dates": f"""{M}, i AS ({_ISSUES}) SELECT row_id, code,
+ CASE severity WHEN 'HIGH' THEN '2026-01-03' WHEN 'MEDIUM' THEN '2026-01-06' ELSE '2026-01-11' END AS due FROM i""",
+    "prj6_plants": f"{M} SELECT row_id, CASE WHEN row_id % 2 = 0 THEN plant_code ELSE concat(plant_code, '_1') END AS plant FROM m",
+    "prj7_connectors": f"""{M} SELECT row_id, CASE system_source WHEN 'SAP' THEN 'sap-odata' WHEN 'EAM' THEN 'eam-rest' WHEN '采购' THEN 'procurement-rest' ELSE 'file-import' END AS connector,
+ CASE system_source WHEN 'SAP' THEN 'MARA' WHEN 'EAM' THEN 'EAM_MATERIAL' WHEN '采购' THEN 'PURCHASE_ITEM' ELSE 'CSV_ROW' END AS source_table FROM m""",
+    "prj9_record_issues": f"{M} {_ISSUES}",
+    "str3_streamed_issues": f"{M} {_ISSUES}",
+    "ag6_quality_report": f"""{M}, r AS (SELECT CASE WHEN system_source = '' THEN '未分类' ELSE system_source END AS system, * FROM m),
+ q AS (SELECT system, count(*) AS record_count, round(avg({_FILLED}) / 6 * 100, 1) AS completeness,
+  round(avg((material_name <> '' AND category <> '')::INT) * 100, 1) AS consistency,
+  round(count(DISTINCT nullif(material_code, '')) / greatest(1, count(nullif(material_code, ''))) * 100, 1) AS uniqueness,
+  round(avg(({_ATTRIBUTES['std_category']} <> '其他')::INT) * 100, 1) AS standardization FROM r GROUP BY GROUPING SETS ((), (system)))
+ SELECT *, round((completeness + 100 + consistency + uniqueness + standardization) / 5, 1) AS score FROM q""",
+    "er6_vector_search": f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id,
+ round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / ({_NORM.format('q')} * {_NORM.format('c')}), 6) AS score
+ FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+ SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+}
