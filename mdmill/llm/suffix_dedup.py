@@ -229,16 +229,16 @@ class RunIndex:
         joined[ends] = np.arange(len(strings))  # every end is a letter of its own
         self.lengths, self.ends = lengths, ends
         # Ranks by the first letters: four at once, then as many spans as fit 63 bits.
-        high = len(joined) + 257
+        high, letters = len(joined) + 257, len(strings) + 257
         fold = 3 if high**3 < 1 << 63 else 2
-        rank, span, parts = joined, 1, 4 if high**4 < 1 << 63 else 2
+        rank, span, parts = joined, 1, 4 if letters**4 < 1 << 63 else 2
         heads = (rank, span)
         while span < 2 * LENGTH:
             key = rank
             for i in range(1, parts):
-                key = key * high + np.concatenate([rank[i * span :], np.zeros(min(i * span, len(rank)), np.int64)])[: len(rank)]
+                key = key * letters + np.concatenate([rank[i * span :], np.zeros(min(i * span, len(rank)), np.int64)])[: len(rank)]
             _, rank = np.unique(key, return_inverse=True)
-            span, parts = span * parts, fold
+            span, parts, letters = span * parts, fold, high
             heads = (rank, span) if span <= LENGTH else heads
         suffixes = np.argsort(rank)
         before = joined[suffixes - 1]
