@@ -27,8 +27,6 @@ STATEMENTS = {
     # Scopes and projections.
     "flt1_plant_visible": f"WITH {MASTERS} SELECT mdm_code FROM masters WHERE concat(',', plants, ',') LIKE '%,SHANGHAI,%'",
     "flt2_distributable": f"WITH {MASTERS} SELECT mdm_code FROM masters WHERE concat(',', plants, ',') LIKE '%,SHANGHAI,%' OR concat(',', plants, ',') LIKE '%,GROUP,%'",
-    "flt3_identity_scope": f"""{M}, principals AS (SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'GROUP' WHEN c_custkey % 3 = 1 THEN 'SHANGHAI' ELSE 'BEIJING' END AS bound FROM {{customer}} WHERE c_custkey < 9)
- SELECT user_id, row_id FROM principals JOIN materials ON bound = 'GROUP' OR plant_code = bound""",
     "flt7_egress_gate": """SELECT l_orderkey AS batch_id, l_linenumber AS line, classification, external_ai FROM {lineitem}
  JOIN (SELECT 'A' AS flag, 'PUBLIC' AS classification, true AS external_ai UNION ALL SELECT 'N', 'INTERNAL', true UNION ALL SELECT 'R', 'RESTRICTED', false) p ON l_returnflag = flag""",
     "flt9_masked_ip": "SELECT event_id, CASE WHEN user_id % 10 = 0 THEN concat('10.0.0.', user_id % 256) ELSE 'masked' END AS client_ip FROM {events}",
@@ -38,10 +36,6 @@ STATEMENTS = {
     "src7_insert_absent": "SELECT DISTINCT o_custkey AS custkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {customer} WHERE c_custkey = o_custkey AND c_custkey % 2 = 0)",
     "src9_retention_delete": """WITH expired AS (SELECT o_orderkey AS batch_id, o_custkey % 11 = 0 AS held FROM {orders} WHERE o_orderdate < DATE '1997-01-01')
  SELECT l_orderkey AS batch_id, count(*) AS kept FROM {lineitem} WHERE l_orderkey NOT IN (SELECT batch_id FROM expired WHERE NOT held) GROUP BY l_orderkey""",
-    "src12_legacy_ranges": """WITH b AS (SELECT o_orderkey AS batch_id, count(*) AS n FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderkey < 2000 GROUP BY o_orderkey),
- r AS (SELECT batch_id, sum(n) OVER (ORDER BY batch_id) - n AS lo, sum(n) OVER (ORDER BY batch_id) AS hi FROM b),
- m AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS k FROM {lineitem} WHERE l_orderkey < 2000)
- SELECT m.k AS mapping, r.batch_id FROM m JOIN r ON m.k > r.lo AND m.k <= r.hi""",
     "src13_rebuild_snapshot": f"WITH {FEEDBACK} SELECT batch_id, mdm_code, count(*) AS mappings, avg(rating) AS similarity FROM deliveries GROUP BY batch_id, mdm_code",
     # Joins.
     "jn2_rank_links": f"""{M}, r AS (SELECT row_id, material_code, plant_code, row_number() OVER (PARTITION BY material_code, plant_code ORDER BY row_id) AS k FROM materials),

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from mdmill.functions import rules, text
 from mdmill.operators import audit, quality, resolve, vectors
-from mdmill.plans import statements
+from mdmill.plans import governance, statements
 from mdmill.session import scratch_root, table
 from mdmill.sources.materials import MATERIALS_SQL, enrich, materials
 from mdmill.streaming.issues import issues_through_stream
 
+STATEMENTS = statements.STATEMENTS | governance.STATEMENTS
 M = f"WITH m AS ({MATERIALS_SQL.replace('{part}', 'part')})"
 TEXT = "concat(material_name, ' ', description, ' ')"
 
@@ -23,7 +24,7 @@ def flagship(spark, sf_dir) -> DataFrame:
 
 
 def _statement(name):
-    text_of = statements.STATEMENTS[name]
+    text_of = STATEMENTS[name]
     return lambda spark, sf_dir: statements.run(spark, text_of, **{t: table(spark, sf_dir, t) for t in statements.inputs(text_of)})
 
 
@@ -149,7 +150,7 @@ def vector_search(spark, sf_dir):
 
 
 QUERIES = {
-    **{name: _statement(name) for name in statements.STATEMENTS},
+    **{name: _statement(name) for name in STATEMENTS},
     "txt1_standardize": standardized,
     "txt2_category": _attribute("std_category"),
     "txt3_brand": _attribute("brand"),
@@ -183,7 +184,7 @@ _FILLED = " + ".join(f"({f} <> '')::INT" for f in quality.FIELDS)
 _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 ORACLE_SQL = {
-    **{name: statements.oracle(sql) for name, sql in statements.STATEMENTS.items()},
+    **{name: statements.oracle(sql) for name, sql in STATEMENTS.items()},
     **{
         f"{key}_{name}": f"{M} SELECT row_id, {_ATTRIBUTES[column]} AS {column} FROM m"
         for key, name, column in (
