@@ -100,4 +100,24 @@ DUE_DAYS = {"HIGH": 2, "MEDIUM": 5}
 RETENTION_DAYS = {"PUBLIC": 365, "INTERNAL": 730, "CONFIDENTIAL": 1095, "RESTRICTED": 1825}
 OTHER = "其他"
 EDGE, SEMANTIC_EDGE, SAME_BRAND, SAME_MATERIAL = 0.55, 0.85, 0.15, 0.10
+SHOWN_INCHES = {"1": "25", "2": "50", "3": "80", "4": "100", "5": "125", "6": "150", "8": "200", "10": "250", "12": "300"}
+CODE_PREFIXES = {
+    "机械密封": "MDM-48", "轴承": "MDM-51", "深沟球轴承": "MDM-51", "O型圈": "MDM-51", "滤芯": "MDM-51", "润滑油": "MDM-51", "螺栓": "MDM-51",
+    "法兰": "MDM-52", "闸阀": "MDM-53", "压力变送器": "MDM-58", "防爆电机": "MDM-58",
+}
+TARGET_SYSTEMS = {
+    "SAP": ("sap",), "ERP": ("erp",), "EAM": ("eam", "设备系统", "资产系统"), "MES": ("mes", "制造系统", "生产系统"),
+    "WMS": ("wms", "仓储系统", "库存系统", "仓库系统"), "PROCUREMENT": ("采购",),
+}
+ALL_SYSTEMS = ("全部系统", "所有系统", "all systems")
+INCREMENTAL_WORDS = ("增量", "新增", "刚批准", "最新")
+DELIVERY_VERBS = ("分发", "发往", "发送", "同步", "下发", "推送", "发到")
+DELIVERY_PLACES = ("系统", "工厂", "上海厂", "北京厂")
+GOVERN_WORDS = ("治理", "归并", "查重", "闭环", "质量评估", "审核", "编排", "处理批次")
+#: weights of rule, lexical and vector scores; least score and lead of an automatic answer
+RETRIEVAL_WEIGHTS, AUTO_SCORE, AUTO_MARGIN = (0.45, 0.30, 0.25), 0.68, 0.08
+SEARCH_WEIGHTS = {"model": 0.50, "brand": 0.25, "dn": 0.20, "pressure": 0.20, "material": 0.20, "category": 0.30}
+RANK_WEIGHTS = {"brand": 0.20, "model": 0.35, "name": 0.30}
+EXCLUDE_WORDS = "不要|排除|不含|非|without|exclude"
+LEADER_EDGE = 0.85
 # End of fixed values.

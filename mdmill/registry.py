@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mdmill import registry_operators
 from mdmill.functions import rules, text
 from mdmill.operators import audit, quality, resolve, vectors
 from mdmill.plans import governance, statements
@@ -151,6 +152,7 @@ def vector_search(spark, sf_dir):
 
 QUERIES = {
     **{name: _statement(name) for name in STATEMENTS},
+    **registry_operators.QUERIES,
     "txt1_standardize": standardized,
     "txt2_category": _attribute("std_category"),
     "txt3_brand": _attribute("brand"),
@@ -192,6 +194,7 @@ ORACLE_SQL = {
             ("txt6", "pressure", "pressure"), ("txt7", "material", "material"),
         )
     },
+    **registry_operators.oracle_sql(_ATTRIBUTES),
     "txt1_standardize": _standard_sql(),
     "txt12_char_jaccard": f"""{M}, p AS (SELECT a.row_id, list_distinct(string_split(regexp_replace(lower(a.material_name), '\\s+', '', 'g'), '')) AS x,
  list_distinct(string_split(regexp_replace(lower(b.material_name), '\\s+', '', 'g'), '')) AS y FROM m a JOIN m b ON b.row_id = a.row_id + 4)

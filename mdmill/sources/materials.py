@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,53 @@ def normalize(raw: DataFrame, mapping: dict[str, str], plant: str = "GROUP", now
     return out.where("material_code <> '' OR material_name <> '' OR description <> ''")
 
 
+# Header names that stand for a field.
+ALIASES = {
+    "material_code": ["物料编码", "物料代码", "物料号", "编码", "material_code", "code"],
+    "system_source": ["来源系统", "系统来源", "source_system", "system_source", "source"],
+    "material_name": ["物料名称", "备件名称", "名称", "material_name", "name"],
+    "description": ["物料描述", "规格描述", "描述", "description", "desc"],
+    "category": ["物料类别", "物料分类", "类别", "分类", "category", "type"],
+    "unit": ["计量单位", "单位", "unit", "uom"],
+    "create_time": ["创建时间", "创建日期", "create_time", "created_at"],
+    "plant_code": ["工厂编码", "工厂代码", "工厂", "plant_code", "plant"],
+}
+# End of fixed values.
+
+
+def map_headers(headers: list[str]) -> dict[str, str]:
+    """{field: header} for the headers of one table: each field in turn takes its best free header.
+
+    A header equal to an alias beats one that starts or ends with it; longer
+    aliases beat shorter ones, then the order of aliases and headers decides.
+    Short aliases (one CJK or three Latin letters) only match whole headers.
+    """
+    key = lambda h: re.sub(r"[\s_\-./\\()（）\[\]【】:：]+", "", (h or "").strip().lower())
+    found: dict[str, str] = {}
+    for field, names in ALIASES.items():
+        best = (0, "")
+        for alias in map(key, names):
+            long_enough = len(alias) >= (2 if re.search("[一-龥]", alias) else 4)
+            for header in headers:
+                h = key(header)
+                near = long_enough and (h.startswith(alias) or h.endswith(alias))
+                score = 1000 + len(alias) if h == alias else 500 + len(alias) if near else 0
+                if score > best[0] and header not in found.values():
+                    best = (score, header)
+        if best[0]:
+            found[field] = best[1]
+    return found
+
+
+def provenance(batch: str):
+    """struct(source_id, source_table, status, record_hash) of a record: its code, else a number from row_id, and the hash of its fields."""
+    code = F.coalesce(F.nullif(F.col("material_code"), F.lit("")), F.format_string("ROW-%06d", F.col("row_id")))
+    where = text.connector(F.col("system_source"))
+    status = F.when(where["connector"] == "file-import", "DEMO").otherwise("CONFIGURED")
+    body = F.to_json(F.struct(F.lit(batch).alias("batch"), *(F.col(f) for f in sorted(FIELDS))), {"ignoreNullFields": "false"})
+    return F.struct(code.alias("source_id"), where["source_table"].alias("source_table"), status.alias("status"), F.sha2(body, 256).alias("record_hash"))
+
+
 def enrich(records: DataFrame) -> DataFrame:
     """records with model, brand, dn, pressure, material and std_category from name and description."""
     source = F.concat_ws(" ", "material_name", "description", F.lit(""))
