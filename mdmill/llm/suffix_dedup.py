@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -24,12 +25,15 @@ ANCHOR_BITS = 1 << 27
 HOT_PLACES, HOT_SHARE = 20_000, 100_000
 #: Bytes that are hashed together, and bytes of snippets that one index holds (or one anchor's).
 BLOCK_BYTES, INDEX_BYTES = 1 << 21, 1 << 20
+#: Places that are worked on together, so that their numbers stay in a core's cache.
+STRIDE = 1 << 14
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LETTER = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
+@functools.cache
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -42,8 +46,13 @@ class Hashed:
     def __init__(self, data: bytes):
         text = np.frombuffer(data, np.uint8)
         self.sums = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(_LETTER[text] * _powers(_BASE, len(text)), out=self.sums[1:])
-        self.unshift = _powers(_INVERSE, len(text) + 1)
+        powers = _powers(_BASE, BLOCK_BYTES + 1)
+        for a in range(0, len(text), STRIDE):
+            part = text[a : a + STRIDE]
+            term = _LETTER[part] * powers[a : a + len(part)]
+            term[:1] += self.sums[a : a + 1]
+            np.cumsum(term, out=self.sums[a + 1 : a + 1 + len(part)])
+        self.unshift = _powers(_INVERSE, BLOCK_BYTES + 1)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.unshift[start] + (end - start).astype(np.uint64))
@@ -62,20 +71,23 @@ def anchors(texts: list[bytes]):
     n = int(starts[-1])
     if n < LENGTH:
         return hashed, np.zeros(0, np.uint64), np.zeros(0, np.int64), starts
-    at = np.arange(n - ANCHOR + 1)
-    h = hashed.of(at, at + ANCHOR)
-    low, bits = h >> np.uint64(24) << np.uint64(24), 24
-    low |= at.astype(np.uint64)  # blocks of long texts stay under 2^24 bytes
-    wide, span = low, 1
-    while span * 2 <= REACH + 1:
-        wide, span = np.minimum(wide[:-span], wide[span:]), span * 2
-    rest = REACH + 1 - span
-    least = np.minimum(wide[: len(wide) - rest], wide[rest:]) if rest else wide
-    valid = np.repeat(starts[1:], lengths)[: len(least)] - np.arange(len(least)) >= LENGTH
+    whole = np.ones(n, bool)  # does a window of one text start here?
+    for end, length in zip(starts[1:], lengths):
+        whole[end - min(length, LENGTH - 1) : end] = False
     picked = np.zeros(n, bool)
-    picked[(least[valid] & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+    sums, unshift, bits = hashed.sums, hashed.unshift, np.uint64(24)
+    for a in range(0, n - LENGTH + 1, STRIDE):
+        windows = min(STRIDE, n - LENGTH + 1 - a)
+        e = a + windows + REACH
+        h = mix((sums[a + ANCHOR : e + ANCHOR] - sums[a:e]) * unshift[a:e] + np.uint64(ANCHOR))
+        wide, span = h >> bits << bits, 1
+        wide |= np.arange(a, e, dtype=np.uint64)  # blocks of long texts stay under 2^24 bytes
+        while span * 2 <= REACH + 1:
+            wide, span = np.minimum(wide[:-span], wide[span:]), span * 2
+        least = np.minimum(wide[:windows], wide[REACH + 1 - span :][:windows])[whole[a : a + windows]]
+        picked[(least & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
     places = np.flatnonzero(picked)
-    return hashed, h[places], places, starts
+    return hashed, hashed.of(places, places + ANCHOR), places, starts
 
 
 def anchored(batch):
