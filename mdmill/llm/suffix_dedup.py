@@ -169,8 +169,9 @@ def places(texts: DataFrame, bits, hot, with_text) -> DataFrame:
 
     A snippet is the text within reach of the anchor: every LENGTH-byte window
     around the anchor lies in it. snippet is a hash of it and of the anchor's
-    place in it. With with_text, a bitmap over (anchor, snippet), only those
-    maybe in it come, the first of each task's block.
+    place in it. Hot anchors come as their windows. With with_text, a bitmap
+    over (anchor, snippet), only snippets maybe in it come, the first of each
+    task's block.
     """
 
     def find_places(batches):
@@ -180,7 +181,11 @@ def places(texts: DataFrame, bits, hot, with_text) -> DataFrame:
             for rows, start, end, pos, shift, keys, hashed, data in anchored(batch):
                 keep = _in_bitmap(shared, keys)
                 if len(heavy):
-                    keep &= ~np.isin(keys, heavy)
+                    heated = np.isin(keys, heavy)
+                    keep &= ~heated
+                    if wanted is None and heated.any():
+                        columns = _hot_windows(batch.column(0), hashed, *(x[heated] for x in (rows, start, end, shift)))
+                        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "snippet", "doc", "start", "size"])
                 rows, start, end, pos, shift, keys = (x[keep] for x in (rows, start, end, pos, shift, keys))
                 snippet = hashed.of(start + shift, end + shift) ^ mix((pos - start).astype(np.uint64) + np.uint64(99))
                 columns = [pa.array(keys.view(np.int64)), pa.array(snippet.view(np.int64)), None, pa.array(start), pa.array((end - start).astype(np.int32))]
@@ -202,26 +207,21 @@ def places(texts: DataFrame, bits, hot, with_text) -> DataFrame:
     return texts.mapInArrow(find_places, schema + (", bytes binary" if with_text else ""))
 
 
-def hot_windows(texts: DataFrame, hot) -> DataFrame:
-    """(window, doc, start) of every window around a hot anchor: a hot group is split into its windows."""
+def _hot_windows(ids, hashed, rows, start, end, shift):
+    """Every window around the hot places of a block, once, as rows of `places`: a hot group is split into its windows.
 
-    def find_windows(batches):
-        heavy = hot.value
-        for batch in batches:
-            for rows, start, end, _, shift, keys, hashed, _ in anchored(batch):
-                held = np.flatnonzero(np.isin(keys, heavy))
-                n = (end - start - LENGTH + 1)[held]
-                of = np.repeat(held, n)
-                at = start[of] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                if not len(at):
-                    continue
-                window = hashed.of(at + shift[of], at + shift[of] + LENGTH)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(window.view(np.int64)), _by_id(batch.column(0), rows[of]), pa.array(at)], names=["window", "doc", "start"]
-                )
-
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(find_windows, f"window long, doc {kind}, start long").distinct()
+    A window stands as an anchor of its own with one snippet, so grouping alone settles it.
+    """
+    n = end - start - LENGTH + 1
+    of = np.repeat(np.arange(len(n)), n)
+    at = start[of] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    _, first = np.unique(at + shift[of], return_index=True)
+    of, at = of[first], at[first]
+    window = hashed.of(at + shift[of], at + shift[of] + LENGTH)
+    own = mix(window ^ np.uint64(0xC2B2AE3D27D4EB4F))
+    return [
+        pa.array(own.view(np.int64)), pa.array(window.view(np.int64)), _by_id(ids, rows[of]), pa.array(at), pa.array(np.full(len(at), LENGTH, np.int32))
+    ]
 
 
 class RunIndex:
@@ -392,16 +392,7 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(mix(a ^ mix(s)).view(np.int64))], names=["key"])
 
     wanted_bits = spark.sparkContext.broadcast(_bitmap_bytes(wanted.mapInArrow(key_of, "key long"), "key"))
-    parts = copies.unionByName(snippet_repeats(places(docs, bits, hot, wanted_bits)))
-    if len(hot.value):
-        windows, _ = save(hot_windows(docs, hot), "windows")
-        least = windows.groupBy("window").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        parts = parts.unionByName(
-            windows.join(least, "window")
-            .where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-            .select("doc", "start", F.lit(LENGTH).cast("long").alias("size"))
-        )
-    return parts
+    return copies.unionByName(snippet_repeats(places(docs, bits, hot, wanted_bits)))
 
 
 def _merged(stretches) -> list[tuple[int, int]]:
