@@ -125,3 +125,25 @@ def semantic_tokens(record_model, record_brand, record_dn, record_pressure, reco
         grams(3),
     )
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(F.lit("empty")))
+
+
+def pressure_number(value: Column) -> Column:
+    """The number in a pressure text; null where there is none or the text is null."""
+    return F.regexp_replace(value, "[^0-9.]", "").try_cast("double")
+
+
+def access_list(values: Column, default: str) -> Column:
+    """Access words without blanks, in upper case, each once in the order given; [default] where none is left."""
+    cleaned = F.array_distinct(F.filter(F.transform(values, lambda v: F.upper(F.trim(v))), lambda v: v != ""))
+    return F.when(F.size(cleaned) > 0, cleaned).otherwise(F.array(F.lit(default)))
+
+
+def parsed_map(value: Column) -> Column:
+    """A JSON object as a map of strings; an empty map where the text is null or no object."""
+    parsed = F.from_json(value, "map<string,string>", {"mode": "PERMISSIVE"})
+    return F.coalesce(parsed, F.create_map().cast("map<string,string>"))
+
+
+def checked_vector(vector: Column, dimension: int) -> Column:
+    """The vector, or an empty one where its length is not the dimension or it is null."""
+    return F.when(F.size(vector) == dimension, vector).otherwise(F.array().cast("array<float>"))

@@ -212,6 +212,12 @@ ORACLE_SQL = {
   round(count(DISTINCT nullif(material_code, '')) / greatest(1, count(nullif(material_code, ''))) * 100, 1) AS uniqueness,
   round(avg(({_ATTRIBUTES['std_category']} <> '其他')::INT) * 100, 1) AS standardization FROM r GROUP BY GROUPING SETS ((), (system)))
  SELECT *, round((completeness + 100 + consistency + uniqueness + standardization) / 5, 1) AS score FROM q""",
+    "rp3_query_log": f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id,
+ round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / ({_NORM.format('q')} * {_NORM.format('c')}), 6) AS score
+ FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+ SELECT query_id, sha256('vector:' || query_id) AS query_hash, '[' || string_agg(concat(chr(123), '"id":', vec_id, ',"rank":', rank, chr(125)), ',' ORDER BY rank) || ']' AS results
+ FROM r WHERE rank <= 5 GROUP BY query_id""",
     "er6_vector_search": f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id,
  round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / ({_NORM.format('q')} * {_NORM.format('c')}), 6) AS score
  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)

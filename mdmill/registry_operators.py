@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdmill.functions import rules, semantics, text
-from mdmill.operators import access, audit, cluster, delivery, lineage, quality, retrieve
+from mdmill.operators import access, audit, cluster, delivery, lineage, quality, retrieve, vectors
 from mdmill.session import save, scratch_root, table
+from mdmill.sources import sinks
 from mdmill.sources.materials import MATERIALS_SQL, enrich, materials, provenance
 from mdmill.streaming.audit import blocks_through_stream, feedback_through_stream
 
@@ -184,7 +185,67 @@ def streamed_feedback(spark, sf_dir):
     return feedback_through_stream(rows, _folder(spark))
 
 
+def batch_snapshot(spark, sf_dir):
+    """Line mappings by month of order, written whole and some months again: the second write replaces them."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    batch = (F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("batch_id")
+    rows = lines.select(batch, "l_orderkey", "l_linenumber", "l_partkey")
+    path = f"{scratch_root(spark)}/snapshot-{uuid.uuid4().hex}"
+    sinks.write_batches(rows, path)
+    sinks.write_batches(rows.where("batch_id % 2 = 0"), path)
+    kept = spark.read.parquet(path)
+    return kept.groupBy(F.col("batch_id").cast("long").alias("batch_id")).agg(
+        F.count("*").alias("mappings"), F.count_distinct("l_partkey").alias("masters")
+    )
+
+
+def cleared_log(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "user_id")
+    path = f"{scratch_root(spark)}/log-{uuid.uuid4().hex}"
+    events.write.parquet(path)
+    sinks.clear(events, path)
+    return spark.read.parquet(path)
+
+
+def pressure_numbers(spark, sf_dir):
+    return enrich(materials(spark, sf_dir)).select("row_id", text.pressure_number(F.col("pressure")).alias("number"))
+
+
+def access_lists(spark, sf_dir):
+    words = F.split(F.when(F.col("event_id") % 3 > 0, F.concat("event_type", F.lit(", View ,,click"))).otherwise(F.lit(" ,")), ",")
+    allowed = text.access_list(words, "GROUP")
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(allowed), ",").alias("allowed"))
+
+
+def parsed_props(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 5 > 0, F.col("props")).when(F.col("event_id") % 2 == 0, "no object")
+    parsed = text.parsed_map(raw)
+    return table(spark, sf_dir, "events").select("event_id", F.size(parsed).cast("long").alias("n_keys"), F.try_element_at(parsed, F.lit("k")).alias("k"))
+
+
+def checked_vectors(spark, sf_dir):
+    given = F.when(F.col("vec_id") % 7 > 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 10))
+    vector = text.checked_vector(given, 64)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.size(vector).cast("long").alias("n"), F.round(F.try_element_at(vector, F.lit(1)).cast("double"), 6).alias("first"))
+
+
+def query_log(spark, sf_dir):
+    """A row for each vector query: the hash of what was asked and its five best hits, compact."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    hits = vectors.nearest(rows.where("vec_id % 50 = 0"), rows, 5)
+    found = F.transform(F.sort_array(F.collect_list(F.struct("rank", "vec_id"))), lambda h: F.struct(h["vec_id"].alias("id"), h["rank"].alias("rank")))
+    logged = hits.groupBy("query_id").agg(F.to_json(found).alias("results"))
+    return logged.select("query_id", F.sha2(F.concat(F.lit("vector:"), F.col("query_id").cast("string")), 256).alias("query_hash"), "results")
+
+
 QUERIES = {
+    "src5_batch_snapshot": batch_snapshot,
+    "src15_cleared_log": cleared_log,
+    "txt36_pressure_numbers": pressure_numbers,
+    "txt37_access_lists": access_lists,
+    "txt38_parsed_props": parsed_props,
+    "txt39_checked_vectors": checked_vectors,
+    "rp3_query_log": query_log,
     "src12_legacy_ranges": legacy_ranges,
     "prj8_provenance": provenances,
     "flt5_access": access_decisions,
@@ -264,5 +325,15 @@ def oracle_sql(attributes: dict[str, str]) -> dict[str, str]:
  UNION ALL SELECT 'MASTER:' || l_partkey, 'TARGET_SYSTEM:' || CASE WHEN l_returnflag = 'N' THEN 'SAP' ELSE 'WMS' END, 'DELIVERED_TO' FROM lineitem
  UNION ALL SELECT 'MASTER:' || l_partkey, 'PLANT:' || CASE WHEN l_suppkey % 2 = 0 THEN 'SHANGHAI' ELSE 'BEIJING' END, 'USED_AT' FROM lineitem)
  SELECT least(a, b) AS src, greatest(a, b) AS dst, max(relation) AS relation FROM x GROUP BY ALL""",
+        "src5_batch_snapshot": """SELECT year(o_orderdate) * 100 + month(o_orderdate) AS batch_id, count(*) AS mappings, count(DISTINCT l_partkey) AS masters
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+        "src15_cleared_log": "SELECT event_id, user_id FROM events WHERE false",
+        "txt36_pressure_numbers": f"{rows} SELECT row_id, try_cast(regexp_replace(pressure, '[^0-9.]', '', 'g') AS DOUBLE) AS number FROM e",
+        "txt37_access_lists": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'GROUP'
+ ELSE array_to_string(list_sort(list_distinct([upper(event_type), 'VIEW', 'CLICK'])), ',') END AS allowed FROM events""",
+        "txt38_parsed_props": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE len(json_keys(props)) END::BIGINT AS n_keys,
+ CASE WHEN event_id % 5 > 0 THEN props ->> 'k' END AS k FROM events""",
+        "txt39_checked_vectors": """SELECT vec_id, CASE WHEN vec_id % 7 > 0 THEN len(embedding) ELSE 0 END::BIGINT AS n,
+ CASE WHEN vec_id % 7 > 0 THEN round(embedding[1]::DOUBLE, 6) END AS first FROM embeddings""",
         "str2_streamed_feedback": "SELECT CASE WHEN l_suppkey % 2 = 0 THEN 'SHANGHAI' ELSE 'BEIJING' END AS plant_code, l_partkey AS mdm_code, count(*) AS delivered, count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS accepted FROM lineitem GROUP BY ALL",
     }
