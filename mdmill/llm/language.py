@@ -15,9 +15,12 @@ from mdmill.session import table
 DIMENSIONS, CLUSTERS = 4096, 4
 #: Labelled rows per language that the centroids are fitted on (about; drawn by hash).
 FIT_ROWS = 2000
-#: A text is rejected when its cosine is below this share of the cosine that
-#: 99 of 100 fitted rows of the nearest centroid reach.
-REJECT_SHARE = 0.05
+#: Clusters with a smaller share of a language's fitted rows are merged into the nearest other one.
+LEAST_CLUSTER = 0.02
+#: A text of 2^REJECT_BITS bytes or more is rejected when its cosine is below this share of the
+#: cosine that 99 of 100 fitted rows of the language reach. Short texts have few 3-grams and low
+#: cosines in any language, so the bar falls with the power 1.5 of the logarithm of the length.
+REJECT_SHARE, REJECT_BITS = 0.6, 13
 #: Bytes and documents that are turned into vectors together.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 21, 128
 
@@ -126,8 +129,9 @@ def fit(docs: DataFrame, train: Column | None = None):
     def cluster(pdf):
         vectors = np.stack(pdf["v"].to_numpy())
         centroids, at = spherical_clusters(vectors, CLUSTERS)
-        near = (vectors * centroids[at]).sum(axis=1)
-        least = [float(np.quantile(near[at == c], 0.01)) if (at == c).any() else 0.0 for c in range(len(centroids))]
+        held = np.bincount(at, minlength=len(centroids))
+        centroids = centroids[held >= min(LEAST_CLUSTER * len(vectors), held.max())]
+        least = float(np.quantile((vectors @ centroids.T).max(axis=1), 0.01))
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(centroids), "least": least})
 
     found = (
@@ -142,13 +146,19 @@ def fit(docs: DataFrame, train: Column | None = None):
     return [r["lang"] for r in found], centroids, np.array([r["least"] for r in found]), idf
 
 
+def reject_bars(least: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """The cosine under which each text is rejected, from the least cosine of its language."""
+    bits = np.log2([len(t) + 1 for t in texts])
+    return REJECT_SHARE * least * np.minimum(bits / REJECT_BITS, 1.0) ** 1.5
+
+
 def predict(docs: DataFrame, model) -> DataFrame:
     """(doc_id, lang_pred, score, rejected), a row for each row of docs.
 
     lang_pred is the language of the nearest centroid by cosine, the cosine is
     the score. A text with no letter, or null, is `und`, score 0, rejected; so
     is every text when no language was learned, though not rejected. rejected
-    marks texts that lie far from every centroid. Ties go to the language that
+    marks texts that lie far from every centroid for their length. Ties go to the language that
     sorts first. Repeated rows and null ids pass through; other columns are
     ignored. Long texts are counted in pieces, so a task holds one block.
     """
@@ -165,7 +175,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
                 top = near[np.arange(len(texts)), best]
                 lang += [languages[i] for i in best]
                 score += np.clip(top, 0.0, 1.0).astype(float).tolist()
-                far += (top < REJECT_SHARE * least[best]).tolist()
+                far += (top < reject_bars(least[best], texts)).tolist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())],
                 names=["doc_id", "lettered", "lang_pred", "score", "rejected"],

@@ -228,6 +228,24 @@ def test_language_held_out(spark):
     assert rows.where("rejected").count() == 0
 
 
+def test_language_rejects_unknown_texts_only(spark):
+    read = lambda sf: spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = language.fit(read("sf0.01"), ~language.is_held_out())
+    rnd = random.Random(4)
+    drawn = lambda items, k, glue: [glue.join(rnd.choice(items) for _ in range(k)) for _ in range(20)]
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan oikeuksiltaan heille on annettu järki omatunto".split()
+    russian = "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью".split()
+    planted = []
+    for k in (300, 1000, 3000):
+        planted += drawn(finnish, k // 8, " ") + drawn(russian, k // 8, " ") + drawn("人而自由在尊和利上一律平等他赋有理性良心", k, "")
+        planted += drawn("abcdefghijklmnopqrstuvwxyz ", k, "") + [rnd.randbytes(k // 2).hex() for _ in range(20)]
+    planted += [base64.b64encode(rnd.randbytes(k)).decode() for k in (200, 700) for _ in range(20)]
+    found = language.predict(spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string"), model)
+    assert found.where("NOT rejected").count() == 0
+    lettered = read("sf0.1").where(language.is_held_out() & F.col("text").rlike("[a-zA-Z]"))
+    assert language.predict(lettered, model).where("rejected").count() == 0
+
+
 def test_toxicity(docs, spark):
     grammar = toxicity.Grammar({"idiot": 2.0, "scum*": 1.0})
     assert grammar.document("you idiot") > grammar.document("an idiot") > grammar.document("not an idiot") > grammar.document("fine") == 0
