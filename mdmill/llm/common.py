@@ -62,3 +62,18 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     flagged = maybe_in(docs, bitmap, F.xxhash64(F.col(id_col)), "__maybe")
     rest = flagged.where("__maybe").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     return flagged.where(~F.col("__maybe")).unionByName(rest).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def one_row_each(docs: DataFrame, *also: Column, id_col: str = "doc_id") -> DataFrame:
+    """docs with one of the rows that have the same id and the same `also`; rows with a null id and all columns stay.
+
+    Only rows that a bitmap of repeated ids lets through are shuffled.
+    """
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1")
+    bitmap, _ = save(membership_bitmap(again, F.xxhash64(F.col(id_col))), "bitmap")
+    flagged = maybe_in(docs, bitmap, F.xxhash64(F.col(id_col)), "__maybe")
+    several = F.col("__maybe") & F.col(id_col).isNotNull()
+    keys = {f"__key{i}": c for i, c in enumerate(also)}
+    once = flagged.where(several).withColumns(keys).dropDuplicates([id_col, *keys])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return flagged.where(~several).select(*columns).unionByName(once.select(*columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.llm.common import drop_ids, maybe_in, membership_bitmap, text_of
+from mdmill.llm.common import drop_ids, maybe_in, membership_bitmap, one_row_each, text_of
 from mdmill.session import save, table
 
 #: Code points that the second level hashes.
@@ -78,10 +78,11 @@ def find_copies(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text a smaller id has; all columns stay.
 
-    Ids must identify texts. A row that repeats another row's id and text stays
-    once for each repeat; rows with a null id stay.
+    Ids must identify texts. Of rows that repeat an id and its text one stays;
+    rows with a null id stay.
     """
-    return drop_ids(docs, find_copies(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
+    kept = drop_ids(docs, find_copies(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
+    return one_row_each(kept, F.sha2(normalised(text_of(text_col)), 256), id_col=id_col)
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.llm.common import drop_ids, maybe_in, membership_bitmap, text_of
+from mdmill.llm.common import drop_ids, maybe_in, membership_bitmap, one_row_each, text_of
 from mdmill.llm.shingles import mix, sets_of_batch
 from mdmill.operators.components import connected_components
 from mdmill.session import save, table
@@ -98,7 +98,8 @@ def overlaps(texts: DataFrame, pairs: DataFrame, order, words: int) -> DataFrame
 
     A bitmap of the pairs' documents keeps other texts from being cut into
     shingles. Each document's fragments go to its pairs, and a pair's two sides
-    meet in one group of two rows for each fragment.
+    meet in one group of two rows for each fragment, so texts must hold an id
+    once.
     """
     pairs, path = save(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
     sides = pairs.select(F.explode(F.array("x", "y")).alias("doc"), "pair")
@@ -168,6 +169,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_of().alias("text"))
+    single = one_row_each(texts)
     order = spark.sparkContext.broadcast(ngram_order(texts, words))
     signed, _ = save(signatures(texts, order, words, percent), "signatures")
     set_key = ["n", "s1", "s2"]
@@ -199,7 +201,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
         .select("x", "y", "nx", "ny")
         .distinct()
     )
-    links = _links(texts, first, order, words, percent)
+    links = _links(single, first, order, words, percent)
     found = connected_components(links, "x", "y")
 
     at = shared.join(found, shared["doc"] == found["id"], "left").select(
@@ -230,7 +232,7 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
         .select("x", "y", "nx", "ny")
         .distinct()
     )
-    return members, links.unionByName(_links(texts, second, order, words, percent))
+    return members, links.unionByName(_links(single, second, order, words, percent))
 
 
 def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -250,8 +252,9 @@ def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near copies, the one with the smallest id; all columns stay."""
-    return drop_ids(docs, near_components(docs).where("doc_id <> component_id").select("doc_id"))
+    """docs with one document of each group of near copies, the one with the smallest id, and one of repeated rows; all columns stay."""
+    kept = drop_ids(docs, near_components(docs).where("doc_id <> component_id").select("doc_id"))
+    return one_row_each(kept, F.sha2(text_of(), 256))
 
 
 def op4_ngram_jaccard(spark, sf_dir):

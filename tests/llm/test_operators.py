@@ -140,6 +140,17 @@ def test_ngram_join_of_random_edits(spark):
     test_ngram_join(df, dict(rows), 4, 85)
 
 
+def test_ngram_join_of_repeated_rows(spark):
+    said = lambda start, k: " ".join(f"{start}{i}" for i in range(k))
+    shared = "one two three four"
+    rows = [(1, f"{shared} {said('a', 60)}"), (1, f"{shared} {said('a', 60)}"), (2, f"{shared} {said('b', 60)}"), (None, "x"), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = ngram_join.near_components(df, 4, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"]) == [(1, 1), (1, 1), (2, 2)] and len(found) == 5
+    for stage in (exact_dedup.drop_copies, ngram_join.keep_one_of_each):
+        assert sorted(str(r["doc_id"]) for r in stage(df).collect()) == ["1", "2", "None", "None"]
+
+
 def test_mixing(docs, plain, spark):
     assert mixing.mix(empty(docs)).count() == 0
     assert mixing.mix(docs).columns == docs.columns
