@@ -13,6 +13,8 @@ from mdmill.session import table
 
 #: Pre-tokens of a leaf.
 LEAF = 32
+#: Characters behind a pre-token that decide where it ends, white space aside: the longest are the letters of 'll.
+LOOK_AHEAD = 3
 
 
 class TokenTree:
@@ -58,8 +60,10 @@ class TokenTree:
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace text[start:stop]; only touched leaves and the context at their borders are encoded again.
 
-        Encoding starts at the leaf that holds the character before the edit:
-        what lies before it never looks that far ahead. It stops where, behind
+        Encoding starts at the leaf that holds the character LOOK_AHEAD before
+        the edit, or earlier where only white space lies between the leaf's
+        start and the edit: a run of white space is split by what follows it.
+        Pre-tokens before that see nothing of the edit. It stops where, behind
         the edit, a pre-token ends at an old leaf's border: from there on the
         text and so its pre-tokens are the old ones.
         """
@@ -67,7 +71,9 @@ class TokenTree:
         stop = max(start, min(stop, len(self.text)))
         grown = len(new) - (stop - start)
         self.text = self.text[:start] + new + self.text[stop:]
-        first, at = self._find(max(start - 1, 0)) if self.chars[1] else (self.width, 0)
+        first, at = self._find(max(start - LOOK_AHEAD, 0)) if self.chars[1] else (self.width, 0)
+        while at and self.text[at:start].isspace():
+            first, at = self._find(at - 1)
         leaf, border = first, at + self.chars[first]
         words, end, from_char = [], at, at
         for match in self.codec.find(self.text, at):

@@ -221,6 +221,19 @@ def test_token_counts(docs, plain):
     assert token_counts.count_with_edits(empty(docs), token_counts.sample_edits()).count() == 0
 
 
+@pytest.mark.parametrize("leaf", [1, 2])
+def test_token_counts_of_edits_at_every_place(monkeypatch, leaf):
+    monkeypatch.setattr(token_counts, "LEAF", leaf)
+    codec = bpe.Codec(bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY)), public_tokenizers.PATTERN)
+    for text in ("end.\n\nFoo bar", "a  b \n\n\t c   d", "we'lx it's' re 'v", "x \n" + " \n" * 9 + "y"):
+        for start in range(len(text) + 1):
+            for stop in range(start, min(start + 4, len(text)) + 1):
+                for new in ("", " ", " no", "\n", "l", "e", "z"):
+                    tree = token_counts.TokenTree(codec, text)
+                    tree.edit(start, stop, new)
+                    assert tree.count == len(codec.encode(tree.text)), (text, start, stop, new)
+
+
 def test_language(docs, spark):
     model = language.fit(docs, ~language.is_held_out())
     rows = by_id(language.predict(docs, model))
