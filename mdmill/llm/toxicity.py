@@ -36,7 +36,7 @@ NEGATIONS = frozenset("not never no nor isn aren wasn weren don doesn nicht kein
 REPORTS = frozenset("said says wrote writes quoted quote claims claimed called reported sagte schrieb zitierte dit écrit cite dijo escribió citó".split())
 
 _WORD = re.compile(r"[^\W\d_]+")
-_CLAUSE = re.compile(r"[.!?;:,\n|]+")
+_CLAUSE = re.compile(r"[.!?;:,\n|。！？；：，、．｜｡､]+")
 
 # The clause transducer: (state, class) -> (next state, factor of the word's weight).
 # States tell what the clause has shown so far; a negation holds for three words.
@@ -103,13 +103,14 @@ class Grammar:
     def document(self, text: str) -> float:
         """The sum over the clauses that hold a candidate; texts without one are not cut into words."""
         lower = text.lower()
-        total, done = 0.0, 0
+        total, start, done, after = 0.0, 0, -1, 0
+        borders = _CLAUSE.finditer(lower)
         for end, _ in self.scan.iter(lower):
             if end < done:
                 continue
-            start = max((m.end() for m in _CLAUSE.finditer(lower, max(done, end - 2000), end)), default=max(done, end - 2000))
-            stop = _CLAUSE.search(lower, end)
-            done = stop.start() if stop else len(lower)
+            while end >= done:
+                border = next(borders, None)
+                start, done, after = after, *(border.span() if border else (len(lower), len(lower)))
             total += self.clause(lower[start:done])
         return total
 

@@ -287,6 +287,13 @@ def test_toxicity_held_out(spark):
     assert hit / said > 0.95 and hit / toxic > 0.8
 
 
+def test_toxicity_of_long_clauses():
+    grammar = toxicity.Grammar({"idiot": 2.0})
+    assert grammar.document("you " + "word " * 900 + "kill") == grammar.document("you kill") > grammar.document("kill")
+    assert grammar.document("fine. you " + "word " * 900 + "idiot, idiot. fine") == grammar.document("you idiot, idiot")
+    assert grammar.document("you。kill") == grammar.document("you. kill") == grammar.document("kill")
+
+
 def test_pipeline_stages(docs, spark):
     rows = docs
     for name, stage in corpus_pipeline.STAGES:
