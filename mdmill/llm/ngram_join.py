@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import zlib
+from dataclasses import dataclass
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,12 +15,17 @@ from pyspark.sql import functions as F
 from mdmill.llm.common import drop_ids, maybe_in, membership_bitmap, one_row_each, text_of
 from mdmill.llm.shingles import mix, sets_of_batch
 from mdmill.operators.components import connected_components
-from mdmill.session import save, table
+from mdmill.session import drop, save, table
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
-#: The n-gram order is held as the rank of 2^BIN_BITS hash bins (4 MB), counted in chunks of 2^CHUNK_BITS.
-BIN_BITS, CHUNK_BITS = 20, 14
+#: The n-gram order is held as a level for each of 2^b hash bins; b grows with the texts, so that a bin
+#: holds about BIN_GRAMS n-grams, and is at least and at most so many bits (64 MB).
+BIN_GRAMS, BIN_BITS = 4, (16, 26)
+#: Bytes of text that make an n-gram, about; bins that are counted together; shares in which a chunk is summed first.
+GRAM_BYTES, CHUNK_BITS, SALTS = 6, 16, 16
+#: Chunks from which the borders of the levels are taken; bins are hashed, so any of them show the same counts.
+BORDER_CHUNKS = 16
 #: Fragments of the order; each counts its part of an overlap.
 FRAGMENTS = 8
 #: Width of the size classes that the last join keys on.
@@ -28,43 +37,114 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / F.lit(100 + percent) - 1e-9)
 
 
-def _bins(sets: np.ndarray) -> np.ndarray:
-    return (sets >> np.uint64(64 - BIN_BITS)).astype(np.int64)
+@dataclass
+class Order:
+    """The global n-gram order: by level of the n-gram's bin, then by hash; rare levels come first."""
 
+    bits: int
+    levels: np.ndarray
+    #: The share of all n-grams that stands before each level.
+    before: np.ndarray
 
-def ngram_order(texts: DataFrame, words: int) -> np.ndarray:
-    """The rank of each hash bin when bins are sorted by how many n-grams of all texts they hold.
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        return self.levels[(grams >> np.uint64(64 - self.bits)).astype(np.int64)]
 
-    The order of n-grams is (rank of the bin, hash): rare ones first. A task
-    sums its texts before it sends anything, 2^BIN_BITS numbers at most; the
-    result has that size whatever the input.
-    """
+    def fragment(self, grams: np.ndarray) -> np.ndarray:
+        """The number of the fragment, of FRAGMENTS about equal ones, in which an n-gram stands."""
+        level = self.level(grams).astype(np.int64)
+        share = self.before[level] + (self.before[level + 1] - self.before[level]) * (grams.astype(np.float64) / 2.0**64)
+        return np.minimum((share * FRAGMENTS).astype(np.int32), FRAGMENTS - 1)
+
+
+def _chunk_rows(chunks):
+    """Record batches of (chunk, bytes) pairs, a few at a time."""
+    chunks = iter(chunks)
+    while held := list(itertools.islice(chunks, 32)):
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in held], pa.int32()), pa.array([b for _, b in held], pa.binary())], names=["chunk", "counts"])
+
+
+def _summed(kind):
+    """A mapInArrow function that adds up the packed counts of each chunk in its partition."""
 
     def run(batches):
-        counts = np.zeros(1 << BIN_BITS, np.int64)
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                part = np.frombuffer(zlib.decompress(packed), kind)
+                if chunk in sums:
+                    sums[chunk] += part
+                else:
+                    sums[chunk] = part.astype(np.int64)
+        yield from _chunk_rows((c, zlib.compress(x.tobytes(), 1)) for c, x in sums.items())
+
+    return run
+
+
+def level_borders(counts: np.ndarray) -> np.ndarray:
+    """At most 255 rising counts that part the levels: quantiles, and finer steps among the largest."""
+    if not len(counts):
+        return np.zeros(0)
+    top = max(float(np.quantile(counts, 0.995)), 1.0)
+    tail = np.geomspace(top, max(float(counts.max()) * 4, top * 2), 54)
+    return np.unique(np.floor(np.concatenate([np.quantile(counts, np.linspace(0, 1, 201)), tail])))
+
+
+def ngram_order(texts: DataFrame, words: int) -> Order:
+    """The order of n-grams by how many n-grams of all texts fall into their bin.
+
+    A task counts its texts in one byte a bin before it sends anything, packed
+    in chunks of bins; chunks are summed in SALTS shares, then whole. The
+    driver gets a byte a bin, 2^BIN_BITS at most whatever the input. Beyond
+    that many bins the order gets coarser, which costs candidates, not links.
+    """
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(np.clip(round(math.log2(max(size / (GRAM_BYTES * BIN_GRAMS), 1))), *BIN_BITS))
+
+    def count(batches):
+        counts = np.zeros(1 << bits, np.uint8)
+
+        def add(sets):
+            held, n = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+            held = held.astype(np.int64)
+            counts[held] = np.minimum(counts[held] + n, 255)
+
         for batch in batches:
+            sets, n = [], 0
             for _, s in sets_of_batch(batch, 0, words):
-                np.add.at(counts, _bins(s), 1)
-        held = np.flatnonzero(counts)
-        for i in range(0, len(held), 100_000):
-            part = held[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part])], names=["bin", "n"])
-
-    def pack(pdf):
-        counts = np.zeros(1 << CHUNK_BITS, np.int64)
-        counts[pdf["bin"].to_numpy() & ((1 << CHUNK_BITS) - 1)] = pdf["n"].to_numpy()
-        return pd.DataFrame({"chunk": [int(pdf["bin"].iloc[0]) >> CHUNK_BITS], "counts": [counts.tobytes()]})
-
-    counts = np.zeros((1 << BIN_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.int64)
-    found = texts.select("text").mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
-    packed = found.groupBy(F.shiftright("bin", CHUNK_BITS).alias("of")).applyInPandas(pack, "chunk long, counts binary")
-    for row in packed.collect():
-        counts[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
-    counts = counts.ravel()
-    rank = np.empty(1 << BIN_BITS, np.int32)
-    rank[np.argsort(counts, kind="stable")] = np.arange(1 << BIN_BITS, dtype=np.int32)
-    heavy = np.cumsum(counts[np.argsort(counts, kind="stable")])
-    return np.stack([rank, np.searchsorted(heavy, np.arange(1, FRAGMENTS) * heavy[-1] / FRAGMENTS).searchsorted(rank).astype(np.int32)])
+                sets.append(s)
+                n += len(s)
+                if n >= 1 << 18:
+                    add(sets)
+                    sets, n = [], 0
+            if sets:
+                add(sets)
+        chunks = enumerate(counts.reshape(-1, 1 << CHUNK_BITS))
+        yield from _chunk_rows((c, zlib.compress(x.tobytes(), 1)) for c, x in chunks if x.any())
+
+    schema = "chunk int, counts binary"
+    counted = texts.select("text").mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    shares = counted.repartition("chunk", "salt").select("chunk", "counts").mapInArrow(_summed(np.uint8), schema)
+    sums, path = save(shares.repartition("chunk").mapInArrow(_summed(np.int64), schema), "counts")
+    some = [np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in sums.where(F.col("chunk") < BORDER_CHUNKS).collect()]
+    borders = level_borders(np.concatenate(some) if some else np.zeros(0))
+
+    def place(batches):
+        for batch in batches:
+            for chunk, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                counts = np.frombuffer(zlib.decompress(packed), np.int64)
+                level = np.searchsorted(borders, counts, side="left").astype(np.uint8)
+                mass = np.bincount(level, weights=counts, minlength=256)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary()), pa.array([mass.tobytes()], pa.binary())],
+                    names=["chunk", "levels", "mass"],
+                )
+
+    levels, mass = np.zeros((1 << bits - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8), np.zeros(256)
+    for row in sums.mapInArrow(place, "chunk int, levels binary, mass binary").toLocalIterator():
+        levels[row["chunk"]] = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
+        mass += np.frombuffer(row["mass"], np.float64)
+    drop(texts.sparkSession, path)
+    return Order(bits, levels.ravel(), np.concatenate([[0.0], np.cumsum(mass)]) / max(mass.sum(), 1.0))
 
 
 def signatures(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
@@ -74,12 +154,12 @@ def signatures(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
     """
 
     def run(batches):
-        rank = order.value[0]
+        order_of = order.value
         for batch in batches:
             n, s1, s2, prefix = [], [], [], []
             for _, s in sets_of_batch(batch, 1, words):
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                first = s[np.lexsort((s, rank[_bins(s)]))[:keep]]
+                first = s[np.argsort(order_of.level(s), kind="stable")[:keep]]
                 n.append(len(s))
                 s1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 s2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
@@ -94,25 +174,24 @@ def signatures(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
 
 
 def overlaps(texts: DataFrame, pairs: DataFrame, order, words: int) -> DataFrame:
-    """pairs (x, y, ...) with `overlap`: each fragment of the order counts its part, the parts are summed.
+    """pairs (pair, x, y, ...) with `overlap`: each fragment of the order counts its part, the parts are summed.
 
     A bitmap of the pairs' documents keeps other texts from being cut into
     shingles. Each document's fragments go to its pairs, and a pair's two sides
     meet in one group of two rows for each fragment, so texts must hold an id
     once.
     """
-    pairs, path = save(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
     sides = pairs.select(F.explode(F.array("x", "y")).alias("doc"), "pair")
     wanted = sides.select("doc").distinct()
     bitmap, _ = save(membership_bitmap(wanted, F.xxhash64("doc")), "bitmap")
     near = maybe_in(texts, bitmap, F.xxhash64("doc_id"), "maybe").where("maybe").select("doc_id", "text")
 
     def run(batches):
-        fragment = order.value[1]
+        order_of = order.value
         for batch in batches:
             ids = batch.column(0)
             for row, s in sets_of_batch(batch, 1, words):
-                of = fragment[_bins(s)]
+                of = order_of.fragment(s)
                 held = np.unique(of)
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array([row] * len(held))), pa.array(held, pa.int32()), pa.array([s[of == f].view(np.int64) for f in held], pa.list_(pa.int64()))],
@@ -130,14 +209,16 @@ def overlaps(texts: DataFrame, pairs: DataFrame, order, words: int) -> DataFrame
         .groupBy("pair")
         .agg(F.sum("part").alias("overlap"))
     )
-    return pairs.join(meet, "pair").drop("pair")
+    return pairs.join(meet, "pair")
 
 
 def _links(texts, pairs, order, words, percent):
     """The pairs that reach the similarity."""
+    pairs, path = save(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
     whole = overlaps(texts, pairs, order, words)
     alike = F.col("overlap") * 100 >= (F.col("nx") + F.col("ny") - F.col("overlap")) * percent
     links, _ = save(whole.where(alike).select("x", "y", "overlap", "nx", "ny"), "links")
+    drop(pairs.sparkSession, path)
     return links
 
 
@@ -171,21 +252,30 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     texts = docs.select("doc_id", text_of().alias("text"))
     single = one_row_each(texts)
     order = spark.sparkContext.broadcast(ngram_order(texts, words))
-    signed, _ = save(signatures(texts, order, words, percent), "signatures")
+    signed, signed_path = save(signatures(texts, order, words, percent), "signatures")
     set_key = ["n", "s1", "s2"]
-    classes, _ = save(
+    several, several_path = save(
         signed.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy(*set_key)
-        .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.first("prefix").alias("prefix")),
-        "classes",
+        .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
+        .where("size > 1")
+        .drop("size"),
+        "several",
     )
-    several = classes.where("size > 1").select(*set_key, "class_id")
-    members = signed.select("doc_id", *set_key).join(several, set_key, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
+    members, _ = save(
+        signed.select("doc_id", *set_key)
+        .join(several, set_key, "left")
+        .select(
+            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")
+        ),
+        "members",
     )
-    grams = classes.select(F.col("class_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "gram")).repartition("gram")
-    leaders = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min(F.struct("pos", "doc", "n")).alias("lead")).where("df > 1")
-    shared, _ = save(grams.join(leaders, "gram").select("gram", "doc", "n", "pos", "lead"), "shared")
+    # One row of each class; of rows that repeat an id all stay, which costs nothing but a pair with itself.
+    classes = drop_ids(signed.where("n > 0 AND doc_id IS NOT NULL"), members.where("doc_id <> class_id").select("doc_id"))
+    grams = classes.select(F.col("doc_id").alias("doc"), F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram")).repartition("gram")
+    leaders = grams.groupBy("gram").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("pos", "doc", "n")).alias("lead")).where("lo <> hi")
+    shared, shared_path = save(grams.join(leaders.drop("lo", "hi"), "gram").select("gram", "doc", "n", "pos", "lead"), "shared")
+    drop(spark, signed_path, several_path)
 
     first = (
         shared.where("doc <> lead.doc")
@@ -207,32 +297,35 @@ def jaccard_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     at = shared.join(found, shared["doc"] == found["id"], "left").select(
         "gram", "doc", "n", "pos", F.coalesce("component", "doc").alias("component")
     )
-    at, _ = save(at, "entries")
+    at = at.repartition("gram")
     mixed = at.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     step = float(np.log(CLASS_STEP))
     size_class = lambda n: F.floor(F.log(n.cast("double")) / step).cast("int")
-    partner = F.col("partner")
-    smallest = F.greatest(F.ceil(F.exp(partner * step) - 1e-6), F.ceil(F.col("n") * percent / 100.0 - 1e-9))
-    keyed = (
-        at.join(mixed, "gram", "left_semi")
-        .withColumn("own", size_class(F.col("n")))
-        .withColumn(
-            "partner",
-            F.explode(F.sequence(size_class(F.ceil(F.col("n") * percent / 100.0 - 1e-9)), size_class(F.floor(F.col("n") * 100.0 / percent + 1e-9)))),
-        )
-        .where(F.col("pos") <= F.col("n") - least_overlap(F.col("n"), smallest, percent))
-        .select("gram", "doc", "n", "pos", "component", F.least("own", "partner").alias("c1"), F.greatest("own", "partner").alias("c2"))
+    open_entries, open_path = save(at.join(mixed, "gram", "left_semi").withColumn("own", size_class(F.col("n"))), "entries")
+    drop(spark, shared_path)
+    largest = F.floor(F.col("n") * 100.0 / percent + 1e-9)
+    least_partner = F.greatest(F.col("n"), F.ceil(F.exp(F.col("class") * step) - 1e-6))
+    # The smaller set of a pair goes to the classes that the larger one may have, as far as its prefix allows.
+    smaller = (
+        open_entries.withColumn("class", F.explode(F.sequence("own", size_class(largest))))
+        .where(F.col("pos") <= F.col("n") - least_overlap(F.col("n"), least_partner, percent))
+        .select("gram", "class", F.col("doc").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("kx"))
+    )
+    larger = open_entries.select(
+        "gram", F.col("own").alias("class"), F.col("doc").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("ky")
     )
-    a = keyed.select("gram", "c1", "c2", *(F.col(c).alias(d) for c, d in (("doc", "x"), ("n", "nx"), ("pos", "px"), ("component", "kx"))))
-    b = keyed.select("gram", "c1", "c2", *(F.col(c).alias(d) for c, d in (("doc", "y"), ("n", "ny"), ("pos", "py"), ("component", "ky"))))
+    in_order = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     second = (
-        a.join(b, ["gram", "c1", "c2"])
-        .where((F.col("x") < F.col("y")) & (F.col("kx") != F.col("ky")) & _possible(percent))
-        .where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+        smaller.join(larger, ["gram", "class"])
+        .where(in_order & (F.col("kx") != F.col("ky")) & _possible(percent))
+        .where(F.col("nx") * 100 >= F.col("ny") * percent)
         .select("x", "y", "nx", "ny")
         .distinct()
     )
-    return members, links.unionByName(_links(single, second, order, words, percent))
+    more = _links(single, second, order, words, percent)
+    drop(spark, open_path)
+    order.destroy()
+    return members, links.unionByName(more)
 
 
 def near_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
