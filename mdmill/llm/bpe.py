@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import itertools
 import struct
@@ -14,14 +15,16 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.llm.common import text_of
+from mdmill.llm.common import in_arrow, text_of
 from mdmill.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens of one text that are held at a time.
 BLOCK = 1 << 16
-#: Distinct pre-tokens that a task remembers before it starts afresh.
-REMEMBERED = 1 << 19
+#: Bytes that the remembered pre-tokens and their ids may take, about; then a codec starts afresh.
+REMEMBERED = 48 << 20
+#: Bytes that an entry takes besides its characters.
+ENTRY_BYTES = 250
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -83,6 +86,7 @@ class Codec:
         self.table = dict(enumerate(byte_letters()))
         self.text = [str(i) for i in range(len(pieces))]
         self.seen: dict[str, str] = {}
+        self.held = 0
 
     def pre_tokens(self, text: str):
         """Blocks of at most BLOCK pre-tokens."""
@@ -95,12 +99,14 @@ class Codec:
         new = list(set(block).difference(self.seen))
         if not new:
             return
-        if len(self.seen) + len(new) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.seen.clear()
+            self.held = 0
             new = list(set(block))
         mapped = [w.encode("utf-8", "replace").decode("latin-1").translate(self.table) for w in new]
         for word, ids in zip(new, self.model.encode(mapped, num_threads=1)):
             self.seen[word] = " ".join([self.text[i] for i in ids])
+            self.held += ENTRY_BYTES + len(word) + len(self.seen[word])
 
     def encode_blocks(self, text: str):
         """The ids of each block as decimal numbers joined by spaces."""
@@ -115,11 +121,21 @@ class Codec:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
+@functools.lru_cache(maxsize=1)
+def _codec(pieces: tuple[bytes, ...], pattern: str) -> Codec:
+    return Codec(list(pieces), pattern)
+
+
+def worker_codec(pieces: list[bytes], pattern: str) -> Codec:
+    """The one codec of a worker process: tasks that follow one another share it and what it remembers."""
+    return _codec(tuple(pieces), pattern)
+
+
 def _over_texts(vocabulary, pattern, each, schema):
     """A mapInArrow function over (doc_id, text) that calls each(codec, text) for every row."""
 
     def run(batches):
-        codec = Codec(vocabulary.value, pattern)
+        codec = worker_codec(vocabulary.value, pattern)
         for batch in batches:
             rows = [each(codec, t or "") for t in (x.as_py() for x in batch.column(1))]
             columns = list(zip(*rows)) if rows else [[] for _ in schema]
@@ -162,7 +178,7 @@ def encode(
     run = _over_texts(_pieces(docs, path or public_tokenizers.path(VOCABULARY)), pattern, each, [pa.list_(pa.int32())])
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, c0 array<int>").withColumnRenamed("c0", "ids")
+    return in_arrow(rows, run, f"doc_id {kind}, c0 array<int>").withColumnRenamed("c0", "ids")
 
 
 def decode(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
@@ -179,7 +195,7 @@ def decode(ids: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     rows = ids.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return in_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -188,7 +204,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str = public_t
     run = _over_texts(vocabulary, pattern, _digest, [pa.int64(), pa.string(), pa.string()])
     rows = docs.select("doc_id", text_of().alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, c0 long, c1 string, c2 string").toDF(
+    return in_arrow(rows, run, f"doc_id {kind}, c0 long, c1 string, c2 string").toDF(
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256"
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,30 @@ from mdmill.session import save
 BITMAP_BITS = 1 << 24
 
 
+#: Bytes of text that reach a Python worker at a time; a session's own lower bound stands.
+BATCH_BYTES, BATCH_BYTES_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of at most BATCH_BYTES (or one row).
+
+    Texts differ in length by orders of magnitude, so a bound on rows does not
+    bound memory. The bound is a setting of the session, which stays. At the
+    end of a task the worker hands Arrow's free memory back.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_BYTES_KEY).rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def text_of(column: str = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.llm.common import drop_ids, text_of
+from mdmill.llm.common import drop_ids, in_arrow, text_of
 from mdmill.session import table
 
 #: Hashed dimensions of the byte 3-gram vectors, and centroids per language.
@@ -22,7 +22,7 @@ LEAST_CLUSTER = 0.02
 #: cosines in any language, so the bar falls with the power 1.5 of the logarithm of the length.
 REJECT_SHARE, REJECT_BITS = 0.6, 13
 #: Bytes and documents that are turned into vectors together.
-BLOCK_BYTES, BLOCK_ROWS = 1 << 21, 128
+BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 128
 
 #: ASCII letters in lower case, bytes of other scripts as they are, all else a space.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -80,7 +80,7 @@ def document_frequencies(rows: DataFrame) -> DataFrame:
                 found[-1] += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMENSIONS + 1), pa.int32()), pa.array(found)], names=["slot", "n"])
 
-    counts = rows.select("text").mapInArrow(run, "slot int, n long")
+    counts = in_arrow(rows.select("text"), run, "slot int, n long")
     return counts.groupBy("slot").agg(F.sum("n").alias("n"))
 
 
@@ -135,8 +135,7 @@ def fit(docs: DataFrame, train: Column | None = None):
         return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": list(centroids), "least": least})
 
     found = (
-        drawn.select("lang", "text")
-        .mapInArrow(to_vectors, "lang string, v array<float>")
+        in_arrow(drawn.select("lang", "text"), to_vectors, "lang string, v array<float>")
         .groupBy("lang")
         .applyInPandas(cluster, "lang string, centroid array<float>, least double")
         .orderBy("lang", "least")
@@ -187,7 +186,7 @@ def predict(docs: DataFrame, model) -> DataFrame:
             "doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), (~F.col("lettered")).alias("rejected")
         )
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"doc_id {kind}, lettered boolean, lang_pred string, score double, rejected boolean")
+    found = in_arrow(rows, run, f"doc_id {kind}, lettered boolean, lang_pred string, score double, rejected boolean")
     return found.select(
         "doc_id",
         F.when(F.col("lettered"), F.col("lang_pred")).otherwise("und").alias("lang_pred"),

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.llm.common import drop_ids, maybe_in, membership_bitmap, one_row_each, text_of
+from mdmill.llm.common import drop_ids, in_arrow, maybe_in, membership_bitmap, one_row_each, text_of
 from mdmill.llm.shingles import mix, sets_of_batch
 from mdmill.operators.components import connected_components
 from mdmill.session import drop, save, table
@@ -21,7 +21,7 @@ from mdmill.session import drop, save, table
 WORDS, PERCENT = 5, 80
 #: The n-gram order is held as a level for each of 2^b hash bins; b grows with the texts, so that a bin
 #: holds about BIN_GRAMS n-grams, and is at least and at most so many bits (64 MB).
-BIN_GRAMS, BIN_BITS = 4, (16, 26)
+BIN_GRAMS, BIN_BITS = 8, (16, 26)
 #: Bytes of text that make an n-gram, about; bins that are counted together; shares in which a chunk is summed first.
 GRAM_BYTES, CHUNK_BITS, SALTS = 6, 16, 16
 #: Chunks from which the borders of the levels are taken; bins are hashed, so any of them show the same counts.
@@ -122,9 +122,9 @@ def ngram_order(texts: DataFrame, words: int) -> Order:
         yield from _chunk_rows((c, zlib.compress(x.tobytes(), 1)) for c, x in chunks if x.any())
 
     schema = "chunk int, counts binary"
-    counted = texts.select("text").mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    shares = counted.repartition("chunk", "salt").select("chunk", "counts").mapInArrow(_summed(np.uint8), schema)
-    sums, path = save(shares.repartition("chunk").mapInArrow(_summed(np.int64), schema), "counts")
+    counted = in_arrow(texts.select("text"), count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    shares = in_arrow(counted.repartition("chunk", "salt").select("chunk", "counts"), _summed(np.uint8), schema)
+    sums, path = save(in_arrow(shares.repartition("chunk"), _summed(np.int64), schema), "counts")
     some = [np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in sums.where(F.col("chunk") < BORDER_CHUNKS).collect()]
     borders = level_borders(np.concatenate(some) if some else np.zeros(0))
 
@@ -140,7 +140,7 @@ def ngram_order(texts: DataFrame, words: int) -> Order:
                 )
 
     levels, mass = np.zeros((1 << bits - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8), np.zeros(256)
-    for row in sums.mapInArrow(place, "chunk int, levels binary, mass binary").toLocalIterator():
+    for row in in_arrow(sums, place, "chunk int, levels binary, mass binary").toLocalIterator():
         levels[row["chunk"]] = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
         mass += np.frombuffer(row["mass"], np.float64)
     drop(texts.sparkSession, path)
@@ -170,7 +170,7 @@ def signatures(texts: DataFrame, order, words: int, percent: int) -> DataFrame:
             )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, prefix array<long>")
+    return in_arrow(texts, run, f"doc_id {kind}, n long, s1 long, s2 long, prefix array<long>")
 
 
 def overlaps(texts: DataFrame, pairs: DataFrame, order, words: int) -> DataFrame:
@@ -199,7 +199,7 @@ def overlaps(texts: DataFrame, pairs: DataFrame, order, words: int) -> DataFrame
                 )
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    parts = near.mapInArrow(run, f"doc {kind}, fragment int, grams array<long>")
+    parts = in_arrow(near, run, f"doc {kind}, fragment int, grams array<long>")
     meet = (
         parts.join(sides, "doc")
         .groupBy("pair", "fragment")

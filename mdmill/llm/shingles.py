@@ -10,7 +10,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LETTER = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: Bytes of text that are hashed together.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:

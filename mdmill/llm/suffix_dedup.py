@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.llm.common import maybe_in, membership_bitmap, text_of
+from mdmill.llm.common import in_arrow, maybe_in, membership_bitmap, text_of
 from mdmill.llm.shingles import mix
 from mdmill.session import save, table
 
@@ -24,7 +24,7 @@ ANCHOR_BITS = 1 << 27
 #: so there are fewer than HOT_SHARE hot ones, and they may be broadcast.
 HOT_PLACES, HOT_SHARE = 20_000, 100_000
 #: Bytes that are hashed together, and bytes of snippets that one index holds (or one anchor's).
-BLOCK_BYTES, INDEX_BYTES = 1 << 21, 1 << 20
+BLOCK_BYTES, INDEX_BYTES = 1 << 20, 1 << 20
 #: Places that are worked on together, so that their numbers stay in a core's cache.
 STRIDE = 1 << 14
 
@@ -141,7 +141,7 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
                 held, n = np.unique(keys, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(n.astype(np.int32))], names=["anchor", "n"])
 
-    counts = texts.mapInArrow(count_anchors, "anchor long, n int")
+    counts = in_arrow(texts, count_anchors, "anchor long, n int")
     return counts.groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
@@ -204,7 +204,7 @@ def places(texts: DataFrame, bits, hot, with_text) -> DataFrame:
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     schema = f"anchor long, snippet long, doc {kind}, start long, size int"
-    return texts.mapInArrow(find_places, schema + (", bytes binary" if with_text else ""))
+    return in_arrow(texts, find_places, schema + (", bytes binary" if with_text else ""))
 
 
 def _hot_windows(ids, hashed, rows, start, end, shift):
@@ -356,9 +356,8 @@ def snippet_repeats(snippets: DataFrame) -> DataFrame:
             yield told(index(group))
 
     rows = snippets.select("anchor", "snippet", "doc", "start", "bytes")
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(
-        index_snippets, f"doc {kind}, start long, size long"
-    )
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
+    return in_arrow(dealt, index_snippets, f"doc {kind}, start long, size long")
 
 
 def repeated_stretches(docs: DataFrame) -> DataFrame:
@@ -391,7 +390,7 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
             a, s = (np.asarray(batch.column(i)).view(np.uint64) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(mix(a ^ mix(s)).view(np.int64))], names=["key"])
 
-    wanted_bits = spark.sparkContext.broadcast(_bitmap_bytes(wanted.mapInArrow(key_of, "key long"), "key"))
+    wanted_bits = spark.sparkContext.broadcast(_bitmap_bytes(in_arrow(wanted, key_of, "key long"), "key"))
     return copies.unionByName(snippet_repeats(places(docs, bits, hot, wanted_bits)))
 
 
@@ -442,12 +441,8 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
             )
 
     grouped = stretches.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("stretches"))
-    changed = (
-        flagged.where("hit")
-        .join(grouped, F.col("doc_id") == F.col("doc"), "left")
-        .select("doc_id", "text", "stretches")
-        .mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    )
+    repeating = flagged.where("hit").join(grouped, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "stretches")
+    changed = in_arrow(repeating, cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     zero = F.lit(0).cast("long")
     whole = flagged.where("NOT hit").select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"),

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.llm.bpe import VOCABULARY, Codec, read_ranks
-from mdmill.llm.common import text_of
+from mdmill.llm.bpe import VOCABULARY, Codec, read_ranks, worker_codec
+from mdmill.llm.common import in_arrow, text_of
 from mdmill.session import table
 
 #: Pre-tokens of a leaf.
@@ -112,7 +112,7 @@ def count_with_edits(docs: DataFrame, edits: Column, path: str | None = None, pa
     vocabulary = docs.sparkSession.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     def run(batches):
-        codec = Codec(vocabulary.value, pattern)
+        codec = worker_codec(vocabulary.value, pattern)
         for batch in batches:
             rows = []
             for text, changes in zip(batch.column(1), batch.column(2)):
@@ -129,8 +129,8 @@ def count_with_edits(docs: DataFrame, edits: Column, path: str | None = None, pa
 
     rows = docs.select("doc_id", text_of().alias("text"), edits.alias("edits"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        run, f"doc_id {kind}, n_chars long, n_tokens long, edited_chars long, edited_tokens long, encoded_again long"
+    return in_arrow(
+        rows, run, f"doc_id {kind}, n_chars long, n_tokens long, edited_chars long, edited_tokens long, encoded_again long"
     )
 
 

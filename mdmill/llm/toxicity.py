@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.llm.common import text_of
+from mdmill.llm.common import in_arrow, text_of
 from mdmill.llm.language import is_held_out
 from mdmill.session import save, table
 
@@ -200,7 +200,7 @@ def raw_scores(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
             raw = [grammar.document(t.as_py() or "") for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.float64())], names=["doc_id", "raw"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, raw double")
+    return in_arrow(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, raw double")
 
 
 def score(docs: DataFrame, model) -> DataFrame:
