@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from dataclasses import dataclass
 from itertools import chain
 
 import ahocorasick
@@ -21,12 +23,13 @@ from mdmill.session import save, table
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
 #: Lengths of the word beginnings that may enter the lexicon, besides whole words.
 STEMS = (4, 5, 6, 7)
-#: Share of a feature's documents that must be toxic, and how many documents: some, and a share of the toxic ones.
-PRECISION, LEAST_DOCS, LEAST_SHARE = 0.97, 3, 0.01
+#: Share of a feature's documents that must be toxic, on the fold that chose it and on the other one, were both
+#: kinds alike in number; and in how many toxic documents of a fold it stands: some, and a share of them.
+PRECISION, CHECKED_PRECISION, LEAST_DOCS, LEAST_SHARE = 0.97, 0.93, 2, 0.01
+#: A weak feature is one that must stand so often in so many words to tell a toxic document.
+TIMES, PER_WORDS = (1, 2, 3), 500
 #: A stem gives way to a longer feature that is found in nearly as many toxic documents.
 SAME_DOCS = 0.95
-#: Features of the lexicon at most; the most frequent ones stay.
-LEXICON_SIZE = 5000
 THRESHOLD = 0.7
 
 # Fixed word lists of the grammar.
@@ -38,25 +41,59 @@ REPORTS = frozenset("said says wrote writes quoted quote claims claimed called r
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:,\n|。！？；：，、．｜｡､]+")
 
-# The clause transducer: (state, class) -> (next state, factor of the word's weight).
-# States tell what the clause has shown so far; a negation holds for three words.
-PLAIN, AIMED, REPORTED = 0, 1, 2
-ARCS = {
-    (PLAIN, "target"): (AIMED, 0.0),
-    (PLAIN, "report"): (REPORTED, 0.0),
-    (PLAIN, "insult"): (PLAIN, 1.0),
-    (PLAIN, "threat"): (PLAIN, 0.2),
-    (AIMED, "target"): (AIMED, 0.0),
-    (AIMED, "report"): (REPORTED, 0.0),
-    (AIMED, "insult"): (AIMED, 1.25),
-    (AIMED, "threat"): (AIMED, 1.0),
-    (REPORTED, "target"): (REPORTED, 0.0),
-    (REPORTED, "report"): (REPORTED, 0.0),
-    (REPORTED, "insult"): (REPORTED, 0.7),
-    (REPORTED, "threat"): (REPORTED, 0.3),
-}
-NEGATED, NEGATION_REACH = 0.5, 3
-THREAT_WEIGHT = 3.0
+#: Weight of a threat word, and for how many words a negation holds.
+THREAT_WEIGHT, NEGATION_REACH = 3.0, 3
+CLASSES = ("insult", "threat", "target", "report", "negation", "other")
+
+
+@dataclass
+class Transducer:
+    """A weighted machine over word classes: (state, class) -> (state, class, factor); what has no arc passes as it is."""
+
+    start: object
+    arcs: dict
+
+    def step(self, state, symbol: str):
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
+
+    def compose(self, other: Transducer) -> Transducer:
+        """The machine that hands its classes on to the other; factors multiply."""
+        start, arcs = (self.start, other.start), {}
+        found, open_ = {start}, [start]
+        while open_:
+            state = open_.pop()
+            for symbol in CLASSES:
+                mine, said, a = self.step(state[0], symbol)
+                theirs, out, b = other.step(state[1], said)
+                arcs[state, symbol] = ((mine, theirs), out, a * b)
+                if (mine, theirs) not in found:
+                    found.add((mine, theirs))
+                    open_.append((mine, theirs))
+        return Transducer(start, arcs)
+
+
+def negation_machine(factor: float = 0.5) -> Transducer:
+    """Insults and threats weigh less within NEGATION_REACH words behind a negation; the state counts them down."""
+    arcs = {}
+    for left in range(NEGATION_REACH + 1):
+        for symbol in CLASSES:
+            arcs[left, symbol] = (max(left - 1, 0), symbol, factor if left and symbol in ("insult", "threat") else 1.0)
+        arcs[left, "negation"] = (NEGATION_REACH, "negation", 1.0)
+    return Transducer(0, arcs)
+
+
+def target_machine(insult: float = 1.25, threat: float = 0.2) -> Transducer:
+    """Behind a target insults weigh more; a threat word without one hardly counts."""
+    return Transducer(
+        "plain", {("plain", "target"): ("aimed", "target", 1.0), ("plain", "threat"): ("plain", "threat", threat), ("aimed", "insult"): ("aimed", "insult", insult)}
+    )
+
+
+def report_machine(factor: float = 0.56) -> Transducer:
+    """What a clause reports of others weighs less."""
+    return Transducer(
+        "own", {("own", "report"): ("told", "report", 1.0), ("told", "insult"): ("told", "insult", factor), ("told", "threat"): ("told", "threat", factor)}
+    )
 
 
 def features(words: set[str]) -> set[str]:
@@ -65,45 +102,45 @@ def features(words: set[str]) -> set[str]:
 
 
 class Grammar:
-    """The lexicon transducers (word -> class, weight) composed with the clause transducer."""
+    """The lexicon (word -> class, weight) composed with the machines for negation, targets and reported speech.
 
-    def __init__(self, lexicon: dict[str, float]):
+    lexicon: {feature: (weight, times)}. Strong features (times 1) count as
+    often as they stand, weak ones by how dense they are in the text.
+    """
+
+    def __init__(self, lexicon: dict[str, tuple[float, int]]):
         self.words = {w: x for w, x in lexicon.items() if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in lexicon.items() if w.endswith("*")}
+        self.machine = negation_machine().compose(target_machine()).compose(report_machine())
         self.scan = ahocorasick.Automaton()
         for w in chain(self.words, self.stems, THREATS):
             self.scan.add_word(w, w)
         self.scan.make_automaton()
 
-    def insult(self, word: str) -> float:
-        found = [self.words.get(word, 0.0)]
-        found += [self.stems.get(word[:k], 0.0) for k in STEMS if len(word) > k]
-        return max(found)
-
-    def clause(self, text: str) -> float:
-        state, total, negated = PLAIN, 0.0, 0
+    def read(self, word: str) -> tuple[str, float, int]:
+        """The class of a word, its weight and how often it must stand."""
+        if word in NEGATIONS:
+            return "negation", 0.0, 1
+        found = [self.words[word]] if word in self.words else []
+        found += [self.stems[word[:k]] for k in STEMS if len(word) > k and word[:k] in self.stems]
+        if found:
+            return "insult", *max(found, key=lambda x: x[0] / x[1])
+        kind = "threat" if word in THREATS else "target" if word in TARGETS else "report" if word in REPORTS else "other"
+        return kind, THREAT_WEIGHT if kind == "threat" else 0.0, 1
+
+    def clause(self, text: str) -> tuple[float, float]:
+        """What the strong and the weak words of a clause weigh."""
+        state, sums = self.machine.start, [0.0, 0.0]
         for word in _WORD.findall(text):
-            negated -= 1
-            if word in NEGATIONS:
-                negated = NEGATION_REACH + 1
-                continue
-            weight = self.insult(word)
-            kind = (
-                "insult" if weight
-                else "threat" if word in THREATS
-                else "target" if word in TARGETS
-                else "report" if word in REPORTS
-                else None
-            )
-            if kind:
-                state, factor = ARCS[state, kind]
-                total += factor * (weight or THREAT_WEIGHT) * (NEGATED if negated > 0 else 1.0)
-        return total
+            kind, weight, times = self.read(word)
+            state, _, factor = self.machine.step(state, kind)
+            sums[times > 1] += factor * weight / times
+        return sums[0], sums[1]
 
     def document(self, text: str) -> float:
         """The sum over the clauses that hold a candidate; texts without one are not cut into words."""
         lower = text.lower()
-        total, start, done, after = 0.0, 0, -1, 0
+        strong, weak, start, done, after = 0.0, 0.0, 0, -1, 0
         borders = _CLAUSE.finditer(lower)
         for end, _ in self.scan.iter(lower):
             if end < done:
@@ -111,8 +148,14 @@ class Grammar:
             while end >= done:
                 border = next(borders, None)
                 start, done, after = after, *(border.span() if border else (len(lower), len(lower)))
-            total += self.clause(lower[start:done])
-        return total
+            a, b = self.clause(lower[start:done])
+            strong, weak = strong + a, weak + b
+        return strong + weak / stretch(lower)
+
+
+def stretch(lower: str) -> float:
+    """Over how many times PER_WORDS words (cut at blanks) a text goes; 1 at least."""
+    return max(1.0, (lower.count(" ") + 1) / PER_WORDS)
 
 
 def _drawn(labels: DataFrame, toxic: int, rows: int) -> DataFrame:
@@ -128,7 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame):
     Labels count only where the document is not held out. A bounded draw of
     labelled rows is used (FIT_TOXIC and FIT_CLEAN, by a hash of the id); the
     ids are broadcast, 12,000 or so at most. Of texts that share their least
-    word hash, as copies do, one counts.
+    word hash, as copies do, one counts. A feature is taken with the least of
+    TIMES at which it tells toxic documents on either of two folds and still
+    does on the other; so chance finds drop out. Rows with a null id or label
+    are not learned from, null texts count as empty.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~is_held_out())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -140,27 +186,43 @@ def fit(docs: DataFrame, labels: DataFrame):
         for pdf in frames:
             toxic, key, rows = [], [], []
             for label, text in zip(pdf["toxic"], pdf["text"]):
-                words = _WORD.findall(text.lower())
+                lower = text.lower()
+                words = _WORD.findall(lower)
                 grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+                held = Counter(f for w in words for f in features({w}))
+                times = [max(1, min(TIMES[-1], int(n / stretch(lower)))) for n in held.values()]
                 toxic.append(label)
                 key.append(int(pd.util.hash_array(np.array(grams, object)).astype(np.int64).min()))
-                rows.append(sorted(features(set(words))))
+                rows.append([{"feature": f, "times": k} for f, k in zip(held, times)])
             yield pd.DataFrame({"toxic": toxic, "key": key, "features": rows})
 
-    rows = texts.mapInPandas(to_features, "toxic int, key long, features array<string>")
-    rows, _ = save(rows.dropDuplicates(["toxic", "key"]), "features")
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if not n.get(1):
+    rows = texts.mapInPandas(to_features, "toxic int, key long, features array<struct<feature string, times int>>")
+    rows = rows.dropDuplicates(["toxic", "key"]).withColumn("fold", F.pmod(F.xxhash64("key"), F.lit(2)))
+    rows, _ = save(rows, "features")
+    n = {(r["toxic"], r["fold"]): r["count"] for r in rows.groupBy("toxic", "fold").count().collect()}
+    if not all(n.get((1, fold)) for fold in (0, 1)):
         return {}, math.inf
-    least = LEAST_DOCS + int(LEAST_SHARE * n[1])
-    lift = n.get(0, 0) / n[1] or 1.0
+    flat = rows.select("toxic", "fold", F.inline("features"))
+    told = lambda toxic, fold, k: F.count_if((F.col("toxic") == toxic) & (F.col("fold") == fold) & (F.col("times") >= k))
+    sums = flat.groupBy("feature").agg(
+        *(told(toxic, fold, k).alias(f"{name}{fold}{k}") for toxic, name in ((1, "t"), (0, "c")) for fold in (0, 1) for k in TIMES)
+    )
+    lift = [max(n.get((0, fold), 0) / n[1, fold], 1e-9) for fold in (0, 1)]
+    share = lambda fold, k: F.col(f"t{fold}{k}") / (F.col(f"t{fold}{k}") + F.col(f"c{fold}{k}") / lift[fold])
+    least = lambda fold: LEAST_DOCS + int(LEAST_SHARE * n[1, fold])
+
+    def tells(k):
+        enough = [F.col(f"t{fold}{k}") >= least(fold) for fold in (0, 1)]
+        a, b = share(0, k), share(1, k)
+        return enough[0] & enough[1] & (F.greatest(a, b) >= PRECISION) & (F.least(a, b) >= CHECKED_PRECISION)
+
+    times = F.coalesce(*(F.when(tells(k), F.lit(k)) for k in TIMES))
+    at = lambda name: F.coalesce(*(F.when(F.col("times") == k, F.col(f"{name}0{k}") + F.col(f"{name}1{k}")) for k in TIMES))
     counts = (
-        rows.select("toxic", F.explode("features").alias("feature"))
-        .groupBy("feature")
-        .agg(F.sum(F.col("toxic").cast("long")).alias("t"), F.count("*").alias("n"))
-        .where(f"t >= {least} AND t >= {PRECISION} * (t + (n - t) / {lift})")
+        sums.withColumn("times", times)
+        .where("times IS NOT NULL")
+        .select("feature", "times", at("t").alias("t"), at("c").alias("c"))
         .orderBy(F.desc("t"), "feature")
-        .limit(LEXICON_SIZE)
         .collect()
     )
     longer: dict[str, int] = {}
@@ -169,11 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame):
         for stem in {word[:k] + "*" for k in STEMS if k <= len(word)} - {r["feature"]}:
             longer[stem] = max(longer.get(stem, 0), r["t"])
     counts = [r for r in counts if longer.get(r["feature"], 0) < SAME_DOCS * r["t"]]
-    lexicon: dict[str, float] = {}
+    lexicon: dict[str, tuple[float, int]] = {}
     for r in sorted(counts, key=lambda r: (len(r["feature"].rstrip("*")), r["feature"])):
         word = r["feature"].rstrip("*")
         if not any(word[:k] + "*" in lexicon for k in STEMS if k <= len(word)):
-            lexicon[r["feature"]] = math.log1p(r["t"] / (1.0 + (r["n"] - r["t"])))
+            lexicon[r["feature"]] = (math.log1p(r["t"] / (1.0 + r["c"])), r["times"])
     scored = raw_scores(texts.select(F.col("toxic").alias("doc_id"), "text"), lexicon).toPandas()
     return lexicon, _best_cut(scored["raw"].to_numpy(), scored["doc_id"].to_numpy())
 
@@ -190,7 +252,7 @@ def _best_cut(raw: np.ndarray, toxic: np.ndarray) -> float:
     return cut
 
 
-def raw_scores(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
+def raw_scores(rows: DataFrame, lexicon: dict[str, tuple[float, int]]) -> DataFrame:
     """(doc_id, raw): the grammar's sum over a text's clauses."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
 
