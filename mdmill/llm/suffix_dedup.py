@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,8 @@ LENGTH, ANCHOR = 100, 32
 REACH = LENGTH - ANCHOR
 #: Bits of the bitmap of repeated anchors: 16 MB, whatever the input.
 ANCHOR_BITS = 1 << 27
-#: An anchor is hot above so many places, and above one in HOT_SHARE of all places;
-#: so there are fewer than HOT_SHARE hot ones, and they may be broadcast.
-HOT_PLACES, HOT_SHARE = 20_000, 100_000
+#: An anchor is hot above so many places, whatever the total; hot ones are told by a bitmap of HOT_BITS bits (2 MB).
+HOT_PLACES, HOT_BITS = 20_000, 1 << 24
 #: Bytes that are hashed together, and bytes of snippets that one index holds (or one anchor's).
 BLOCK_BYTES, INDEX_BYTES = 1 << 20, 1 << 20
 #: Places that are worked on together, so that their numbers stay in a core's cache.
@@ -59,42 +59,54 @@ class Hashed:
 
 
 def anchors(texts: list[bytes]):
-    """(hashed, anchor hashes, places, text starts) of the joined texts.
+    """(hashed, anchor hashes, places, first windows, last windows, text starts) of the joined texts.
 
-    An anchor is the ANCHOR-byte string with the least hash in some window of
-    LENGTH bytes of one text (the first of equal ones), so equal windows have
-    equal anchors at equal places. Texts under LENGTH bytes have none.
+    The anchor of a window of LENGTH bytes of one text is the ANCHOR-byte string
+    with the least hash in it (the first of equal ones), so equal windows have
+    equal anchors at equal places. The windows of an anchor at one place follow
+    one another. Texts under LENGTH bytes have none.
     """
     lengths = np.array([len(t) for t in texts])
     starts = np.concatenate([[0], np.cumsum(lengths)])
     hashed = Hashed(b"".join(texts))
     n = int(starts[-1])
+    none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return hashed, np.zeros(0, np.uint64), np.zeros(0, np.int64), starts
+        return hashed, np.zeros(0, np.uint64), none, none, none, starts
     whole = np.ones(n, bool)  # does a window of one text start here?
     for end, length in zip(starts[1:], lengths):
         whole[end - min(length, LENGTH - 1) : end] = False
-    picked = np.zeros(n, bool)
+    windows, anchor = [none], [none]
     sums, unshift, bits = hashed.sums, hashed.unshift, np.uint64(24)
     for a in range(0, n - LENGTH + 1, STRIDE):
-        windows = min(STRIDE, n - LENGTH + 1 - a)
-        e = a + windows + REACH
+        count = min(STRIDE, n - LENGTH + 1 - a)
+        e = a + count + REACH
         h = mix((sums[a + ANCHOR : e + ANCHOR] - sums[a:e]) * unshift[a:e] + np.uint64(ANCHOR))
         wide, span = h >> bits << bits, 1
         wide |= np.arange(a, e, dtype=np.uint64)  # blocks of long texts stay under 2^24 bytes
         while span * 2 <= REACH + 1:
             wide, span = np.minimum(wide[:-span], wide[span:]), span * 2
-        least = np.minimum(wide[:windows], wide[REACH + 1 - span :][:windows])[whole[a : a + windows]]
-        picked[(least & np.uint64((1 << 24) - 1)).astype(np.int64)] = True
-    places = np.flatnonzero(picked)
-    return hashed, hashed.of(places, places + ANCHOR), places, starts
+        least = np.minimum(wide[:count], wide[REACH + 1 - span :][:count])
+        held = np.flatnonzero(whole[a : a + count])
+        place = (least[held] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(place, prepend=-1) != 0)
+        anchor.append(place[first])
+        windows.append(np.stack([held[first], held[np.concatenate([first[1:], [len(held)]]) - 1]], axis=1).ravel() + a if len(held) else none)
+    places, edges = np.concatenate(anchor), np.concatenate(windows).reshape(-1, 2)
+    if not len(places):
+        return hashed, np.zeros(0, np.uint64), none, none, none, starts
+    first = np.flatnonzero(np.diff(places, prepend=-1) != 0)  # an anchor's windows may lie in two strides
+    last = np.concatenate([first[1:], [len(places)]]) - 1
+    places = places[first]
+    return hashed, hashed.of(places, places + ANCHOR), places, edges[first, 0], edges[last, 1], starts
 
 
 def anchored(batch):
     """(rows, starts in text, ends in text, offsets, anchors, hashed, data) of a record batch (id, text), in blocks.
 
-    A text longer than a block is cut into blocks that overlap by two reaches
-    and LENGTH; each block tells the anchors whose snippet lies well inside.
+    A snippet is the text of the windows of an anchor at one place, so every
+    window lies in one snippet. A text longer than a block is cut into blocks
+    that overlap; each block tells the snippets that end before its edges.
     """
     texts = [(v.as_py() or "").encode() for v in batch.column(1)]
     block, size = [], 0
@@ -115,16 +127,15 @@ def anchored(batch):
 
 def _block(parts):
     data = [p[2] for p in parts]
-    hashed, keys, places, starts = anchors(data)
+    hashed, keys, places, first, last, starts = anchors(data)
     of = np.searchsorted(starts, places, side="right") - 1
     base = np.array([p[1] for p in parts], np.int64)[of]
     whole = np.array([p[3] for p in parts], np.int64)[of]
     offset = starts[of]
-    pos = places - offset + base
-    start, end = np.maximum(pos - REACH, 0), np.minimum(pos + LENGTH, whole)
-    inside = (start >= base) & (end <= base + starts[of + 1] - offset)
-    rows = np.array([p[0] for p in parts], np.int64)[of]
     shift = offset - base  # from a place in the text to one in the block
+    pos, start, end = places - shift, first - shift, last - shift + LENGTH
+    inside = ((start > base) | (base == 0)) & ((end < base + starts[of + 1] - offset) | (end == whole))
+    rows = np.array([p[0] for p in parts], np.int64)[of]
     return rows[inside], start[inside], end[inside], pos[inside], shift[inside], keys[inside], hashed, b"".join(data)
 
 
@@ -145,31 +156,30 @@ def anchor_counts(texts: DataFrame) -> DataFrame:
     return counts.groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
-def _bitmap_bytes(keys: DataFrame, column: str) -> np.ndarray:
-    """The bitmap of a long column as bytes; ANCHOR_BITS bits, whatever the input."""
-    slot = F.pmod(F.col(column), F.lit(ANCHOR_BITS)) + 1
+def _bitmap_bytes(keys: DataFrame, column: str, bits: int = ANCHOR_BITS) -> np.ndarray:
+    """The bitmap of a long column as bytes; so many bits, whatever the input."""
+    slot = F.pmod(F.col(column), F.lit(bits)) + 1
     rows = (
         keys.groupBy(F.bitmap_bucket_number(slot).alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
         .collect()
     )
-    out = np.zeros((ANCHOR_BITS // 32768, 4096), np.uint8)
+    out = np.zeros((bits // 32768, 4096), np.uint8)
     for r in rows:
         out[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
 def _in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys & np.uint64(ANCHOR_BITS - 1)
+    slot = keys & np.uint64(len(bits) * 8 - 1)
     return (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def places(texts: DataFrame, bits, hot, with_text) -> DataFrame:
     """The places of maybe repeated anchors: (anchor, snippet, doc, start, size), with the snippet's bytes if asked.
 
-    A snippet is the text within reach of the anchor: every LENGTH-byte window
-    around the anchor lies in it. snippet is a hash of it and of the anchor's
-    place in it. Hot anchors come as their windows. With with_text, a bitmap
+    snippet is a hash of the snippet's text and of the anchor's place in it.
+    Hot anchors come as their windows. With with_text, a bitmap
     over (anchor, snippet), only snippets maybe in it come, the first of each
     task's block.
     """
@@ -181,7 +191,7 @@ def places(texts: DataFrame, bits, hot, with_text) -> DataFrame:
             for rows, start, end, pos, shift, keys, hashed, data in anchored(batch):
                 keep = _in_bitmap(shared, keys)
                 if len(heavy):
-                    heated = np.isin(keys, heavy)
+                    heated = keep & _in_bitmap(heavy, keys)
                     keep &= ~heated
                     if wanted is None and heated.any():
                         columns = _hot_windows(batch.column(0), hashed, *(x[heated] for x in (rows, start, end, shift)))
@@ -225,83 +235,139 @@ def _hot_windows(ids, hashed, rows, start, end, shift):
 
 
 class RunIndex:
-    """A run-compressed Burrows-Wheeler transform of some strings, with text places sampled at run ends.
+    """A run-compressed Burrows-Wheeler transform of some strings, with text places sampled at both ends of its runs.
 
-    `classes` are the borders between suffixes whose first LENGTH bytes differ,
-    and `earliest` the least order among a class, so that a match of LENGTH
-    bytes tells at once whether its string also stands earlier.
+    text holds the strings as letters, each string followed by a letter of its
+    own that no pattern has.
     """
 
-    def __init__(self, strings: list[bytes], order: np.ndarray):
-        """order[i]: the rank of string i's first byte among all places, as (string, offset) sorts."""
-        lengths = np.array([len(s) for s in strings])
-        self.starts = np.concatenate([[0], np.cumsum(lengths + 1)])
-        joined = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + len(strings)
-        ends = self.starts[1:] - 1
-        joined[ends] = np.arange(len(strings))  # every end is a letter of its own
-        self.lengths, self.ends = lengths, ends
-        # Ranks by the first letters: four at once, then as many spans as fit 63 bits.
-        high, letters = len(joined) + 257, len(strings) + 257
-        fold = 3 if high**3 < 1 << 63 else 2
-        rank, span, parts = joined, 1, 4 if letters**4 < 1 << 63 else 2
-        heads = (rank, span)
-        while span < 2 * LENGTH:
-            key = rank
+    def __init__(self, text: np.ndarray):
+        self.text = text
+        suffixes = self._sorted_suffixes()
+        before = text[suffixes - 1]
+        self.start = np.flatnonzero(np.diff(before, prepend=-1))
+        end = np.concatenate([self.start[1:], [len(before)]])
+        self.letter = before[self.start]
+        self.first_place, self.last_place = suffixes[self.start], suffixes[end - 1]
+        self.size = end - self.start
+        # Runs by letter: where a run's rows go when its letter is put before them, and the next run of a letter.
+        self.by_letter = np.argsort(self.letter, kind="stable")
+        self.target = np.empty(len(self.start), np.int64)
+        self.target[self.by_letter] = np.cumsum(self.size[self.by_letter]) - self.size[self.by_letter]
+        self.keys = self.letter[self.by_letter] * len(self.start) + self.by_letter
+
+    def _sorted_suffixes(self) -> np.ndarray:
+        """Prefix doubling: ranks by the first letters, two or three spans at once as they fit 63 bits."""
+        _, rank = np.unique(self.text, return_inverse=True)
+        span, n = 1, len(rank)
+        while True:
+            letters = int(rank.max()) + 2
+            parts = min(4, int(62 / math.log2(letters + 1)))
+            key = rank + 1
             for i in range(1, parts):
-                key = key * letters + np.concatenate([rank[i * span :], np.zeros(min(i * span, len(rank)), np.int64)])[: len(rank)]
-            _, rank = np.unique(key, return_inverse=True)
-            span, parts, letters = span * parts, fold, high
-            heads = (rank, span) if span <= LENGTH else heads
-        suffixes = np.argsort(rank)
-        before = joined[suffixes - 1]
-        runs = np.flatnonzero(np.diff(before, prepend=-1))
-        self.run_start, self.run_letter = runs, before[runs]
-        self.run_end_place = suffixes[np.concatenate([runs[1:], [len(before)]]) - 1]
-        by_letter = np.argsort(self.run_letter, kind="stable")
-        size = np.diff(np.concatenate([runs, [len(before)]]))
-        target = np.empty(len(runs), np.int64)
-        target[by_letter] = np.cumsum(size[by_letter]) - size[by_letter]
-        self.run_target = target  # where a run's rows go when its letter is put before them
-        self.end_rows = rank[ends]
-        border = np.zeros(len(suffixes), bool)
-        border[0] = True
-        rank, span = heads
-        for skip in [*range(0, LENGTH - span, span), LENGTH - span]:
-            part = np.concatenate([rank[skip:], np.full(skip, -1)])[: len(rank)][suffixes]
-            border[1:] |= part[1:] != part[:-1]
-        self.classes = np.flatnonzero(border)
-        of = np.searchsorted(self.starts, suffixes, side="right") - 1
-        self.order = order
-        value = order[of] + suffixes - self.starts[of]
-        self.earliest = np.minimum.reduceat(value, self.classes)
-
-    def back(self, rows: np.ndarray) -> np.ndarray:
-        """The rows of the suffixes that start one letter earlier."""
-        run = np.searchsorted(self.run_start, rows, side="right") - 1
-        return self.run_target[run] + rows - self.run_start[run]
-
-    def repeats(self) -> list[np.ndarray]:
-        """For each string the offsets of its windows that also stand earlier.
-
-        All strings stream through the index together, from their last letter
-        to their first; where LENGTH letters have matched, the class of the row
-        tells the earliest place.
+                key = key * letters + np.concatenate([rank[i * span :] + 1, np.zeros(min(i * span, n), np.int64)])[:n]
+            found, rank = np.unique(key, return_inverse=True)
+            span *= parts
+            if len(found) == n or span >= n:
+                return np.argsort(rank)
+
+    def _common(self, place: np.ndarray, pattern: np.ndarray, at: np.ndarray, cap: np.ndarray) -> np.ndarray:
+        """How many letters of the text from place and of the pattern from at are the same, cap at most."""
+        out = np.zeros(len(place), np.int64)
+        for low, high in ((0, 8), (8, 1 << 62)):
+            some = np.flatnonzero((cap > low) & (cap <= high))
+            if len(some):
+                steps = np.arange(int(cap[some].max()))
+                a = np.minimum(place[some, None] + steps, len(self.text) - 1)
+                b = np.minimum(at[some, None] + steps, len(pattern) - 1)
+                differs = (self.text[a] != pattern[b]) | (steps >= cap[some, None])
+                out[some] = np.where(differs.any(axis=1), differs.argmax(axis=1), cap[some])
+        return out
+
+    def matching_statistics(self, pattern: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each letter of the patterns, how far the text holds what starts there (up to its pattern's end).
+
+        All patterns stream through together, from their last letter to their
+        first. While a row's run has the wanted letter the match grows; else it
+        breaks off and goes on at the end of the run of that letter above or the
+        start of the one below, whose sampled place tells how much of it is left.
         """
-        found = []
-        live = np.argsort(-self.lengths, kind="stable")
-        rows = self.end_rows[live]
-        for step in range(1, int(self.lengths.max()) + 1):
-            live = live[self.lengths[live] >= step]
-            rows = self.back(rows[: len(live)])
-            if step < LENGTH:
-                continue
-            offset = self.lengths[live] - step
-            own = self.order[live] + offset
-            early = self.earliest[np.searchsorted(self.classes, rows, side="right") - 1] < own
-            found.append(live[early] * (1 << 32) + offset[early])
-        found = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
-        cuts = np.searchsorted(found, np.arange(1, len(self.lengths)) << 32)
-        return [part & 0xFFFFFFFF for part in np.split(found, cuts)]
+        found = np.zeros(len(pattern), np.int64)
+        live = np.argsort(-lengths, kind="stable")
+        row, place, length = (np.zeros(len(live), np.int64) for _ in range(3))
+        for step in range(1, int(lengths.max(initial=0)) + 1):
+            live = live[lengths[live] >= step]
+            row, place, length = row[: len(live)], place[: len(live)], length[: len(live)]
+            at = starts[live] + lengths[live] - step
+            letter = pattern[at]
+            run = np.searchsorted(self.start, row, side="right") - 1
+            breaks = np.flatnonzero((self.letter[run] != letter) | (length == 0))
+            grown_row, grown_place, grown = self.target[run] + row - self.start[run], place - 1, length + 1
+            if len(breaks):
+                want, left = letter[breaks], length[breaks]
+                k = np.searchsorted(self.keys, want * len(self.start) + run[breaks])
+                best_row, best_place, best = np.zeros(len(breaks), np.int64), np.zeros(len(breaks), np.int64), np.zeros(len(breaks), np.int64)
+                for side in (0, 1):  # the run above, the run below
+                    of = self.by_letter[np.clip(k - 1 + side, 0, len(self.start) - 1)]
+                    there = np.flatnonzero((self.letter[of] == want) & (k - 1 + side >= 0) & (k - 1 + side < len(self.start)))
+                    of = of[there]
+                    sample = self.first_place[of] if side else self.last_place[of]
+                    reach = 1 + self._common(sample, pattern, at[breaks[there]] + 1, left[there])
+                    better = reach > best[there]
+                    there, of, sample, reach = there[better], of[better], sample[better], reach[better]
+                    best[there], best_place[there] = reach, sample - 1
+                    best_row[there] = self.target[of] + (0 if side else self.size[of] - 1)
+                grown_row[breaks], grown_place[breaks], grown[breaks] = best_row, best_place, best
+            row, place, length = grown_row, grown_place, grown
+            found[at] = length
+        return found
+
+
+def later_repeats(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each byte of the joined strings: does a window start here that an earlier string of its group holds too?
+
+    The strings of a group stand in order. Groups are halved: the earlier half
+    is indexed, the later half streams through it. Strings whose windows are
+    all known to repeat leave, since what they repeat stays; the rest of both
+    halves are groups of their own. Letters of different groups differ, so one
+    index serves all groups of a round.
+    """
+    repeats = np.zeros(len(data), bool)
+    live = np.arange(len(starts))
+    while True:
+        order = np.argsort(group, kind="stable")
+        live, group = live[order], group[order]
+        _, first, of, size = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+        keep = size[of] > 1
+        if not keep.any():
+            return repeats
+        place = np.arange(len(live)) - first[of]
+        later = place >= (size[of] + 1) // 2
+        early, late = live[keep & ~later], live[keep & later]
+        text = _letters(data, starts[early], lengths[early], of[keep & ~later], True, len(early))
+        pattern = _letters(data, starts[late], lengths[late], of[keep & later], False, len(early))
+        at = np.concatenate([[0], np.cumsum(lengths[late])])
+        reach = RunIndex(text).matching_statistics(pattern, at[:-1], lengths[late])
+        source = np.repeat(starts[late] - at[:-1], lengths[late]) + np.arange(len(pattern))
+        repeats[source[reach >= LENGTH]] = True
+        windows = np.cumsum(np.concatenate([[0], repeats]))
+        open_ = windows[starts + lengths - LENGTH + 1] - windows[starts] < lengths - LENGTH + 1
+        group = np.where(later, 2 * of + 1, 2 * of)[keep]
+        live = live[keep]
+        stays = open_[live] | (group % 2 == 0)
+        live, group = live[stays], group[stays]
+
+
+def _letters(data, starts, lengths, group, ended: bool, ends: int) -> np.ndarray:
+    """The strings as letters that differ from group to group, each with an end of its own if asked."""
+    more = lengths + ended
+    at = np.cumsum(more) - more
+    of = np.repeat(np.arange(len(starts)), more)
+    place = np.arange(int(more.sum())) - at[of]
+    out = ends + group[of] * 256 + data[np.minimum(starts[of] + place, len(data) - 1)]
+    if ended:
+        out[at + lengths] = np.arange(len(starts))
+    return out
 
 
 def snippet_repeats(snippets: DataFrame) -> DataFrame:
@@ -316,22 +382,18 @@ def snippet_repeats(snippets: DataFrame) -> DataFrame:
         seen = {}
         for anchor, snippet, doc, start, data in group:
             seen.setdefault((anchor, snippet), (doc, start, data))
-        held = sorted(seen.values(), key=lambda x: x[:2])
-        # Ranks in (doc, start) order: places of one document keep their distance.
-        order, shift, last = [], 0, None
-        for doc, start, _ in held:
-            if last is not None and doc != last[0]:
-                shift += last[1] + LENGTH * 4
-                last = None
-            order.append(shift + start)
-            last = (doc, start) if last is None or start >= last[1] else last
+        held = list(seen.values())
+        lengths = np.array([len(x[2]) for x in held])
+        starts = np.cumsum(lengths) - lengths
+        _, of = np.unique(np.array([a for a, _ in seen], np.int64), return_inverse=True)
+        repeats = later_repeats(np.frombuffer(b"".join(x[2] for x in held), np.uint8), starts, lengths, of)
+        marked = np.flatnonzero(repeats)
+        cut = np.flatnonzero(np.diff(marked, prepend=-2) > 1)
         out = []
-        strings = [x[2] for x in held]
-        for (doc, start, _), offsets in zip(held, RunIndex(strings, np.array(order)).repeats()):
-            if len(offsets):
-                cut = np.flatnonzero(np.diff(offsets) > 1)
-                for a, b in zip(np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(offsets) - 1]])):
-                    out.append((doc, int(start + offsets[a]), int(offsets[b] - offsets[a] + LENGTH)))
+        for a, b in zip(marked[cut], marked[np.concatenate([cut[1:], [len(marked)]]) - 1] if len(cut) else ()):
+            doc, start, _ = held[np.searchsorted(starts, a, side="right") - 1]
+            at = int(np.searchsorted(starts, a, side="right") - 1)
+            out.append((doc, int(start + a - starts[at]), int(b - a + LENGTH)))
         return out
 
     def index_snippets(batches):
@@ -369,9 +431,8 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     counts, _ = save(anchor_counts(docs).where("n > 1"), "anchors")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = counts.where(F.col("n") > max(HOT_PLACES, total // HOT_SHARE)).select("anchor").collect()
-    hot = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in hot), np.int64).view(np.uint64))
+    heavy = counts.where(F.col("n") > HOT_PLACES)
+    hot = spark.sparkContext.broadcast(_bitmap_bytes(heavy, "anchor", HOT_BITS) if not heavy.isEmpty() else np.zeros(0, np.uint8))
     bits = spark.sparkContext.broadcast(_bitmap_bytes(counts, "anchor"))
     found, _ = save(places(docs, bits, hot, None), "places")
     firsts, _ = save(
@@ -417,7 +478,7 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     """
     texts = docs.select("doc_id", text_of().alias("text"))
     stretches, _ = save(repeated_stretches(texts.where("doc_id IS NOT NULL")), "stretches")
-    hit, _ = save(membership_bitmap(stretches.select("doc").distinct(), F.xxhash64("doc")), "bitmap")
+    hit = membership_bitmap(stretches.select("doc").distinct(), F.xxhash64("doc"))
     flagged = maybe_in(texts, hit, F.xxhash64("doc_id"), "hit")
     kind = texts.schema["doc_id"].dataType.simpleString()
 
