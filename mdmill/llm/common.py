@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdmill.session import save
+from mdmill.session import drop, save
 
-#: Bits of a membership bitmap: 2 MB at most, whatever the input.
-BITMAP_BITS = 1 << 24
+#: Bits of a membership bitmap for each key, and its least and most bits.
+KEY_BITS, BITMAP_BITS = 16, (1 << 20, 1 << 29)
 
 
 #: Bytes of text that reach a Python worker at a time; a session's own lower bound stands.
@@ -41,25 +43,37 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def membership_bitmap(keys: DataFrame, hashed: Column) -> DataFrame:
-    """(bucket, bits): a bitmap of the hashed keys, in rows of 4 KB.
+class Bitmap(NamedTuple):
+    """(bucket, bits) rows of 4 KB, and how many bits there are in all."""
+
+    rows: DataFrame
+    size: int
+
 
-    The table has at most BITMAP_BITS / 32768 rows (512 rows, 2 MB), so it may
-    be broadcast. A key that is in it always tests true; another key does so
-    only by a clash, and the exact join that follows sorts those out.
+def membership_bitmap(keys: DataFrame, hashed: Column) -> Bitmap:
+    """A saved bitmap of the hashed keys, with KEY_BITS bits a key.
+
+    It has BITMAP_BITS[1] bits (64 MB) at most, so it may be broadcast. A key
+    that is in it always tests true; another key does so only by a clash, and
+    the exact join that follows sorts those out. Beyond some 10^9 keys most
+    keys clash, and that join sees most rows.
     """
-    slot = F.pmod(hashed, F.lit(BITMAP_BITS))
-    return (
-        keys.select(slot.alias("slot"))
-        .groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    hashes, path = save(keys.select(hashed.alias("h")), "keys")
+    size = 1 << int(max(hashes.count() * KEY_BITS, 1)).bit_length()
+    size = min(max(size, BITMAP_BITS[0]), BITMAP_BITS[1])
+    slots = hashes.select(F.pmod("h", F.lit(size)).alias("slot"))
+    rows, _ = save(
+        slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")),
+        "bitmap",
     )
+    drop(keys.sparkSession, path)
+    return Bitmap(rows, size)
 
 
-def maybe_in(df: DataFrame, bitmap: DataFrame, hashed: Column, flag: str) -> DataFrame:
+def maybe_in(df: DataFrame, bitmap: Bitmap, hashed: Column, flag: str) -> DataFrame:
     """df with the boolean column `flag`: may the row's key be in the bitmap?"""
-    slot = F.pmod(hashed, F.lit(BITMAP_BITS))
-    bits = bitmap.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
+    slot = F.pmod(hashed, F.lit(bitmap.size))
+    bits = bitmap.rows.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits"))
     return (
         df.withColumns(
             {"__slot": F.bitmap_bucket_number(slot), "__pos": F.bitmap_bit_position(slot)}
@@ -83,7 +97,7 @@ def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFra
     nearly all rows that stay are not shuffled.
     """
     gone, _ = save(ids.toDF("__gone").where("__gone IS NOT NULL").distinct(), "gone")
-    bitmap, _ = save(membership_bitmap(gone, F.xxhash64("__gone")), "bitmap")
+    bitmap = membership_bitmap(gone, F.xxhash64("__gone"))
     flagged = maybe_in(docs, bitmap, F.xxhash64(F.col(id_col)), "__maybe")
     rest = flagged.where("__maybe").join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     return flagged.where(~F.col("__maybe")).unionByName(rest).select(*(F.col(f"`{c}`") for c in docs.columns))
@@ -95,7 +109,7 @@ def one_row_each(docs: DataFrame, *also: Column, id_col: str = "doc_id") -> Data
     Only rows that a bitmap of repeated ids lets through are shuffled.
     """
     again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1")
-    bitmap, _ = save(membership_bitmap(again, F.xxhash64(F.col(id_col))), "bitmap")
+    bitmap = membership_bitmap(again, F.xxhash64(F.col(id_col)))
     flagged = maybe_in(docs, bitmap, F.xxhash64(F.col(id_col)), "__maybe")
     several = F.col("__maybe") & F.col(id_col).isNotNull()
     keys = {f"__key{i}": c for i, c in enumerate(also)}

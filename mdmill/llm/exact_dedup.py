@@ -46,7 +46,7 @@ def find_copies(
     shared_length = lengths.groupBy("n_chars").agg(F.sum("n").alias("of_length")).where("of_length > 1")
     shared = lengths.where("n > 1").join(shared_length, "n_chars", "left_semi")
     key = F.xxhash64("n_chars", "prefix")
-    bitmap, _ = save(membership_bitmap(shared, key), "bitmap")
+    bitmap = membership_bitmap(shared, key)
     full = F.sha2("norm", 256)
     hashed = maybe_in(rows, bitmap, key, "suspect").select(
         "doc_id",

@@ -111,7 +111,7 @@ def with_next(rows: DataFrame, *carried: str) -> DataFrame:
     order = Window.orderBy("w")
     heads = heads.withColumn("before", F.coalesce(F.lag("w").over(order), F.max("w").over(Window.partitionBy())))
     heads, _ = save(heads.select("head", "before"), "heads")
-    bitmap, _ = save(membership_bitmap(heads, F.xxhash64("head")), "bitmap")
+    bitmap = membership_bitmap(heads, F.xxhash64("head"))
     maybe = maybe_in(rows, bitmap, F.xxhash64("doc_id"), "maybe").where("maybe").drop("maybe")
     extra = maybe.join(heads, maybe["doc_id"].eqNullSafe(heads["head"])).select(
         *rows.columns, F.col("before").alias("w"), F.lit(True).alias("extra")

@@ -183,7 +183,7 @@ def overlaps(texts: DataFrame, pairs: DataFrame, order, words: int) -> DataFrame
     """
     sides = pairs.select(F.explode(F.array("x", "y")).alias("doc"), "pair")
     wanted = sides.select("doc").distinct()
-    bitmap, _ = save(membership_bitmap(wanted, F.xxhash64("doc")), "bitmap")
+    bitmap = membership_bitmap(wanted, F.xxhash64("doc"))
     near = maybe_in(texts, bitmap, F.xxhash64("doc_id"), "maybe").where("maybe").select("doc_id", "text")
 
     def run(batches):
