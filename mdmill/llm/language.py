@@ -103,7 +103,7 @@ def fit(docs: DataFrame, train: Column | None = None):
     """(languages, centroids, least cosines, idf), small arrays.
 
     Document frequencies cover every labelled training row; the centroids are
-    fitted on about FIT_ROWS rows a language, drawn by a hash of the id, which
+    fitted on about FIT_ROWS rows a language, drawn by a hash of id and text, which
     bounds what a language's task holds (FIT_ROWS x DIMENSIONS numbers).
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, train: Column | None = None):
     if not n:
         return [], np.zeros((0, DIMENSIONS), np.float32), np.zeros(0), idf
     share = F.create_map(*(F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, FIT_ROWS / k))))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
     def to_vectors(batches):
         for batch in batches:

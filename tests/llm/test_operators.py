@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -194,9 +195,31 @@ def test_suffix_dedup(docs, plain):
     assert suffix_dedup.remove_repeats(empty(docs)).count() == 0
 
 
+def _matches(text: list[str], patterns: list[str]):
+    """Matching statistics by brute force."""
+    return [max((k for k in range(len(p) - i + 1) if any(p[i : i + k] in t for t in text)), default=0) for p in patterns for i in range(len(p))]
+
+
+def test_run_index_matching_statistics():
+    rnd = random.Random(2)
+    for _ in range(60):
+        said = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 30)))
+        text, patterns = [said() for _ in range(rnd.randint(1, 5))], [said() for _ in range(rnd.randint(1, 5))]
+        patterns += [text[0][:5] + said() + text[-1]]
+        ends = [[i, *(len(text) + ord(c) for c in t)] for i, t in enumerate(text)]
+        letters = np.array([x for e in ends for x in [*e[1:], e[0]]])
+        lengths = np.array([len(p) for p in patterns])
+        starts = np.cumsum(lengths) - lengths
+        pattern = np.array([len(text) + ord(c) for p in patterns for c in p])
+        index = suffix_dedup.RunIndex(letters)
+        assert index.matching_statistics(pattern, starts, lengths).tolist() == _matches(text, patterns)
+    # The run-end samples carry the result: without them broken matches lose their lengths.
+    index.first_place, index.last_place = np.zeros_like(index.first_place), np.zeros_like(index.last_place)
+    assert index.matching_statistics(pattern, starts, lengths).tolist() != _matches(text, patterns)
+
+
 def test_suffix_dedup_splits_hot_anchors(docs, plain, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_PLACES", 3)
-    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**9)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 5000)
     test_suffix_dedup(docs, plain)
 
@@ -271,9 +294,10 @@ def test_language_rejects_unknown_texts_only(spark):
 
 
 def test_toxicity(docs, spark):
-    grammar = toxicity.Grammar({"idiot": 2.0, "scum*": 1.0})
+    grammar = toxicity.Grammar({"idiot": (2.0, 1), "scum*": (1.0, 1), "fool*": (3.0, 3)})
     assert grammar.document("you idiot") > grammar.document("an idiot") > grammar.document("not an idiot") > grammar.document("fine") == 0
     assert grammar.document("he said idiot") < grammar.document("an idiot")
+    assert grammar.document("foolish. foolish. foolish") == 3 * grammar.document("foolish") > grammar.document("a foolish " + "x " * 2000 + ". foolish. foolish")
     assert grammar.document("they will kill you. you kill") > 0
     assert toxicity.score(docs, ({}, float("inf"))).where("predicted = 1").count() == 0
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -284,11 +308,11 @@ def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
     hit, said, toxic = rows.agg(F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)), F.sum("predicted"), F.sum("toxic")).first()
-    assert hit / said > 0.95 and hit / toxic > 0.8
+    assert hit / said > 0.95 and hit / toxic > 0.9
 
 
 def test_toxicity_of_long_clauses():
-    grammar = toxicity.Grammar({"idiot": 2.0})
+    grammar = toxicity.Grammar({"idiot": (2.0, 1)})
     assert grammar.document("you " + "word " * 900 + "kill") == grammar.document("you kill") > grammar.document("kill")
     assert grammar.document("fine. you " + "word " * 900 + "idiot, idiot. fine") == grammar.document("you idiot, idiot")
     assert grammar.document("you。kill") == grammar.document("you. kill") == grammar.document("kill")
