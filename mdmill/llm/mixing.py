@@ -94,6 +94,10 @@ def mix_order(seed: str = SEED) -> Column:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED) -> DataFrame:
     """docs, each row as often as its copies say, in a random order over all partitions.
 
+    Copies are dealt by the hash of their place, which is a hash itself, and
+    sorted by it, so the order is random throughout and no pass has to sample
+    the places first.
+
     The rows have docs' columns. Copies of a row are equal. Rows with 0 copies
     are left out: their source has more bytes than its weight asks for. A null
     source counts as the source ''. A source of only empty texts has no bytes
@@ -107,7 +111,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     spread = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return (
         spread.withColumn("__place", mix_order(seed))
-        .repartitionByRange("__place")
+        .repartition("__place")
         .sortWithinPartitions("__place")
         .select("__row.*")
     )
@@ -120,7 +124,7 @@ def op5_poisson_mix(spark, sf_dir):
     return (
         drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
         .select("doc_id", "source", "copy", "copies", mix_order().alias("place"))
-        .repartitionByRange("place")
+        .repartition("place")
         .sortWithinPartitions("place")
     )
 
