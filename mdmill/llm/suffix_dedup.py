@@ -258,7 +258,7 @@ class RunIndex:
 
     def _sorted_suffixes(self) -> np.ndarray:
         """Prefix doubling: ranks by the first letters, two or three spans at once as they fit 63 bits."""
-        _, rank = np.unique(self.text, return_inverse=True)
+        rank = self.text
         span, n = 1, len(rank)
         while True:
             letters = int(rank.max()) + 2
@@ -284,27 +284,34 @@ class RunIndex:
                 out[some] = np.where(differs.any(axis=1), differs.argmax(axis=1), cap[some])
         return out
 
-    def matching_statistics(self, pattern: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def matching_statistics(self, pattern: np.ndarray, starts: np.ndarray, lengths: np.ndarray, least: int = 0) -> np.ndarray:
         """For each letter of the patterns, how far the text holds what starts there (up to its pattern's end).
 
+        Matches under `least` letters need not be told: a pattern leaves when no
+        longer one can follow.
+
         All patterns stream through together, from their last letter to their
         first. While a row's run has the wanted letter the match grows; else it
         breaks off and goes on at the end of the run of that letter above or the
         start of the one below, whose sampled place tells how much of it is left.
         """
         found = np.zeros(len(pattern), np.int64)
-        live = np.argsort(-lengths, kind="stable")
+        live = np.arange(len(lengths))
         row, place, length = (np.zeros(len(live), np.int64) for _ in range(3))
         for step in range(1, int(lengths.max(initial=0)) + 1):
-            live = live[lengths[live] >= step]
-            row, place, length = row[: len(live)], place[: len(live)], length[: len(live)]
-            at = starts[live] + lengths[live] - step
+            left = lengths[live] - step
+            stays = (left >= 0) & (length + left + 1 >= least)
+            if not stays.all():
+                live, row, place, length, left = live[stays], row[stays], place[stays], length[stays], left[stays]
+            if not len(live):
+                break
+            at = starts[live] + left
             letter = pattern[at]
             run = np.searchsorted(self.start, row, side="right") - 1
             breaks = np.flatnonzero((self.letter[run] != letter) | (length == 0))
             grown_row, grown_place, grown = self.target[run] + row - self.start[run], place - 1, length + 1
             if len(breaks):
-                want, left = letter[breaks], length[breaks]
+                want, cap = letter[breaks], length[breaks]
                 k = np.searchsorted(self.keys, want * len(self.start) + run[breaks])
                 best_row, best_place, best = np.zeros(len(breaks), np.int64), np.zeros(len(breaks), np.int64), np.zeros(len(breaks), np.int64)
                 for side in (0, 1):  # the run above, the run below
@@ -312,7 +319,7 @@ class RunIndex:
                     there = np.flatnonzero((self.letter[of] == want) & (k - 1 + side >= 0) & (k - 1 + side < len(self.start)))
                     of = of[there]
                     sample = self.first_place[of] if side else self.last_place[of]
-                    reach = 1 + self._common(sample, pattern, at[breaks[there]] + 1, left[there])
+                    reach = 1 + self._common(sample, pattern, at[breaks[there]] + 1, cap[there])
                     better = reach > best[there]
                     there, of, sample, reach = there[better], of[better], sample[better], reach[better]
                     best[there], best_place[there] = reach, sample - 1
@@ -347,7 +354,7 @@ def later_repeats(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, gro
         text = _letters(data, starts[early], lengths[early], of[keep & ~later], True, len(early))
         pattern = _letters(data, starts[late], lengths[late], of[keep & later], False, len(early))
         at = np.concatenate([[0], np.cumsum(lengths[late])])
-        reach = RunIndex(text).matching_statistics(pattern, at[:-1], lengths[late])
+        reach = RunIndex(text).matching_statistics(pattern, at[:-1], lengths[late], LENGTH)
         source = np.repeat(starts[late] - at[:-1], lengths[late]) + np.arange(len(pattern))
         repeats[source[reach >= LENGTH]] = True
         windows = np.cumsum(np.concatenate([[0], repeats]))
