@@ -17,14 +17,19 @@ def clean(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """clean, and each run of white space becomes one space."""
-    return F.regexp_replace(clean(c), r"(?U)\s+", " ")
+    """clean, each run of white space becomes one space, and a whole number written as a decimal loses its fraction."""
+    return F.regexp_replace(F.regexp_replace(clean(c), r"(?U)\s+", " "), r"^(-?\d+)\.0+$", "$1")
 
 
 def header_key(c: Column) -> Column:
     return F.regexp_replace(F.lower(clean(c)), r"(?U)[\s_\-./\\()（）\[\]【】:：]+", "")
 
 
+def utc(c: Column) -> Column:
+    """A time text as a timestamp: naive times and those with Z are UTC (in a UTC session); null where it is no time."""
+    return F.try_to_timestamp(F.regexp_replace(clean(c), "Z$", "+00:00"))
+
+
 def plant_code(c: Column, default: str = "GROUP") -> Column:
     raw = clean(c)
     alias = F.create_map(*(F.lit(x) for pair in rules.PLANT_ALIASES.items() for x in pair))[F.lower(raw)]

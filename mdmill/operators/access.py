@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Paths and the permission they need to read and to write, first match wins; None is public.
+# Paths (with a star: all that start so), methods (with ! all but this one) and the permission they need;
+# the first match wins, and '' is open to everyone.
 PATHS = [
-    ("/api/auth/login", None, None), ("/api/auth/", "data.read", "data.read"), ("/api/admin/users", "security.manage", "security.manage"),
-    ("/api/admin/standards", "data.read", "knowledge.manage"), ("/api/knowledge", "data.read", "knowledge.manage"),
-    ("/api/security/audit/verify", "audit.verify", "audit.verify"), ("/api/security/audit", "audit.read", "audit.read"),
-    ("/api/blockchain", "audit.read", "audit.read"), ("/api/compliance", "compliance.read", "compliance.manage"),
-    ("/api/governance/controls", "data.read", "compliance.manage"), ("/api/governance/issues", "data.read", "review.decide"),
-    ("/api/distribute", "distribution.execute", "distribution.execute"), ("/api/feedback", "feedback.write", "feedback.write"),
-    ("/api/reviews", "data.read", "review.decide"), ("/api/batches", "data.ingest", "data.ingest"), ("/api/search", "data.read", "ai.use"),
+    ("/api/live", "*", ""), ("/api/health", "*", ""), ("/api/auth/login", "*", ""), ("/api/auth/*", "*", "data.read"),
+    ("/api/admin/users*", "*", "security.manage"),
+    ("/api/admin/standards*", "!GET", "knowledge.manage"), ("/api/admin/standards*", "GET", "data.read"),
+    ("/api/knowledge*", "!GET", "knowledge.manage"), ("/api/knowledge*", "GET", "data.read"),
+    ("/api/security/audit/verify*", "*", "audit.verify"), ("/api/security/audit*", "*", "audit.read"), ("/api/blockchain*", "*", "audit.read"),
+    ("/api/compliance*", "!GET", "compliance.manage"), ("/api/compliance*", "GET", "compliance.read"),
+    ("/api/governance/controls*", "!GET", "compliance.manage"), ("/api/governance/controls*", "GET", "data.read"),
+    ("/api/governance/issues*", "!GET", "review.decide"), ("/api/governance/issues*", "GET", "data.read"),
+    ("/api/governance/catalog*", "*", "data.read"), ("/api/*", "DELETE", "data.purge"),
+    ("/api/vectors/rebuild", "*", "knowledge.manage"), ("/api/ocr/install", "!GET", "knowledge.manage"),
+    ("/api/distribute", "*", "distribution.execute"), ("/api/feedback", "*", "feedback.write"), ("/api/reviews*", "!GET", "review.decide"),
+    ("/api/lifecycle", "POST", "lifecycle.create"), ("/api/lifecycle/*", "PATCH", ""),
+    *((f"/api/{p}", "*", "data.ingest") for p in ("batches", "upload", "govern", "governance", "demo/run", "ocr")),
+    *((f"/api/{p}*", "!GET", "ai.use") for p in ("semantic", "classify", "agent", "intent", "explain", "search", "standards/search", "vectors/search")),
 ]
 GRANTS = {
     "GROUP_ADMIN": ["*"],
@@ -29,11 +37,14 @@ MARKERS = ["password", "authorization", "api_key", "apikey", "secret", "token",
 
 
 def needed_permission(path: Column, method: Column) -> Column:
-    """The permission a request needs; '' if the path is public."""
-    out = F.when(~path.startswith("/api/"), "")
-    for prefix, read, write in PATHS:
-        out = out.when(path.startswith(prefix), F.when(F.upper(method) == "GET", read or "").otherwise(write or ""))
-    return out.when(F.upper(method) == "DELETE", "data.purge").otherwise("data.read")
+    """The permission a request needs; '' if it is open. What no rule names is data.read."""
+    out, said = F.when(~path.startswith("/api/"), ""), F.upper(method)
+    for pattern, methods, permission in PATHS:
+        here = path.startswith(pattern[:-1]) if pattern.endswith("*") else path == pattern
+        if methods != "*":
+            here &= said != methods[1:] if methods.startswith("!") else said == methods
+        out = out.when(here, permission)
+    return out.otherwise("data.read")
 
 
 def allowed(role: Column, permission: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,21 +18,53 @@ def ledger(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("chain"), "ts", "event_id", F.sha2(payload, 256).alias("payload_hash"))
 
 
-def _extend(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-    last, previous, own = GENESIS, [], []
-    for height, payload in enumerate(pdf["payload_hash"], 1):
-        previous.append(last)
-        last = hashlib.sha256(f"{height}|{last}|{payload}".encode()).hexdigest()
-        own.append(last)
-    return pdf.assign(height=range(1, len(pdf) + 1), previous_hash=previous, block_hash=own)
+def _extend(frames):
+    """Chain sorted rows; what is carried from frame to frame is the last block of one chain."""
+    chain, height, last = object(), 0, GENESIS
+    for pdf in frames:
+        heights, previous, own = [], [], []
+        for key, payload, top, head in zip(pdf["chain"], pdf["payload_hash"], pdf.pop("__height"), pdf.pop("__head")):
+            if key != chain:
+                chain, height, last = key, int(top), head
+            height += 1
+            previous.append(last)
+            last = hashlib.sha256(f"{height}|{last}|{payload}".encode()).hexdigest()
+            heights.append(height)
+            own.append(last)
+        yield pdf.assign(height=heights, previous_hash=previous, block_hash=own)
 
 
-def append_blocks(rows: DataFrame) -> DataFrame:
-    """Chain the rows of each key by (ts, event_id); the only sequential step, one key at a time."""
+def append_blocks(rows: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Chain the rows of each key by (ts, event_id), behind the last block that heads (chain, height, block_hash) holds.
+
+    The only sequential step: a task reads whole chains in order and holds one
+    batch of rows, however long a chain is. A chain without a head starts at
+    height 1 behind GENESIS. An empty table gives an empty one.
+    """
     schema = T.StructType([*rows.schema.fields])
     schema.add("height", "long").add("previous_hash", "string").add("block_hash", "string")
-    return rows.groupBy("chain").applyInPandas(_extend, schema)
+    start = {"__height": F.lit(0).cast("long"), "__head": F.lit(GENESIS)}
+    if heads is not None:
+        tops = heads.select(F.col("chain").alias("__chain"), F.col("height").alias("__h"), F.col("block_hash").alias("__b"))
+        rows = rows.join(tops, F.col("chain") == F.col("__chain"), "left").drop("__chain")
+        start = {"__height": F.coalesce("__h", F.lit(0)), "__head": F.coalesce("__b", F.lit(GENESIS))}
+    sorted_rows = rows.withColumns(start).repartition("chain").sortWithinPartitions("chain", "ts", "event_id")
+    return sorted_rows.select(*(f.name for f in schema.fields[:-3]), "__height", "__head").mapInPandas(_extend, schema)
+
+
+def heads(blocks: DataFrame) -> DataFrame:
+    """(chain, height, block_hash): the last block of each chain."""
+    return blocks.groupBy("chain").agg(F.max("height").alias("height"), F.max_by("block_hash", "height").alias("block_hash"))
+
+
+def sign(blocks: DataFrame, key: bytes) -> DataFrame:
+    """blocks with `signature`: the HMAC of the block hash."""
+    return blocks.withColumn("signature", hmac_sha256(key, F.col("block_hash")))
+
+
+def verify_signed(blocks: DataFrame, key: bytes) -> DataFrame:
+    """verify, with bad_signature."""
+    return verify(blocks).withColumn("bad_signature", hmac_sha256(key, F.col("block_hash")) != F.col("signature"))
 
 
 def verify(blocks: DataFrame) -> DataFrame:

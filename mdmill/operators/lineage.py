@@ -65,12 +65,27 @@ def running_total(rows: DataFrame, order: list[str], amount: str, name: str) ->
     return ranged.join(offsets, "__range").withColumn(name, F.col("__offset") + F.sum(amount).over(own)).drop("__range", "__offset")
 
 
+def row_numbers(rows: DataFrame, key: str, order: list[str], name: str = "row_no") -> DataFrame:
+    """rows with a gapless number from 1 in each key, by the unique columns `order`.
+
+    Numbers run over sorted ranges and start anew where a key does, so a key
+    with most rows is no task of its own.
+    """
+    placed, _ = save(running_total(rows.withColumn("__one", F.lit(1)), [key, *order], "__one", "__k").drop("__one"), "placed")
+    first = placed.groupBy(F.col(key).alias("__key")).agg(F.min("__k").alias("__first"))
+    return placed.join(first, F.col(key).eqNullSafe(F.col("__key"))).withColumn(name, F.col("__k") - F.col("__first") + 1).drop("__k", "__key", "__first")
+
+
 def assign_to_ranges(batches: DataFrame, mappings: DataFrame, order: list[str]) -> DataFrame:
     """(k, batch_id): the k-th mapping goes to the batch whose running count covers k.
 
-    batches (batch_id, n), mappings with the unique columns `order`. Ranges and
-    places meet by cells of CELL places instead of a comparison of all pairs.
+    batches (batch_id, n), mappings with the unique columns `order`, none of
+    which has a batch yet. If the batches' counts do not add up to the number
+    of mappings, nothing is assigned: the result is empty. Ranges and places
+    meet by cells of CELL places instead of a comparison of all pairs.
     """
+    if (batches.agg(F.sum("n")).first()[0] or 0) != mappings.count():
+        return batches.sparkSession.createDataFrame([], f"k long, batch_id {batches.schema['batch_id'].dataType.simpleString()}")
     spans = running_total(batches, ["batch_id"], "n", "hi").withColumn("lo", F.col("hi") - F.col("n"))
     cells = F.sequence(F.floor((F.col("lo") + 1) / CELL), F.floor(F.col("hi") / CELL))
     spans = spans.where("n > 0").select("batch_id", "lo", "hi", F.explode(cells).alias("cell"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdmill.functions import rules, text
+from mdmill.functions.semantics import golden_code, shown_attributes, standard_name
 from mdmill.operators.components import connected_components
 from mdmill.session import save
 from mdmill.sources.materials import enrich
@@ -62,8 +63,21 @@ def match_pairs(records: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     first = letters.join(common, "token").withColumn("place", place)
     first = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * rules.SEMANTIC_EDGE - 1e-9) + 1).select("id", "token")
-    meet = lambda p: p.join(p.withColumnRenamed("id", "other"), "token").where("id < other").select("id", "other")
-    pairs = meet(prefix).union(meet(first)).distinct()
+    # Items that differ in a stated model, pressure or size never match: the guards hold before pairs are made,
+    # and letter sets of sizes too far apart are not paired at all.
+    guard = items.select("id", F.size("letters").alias("size"), "model", "pressure", "dn")
+
+    def meet(keys, sized):
+        own = keys.join(guard, "id")
+        other = own.select("token", *(F.col(c).alias(f"{c}_o") for c in ("id", "size", "model", "pressure", "dn")))
+        both = own.join(other, "token").where("id < id_o")
+        for a in ("model", "pressure", "dn"):
+            both = both.where(f"{a} = '' OR {a}_o = '' OR {a} = {a}_o")
+        if sized:
+            both = both.where(F.least("size", "size_o") >= F.greatest("size", "size_o") * rules.SEMANTIC_EDGE - 1e-9)
+        return both.select("id", F.col("id_o").alias("other"))
+
+    pairs = meet(prefix, False).union(meet(first, True)).distinct()
     side = lambda n: items.select(*(F.col(c).alias(f"{c}_{n}") for c in ("id", *ATTRIBUTES, "letters")))
     pairs = pairs.join(side(1), F.col("id") == F.col("id_1")).join(side(2), F.col("other") == F.col("id_2"))
     for a in ("model", "pressure", "dn"):
@@ -83,33 +97,53 @@ def match_pairs(records: DataFrame) -> DataFrame:
     return same.union(linked.select(F.col("id").alias("src"), F.col("other").alias("dst")))
 
 
-def golden_records(records: DataFrame) -> DataFrame:
-    """One row a component of match_pairs: master_id (least row_id), attributes of that row, decision, confidence.
+def golden_records(records: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
+    """One row a component of match_pairs: master_id (least row_id), attributes of that row, name, code, members, decision, confidence.
 
     A component of one row is NEW, one with two different values of model, dn,
-    pressure or material is up for REVIEW, others merge.
+    pressure or material is up for REVIEW, others merge. The standard name
+    comes from the member with the longest name (the least row_id of those),
+    the code from category and name. anomalies (row_id) are counted per record.
     """
     rows, _ = save(enrich(records), "enriched")
     found = connected_components(match_pairs(rows))
     members = rows.join(found, F.col("row_id") == F.col("id"), "left").withColumn("master_id", F.coalesce("component", "row_id"))
+    return fuse(members.drop("id", "component"), anomalies)
+
+
+def fuse(members: DataFrame, anomalies: DataFrame | None = None) -> DataFrame:
+    """Golden records of enriched members with their master_id; see golden_records. A hot component is aggregated before it is shuffled."""
+    shown = shown_attributes(members).select("row_id", F.struct(standard_name().alias("name")).alias("shown"))
+    members = members.join(shown, "row_id")
+    members = members.withColumn("odd", F.lit(0)) if anomalies is None else members.join(
+        anomalies.select("row_id", F.lit(1).alias("odd")).distinct(), "row_id", "left"
+    )
     values = lambda a: F.collect_set(F.nullif(F.col(a), F.lit("")))
-    lead = F.min_by(F.struct("std_category", *ATTRIBUTES), "row_id")
+    several = lambda a: F.min(F.nullif(F.col(a), F.lit(""))) != F.max(F.nullif(F.col(a), F.lit("")))
     grouped = members.groupBy("master_id").agg(
-        lead.alias("lead"),
+        F.min_by(F.struct("std_category", *ATTRIBUTES), "row_id").alias("lead"),
+        F.max_by("shown.name", F.struct(F.length("material_name"), -F.col("row_id"))).alias("standard_name"),
         F.count("*").alias("source_count"),
+        F.count_distinct(F.nullif(F.col("material_code"), F.lit(""))).alias("code_count"),
         F.array_join(F.sort_array(values("system_source")), ",").alias("source_systems"),
         F.array_join(F.sort_array(values("plant_code")), ",").alias("plant_codes"),
-        *(F.size(values(a)).alias(f"n_{a}") for a in ("model", "dn", "pressure", "material")),
+        F.count_if(F.col("odd") == 1).alias("anomaly_count"),
+        *(F.coalesce(several(a), F.lit(False)).alias(f"two_{a}") for a in ("model", "dn", "pressure", "material")),
     )
-    conflict = F.greatest("n_model", "n_dn", "n_pressure", "n_material") > 1
+    conflict = F.col("two_model") | F.col("two_dn") | F.col("two_pressure") | F.col("two_material")
     decision = F.when(F.col("source_count") == 1, "NEW").when(conflict, "REVIEW").otherwise("AUTO_MERGE")
+    signature = F.concat_ws("|", "lead.std_category", "standard_name")
     return grouped.select(
         "master_id",
         F.col("lead.std_category").alias("category"),
         *(F.col(f"lead.{a}").alias(a) for a in ATTRIBUTES),
+        "standard_name",
+        golden_code(F.col("lead.std_category"), signature).alias("mdm_code"),
         "source_count",
+        "code_count",
         "source_systems",
         "plant_codes",
+        "anomaly_count",
         decision.alias("decision"),
         F.when(F.col("source_count") == 1, 0.60).when(conflict, 0.72).otherwise(0.92).alias("confidence"),
     )

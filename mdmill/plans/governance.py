@@ -1,124 +1,80 @@
-"""Table operators as SQL, second part: standard trees, issues, access, lineage, deliveries, state machines and reports.
-
-Like statements.py: inputs in braces, and each text is plain SQL that other engines run too.
-"""
+"""Table operators as SQL over named relations (relations.py): issues, texts, aggregates and reports."""
 
 from __future__ import annotations
 
-from mdmill.functions import rules
-from mdmill.plans.statements import FEEDBACK, M, MASTERS
+from mdmill.plans.relations import RETENTION
+from mdmill.plans.statements import APPROVED, REACHES
+
+VALUES = {"ag13_issue_capture": {"batch": "B1"}, "ag9_plant_summary": {}, "txt25_citations": {"version": "v1", "sheet": "items"}}
 
-PLANTS = "plants AS (SELECT 'GROUP' AS plant UNION ALL SELECT 'SHANGHAI' UNION ALL SELECT 'BEIJING')"
-#: The standard tree as a stand-in over parts: 2, 4, 6 and 8 digits.
-TREE = """
-entries AS (SELECT DISTINCT lpad(CAST(10 + p_size % 50 AS VARCHAR(9)), 2, '0') AS major, concat(10 + p_size % 50, lpad(CAST(length(p_type) AS VARCHAR(9)), 2, '0')) AS middle,
-  concat(10 + p_size % 50, lpad(CAST(length(p_type) AS VARCHAR(9)), 2, '0'), lpad(CAST(length(p_brand) AS VARCHAR(9)), 2, '0'), lpad(CAST(length(p_name) AS VARCHAR(9)), 2, '0')) AS full_code,
-  p_type AS major_name, p_brand AS item_name FROM {part})"""
-#: Issues of the stand-in materials, with the id that a repeated capture gives them again.
-ISSUES = """
-issues AS (SELECT row_id, system_source, plant_code, 'MISSING_UNIT' AS code, 'completeness' AS dimension, 'MEDIUM' AS severity FROM materials WHERE unit = ''
-  UNION ALL SELECT row_id, system_source, plant_code, 'MISSING_DESCRIPTION', 'completeness', 'MEDIUM' FROM materials WHERE description = ''
-  UNION ALL SELECT row_id, system_source, plant_code, 'MISSING_SYSTEM_SOURCE', 'lineage', 'HIGH' FROM materials WHERE system_source = ''
-  UNION ALL SELECT row_id, system_source, plant_code, 'DUPLICATE_CODE', 'uniqueness', 'HIGH' FROM
-   (SELECT *, count(*) OVER (PARTITION BY system_source, plant_code, material_code) AS n FROM materials WHERE material_code <> '') d WHERE n > 1),
-stated AS (SELECT *, CASE row_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ACKNOWLEDGED' WHEN 2 THEN 'RESOLVED' ELSE 'WAIVED' END AS status,
-  CASE severity WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 5 ELSE 10 END + row_id % 9 AS due FROM issues)"""
-#: Access requests over the event table: who asks, from which plant, for which plants.
-REQUESTS = """
-requests AS (SELECT event_id, user_id, event_type, CASE user_id % 3 WHEN 0 THEN 'GROUP' WHEN 1 THEN 'SHANGHAI' ELSE 'BEIJING' END AS own,
-  CASE event_id % 4 WHEN 0 THEN ' shanghai ' WHEN 1 THEN 'BEIJING' WHEN 2 THEN 'Group' ELSE '' END AS asked FROM {events})"""
-#: An order is a governed batch, its lines are the mappings.
-BATCHES = """
-batches AS (SELECT o_orderkey AS batch_id, o_custkey AS owner, o_orderdate AS created,
-  CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'RESTRICTED' WHEN '2' THEN 'CONFIDENTIAL' WHEN '3' THEN 'INTERNAL' ELSE 'PUBLIC' END AS classification,
-  o_custkey % 11 = 0 AS held FROM {orders})"""
-RETENTION = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.RETENTION_DAYS.items())
+#: Violations of a standard tree, by rule.
+TREE_RULES = [
+    ("REQUIRED", "coalesce(trim(full_code), '') = '' OR coalesce(trim(item_name), '') = '' OR coalesce(trim(major_name), '') = ''"),
+    ("NUMERIC", "translate(full_code, '0123456789', '') <> ''"),
+    ("LENGTH", "length(major) <> 2 OR length(middle) <> 4 OR length(minor) <> 6 OR length(full_code) <> 8"),
+    ("HIERARCHY", "substring(middle, 1, 2) <> major OR substring(minor, 1, 4) <> middle OR substring(full_code, 1, 6) <> minor"),
+]
 
 STATEMENTS = {
-    # Sources and sinks.
-    "src3_standard_rows": f"WITH {TREE} SELECT full_code, major_name, item_name, sha256(concat(full_code, '|', major_name, '|', item_name)) AS row_hash FROM entries",
-    "src3_alias_scope": f"""WITH {TREE}, aliases AS (SELECT s_suppkey AS alias, concat(10 + s_nationkey, lpad(CAST(8 + s_suppkey % 2 AS VARCHAR(9)), 2, '0'), '0707') AS target FROM {{supplier}})
- SELECT alias, target, CASE WHEN e.full_code IS NULL THEN 'EXTERNAL_BOUNDARY' ELSE 'IN_TREE' END AS scope FROM aliases LEFT JOIN (SELECT DISTINCT full_code FROM entries) e ON target = e.full_code""",
-    "src4_connectors": f"""{M}, c AS (SELECT 'SAP' AS system, 'MARA' AS object UNION ALL SELECT 'EAM', 'EAM_MATERIAL' UNION ALL SELECT '采购', 'PURCHASE_ITEM')
- SELECT row_id, coalesce(object, 'CSV_ROW') AS object, object IS NOT NULL AS configured FROM materials LEFT JOIN c ON system_source = system""",
-    "src8_payload_hashes": f"""WITH {MASTERS}, s AS (SELECT 'SAP' AS target UNION ALL SELECT 'WMS'), {PLANTS},
- p AS (SELECT mdm_code, target, plant, concat(chr(123), '"mdm_code":', mdm_code, ',"plant":"', plant, '","target":"', target, '"', chr(125)) AS payload
-  FROM masters CROSS JOIN s JOIN plants g ON masters.plants LIKE '%GROUP%' OR masters.plants LIKE concat('%', g.plant, '%'))
- SELECT mdm_code, target, plant, payload, sha256(concat(payload)) AS payload_hash FROM p""",
-    "src10_purge_guard": f"WITH {BATCHES} SELECT owner, count(*) AS batches, count(CASE WHEN held THEN 1 END) AS holds, count(CASE WHEN held THEN 1 END) = 0 AS may_purge FROM batches GROUP BY owner",
-    "src11_added_columns": "SELECT o_orderkey AS batch_id, CAST(NULL AS VARCHAR(9)) AS old_class, 'INTERNAL' AS classification FROM {orders} WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, o_orderstatus, coalesce(CASE WHEN o_orderstatus = 'O' THEN 'PUBLIC' END, 'INTERNAL') FROM {orders} WHERE o_orderstatus <> 'F'",
-    "src14_latest_batch": f"""WITH {BATCHES}, r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY created DESC, batch_id DESC) AS rn FROM batches)
- SELECT owner, batch_id, l_partkey AS mdm_code, count(*) AS mappings FROM r JOIN {{lineitem}} ON l_orderkey = batch_id WHERE rn = 1 GROUP BY owner, batch_id, l_partkey""",
-    "src16_pending_reviews": f"WITH {MASTERS} SELECT mdm_code, plants, source_count FROM masters WHERE decision = 'REVIEW'",
-    # Access.
-    "flt3_identity_scope": f"WITH {REQUESTS} SELECT event_id, CASE WHEN own <> 'GROUP' THEN own WHEN trim(asked) = '' THEN 'GROUP' ELSE upper(trim(asked)) END AS plant FROM requests",
-    "flt4_requested_scope": f"WITH {REQUESTS} SELECT event_id, own = 'GROUP' OR trim(asked) = '' OR upper(trim(asked)) = own AS allowed FROM requests",
-    "flt6_knowledge_acl": f"""WITH {REQUESTS}, v AS (SELECT 'view' AS kind, '*' AS plants, 'INTERNAL' AS levels UNION ALL SELECT 'click', 'SHANGHAI,BEIJING', '*' UNION ALL SELECT 'purchase', 'GROUP', 'PUBLIC,INTERNAL')
- SELECT event_id, (plants = '*' OR concat(',', plants, ',') LIKE concat('%,', own, ',%')) AND (levels = '*' OR concat(',', levels, ',') LIKE CASE WHEN user_id % 2 = 0 THEN '%,PUBLIC,%' ELSE '%,INTERNAL,%' END) AS allowed
- FROM requests JOIN v ON event_type = kind""",
-    "flt10_actor": """SELECT event_id, coalesce(c_name || ' (' || CAST(user_id AS VARCHAR(20)) || ')', nullif(event_type, 'view'), 'system') AS actor FROM {events} LEFT JOIN {customer} ON user_id = c_custkey AND c_nationkey < 20""",
     # Text of records.
-    "txt24_paths": f"WITH {TREE} SELECT full_code, item_name, concat_ws(' / ', major, middle, full_code, major_name) AS path FROM entries",
-    "txt25_citations": f"""{M}, c AS (SELECT plant_code, row_id, concat(upper(substring(sha256(concat('v1', plant_code)), 1, 12)), '#', category, '!', row_id % 50) AS citation FROM materials)
- SELECT plant_code, citation, min(row_id) AS first_row FROM c GROUP BY plant_code, citation""",
-    "txt27_retention_end": f"WITH {BATCHES} SELECT batch_id, CAST(created + CASE classification {RETENTION} END * INTERVAL '1' DAY AS DATE) AS until FROM batches",
-    "txt35_index_text": f"{M} SELECT row_id, concat_ws(' ', nullif(material_name, ''), nullif(category, ''), nullif(description, ''), nullif(unit, ''), nullif(plant_code, '')) AS content FROM materials",
-    "txt34_explanations": f"""WITH {MASTERS} SELECT mdm_code, concat('Golden record ', mdm_code, ' joins ', source_count, ' source rows; decision ', decision, CASE WHEN decision = 'REVIEW' THEN '; attributes differ' ELSE '' END) AS sentence FROM masters""",
-    # Joins.
-    "jn3_backfill_links": f"""{M}, r AS (SELECT row_id, material_code, row_number() OVER (PARTITION BY material_code ORDER BY row_id) AS k FROM materials WHERE row_id NOT IN (SELECT l_partkey FROM {{lineitem}} WHERE l_linenumber = 7 AND l_partkey IS NOT NULL)),
- m AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS k FROM {{lineitem}} WHERE l_linenumber <> 7)
- SELECT l_orderkey, l_linenumber, row_id FROM m JOIN r ON concat('M', l_partkey) = material_code AND m.k = r.k""",
-    "jn4_first_decision": f"""{M}, f AS (SELECT material_code, min(row_id) AS first_row FROM materials GROUP BY material_code)
- SELECT m.row_id, f.first_row, CASE WHEN m.row_id = f.first_row THEN 'NEW' ELSE 'AUTO_MERGE' END AS decision FROM materials m LEFT JOIN f ON m.material_code = f.material_code""",
-    "jn5_published_entries": """SELECT o_orderkey AS entry_id, c_custkey AS version, n_name AS source FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F'""",
-    "jn7_record_lineage": f"""{M}, d AS (SELECT l_partkey, count(*) AS deliveries, count(DISTINCT l_orderkey) AS batches, count(CASE WHEN l_returnflag = 'N' THEN 1 END) AS accepted FROM {{lineitem}} GROUP BY l_partkey)
- SELECT row_id, material_code, plant_code, coalesce(batches, 0) AS batches, coalesce(deliveries, 0) AS deliveries, coalesce(accepted, 0) AS accepted FROM materials LEFT JOIN d ON row_id = l_partkey""",
-    "jn8_code_lineage": f"""{M}, up AS (SELECT material_code, count(*) AS sources, count(DISTINCT system_source) AS systems FROM materials GROUP BY material_code),
- down AS (SELECT concat('M', l_partkey) AS code, count(*) AS deliveries, max(l_orderkey) AS last_batch FROM {{lineitem}} GROUP BY l_partkey)
- SELECT material_code, sources, systems, coalesce(deliveries, 0) AS deliveries, last_batch FROM up LEFT JOIN down ON material_code = code""",
-    "jn14_evidence": f"""WITH {MASTERS}, r AS (SELECT l_partkey, max(l_orderkey) AS review FROM {{lineitem}} WHERE l_returnflag = 'R' GROUP BY l_partkey)
- SELECT mdm_code, decision, source_count, review FROM masters LEFT JOIN r ON l_partkey = mdm_code""",
-    # Aggregates.
-    "ag2_conflicts": f"""{M} SELECT material_code, count(DISTINCT nullif(category, '')) AS categories, count(DISTINCT nullif(material_name, '')) AS names, count(DISTINCT nullif(category, '')) > 1 OR count(DISTINCT nullif(material_name, '')) > 1 AS conflict FROM materials GROUP BY material_code""",
-    "ag3_rule_codes": f"""WITH {MASTERS} SELECT mdm_code, CASE decision WHEN 'NEW' THEN 'R007' WHEN 'REVIEW' THEN 'R006/R008' ELSE 'R001/R005' END AS rules, CASE WHEN plants LIKE '%,%' THEN 'SHARED' ELSE 'SINGLE' END AS reach FROM masters""",
-    "ag9_plant_summary": f"""WITH {MASTERS}, {PLANTS} SELECT plant, count(*) AS masters, count(CASE WHEN decision = 'AUTO_MERGE' THEN 1 END) AS approved, CAST(sum(source_count - 1) AS BIGINT) AS avoided
- FROM masters JOIN plants g ON g.plant = 'GROUP' OR masters.plants LIKE '%GROUP%' OR masters.plants LIKE concat('%', g.plant, '%') GROUP BY plant""",
-    "ag13_issue_capture": f"""{M}, {ISSUES} SELECT DISTINCT concat('DQI-', upper(substring(sha256(concat('B1:', row_id, ':', code)), 1, 16))) AS issue_id, row_id, code, severity, CASE severity WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 5 ELSE 10 END AS due_days FROM issues""",
-    "ag14_issue_summary": f"""{M}, {ISSUES} SELECT status, dimension, count(*) AS n, count(CASE WHEN status IN ('OPEN', 'ACKNOWLEDGED') AND due < 8 THEN 1 END) AS overdue FROM stated GROUP BY status, dimension""",
-    "ag15_controls_by_domain": f"""{M} SELECT category AS domain, count(*) AS controls, count(CASE WHEN row_id % 3 = 0 THEN 1 END) AS implemented, count(CASE WHEN row_id % 3 = 1 THEN 1 END) AS monitored FROM materials GROUP BY category""",
-    "ag19_compliance": f"""WITH {BATCHES} SELECT classification, count(*) AS batches, count(CASE WHEN held THEN 1 END) AS holds, count(DISTINCT owner) AS owners FROM batches GROUP BY classification""",
-    "ag21_review_progress": f"""WITH {FEEDBACK} SELECT batch_id, count(CASE WHEN accepted THEN 1 END) AS resolved, count(CASE WHEN NOT accepted THEN 1 END) AS pending, round(100.0 * count(CASE WHEN accepted THEN 1 END) / count(*), 1) + 0e0 AS percent FROM deliveries GROUP BY batch_id""",
-    "ag23_tree_violations": f"""WITH {TREE}, n AS (SELECT *, count(*) OVER (PARTITION BY full_code) AS same FROM entries)
- SELECT full_code, item_name, CASE WHEN same > 1 THEN 'DUPLICATE' WHEN length(full_code) <> 8 THEN 'LENGTH' WHEN substring(full_code, 1, 4) <> middle THEN 'HIERARCHY' ELSE 'NAME' END AS violation
- FROM n WHERE same > 1 OR length(full_code) <> 8 OR substring(full_code, 1, 4) <> middle OR item_name = ''""",
-    "ag24_source_issues": f"{M}, {ISSUES} SELECT row_id, coalesce(nullif(system_source, ''), 'CSV导入') AS source, plant_code, code, dimension, severity, status FROM stated",
-    "ag25_step_metrics": f"""WITH {FEEDBACK} SELECT batch_id, count(DISTINCT mdm_code) AS masters, count(*) AS deliveries, count(CASE WHEN accepted THEN 1 END) AS accepted, count(DISTINCT plant_code) AS plants FROM deliveries GROUP BY batch_id""",
-    # Top-k and order.
-    "tk8_open_issues": f"""{M}, {ISSUES} SELECT row_id, code, row_number() OVER (PARTITION BY plant_code, status ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, due, row_id, code) AS place FROM stated""",
-    "tk9_versions_newest_first": f"WITH {BATCHES} SELECT owner, batch_id, row_number() OVER (PARTITION BY owner ORDER BY created DESC, batch_id DESC) AS place FROM batches",
-    # Sets and the lineage graph.
-    "set2_last_attributes": f"""WITH {FEEDBACK}, n AS (SELECT concat('M', mdm_code) AS node, plant_code AS attribute, batch_id AS seen FROM deliveries UNION ALL SELECT concat('B', batch_id), plant_code, batch_id FROM deliveries)
- SELECT node, attribute FROM (SELECT node, attribute, row_number() OVER (PARTITION BY node ORDER BY seen DESC, attribute) AS rn FROM n) x WHERE rn = 1""",
-    # State machines.
-    "st3_lifecycle": f"""{M}, edges AS (SELECT 'PENDING' AS a, 'REVIEWED' AS b, 'STEWARD' AS role UNION ALL SELECT 'PENDING', 'REJECTED', 'STEWARD' UNION ALL SELECT 'REVIEWED', 'APPROVED', 'APPROVER' UNION ALL SELECT 'REVIEWED', 'REJECTED', 'APPROVER' UNION ALL SELECT 'APPROVED', 'ARCHIVED', 'APPROVER'),
- r AS (SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'REVIEWED' ELSE 'APPROVED' END AS status, CASE row_id % 5 WHEN 0 THEN 'REVIEWED' WHEN 1 THEN 'APPROVED' WHEN 2 THEN 'ARCHIVED' ELSE 'REJECTED' END AS wanted,
-  CASE WHEN row_id % 2 = 0 THEN 'STEWARD' ELSE 'APPROVER' END AS who FROM materials)
- SELECT row_id, coalesce(b, status) AS status, b IS NULL AS rejected, coalesce(b = 'APPROVED', false) AS mints_master FROM r LEFT JOIN edges ON status = a AND wanted = b AND who = role""",
-    "st4_publish": f"""WITH {BATCHES}, p AS (SELECT owner, max(batch_id) AS target FROM batches WHERE classification <> 'RESTRICTED' GROUP BY owner), c AS (SELECT owner, min(batch_id) AS current FROM batches GROUP BY owner)
- SELECT b.batch_id, CASE WHEN b.batch_id = p.target THEN 'PUBLISHED' WHEN b.batch_id = c.current THEN 'RETIRED' ELSE 'VALIDATED' END AS status FROM batches b JOIN c ON b.owner = c.owner LEFT JOIN p ON b.owner = p.owner""",
-    "st5_assessments": f"""{M}, r AS (SELECT row_id, row_id % 7 AS maturity, CASE row_id % 4 WHEN 0 THEN 'IMPLEMENTED' WHEN 1 THEN 'MONITORED' WHEN 2 THEN 'PLANNED' ELSE 'DONE' END AS status FROM materials)
- SELECT row_id, maturity, status, maturity BETWEEN 1 AND 5 AND status IN ('IMPLEMENTED', 'MONITORED', 'PLANNED') AS accepted FROM r""",
-    "st7_deliveries": f"""WITH {MASTERS}, t AS (SELECT l_orderkey AS event, l_linenumber AS line, l_partkey AS code, CASE WHEN l_suppkey % 2 = 0 THEN 'SHANGHAI' ELSE 'BEIJING' END AS plant FROM {{lineitem}})
- SELECT event, line, code, plant, CASE WHEN decision IN ('AUTO_MERGE', 'NEW', 'CONFIRMED_NEW') AND (plants LIKE '%GROUP%' OR plants LIKE concat('%', plant, '%')) THEN 'SUCCESS' ELSE 'FAILED' END AS outcome FROM t LEFT JOIN masters ON code = mdm_code""",
-    "st8_feedback_intake": f"""WITH {FEEDBACK}, sent AS (SELECT DISTINCT mdm_code AS code, plant_code AS plant FROM deliveries WHERE accepted)
- SELECT batch_id, mdm_code, plant_code, CASE WHEN code IS NULL THEN 'NOT_DELIVERED' WHEN rating NOT BETWEEN 1 AND 5 THEN 'BAD_RATING' ELSE 'STORED' END AS outcome FROM deliveries LEFT JOIN sent ON mdm_code = code AND plant_code = plant""",
-    "st9_hold_intervals": """WITH h AS (SELECT user_id AS batch_id, ts, event_id, event_type = 'purchase' AS held, lag(event_type = 'purchase', 1, false) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM {events}),
- c AS (SELECT batch_id, event_id AS opened, held, lead(event_id) OVER (PARTITION BY batch_id ORDER BY ts, event_id) AS closed FROM h WHERE held <> before)
- SELECT batch_id, opened, closed FROM c WHERE held""",
-    "st11_one_active_profile": f"WITH {BATCHES} SELECT batch_id, batch_id = max(batch_id) OVER (PARTITION BY owner) AS active FROM batches",
+    "txt24_paths": """SELECT full_code, item_name, concat_ws(' / ', major_name, middle_name, minor_name, item_name) AS path,
+ concat_ws(' ', full_code, major_name, middle_name, minor_name, item_name, nullif(example, '')) AS content FROM {entries}""",
+    "txt25_citations": """SELECT citation, sheet, row_no, full_code, item_name FROM (SELECT concat(upper(substring(sha256(concat(:version, '|', major)), 1, 12)), '#', :sheet, '!', substring(full_code, 5, 4)) AS citation,
+  :sheet AS sheet, substring(full_code, 5, 4) AS row_no, full_code, item_name, row_number() OVER (PARTITION BY major, substring(full_code, 5, 4) ORDER BY full_code, item_name, middle_name, major_name) AS k FROM {entries}) x WHERE k = 1""",
+    "txt27_retention_end": f"SELECT batch_id, CAST(created + CASE classification {RETENTION} END * INTERVAL '1' DAY AS DATE) AS until FROM {{batches}}",
+    "txt34_explanations": """WITH s AS (SELECT mdm_code, count(*) AS sources, count(DISTINCT system_source) AS systems FROM {mappings} GROUP BY mdm_code), r AS (SELECT mdm_code, max(review_id) AS review FROM {reviews} GROUP BY mdm_code)
+ SELECT m.mdm_code, concat('Golden record ', m.mdm_code, ' (', standard_name, ') joins ', coalesce(sources, 0), ' source rows of ', coalesce(systems, 0), ' systems; decision ', decision,
+  CASE decision WHEN 'REVIEW' THEN '; attributes differ, rules R006/R008' WHEN 'NEW' THEN '; no match, rule R007' ELSE '; attributes agree, rules R001/R005' END, CASE WHEN review IS NULL THEN '' ELSE concat('; review ', review) END) AS sentence
+ FROM {masters} m LEFT JOIN s ON s.mdm_code = m.mdm_code LEFT JOIN r ON r.mdm_code = m.mdm_code""",
+    "txt35_index_text": """SELECT m.mdm_code, concat_ws(' ', nullif(standard_name, ''), nullif(m.category, ''), nullif(plants, ''), nullif(decision, ''), CAST(m.mdm_code AS VARCHAR(20)), nullif(material_code, ''), nullif(description, ''), nullif(unit, '')) AS content
+ FROM {masters} m LEFT JOIN {materials} r ON r.row_id = m.mdm_code""",
+    # Aggregates of golden records.
+    "ag2_conflicts": """SELECT component, count(DISTINCT nullif(model, '')) AS models, count(DISTINCT nullif(dn, '')) AS dns, count(DISTINCT nullif(pressure, '')) AS pressures, count(DISTINCT nullif(material, '')) AS materials,
+ count(DISTINCT nullif(model, '')) > 1 OR count(DISTINCT nullif(dn, '')) > 1 OR count(DISTINCT nullif(pressure, '')) > 1 OR count(DISTINCT nullif(material, '')) > 1 AS conflict FROM {attributed} GROUP BY component""",
+    "ag3_rule_codes": """SELECT p.mapping_id, p.mdm_code, concat_ws('/', CASE decision WHEN 'NEW' THEN 'R007' WHEN 'REVIEW' THEN 'R006/R008' ELSE 'R001/R005' END, CASE WHEN m.plants LIKE '%,%' THEN 'R009' END) AS rules,
+ decision = 'REVIEW' AS to_review FROM {mappings} p JOIN {masters} m ON m.mdm_code = p.mdm_code""",
+    "ag7_batch_summary": """SELECT count(*) AS masters, CAST(sum(source_count) AS BIGINT) AS records, count(CASE WHEN decision = 'AUTO_MERGE' THEN 1 END) AS merged, count(CASE WHEN decision = 'REVIEW' THEN 1 END) AS review,
+ count(CASE WHEN decision IN ('NEW', 'CONFIRMED_NEW') THEN 1 END) AS fresh, round(100.0 * (sum(source_count) - count(*)) / sum(source_count), 1) + 0e0 AS compression FROM {masters}""",
+    "ag8_collaboration": f"""SELECT count(CASE WHEN decision IN {APPROVED} THEN 1 END) AS approved, count(CASE WHEN plants LIKE '%,%' THEN 1 END) AS shared, CAST(sum(source_count - 1) AS BIGINT) AS avoided,
+ CAST(sum(CASE WHEN decision IN {APPROVED} THEN CASE WHEN concat(',', plants, ',') LIKE '%,GROUP,%' THEN 2 ELSE length(plants) - length(replace(plants, ',', '')) + 1 END ELSE 0 END) AS BIGINT) AS potential,
+ round(100.0 * count(CASE WHEN plants LIKE '%,%' THEN 1 END) / count(*), 1) + 0e0 AS shared_rate, CAST(sum(source_count - 1) AS DOUBLE) / 2 AS hours FROM {{masters}}""",
+    "ag9_plant_summary": f"""SELECT plant, count(*) AS masters, count(CASE WHEN decision IN {APPROVED} THEN 1 END) AS approved, CAST(sum(source_count - 1) AS BIGINT) AS avoided
+ FROM {{masters}} m CROSS JOIN {{plants}} WHERE plant = 'GROUP' OR {REACHES.format('plant')} GROUP BY plant""",
+    "ag10_source_root": """WITH h AS (SELECT batch_id, sha256(concat(row_id, '|', material_code, '|', system_source, '|', material_name, '|', description, '|', category, '|', unit, '|', plant_code)) AS hash FROM {records}),
+ g AS (SELECT batch_id, substring(hash, 1, 3) AS part, hash FROM h), b AS (SELECT batch_id, part, listagg(hash, '') WITHIN GROUP (ORDER BY hash) AS hashes FROM g GROUP BY batch_id, part),
+ c AS (SELECT batch_id, sha256(concat(part, ':', hashes)) AS digest FROM b), d AS (SELECT batch_id, listagg(digest, '') WITHIN GROUP (ORDER BY digest) AS digests FROM c GROUP BY batch_id)
+ SELECT batch_id, sha256(concat(digests)) AS root FROM d""",
+    "ag11_problem_records": "SELECT count(*) AS problems FROM (SELECT DISTINCT system_source, row_id FROM {issues}) x",
+    "ag12_duplicate_codes": """WITH n AS (SELECT system_source, plant_code, material_code, count(*) AS n FROM {materials} WHERE material_code <> '' GROUP BY system_source, plant_code, material_code)
+ SELECT row_id, n FROM {materials} m JOIN n ON m.system_source = n.system_source AND m.plant_code = n.plant_code AND m.material_code = n.material_code WHERE n > 1""",
+    "ag13_issue_capture": """WITH n AS (SELECT system_source, plant_code, material_code FROM {materials} WHERE material_code <> '' GROUP BY system_source, plant_code, material_code HAVING count(*) > 1),
+ f AS (SELECT row_id, code FROM {found} UNION SELECT row_id, 'DUPLICATE_CODE' FROM {materials} m JOIN n ON m.system_source = n.system_source AND m.plant_code = n.plant_code AND m.material_code = n.material_code)
+ SELECT concat('DQI-', upper(substring(sha256(concat(:batch, ':', row_id, ':', f.code)), 1, 16))) AS issue_id, row_id, f.code, rule_id, dimension, coalesce(default_severity, 'MEDIUM') AS severity,
+  CASE coalesce(default_severity, 'MEDIUM') WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 5 ELSE 10 END AS due_days FROM f JOIN {rules} r ON r.code = f.code WHERE active""",
+    "ag14_issue_summary": """SELECT status, dimension, count(*) AS n, count(CASE WHEN status IN ('OPEN', 'ACKNOWLEDGED') AND due_in < 8 THEN 1 END) AS overdue FROM {issues} GROUP BY status, dimension""",
+    "ag15_controls_by_domain": """SELECT category AS domain, count(*) AS controls, count(CASE WHEN decision = 'NEW' THEN 1 END) AS implemented, count(CASE WHEN decision = 'REVIEW' THEN 1 END) AS monitored FROM {masters} GROUP BY category""",
+    "ag16_feedback_by_code": """SELECT mdm_code, avg(rating) AS rating, avg(CASE WHEN accepted THEN 1 ELSE 0 END) AS acceptance, listagg(comment, ';') WITHIN GROUP (ORDER BY comment) AS comments, count(*) AS n FROM {deliveries} GROUP BY mdm_code""",
+    "ag17_vector_stats": """SELECT provider, dimension, namespace, count(*) AS n, max(vec_id) AS newest FROM (SELECT CASE WHEN vec_id % 4 = 0 THEN 'remote' ELSE 'local' END AS provider, 64 AS dimension, label AS namespace, vec_id FROM {embeddings}) v
+ GROUP BY provider, dimension, namespace""",
+    "ag18_tree_stats": "SELECT count(DISTINCT major) AS major, count(DISTINCT middle) AS middle, count(DISTINCT minor) AS minor, count(*) AS n FROM {entries}",
+    "ag19_compliance": """SELECT classification, count(*) AS batches, count(CASE WHEN held THEN 1 END) AS holds, count(DISTINCT owner) AS owners, max(r.n) AS active_rules
+ FROM {batches} CROSS JOIN (SELECT count(CASE WHEN active THEN 1 END) AS n FROM {rules}) r GROUP BY classification""",
+    "ag20_workflow_progress": """SELECT batch_id, count(DISTINCT CASE WHEN status = 'COMPLETED' THEN step_id END) AS completed, count(*) AS steps, count(*) = count(CASE WHEN status = 'COMPLETED' THEN 1 END) AS closed_loop FROM {steps} GROUP BY batch_id""",
+    "ag21_review_progress": """SELECT plant_code, count(CASE WHEN status = 'PENDING' THEN 1 END) AS pending, count(CASE WHEN status <> 'PENDING' THEN 1 END) AS resolved,
+ round(100.0 * count(CASE WHEN status <> 'PENDING' THEN 1 END) / count(*), 1) + 0e0 AS percent FROM {reviews} GROUP BY plant_code""",
+    "ag22_delivery_summary": """SELECT batch_id, plant_code, count(CASE WHEN success THEN 1 END) AS success, count(CASE WHEN NOT success THEN 1 END) AS failed,
+ listagg(hash, ',') WITHIN GROUP (ORDER BY hash) AS hashes FROM (SELECT batch_id, plant_code, success, substring(sha256(concat(mdm_code, '|', plant_code, '|', target_system)), 1, 16) AS hash FROM {deliveries}) d GROUP BY batch_id, plant_code""",
+    "ag23_tree_violations": " UNION ALL ".join(f"SELECT full_code, item_name, '{name}' AS violation FROM {{entries}} WHERE {test}" for name, test in TREE_RULES)
+    + """ UNION ALL SELECT e.full_code, e.item_name, 'DUPLICATE' FROM {entries} e JOIN (SELECT full_code FROM {entries} GROUP BY full_code HAVING count(*) > 1) d ON d.full_code = e.full_code
+ UNION ALL SELECT coalesce(target, ''), CAST(alias AS VARCHAR(20)), 'ALIAS_CODE' FROM {aliases} WHERE coalesce(length(target), 0) <> 8""",
+    "ag24_source_issues": """SELECT i.row_id, coalesce(nullif(i.system_source, ''), 'CSV导入') AS source, i.plant_code, i.code, i.dimension, i.severity, i.status, material_code AS source_id FROM {issues} i JOIN {materials} m ON m.row_id = i.row_id""",
+    "ag25_step_metrics": """WITH d AS (SELECT batch_id, count(DISTINCT mdm_code) AS masters, count(*) AS deliveries, count(CASE WHEN success THEN 1 END) AS delivered, count(CASE WHEN accepted THEN 1 END) AS feedback FROM {deliveries} GROUP BY batch_id)
+ SELECT b.batch_id, record_count, coalesce(masters, 0) AS masters, coalesce(deliveries, 0) AS deliveries, coalesce(delivered, 0) AS delivered, coalesce(feedback, 0) AS feedback FROM {batches} b LEFT JOIN d ON d.batch_id = b.batch_id""",
     # Reports.
-    "rp1_governance_report": f"""WITH {FEEDBACK}, r AS (SELECT batch_id, count(*) AS deliveries, count(DISTINCT mdm_code) AS masters, count(CASE WHEN accepted THEN 1 END) AS accepted FROM deliveries GROUP BY batch_id)
- SELECT *, sha256(concat(batch_id, '|', deliveries, '|', masters, '|', accepted)) AS content_hash FROM r""",
-    "rp2_decision_evidence": f"""WITH {MASTERS}, s AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS place FROM {{lineitem}})
- SELECT mdm_code, decision, place, l_orderkey AS source FROM masters JOIN s ON mdm_code = l_partkey WHERE place <= 20""",
+    "rp1_governance_report": f"""WITH m AS (SELECT count(*) AS masters, CAST(sum(source_count) AS BIGINT) AS records, count(CASE WHEN decision IN {APPROVED} THEN 1 END) AS approved FROM {{masters}}),
+ i AS (SELECT count(*) AS issues, count(CASE WHEN status IN ('OPEN', 'ACKNOWLEDGED') THEN 1 END) AS open FROM {{issues}}), d AS (SELECT count(*) AS deliveries, count(CASE WHEN success THEN 1 END) AS delivered, count(CASE WHEN accepted THEN 1 END) AS accepted FROM {{deliveries}}),
+ s AS (SELECT count(*) AS steps, count(CASE WHEN status = 'COMPLETED' THEN 1 END) AS completed FROM {{steps}})
+ SELECT *, sha256(concat(masters, '|', records, '|', approved, '|', issues, '|', open, '|', deliveries, '|', delivered, '|', accepted, '|', steps, '|', completed)) AS content_hash FROM m CROSS JOIN i CROSS JOIN d CROSS JOIN s""",
+    "rp2_decision_evidence": """WITH s AS (SELECT mdm_code, mapping_id, material_code, system_source, row_number() OVER (PARTITION BY mdm_code ORDER BY mapping_id) AS place FROM {mappings})
+ SELECT m.mdm_code, decision, CASE decision WHEN 'NEW' THEN 'R007' WHEN 'REVIEW' THEN 'R006/R008' ELSE 'R001/R005' END AS rules, place, mapping_id, material_code, system_source FROM {masters} m JOIN s ON s.mdm_code = m.mdm_code WHERE place <= 20""",
 }

@@ -1,95 +1,130 @@
-"""Table operators as SQL: joins, windows, aggregates, set operations and state transitions.
-
-Each statement names its inputs in braces. Over driver tables it is also its
-own oracle, since the text is plain SQL that other engines run.
-"""
+"""Table operators as SQL over named relations (relations.py): scopes, sinks, joins, windows, top-k and sets."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
-
-from mdmill.sources.materials import MATERIALS_SQL
+VISIBLE = "(:plant IN ('', 'GROUP', 'ALL') OR concat(',', plants, ',') LIKE concat('%,', :plant, ',%'))"
+REACHES = "(concat(',', m.plants, ',') LIKE '%,GROUP,%' OR concat(',', m.plants, ',') LIKE concat('%,', {0}, ',%'))"
+APPROVED = "('AUTO_MERGE', 'NEW', 'CONFIRMED_NEW')"
 
-M = f"WITH materials AS ({MATERIALS_SQL})"
-#: Golden records with their plants and decisions, deliveries and feedback, as stand-ins over orders.
-MASTERS = """
-masters AS (SELECT p_partkey AS mdm_code,
-  CASE WHEN p_partkey % 5 = 0 THEN 'GROUP' WHEN p_partkey % 5 = 1 THEN 'GROUP,SHANGHAI' WHEN p_partkey % 5 = 2 THEN 'BEIJING' ELSE 'SHANGHAI,BEIJING' END AS plants,
-  CASE WHEN p_size % 7 = 0 THEN 'NEW' WHEN p_size % 7 = 1 THEN 'REVIEW' ELSE 'AUTO_MERGE' END AS decision, 1 + p_size % 4 AS source_count
-  FROM {part})"""
-FEEDBACK = """
-deliveries AS (SELECT l_orderkey AS batch_id, l_partkey AS mdm_code, CASE WHEN o_custkey % 2 = 0 THEN 'SHANGHAI' ELSE 'BEIJING' END AS plant_code,
-  l_returnflag = 'N' AS accepted, 1 + l_linenumber % 5 AS rating FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey)"""
+#: Values of :name for the registered queries.
+VALUES = {
+    "flt1_plant_visible": {"plant": "SHANGHAI"},
+    "flt2_distributable": {"plant": "SHANGHAI"},
+    "flt9_masked_ip": {"reader": "AUDITOR"},
+    "src9_retention_delete": {"today": "1997-01-01"},
+    "src9_retention_report": {"today": "1997-01-01"},
+    "src14_latest_batch": {"plant": "SHANGHAI"},
+    "jn7_record_lineage": {"plant": "SHANGHAI"},
+    "tk7_first_mappings": {"most": 3},
+    "txt23_issue_ids": {"batch": "B1"},
+}
 
 STATEMENTS = {
-    # Scopes and projections.
-    "flt1_plant_visible": f"WITH {MASTERS} SELECT mdm_code FROM masters WHERE concat(',', plants, ',') LIKE '%,SHANGHAI,%'",
-    "flt2_distributable": f"WITH {MASTERS} SELECT mdm_code FROM masters WHERE concat(',', plants, ',') LIKE '%,SHANGHAI,%' OR concat(',', plants, ',') LIKE '%,GROUP,%'",
-    "flt7_egress_gate": """SELECT l_orderkey AS batch_id, l_linenumber AS line, classification, external_ai FROM {lineitem}
- JOIN (SELECT 'A' AS flag, 'PUBLIC' AS classification, true AS external_ai UNION ALL SELECT 'N', 'INTERNAL', true UNION ALL SELECT 'R', 'RESTRICTED', false) p ON l_returnflag = flag""",
-    "flt9_masked_ip": "SELECT event_id, CASE WHEN user_id % 10 = 0 THEN concat('10.0.0.', user_id % 256) ELSE 'masked' END AS client_ip FROM {events}",
-    "txt23_issue_ids": f"{M} SELECT row_id, concat('DQI-', upper(substring(sha256(concat('B1:', row_id, ':MISSING_UNIT')), 1, 16))) AS issue_id FROM materials WHERE unit = ''",
-    # Tables: upsert, insert if absent, retention, migration.
-    "src6_upsert_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) x WHERE rn = 1",
-    "src7_insert_absent": "SELECT DISTINCT o_custkey AS custkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {customer} WHERE c_custkey = o_custkey AND c_custkey % 2 = 0)",
-    "src9_retention_delete": """WITH expired AS (SELECT o_orderkey AS batch_id, o_custkey % 11 = 0 AS held FROM {orders} WHERE o_orderdate < DATE '1997-01-01')
- SELECT l_orderkey AS batch_id, count(*) AS kept FROM {lineitem} WHERE l_orderkey NOT IN (SELECT batch_id FROM expired WHERE NOT held) GROUP BY l_orderkey""",
-    "src13_rebuild_snapshot": f"WITH {FEEDBACK} SELECT batch_id, mdm_code, count(*) AS mappings, avg(rating) AS similarity FROM deliveries GROUP BY batch_id, mdm_code",
+    # Scopes.
+    "flt1_plant_visible": f"SELECT mdm_code FROM {{masters}} WHERE {VISIBLE}",
+    "flt2_distributable": f"SELECT mdm_code FROM {{masters}} WHERE {VISIBLE} OR concat(',', plants, ',') LIKE '%,GROUP,%'",
+    "flt3_identity_scope": "SELECT event_id, CASE WHEN own <> 'GROUP' THEN own WHEN trim(asked) = '' THEN 'GROUP' ELSE upper(trim(asked)) END AS plant FROM {requests}",
+    "flt4_requested_scope": """SELECT event_id, min(CASE WHEN own = 'GROUP' OR coalesce(trim(plant), '') = '' OR upper(trim(plant)) = own THEN 1 ELSE 0 END) = 1 AS allowed
+ FROM {scopes} GROUP BY event_id""",
+    "flt6_knowledge_acl": """SELECT event_id, (plants = '*' OR concat(',', plants, ',') LIKE concat('%,', own, ',%')) AND (levels = '*' OR concat(',', levels, ',') LIKE concat('%,', clearance, ',%')) AS allowed
+ FROM {requests} r JOIN {policies} p ON r.kind = p.kind""",
+    "flt7_egress_gate": """SELECT d.batch_id, d.line, b.classification, coalesce(b.classification IN ('PUBLIC', 'INTERNAL'), false) AS external_ai
+ FROM {deliveries} d LEFT JOIN {batches} b ON d.batch_id = b.batch_id""",
+    "flt9_masked_ip": "SELECT event_id, CASE WHEN :reader = 'GROUP_ADMIN' THEN concat('10.0.0.', user_id % 256) ELSE 'masked' END AS client_ip FROM {requests}",
+    "flt10_actor": """SELECT event_id, CASE WHEN p.user_id IS NOT NULL THEN concat(display, ' (', r.user_id, ')') ELSE coalesce(nullif(trim(asked), ''), 'system') END AS actor
+ FROM {requests} r LEFT JOIN {principals} p ON r.user_id = p.user_id""",
+    # Ids of issues, sources and tasks.
+    "txt23_issue_ids": """SELECT row_id, concat('DQI-', upper(substring(sha256(concat(:batch, ':', row_id, ':MISSING_UNIT')), 1, 16))) AS issue_id,
+ concat('SRC-', upper(substring(sha256(concat(:batch, ':', system_source, ':', material_code, ':', row_id)), 1, 16))) AS source_id,
+ concat('TASK-', upper(substring(sha256(concat(material_code, ':', plant_code)), 1, 12))) AS task_id FROM {materials}""",
+    # Sources and sinks.
+    "src3_standard_rows": """SELECT full_code, major_name, item_name, concat('A', full_code, ':G', full_code) AS cells, sha256(concat(full_code, '|', major_name, '|', middle_name, '|', item_name)) AS row_hash
+ FROM {sheet} WHERE trim(concat(full_code, major_name, middle_name, item_name)) <> ''""",
+    "src3_alias_scope": """SELECT alias, target, CASE WHEN e.full_code IS NULL THEN 'EXTERNAL_BOUNDARY' ELSE 'IN_TREE' END AS scope
+ FROM {aliases} a LEFT JOIN (SELECT DISTINCT full_code FROM {entries}) e ON target = e.full_code""",
+    "src6_upsert_latest": """SELECT batch_id, step_id, status, metrics FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, status ORDER BY ts DESC, step_id DESC) AS rn FROM {steps}) x WHERE rn = 1""",
+    "src7_insert_absent": """SELECT DISTINCT d.mdm_code, d.plant_code FROM {deliveries} d WHERE NOT EXISTS (SELECT 1 FROM {reviews} r WHERE r.mdm_code = d.mdm_code AND r.plant_code = d.plant_code)""",
+    "src8_payload_hashes": f"""WITH p AS (SELECT mdm_code, target_system, plant, concat(chr(123), '"mdm_code":', mdm_code, ',"plant_code":"', plant, '","target_system":"', target_system, '"', chr(125)) AS payload
+  FROM {{masters}} m CROSS JOIN {{systems}} CROSS JOIN {{plants}} WHERE {REACHES.format('plant')})
+ SELECT mdm_code, target_system, plant, payload, sha256(concat(payload)) AS payload_hash FROM p""",
+    "src9_retention_delete": """WITH gone AS (SELECT batch_id FROM {batches} WHERE NOT held AND created < CAST(:today AS DATE))
+ SELECT d.batch_id, count(*) AS kept FROM {deliveries} d WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.batch_id = d.batch_id) GROUP BY d.batch_id""",
+    "src9_retention_report": """SELECT b.batch_id, b.held, CASE WHEN b.held THEN 'HELD' ELSE 'DELETE' END AS action, count(d.batch_id) AS rows_of_it
+ FROM {batches} b LEFT JOIN {deliveries} d ON d.batch_id = b.batch_id WHERE b.created < CAST(:today AS DATE) GROUP BY b.batch_id, b.held""",
+    "src10_purge_guard": """SELECT owner, count(*) AS batches, count(CASE WHEN held THEN 1 END) AS holds, count(CASE WHEN held THEN 1 END) = 0 AS may_purge FROM {batches} GROUP BY owner""",
+    "src13_rebuild_snapshot": """SELECT batch_id, m.mdm_code, standard_name, decision, count(*) AS mappings, avg(similarity) AS similarity, count(DISTINCT p.system_source) AS systems
+ FROM {mappings} p JOIN {masters} m ON p.mdm_code = m.mdm_code WHERE NOT EXISTS (SELECT 1 FROM {reviews} r WHERE r.mdm_code = p.mdm_code AND r.plant_code = p.plant_code) GROUP BY batch_id, m.mdm_code, standard_name, decision""",
+    "src14_latest_batch": f"""WITH newest AS (SELECT batch_id FROM (SELECT batch_id, row_number() OVER (PARTITION BY owner ORDER BY created DESC, batch_id DESC) AS rn FROM {{batches}}) x WHERE rn = 1)
+ SELECT d.batch_id, m.mdm_code, m.decision, count(*) AS deliveries FROM newest n JOIN {{deliveries}} d ON d.batch_id = n.batch_id JOIN {{masters}} m ON m.mdm_code = d.mdm_code
+ WHERE {VISIBLE} OR concat(',', plants, ',') LIKE '%,GROUP,%' GROUP BY d.batch_id, m.mdm_code, m.decision""",
+    "src16_pending_reviews": """SELECT r.review_id, m.mdm_code, m.standard_name, m.plants, m.source_count, r.plant_code FROM {reviews} r JOIN {masters} m ON m.mdm_code = r.mdm_code WHERE r.status = 'PENDING'""",
+    "src16_golden_view": "SELECT mdm_code, standard_name, category, decision, plants, source_count FROM {masters} WHERE decision <> 'REVIEW'",
     # Joins.
-    "jn2_rank_links": f"""{M}, r AS (SELECT row_id, material_code, plant_code, row_number() OVER (PARTITION BY material_code, plant_code ORDER BY row_id) AS k FROM materials),
- m AS (SELECT p_partkey AS mapping_id, concat('M', p_partkey) AS material_code, row_number() OVER (PARTITION BY p_partkey ORDER BY p_partkey) AS k FROM {{part}})
- SELECT mapping_id, row_id FROM m JOIN r ON m.material_code = r.material_code AND m.k = r.k""",
-    "jn6_active_version": "SELECT c_custkey AS catalog, max(o_orderkey) AS version FROM {customer} JOIN {orders} ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY c_custkey",
-    "jn9_semi_delivered": f"WITH {FEEDBACK} SELECT p_partkey AS mdm_code FROM {{part}} WHERE EXISTS (SELECT 1 FROM deliveries WHERE mdm_code = p_partkey AND accepted)",
-    "jn10_anti_approved": f"WITH {MASTERS} SELECT p_partkey AS mdm_code FROM {{part}} WHERE NOT EXISTS (SELECT 1 FROM masters WHERE mdm_code = p_partkey AND decision = 'AUTO_MERGE')",
-    "jn11_task_expansion": f"""WITH {MASTERS}, s AS (SELECT 'SAP' AS target_system UNION ALL SELECT 'WMS'), p AS (SELECT 'SHANGHAI' AS plant UNION ALL SELECT 'BEIJING')
- SELECT mdm_code, target_system, plant, plants LIKE '%GROUP%' OR concat(',', plants, ',') LIKE concat('%,', plant, ',%') AS eligible FROM masters CROSS JOIN s CROSS JOIN p""",
-    "jn13_latest_block": """WITH b AS (SELECT user_id, max(ts) AS latest FROM {events} GROUP BY user_id)
- SELECT e.user_id, e.event_id, e.ts = b.latest AS matches FROM {events} e LEFT JOIN b ON e.user_id = b.user_id""",
-    # Aggregates.
-    "ag7_batch_summary": f"WITH {MASTERS} SELECT decision, count(*) AS masters, CAST(sum(source_count) AS BIGINT) AS records FROM masters GROUP BY decision",
-    "ag8_collaboration": f"""WITH {MASTERS} SELECT count(CASE WHEN decision = 'AUTO_MERGE' THEN 1 END) AS approved, count(CASE WHEN plants LIKE '%,%' THEN 1 END) AS shared,
- CAST(sum(source_count - 1) AS BIGINT) AS avoided, CAST(sum(source_count - 1) AS DOUBLE) / 2 AS hours FROM masters""",
-    "ag11_problem_records": f"{M} SELECT count(*) AS problems FROM (SELECT DISTINCT system_source, row_id FROM materials WHERE material_code = '' OR unit = '' OR category = '' OR description = '' OR system_source = '') x",
-    "ag12_duplicate_codes": f"""{M} SELECT row_id, n FROM (SELECT row_id, count(*) OVER (PARTITION BY system_source, plant_code, material_code) AS n FROM materials WHERE material_code <> '') x WHERE n > 1""",
-    "ag16_feedback_by_code": f"WITH {FEEDBACK} SELECT mdm_code, avg(rating) AS rating, avg(CASE WHEN accepted THEN 1 ELSE 0 END) AS acceptance, count(*) AS n FROM deliveries GROUP BY mdm_code",
-    "ag17_vector_stats": "SELECT label, count(*) AS n, max(vec_id) AS newest FROM {embeddings} GROUP BY label",
-    "ag18_tree_stats": f"{M} SELECT count(DISTINCT category) AS major, count(DISTINCT concat(category, '/', material_name)) AS minor, count(*) AS n FROM materials",
-    "ag20_workflow_progress": "SELECT user_id, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS completed, count(*) AS steps FROM {events} GROUP BY user_id",
-    "ag22_delivery_summary": f"WITH {FEEDBACK} SELECT plant_code, count(CASE WHEN accepted THEN 1 END) AS success, count(CASE WHEN NOT accepted THEN 1 END) AS failed FROM deliveries GROUP BY plant_code",
+    "jn2_rank_links": """WITH r AS (SELECT batch_id, row_id, system_source, material_code, plant_code, material_name,
+  row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY row_id) AS k FROM {records}),
+ m AS (SELECT batch_id, mapping_id, system_source, material_code, plant_code, material_name,
+  row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY mapping_id) AS k FROM {mappings}),
+ near AS (SELECT m.batch_id, m.mapping_id, r.row_id FROM m JOIN r ON m.batch_id = r.batch_id AND m.system_source = r.system_source AND m.material_code = r.material_code
+  AND m.plant_code = r.plant_code AND m.material_name = r.material_name AND m.k = r.k),
+ free AS (SELECT batch_id, row_id, row_number() OVER (PARTITION BY batch_id ORDER BY row_id) AS j FROM r WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.row_id = r.row_id AND n.batch_id = r.batch_id)),
+ rest AS (SELECT batch_id, mapping_id, row_number() OVER (PARTITION BY batch_id ORDER BY mapping_id) AS j FROM m WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.mapping_id = m.mapping_id))
+ SELECT batch_id, mapping_id, row_id, 'KEY' AS how FROM near UNION ALL SELECT rest.batch_id, mapping_id, row_id, 'NEXT_FREE' FROM rest JOIN free ON rest.batch_id = free.batch_id AND rest.j = free.j""",
+    "jn3_backfill_links": """WITH r AS (SELECT batch_id, row_id, system_source, material_code, plant_code, material_name,
+  row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY row_id) AS k FROM {records} c
+  WHERE NOT EXISTS (SELECT 1 FROM {selected} s WHERE s.mdm_code = c.row_id)),
+ m AS (SELECT batch_id, mapping_id, system_source, material_code, plant_code, material_name,
+  row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY mapping_id) AS k FROM {mappings} p
+  WHERE NOT EXISTS (SELECT 1 FROM {selected} s WHERE s.mdm_code = p.mdm_code))
+ SELECT m.batch_id, mapping_id, row_id FROM m JOIN r ON m.batch_id = r.batch_id AND m.system_source = r.system_source AND m.material_code = r.material_code
+  AND m.plant_code = r.plant_code AND m.material_name = r.material_name AND m.k = r.k""",
+    "jn4_first_decision": """WITH f AS (SELECT * FROM (SELECT p.batch_id, p.material_code, p.plant_code, d.decision, p.mdm_code,
+  row_number() OVER (PARTITION BY p.batch_id, p.material_code, p.plant_code ORDER BY mapping_id) AS k FROM {mappings} p JOIN {masters} d ON d.mdm_code = p.mdm_code) x WHERE k = 1)
+ SELECT r.row_id, f.mdm_code, coalesce(f.decision, 'UNMAPPED') AS decision FROM {records} r LEFT JOIN f ON r.batch_id = f.batch_id AND r.material_code = f.material_code AND r.plant_code = f.plant_code""",
+    "jn5_published_entries": """SELECT v.version_id, v.catalog, e.full_code, e.item_name, a.alias FROM {versions} v JOIN {entries} e ON e.major = CAST(10 + v.version_id % 50 AS VARCHAR(9))
+ LEFT JOIN {aliases} a ON a.target = e.full_code WHERE v.status = 'VALIDATED'""",
+    "jn6_active_version": """SELECT catalog, version_id FROM (SELECT catalog, version_id, row_number() OVER (PARTITION BY catalog ORDER BY created DESC, version_id DESC) AS k FROM {versions} WHERE status = 'VALIDATED') x WHERE k = 1""",
+    "jn7_record_lineage": f"""WITH p AS (SELECT batch_id, material_code, plant_code, mdm_code, count(*) AS mappings FROM {{mappings}} GROUP BY batch_id, material_code, plant_code, mdm_code),
+ d AS (SELECT mdm_code, count(*) AS deliveries, count(CASE WHEN success THEN 1 END) AS delivered, count(CASE WHEN accepted THEN 1 END) AS accepted FROM {{deliveries}} GROUP BY mdm_code),
+ v AS (SELECT mdm_code, count(*) AS reviews, count(CASE WHEN status = 'PENDING' THEN 1 END) AS pending FROM {{reviews}} GROUP BY mdm_code)
+ SELECT r.row_id, r.batch_id, p.mdm_code, m.decision, coalesce(mappings, 0) AS mappings, coalesce(reviews, 0) AS reviews, coalesce(pending, 0) AS pending,
+  coalesce(deliveries, 0) AS deliveries, coalesce(delivered, 0) AS delivered, coalesce(accepted, 0) AS accepted
+ FROM {{records}} r LEFT JOIN p ON p.batch_id = r.batch_id AND p.material_code = r.material_code AND p.plant_code = r.plant_code LEFT JOIN {{masters}} m ON m.mdm_code = p.mdm_code
+ LEFT JOIN d ON d.mdm_code = p.mdm_code LEFT JOIN v ON v.mdm_code = p.mdm_code WHERE :plant IN ('', 'GROUP') OR r.plant_code IN ('GROUP', :plant)""",
+    "jn8_code_lineage": """WITH up AS (SELECT mdm_code, count(*) AS sources, count(DISTINCT system_source) AS systems, count(DISTINCT batch_id) AS batches FROM {mappings} GROUP BY mdm_code),
+ down AS (SELECT mdm_code, count(*) AS deliveries, count(DISTINCT plant_code) AS plants, count(DISTINCT target_system) AS targets, max(batch_id) AS last_batch FROM {deliveries} GROUP BY mdm_code)
+ SELECT m.mdm_code, coalesce(sources, 0) AS sources, coalesce(systems, 0) AS systems, coalesce(batches, 0) AS batches, coalesce(deliveries, 0) AS deliveries, last_batch,
+  coalesce(systems, 0) + coalesce(batches, 0) + coalesce(down.plants, 0) + coalesce(targets, 0) AS degree
+ FROM {masters} m LEFT JOIN up ON up.mdm_code = m.mdm_code LEFT JOIN down ON down.mdm_code = m.mdm_code""",
+    "jn9_semi_delivered": "SELECT mdm_code FROM {masters} m WHERE EXISTS (SELECT 1 FROM {deliveries} d WHERE d.mdm_code = m.mdm_code AND success)",
+    "jn10_anti_approved": f"SELECT mdm_code FROM {{selected}} s WHERE NOT EXISTS (SELECT 1 FROM {{masters}} m WHERE m.mdm_code = s.mdm_code AND decision IN {APPROVED})",
+    "jn11_task_expansion": f"""SELECT concat('TASK-', upper(substring(sha256(concat(mdm_code, ':', target_system, ':', plant)), 1, 12))) AS task_id, mdm_code, target_system, plant,
+ decision IN {APPROVED} AND {REACHES.format('plant')} AS eligible FROM {{masters}} m CROSS JOIN {{systems}} CROSS JOIN {{plants}} WHERE plant <> 'GROUP'""",
+    "jn13_latest_block": """WITH b AS (SELECT batch_id, status, metrics FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, status ORDER BY ts DESC, step_id DESC) AS k FROM {steps}) x WHERE k = 1)
+ SELECT s.batch_id, s.step_id, b.metrics IS NOT DISTINCT FROM s.metrics AS matches FROM {steps} s LEFT JOIN b ON s.batch_id = b.batch_id AND s.status = b.status""",
+    "jn14_evidence": """WITH r AS (SELECT mdm_code, review_id, status FROM (SELECT *, row_number() OVER (PARTITION BY mdm_code ORDER BY review_id DESC) AS k FROM {reviews}) x WHERE k = 1)
+ SELECT p.mapping_id, p.mdm_code, p.material_code, m.decision, m.source_count, r.review_id, r.status FROM {mappings} p JOIN {masters} m ON m.mdm_code = p.mdm_code LEFT JOIN r ON r.mdm_code = p.mdm_code""",
     # Windows and top-k.
-    "wn1_row_numbers": f"{M} SELECT row_id, row_number() OVER (PARTITION BY plant_code ORDER BY row_id) AS row_no FROM materials",
-    "wn5_latest_per_key": "SELECT user_id, max(event_id) AS latest FROM {events} GROUP BY user_id",
-    "wn7_occurrence_rank": f"{M} SELECT row_id, row_number() OVER (PARTITION BY system_source, material_code, plant_code, material_name ORDER BY row_id) AS k FROM materials",
-    "wn8_running_offset": "SELECT o_orderkey AS batch_id, o_custkey AS key, CAST(coalesce(sum(1 + o_orderkey % 5) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {orders}",
-    "tk6_newest_events": "SELECT event_id, user_id, event_type FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 500",
-    "tk7_first_mappings": "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM {lineitem}) x WHERE rn <= 3",
+    "wn5_latest_per_key": """SELECT batch_id, step_id AS latest, status FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY ts DESC, step_id DESC) AS k FROM {steps}) x WHERE k = 1""",
+    "wn5_active_profile": """SELECT owner, batch_id AS profile FROM (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY CASE WHEN held THEN 0 ELSE 1 END, created DESC, batch_id DESC) AS k FROM {batches}) x WHERE k = 1""",
+    "wn7_occurrence_rank": "SELECT row_id, row_number() OVER (PARTITION BY system_source, material_code, plant_code, material_name ORDER BY row_id) AS k FROM {materials}",
+    "wn8_running_offset": """SELECT batch_id, owner AS key, CAST(coalesce(sum(record_count) OVER (PARTITION BY owner ORDER BY batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM {batches}""",
+    "tk6_newest_events": "SELECT step_id AS event_id, batch_id AS user_id, status FROM {steps} ORDER BY ts DESC, step_id DESC LIMIT 500",
+    "tk7_first_mappings": "SELECT batch_id, mapping_id FROM (SELECT batch_id, mapping_id, row_number() OVER (PARTITION BY batch_id ORDER BY mapping_id) AS rn FROM {mappings}) x WHERE rn <= :most",
+    "tk8_open_issues": """SELECT row_id, code, status, severity, due_in FROM {issues}
+ ORDER BY CASE status WHEN 'OPEN' THEN 0 WHEN 'ACKNOWLEDGED' THEN 1 ELSE 2 END, CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, due_in, row_id, code""",
+    "tk9_versions_newest_first": "SELECT catalog, version_id, status FROM {versions} ORDER BY created DESC, version_id DESC",
     # Sets.
-    "set1_pending_feedback": f"WITH {FEEDBACK} SELECT plant_code, mdm_code FROM deliveries EXCEPT SELECT plant_code, mdm_code FROM deliveries WHERE accepted",
-    "set3_distinct_codes": f"{M} SELECT DISTINCT plant_code, category FROM materials",
-    # State transitions: requests applied to a state table.
-    "st1_review_decisions": f"""WITH {MASTERS}, d AS (SELECT mdm_code AS code, CASE WHEN mdm_code % 3 = 0 THEN 'MERGE' WHEN mdm_code % 3 = 1 THEN 'NEW' ELSE 'SKIP' END AS action FROM masters WHERE decision = 'REVIEW')
- SELECT mdm_code, CASE WHEN action = 'MERGE' THEN 'AUTO_MERGE' WHEN action = 'NEW' THEN 'NEW' ELSE decision END AS decision,
-  CASE WHEN action = 'MERGE' THEN 0.95 WHEN action = 'NEW' THEN 1.0 END AS confidence FROM masters LEFT JOIN d ON mdm_code = code""",
-    "st2_issue_transitions": f"""{M}, t AS (SELECT 'OPEN' AS a, 'ACKNOWLEDGED' AS b UNION ALL SELECT 'OPEN', 'RESOLVED' UNION ALL SELECT 'OPEN', 'WAIVED' UNION ALL SELECT 'ACKNOWLEDGED', 'RESOLVED' UNION ALL SELECT 'ACKNOWLEDGED', 'WAIVED'),
- r AS (SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'OPEN' ELSE 'ACKNOWLEDGED' END AS status, CASE WHEN row_id % 3 = 0 THEN 'ACKNOWLEDGED' ELSE 'RESOLVED' END AS wanted FROM materials WHERE unit = '')
- SELECT row_id, coalesce(b, status) AS status, b IS NULL AS rejected FROM r LEFT JOIN t ON status = a AND wanted = b""",
-    "st6_changed_steps": """SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM {events}) x WHERE event_type IS DISTINCT FROM old""",
-    "gr3_degree": """SELECT node, count(*) AS degree FROM (SELECT concat('o', o_orderkey) AS node FROM {orders} UNION ALL SELECT concat('c', o_custkey) FROM {orders}) x GROUP BY node""",
-    "gr4_neighbours": "SELECT concat('c', o_custkey) AS node, concat('o', o_orderkey) AS neighbour, 'ORDERED' AS relation FROM {orders} UNION ALL SELECT concat('o', l_orderkey), concat('p', l_partkey), 'CONTAINS' FROM {lineitem}",
-}
-
-
-def inputs(statement: str) -> list[str]:
-    return sorted(set(re.findall(r"\{(\w+)\}", statement)))
-
-
-def run(spark: SparkSession, statement: str, **tables: DataFrame) -> DataFrame:
-    """Run a statement of STATEMENTS over the given tables."""
-    return spark.sql(re.sub(r"sha256\((concat\([^()]*\))\)", r"sha2(\1, 256)", statement), **tables)
-
-
-def oracle(statement: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", statement)
+    "set1_pending_feedback": "SELECT plant_code, mdm_code FROM {deliveries} WHERE success EXCEPT SELECT plant_code, mdm_code FROM {deliveries} WHERE accepted",
+    "set1_progress": """WITH e AS (SELECT DISTINCT batch_id, plant_code, mdm_code FROM {deliveries} WHERE success), a AS (SELECT DISTINCT batch_id, plant_code, mdm_code FROM {deliveries} WHERE accepted)
+ SELECT e.batch_id, count(*) AS expected, count(a.mdm_code) AS accepted, round(100.0 * count(a.mdm_code) / count(*), 1) + 0e0 AS progress
+ FROM e LEFT JOIN a ON e.batch_id = a.batch_id AND e.plant_code = a.plant_code AND e.mdm_code = a.mdm_code GROUP BY e.batch_id""",
+    "set2_last_attributes": """WITH n AS (SELECT concat('M', mdm_code) AS node, 'MASTER' AS type, plant_code AS attribute, batch_id AS seen FROM {deliveries} UNION ALL SELECT concat('B', batch_id), 'BATCH', plant_code, batch_id FROM {deliveries}
+  UNION ALL SELECT concat('T', target_system), 'TARGET_SYSTEM', target_system, batch_id FROM {deliveries})
+ SELECT node, type, attribute FROM (SELECT node, type, attribute, row_number() OVER (PARTITION BY node ORDER BY seen DESC, attribute) AS rn FROM (SELECT node, type, attribute, max(seen) AS seen FROM n GROUP BY node, type, attribute) y) x WHERE rn = 1""",
+    "set3_distinct_codes": "SELECT plant_code, category, min(row_id) AS first_row FROM {materials} GROUP BY plant_code, category",
+    # Graph of orders.
+    "gr3_degree": """WITH e AS (SELECT DISTINCT concat('c', owner) AS a, concat('b', batch_id) AS b FROM {batches}), d AS (SELECT a AS node FROM e UNION ALL SELECT b FROM e),
+ n AS (SELECT count(DISTINCT node) AS n FROM d) SELECT node, count(*) AS degree, round(CAST(count(*) AS DOUBLE) / max(n.n - 1), 9) AS centrality FROM d CROSS JOIN n GROUP BY node""",
+    "gr4_neighbours": """SELECT concat('c', owner) AS node, concat('b', batch_id) AS neighbour, 'OWNS' AS relation FROM {batches}
+ UNION ALL SELECT DISTINCT concat('b', batch_id), concat('m', mdm_code), 'CONTAINS' FROM {deliveries} UNION ALL SELECT DISTINCT concat('m', mdm_code), concat('p', plant_code), 'USED_AT' FROM {deliveries}""",
+}

@@ -7,15 +7,16 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdmill import registry_operators
+from mdmill import registry_extra, registry_operators
 from mdmill.functions import rules, text
 from mdmill.operators import audit, quality, resolve, vectors
-from mdmill.plans import governance, statements
+from mdmill.plans import governance, relations, statements, transitions
 from mdmill.session import scratch_root, table
 from mdmill.sources.materials import MATERIALS_SQL, enrich, materials
 from mdmill.streaming.issues import issues_through_stream
 
-STATEMENTS = statements.STATEMENTS | governance.STATEMENTS
+STATEMENTS = statements.STATEMENTS | governance.STATEMENTS | transitions.STATEMENTS
+VALUES = statements.VALUES | governance.VALUES
 M = f"WITH m AS ({MATERIALS_SQL.replace('{part}', 'part')})"
 TEXT = "concat(material_name, ' ', description, ' ')"
 
@@ -25,8 +26,7 @@ def flagship(spark, sf_dir) -> DataFrame:
 
 
 def _statement(name):
-    text_of = STATEMENTS[name]
-    return lambda spark, sf_dir: statements.run(spark, text_of, **{t: table(spark, sf_dir, t) for t in statements.inputs(text_of)})
+    return lambda spark, sf_dir: relations.run_standins(spark, sf_dir, STATEMENTS[name], VALUES.get(name))
 
 
 def _attribute(name):
@@ -47,21 +47,22 @@ def _category_sql(name="material_name", raw="category") -> str:
     return f"CASE {mapped} ELSE {_cases(rules.CATEGORY_PATTERNS, f'concat({name}, chr(32), {raw})', rest)} END"
 
 
-def _attribute_sql() -> dict[str, str]:
+def _attribute_sql(subject: str = TEXT) -> dict[str, str]:
+    """The SQL of each attribute of `subject`."""
     model = ", ".join(
-        "nullif(regexp_extract(%s, '%s', 0, 'i'), '')" % (TEXT, p.replace("<", "\\b").replace(">", "\\b")) for p in rules.MODEL_PATTERNS
+        "nullif(regexp_extract(%s, '%s', 0, 'i'), '')" % (subject, p.replace("<", "\\b").replace(">", "\\b")) for p in rules.MODEL_PATTERNS
     )
-    brands = " ".join(f"WHEN contains(lower({TEXT}), '{b.lower()}') THEN '{b}'" for b in rules.BRANDS)
+    brands = " ".join(f"WHEN contains(lower({subject}), '{b.lower()}') THEN '{b}'" for b in rules.BRANDS)
     inch = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.INCHES.items())
-    part = lambda p: f"nullif(regexp_extract({TEXT}, '{p}', 1, 'i'), '')"
+    part = lambda p: f"nullif(regexp_extract({subject}, '{p}', 1, 'i'), '')"
     inches = part("(\\d+)\\s*寸")
     number = part("(\\d+\\.?\\d*)\\s*(mpa|bar|公斤)")
     return {
         "model": f"regexp_replace(upper(coalesce({model}, '')), '[–—]', '-', 'g')",
         "brand": f"CASE {brands} ELSE '' END",
         "dn": f"coalesce({part('DN\\s*(\\d+)')}, {part('(\\d+)\\s*mm')}, CASE {inches} {inch} ELSE {inches} END, '')",
-        "pressure": _cases(rules.PRESSURE_PATTERNS, TEXT, f"coalesce({number} || 'MPa', '')"),
-        "material": _cases(rules.MATERIAL_PATTERNS, f"lower({TEXT})", "''"),
+        "pressure": _cases(rules.PRESSURE_PATTERNS, subject, f"coalesce({number} || 'MPa', '')"),
+        "material": _cases(rules.MATERIAL_PATTERNS, f"lower({subject})", "''"),
         "std_category": _category_sql(),
     }
 
@@ -109,7 +110,9 @@ def duplicates(spark, sf_dir):
 
 
 def report(spark, sf_dir):
-    return quality.quality_report(materials(spark, sf_dir))
+    """Rows whose id is divisible by 97 stand for odd records."""
+    rows = materials(spark, sf_dir)
+    return quality.quality_report(rows, rows.where("row_id % 97 = 0").select("row_id"))
 
 
 def char_similarity(spark, sf_dir):
@@ -140,7 +143,9 @@ def audit_chain(spark, sf_dir):
 
 
 def audit_verify(spark, sf_dir):
-    checked = audit.verify(audit.append_blocks(audit.ledger(table(spark, sf_dir, "events"))))
+    """A ledger in which the payloads of some blocks were changed behind its back."""
+    blocks = audit.append_blocks(audit.ledger(table(spark, sf_dir, "events")))
+    checked = audit.verify(blocks.withColumn("payload_hash", F.when(F.col("event_id") % 101 == 0, "changed").otherwise(F.col("payload_hash"))))
     bad = F.count_if(F.col("bad_height") | F.col("bad_link") | F.col("bad_hash"))
     return checked.groupBy("chain").agg(F.count("*").alias("blocks"), bad.alias("errors"))
 
@@ -153,6 +158,7 @@ def vector_search(spark, sf_dir):
 QUERIES = {
     **{name: _statement(name) for name in STATEMENTS},
     **registry_operators.QUERIES,
+    **registry_extra.QUERIES,
     "txt1_standardize": standardized,
     "txt2_category": _attribute("std_category"),
     "txt3_brand": _attribute("brand"),
@@ -186,7 +192,7 @@ _FILLED = " + ".join(f"({f} <> '')::INT" for f in quality.FIELDS)
 _NORM = "sqrt(list_sum(list_transform({0}.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 
 ORACLE_SQL = {
-    **{name: statements.oracle(sql) for name, sql in STATEMENTS.items()},
+    **{name: relations.oracle(sql, VALUES.get(name)) for name, sql in STATEMENTS.items()},
     **{
         f"{key}_{name}": f"{M} SELECT row_id, {_ATTRIBUTES[column]} AS {column} FROM m"
         for key, name, column in (
@@ -195,6 +201,7 @@ ORACLE_SQL = {
         )
     },
     **registry_operators.oracle_sql(_ATTRIBUTES),
+    **registry_extra.oracle_sql(_attribute_sql, _standard_sql()),
     "txt1_standardize": _standard_sql(),
     "txt12_char_jaccard": f"""{M}, p AS (SELECT a.row_id, list_distinct(string_split(regexp_replace(lower(a.material_name), '\\s+', '', 'g'), '')) AS x,
  list_distinct(string_split(regexp_replace(lower(b.material_name), '\\s+', '', 'g'), '')) AS y FROM m a JOIN m b ON b.row_id = a.row_id + 4)
@@ -207,11 +214,14 @@ ORACLE_SQL = {
     "prj9_record_issues": f"{M} {_ISSUES}",
     "str3_streamed_issues": f"{M} {_ISSUES}",
     "ag6_quality_report": f"""{M}, r AS (SELECT CASE WHEN system_source = '' THEN '未分类' ELSE system_source END AS system, * FROM m),
- q AS (SELECT system, count(*) AS record_count, round(avg({_FILLED}) / 6 * 100, 1) AS completeness,
+ q AS (SELECT system, CASE WHEN grouping(system) = 1 THEN round(100 - count(CASE WHEN row_id % 97 = 0 THEN 1 END) / count(*) * 100, 1) ELSE 100.0 END::DOUBLE AS accuracy, count(*) AS record_count,
+  CASE WHEN grouping(system) = 1 THEN concat_ws(',', CASE WHEN round(avg({_FILLED}) / 6 * 100, 1) < 90 THEN 'COMPLETE_KEY_FIELDS' END, 'REVIEW_ANOMALIES') ELSE '' END AS suggestions, round(avg({_FILLED}) / 6 * 100, 1) AS completeness,
   round(avg((material_name <> '' AND category <> '')::INT) * 100, 1) AS consistency,
   round(count(DISTINCT nullif(material_code, '')) / greatest(1, count(nullif(material_code, ''))) * 100, 1) AS uniqueness,
   round(avg(({_ATTRIBUTES['std_category']} <> '其他')::INT) * 100, 1) AS standardization FROM r GROUP BY GROUPING SETS ((), (system)))
- SELECT *, round((completeness + 100 + consistency + uniqueness + standardization) / 5, 1) AS score FROM q""",
+ SELECT *, round((completeness + accuracy + consistency + uniqueness + standardization) / 5, 1) AS score FROM q""",
+    "wn2_audit_verify": "SELECT user_id AS chain, count(*) AS blocks, count(CASE WHEN event_id % 101 = 0 THEN 1 END) AS errors FROM events GROUP BY user_id",
+    "st10_audit_append": registry_extra.CHAIN_SQL + " SELECT chain, event_id, height, previous_hash, block_hash FROM b",
     "rp3_query_log": f"""WITH s AS (SELECT q.vec_id AS query_id, c.vec_id,
  round(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) / ({_NORM.format('q')} * {_NORM.format('c')}), 6) AS score
  FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),

@@ -38,6 +38,14 @@ def hash_embedding(spark, sf_dir):
     return found.select("id", "idx", F.round("w", 6).alias("w"))
 
 
+def standard_embedding(spark, sf_dir):
+    """The vectors of standardised names and descriptions: synonyms come first."""
+    words = text.standardize(F.concat_ws(" ", "material_name", "description"))
+    items = materials(spark, sf_dir).withColumn("standard", words).groupBy("standard").agg(F.min("row_id").alias("id"))
+    found = semantics.hashed_vectors(items, semantics.pieces(semantics.bare(F.col("standard"))))
+    return found.select("id", "idx", F.round("w", 6).alias("w"))
+
+
 def lexical(spark, sf_dir):
     m = materials(spark, sf_dir)
     a, b = m.select("row_id", F.col("material_name").alias("q")), m.select((F.col("row_id") - 4).alias("row_id"), F.col("material_name").alias("c"))
@@ -149,7 +157,7 @@ def legacy_ranges(spark, sf_dir):
     return lineage.assign_to_ranges(batches, lines.select(*order), order)
 
 
-_PATHS = [p for p, _, _ in access.PATHS] + ["/home", "/api/masters"]
+_PATHS = [p.replace("*", "/1" if p.endswith("s*") else "") for p, _, _ in access.PATHS] + ["/home", "/api/masters", "/api/batches/B1", "/api/lifecycle/7"]
 
 
 def access_decisions(spark, sf_dir):
@@ -250,7 +258,8 @@ QUERIES = {
     "prj8_provenance": provenances,
     "flt5_access": access_decisions,
     "flt8_redaction": redacted,
-    "txt14_hash_embedding": hash_embedding,
+    "txt14_hash_embedding": standard_embedding,
+    "txt15_plain_embedding": hash_embedding,
     "txt16_lexical": lexical,
     "txt19_shown_attributes": shown,
     "txt21_golden_codes": golden_codes,
@@ -295,13 +304,15 @@ def oracle_sql(attributes: dict[str, str]) -> dict[str, str]:
     plants = ", ".join(f"CASE WHEN contains(t, '{a}') THEN '{p}' END" for a, p in longest)
     said = f"{M}, i AS (SELECT row_id AS id, lower({say}) AS t FROM m)"
     paths = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PATHS))
-    needs = " ".join(f"WHEN starts_with(path, '{p}') THEN CASE WHEN method = 'GET' THEN '{r or ''}' ELSE '{w or ''}' END" for p, r, w in access.PATHS)
+    here = lambda p: f"starts_with(path, '{p[:-1]}')" if p.endswith("*") else f"path = '{p}'"
+    how = lambda m: "" if m == "*" else f" AND method <> '{m[1:]}'" if m.startswith("!") else f" AND method = '{m}'"
+    needs = " ".join(f"WHEN {here(p)}{how(m)} THEN '{need}'" for p, m, need in access.PATHS)
     roles = " ".join(f"WHEN {i} THEN '{r}'" for i, r in enumerate(access.GRANTS))
     grants = " OR ".join(f"(role = '{r}' AND {'true' if g == ['*'] else 'permission IN (' + ', '.join(repr(p) for p in g) + ')'})" for r, g in access.GRANTS.items())
     return {
         "src12_legacy_ranges": """WITH b AS (SELECT l_orderkey AS batch_id, count(*) AS n FROM lineitem GROUP BY l_orderkey), r AS (SELECT batch_id, sum(n) OVER (ORDER BY batch_id) - n AS lo, sum(n) OVER (ORDER BY batch_id) AS hi FROM b),
  m AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem) SELECT k, batch_id FROM m JOIN r ON k > lo AND k <= hi""",
-        "txt14_hash_embedding": f"""{M}, d AS (SELECT min(row_id) AS id, {bare('material_name')} AS b FROM m GROUP BY material_name), p AS (SELECT id, sha256(unnest({cut('b')})) AS h FROM d),
+        "txt15_plain_embedding": f"""{M}, d AS (SELECT min(row_id) AS id, {bare('material_name')} AS b FROM m GROUP BY material_name), p AS (SELECT id, sha256(unnest({cut('b')})) AS h FROM d),
  v AS (SELECT id, (('0x' || substring(h, 1, 8))::BIGINT % 384)::INT AS idx, sum(CASE WHEN ('0x' || substring(h, 9, 2))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS v FROM p GROUP BY ALL)
  SELECT id, idx, round(v / sqrt(sum(v * v) OVER (PARTITION BY id)), 6) AS w FROM v WHERE v <> 0""",
         "txt16_lexical": f"""{M}, p AS (SELECT a.row_id, {bare('a.material_name')} AS q, {bare('b.material_name')} AS c FROM m a JOIN m b ON b.row_id = a.row_id + 4), t AS (SELECT row_id, q, c, list_distinct({cut('q')}) AS x, list_distinct({cut('c')}) AS y FROM p)
@@ -314,7 +325,7 @@ def oracle_sql(attributes: dict[str, str]) -> dict[str, str]:
         "txt33_routes": f"""{said}, r AS (SELECT id, CASE WHEN {any_of(rules.DELIVERY_VERBS)} AND {any_of((*rules.TARGET_SYSTEMS, *rules.DELIVERY_PLACES))} THEN 'DISTRIBUTE' WHEN {any_of(rules.GOVERN_WORDS)} THEN 'GOVERN' ELSE 'SEARCH' END AS action FROM i)
  SELECT id, action, CASE action WHEN 'DISTRIBUTE' THEN 0.96 WHEN 'GOVERN' THEN 0.9 ELSE 0.82 END::DOUBLE AS confidence FROM r""",
         "flt5_access": f"""WITH r AS (SELECT event_id, CASE user_id % {len(access.GRANTS)} {roles} END AS role, CASE event_id % {len(_PATHS)} {paths} END AS path, CASE event_type WHEN 'view' THEN 'GET' WHEN 'click' THEN 'DELETE' ELSE 'POST' END AS method FROM events),
- p AS (SELECT event_id, role, CASE WHEN NOT starts_with(path, '/api/') THEN '' {needs} WHEN method = 'DELETE' THEN 'data.purge' ELSE 'data.read' END AS permission FROM r)
+ p AS (SELECT event_id, role, CASE WHEN NOT starts_with(path, '/api/') THEN '' {needs} ELSE 'data.read' END AS permission FROM r)
  SELECT *, permission = '' OR {grants} AS allowed FROM p""",
         "flt8_redaction": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[REDACTED]' ELSE substring(props, 1, 500) END AS detail FROM events",
         "gr1_lineage_edges": f"""{rows}, x AS (SELECT 'BATCH:' || l_orderkey AS a, 'MASTER:' || l_partkey AS b, 'CONTAINS' AS relation FROM lineitem UNION ALL SELECT 'RAW:' || l_partkey, 'MASTER:' || l_partkey, 'MERGED_INTO' FROM lineitem

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +40,30 @@ def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, paths, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as strings, so that codes keep their leading zeros."""
+    """All columns as strings, so that codes keep their leading zeros. Other charsets than Unicode need a setting of the session, made here."""
+    if not encoding.upper().startswith("UTF"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return spark.read.option("header", True).option("encoding", encoding).csv(paths)
 
 
+def charset(spark: SparkSession, paths) -> str:
+    """UTF-8, or GB18030 if some line is no UTF-8."""
+    broken = spark.read.text(paths).where(~F.is_valid_utf8("value"))
+    return "UTF-8" if broken.isEmpty() else "GB18030"
+
+
+def csv_batch(spark: SparkSession, paths, plant: str = "GROUP", now: str | None = None) -> DataFrame:
+    """Records of CSV files: charset found, headers aligned, rows normalised; now (an ISO time) is the default create_time."""
+    raw = read_csv(spark, paths, charset(spark, paths))
+    return normalize(raw, map_headers(raw.columns), plant, now or datetime.now(timezone.utc).isoformat(timespec="seconds"))
+
+
+def json_batch(spark: SparkSession, paths, schema, mapping: dict[str, str] | None = None, plant: str = "GROUP", now: str | None = None) -> DataFrame:
+    """Records of JSON lines, by the mapping given or else by their headers."""
+    raw = read_json(spark, paths, schema)
+    return normalize(raw, mapping or map_headers(raw.columns), plant, now or datetime.now(timezone.utc).isoformat(timespec="seconds"))
+
+
 def read_json(spark: SparkSession, paths, schema) -> DataFrame:
     return spark.read.schema(schema).json(paths)
 
@@ -66,7 +87,8 @@ def normalize(raw: DataFrame, mapping: dict[str, str], plant: str = "GROUP", now
     return out.where("material_code <> '' OR material_name <> '' OR description <> ''")
 
 
-# Header names that stand for a field.
+# Parts of a header whose column tells attributes, and header names that stand for a field.
+HINTS = ["子类", "型号", "规格", "brand", "model", "material", "材质"]
 ALIASES = {
     "material_code": ["物料编码", "物料代码", "物料号", "编码", "material_code", "code"],
     "system_source": ["来源系统", "系统来源", "source_system", "system_source", "source"],
@@ -113,9 +135,16 @@ def provenance(batch: str):
     return F.struct(code.alias("source_id"), where["source_table"].alias("source_table"), status.alias("status"), F.sha2(body, 256).alias("record_hash"))
 
 
+def extra_text(extra):
+    """The values of unmapped columns whose header hints at a model, brand, size or material, joined by blanks."""
+    hinted = F.map_filter(extra, lambda k, v: F.lower(k).rlike("|".join(HINTS)) & (v != ""))
+    return F.coalesce(F.array_join(F.map_values(hinted), " "), F.lit(""))
+
+
 def enrich(records: DataFrame) -> DataFrame:
-    """records with model, brand, dn, pressure, material and std_category from name and description."""
-    source = F.concat_ws(" ", "material_name", "description", F.lit(""))
+    """records with model, brand, dn, pressure, material and std_category from name, description and hinted extra columns."""
+    more = [extra_text(F.col("_extra"))] if "_extra" in records.columns else []
+    source = F.concat_ws(" ", "material_name", "description", *more, F.lit(""))
     return records.withColumn("__t", source).withColumns(
         {
             "model": text.model(F.col("__t")),

@@ -6,7 +6,9 @@ import math
 from pyspark.sql import functions as F
 
 from mdmill.functions import rules, semantics
-from mdmill.operators import access, audit, cluster, delivery, lineage, retrieve
+from mdmill import registry
+from mdmill.operators import access, audit, cluster, delivery, knowledge, lineage, quality, retrieve
+from mdmill.plans import relations
 from mdmill.session import scratch_root
 from mdmill.sources import materials
 from mdmill.streaming.audit import blocks_through_stream
@@ -102,9 +104,87 @@ def test_delivery_plan(spark):
 
 def test_ranges(spark):
     batches = spark.createDataFrame([(i, i % 4) for i in range(50)], "batch_id long, n long")
-    mappings = spark.range(sum(i % 4 for i in range(50)) + 3).repartition(5)
+    mappings = spark.range(sum(i % 4 for i in range(50))).repartition(5)
     want = dict(enumerate((b for b in range(50) for _ in range(b % 4)), 1))
     assert {r["k"]: r["batch_id"] for r in lineage.assign_to_ranges(batches, mappings, ["id"]).collect()} == want
+    # Nothing is assigned when the totals differ.
+    assert lineage.assign_to_ranges(batches, spark.range(3), ["id"]).isEmpty()
+    rows = spark.createDataFrame([(k, i) for k in ("a", "b", None) for i in range(20)] + [("hot", i) for i in range(300)], "key string, i long").repartition(4)
+    got = lineage.row_numbers(rows, "key", ["i"]).collect()
+    assert all(r["row_no"] == r["i"] + 1 for r in got) and len(got) == 360
+
+
+def test_access_rules(spark):
+    """Decisions as the rules of the service state them: open paths, deletes, exact paths and prefixes."""
+    asked = [
+        ("/api/health", "GET", ""), ("/api/live", "POST", ""), ("/api/auth/login", "POST", ""), ("/api/auth/me", "GET", "data.read"), ("/index.html", "GET", ""),
+        ("/api/reviews/3", "DELETE", "data.purge"), ("/api/reviews/3", "PATCH", "review.decide"), ("/api/reviews", "GET", "data.read"),
+        ("/api/batches", "POST", "data.ingest"), ("/api/batches/B1", "GET", "data.read"), ("/api/batches/B1/compliance", "DELETE", "data.purge"),
+        ("/api/lifecycle", "POST", "lifecycle.create"), ("/api/lifecycle/4", "PATCH", ""), ("/api/lifecycle", "GET", "data.read"),
+        ("/api/search", "POST", "ai.use"), ("/api/search/history", "DELETE", "data.purge"), ("/api/search/history", "GET", "data.read"),
+        ("/api/distribute", "POST", "distribution.execute"), ("/api/distribute/logs", "DELETE", "data.purge"), ("/api/vectors/rebuild", "POST", "knowledge.manage"),
+        ("/api/ocr/install", "GET", "data.read"), ("/api/ocr/install", "POST", "knowledge.manage"), ("/api/governance/issues/7", "PATCH", "review.decide"),
+        ("/api/compliance", "DELETE", "compliance.manage"), ("/api/security/audit/verify", "GET", "audit.verify"), ("/api/security/audit", "GET", "audit.read"),
+    ]
+    rows = spark.createDataFrame(asked, "path string, method string, want string")
+    got = rows.withColumn("got", access.needed_permission(F.col("path"), F.col("method"))).where("got <> want").collect()
+    assert not got
+
+
+def test_ledger_appends_behind_its_heads(spark):
+    rows = [(c, i, i, f"{c}{i}") for c in (1, 2) for i in range(9)] + [(3, 0, 0, "new")]
+    ledger = spark.createDataFrame(rows, "chain long, ts long, event_id long, payload_hash string")
+    first = audit.append_blocks(ledger.where("event_id < 5 AND chain < 3"))
+    second = audit.append_blocks(ledger.where("event_id >= 5 OR chain = 3"), audit.heads(first))
+    key = lambda df: sorted((r["chain"], r["height"], r["block_hash"]) for r in df.collect())
+    assert key(first.unionByName(second)) == key(audit.append_blocks(ledger))
+    signed = audit.sign(first, b"k")
+    assert audit.verify_signed(signed, b"k").where("bad_signature").isEmpty() and audit.verify_signed(signed, b"x").where("NOT bad_signature").isEmpty()
+    assert audit.append_blocks(ledger.limit(0)).isEmpty()
+
+
+def test_statements_over_own_tables(spark):
+    """State machines and scopes over small tables of a user's own."""
+    run = lambda name, values=None, **tables: relations.run(spark, registry.STATEMENTS[name], values, **tables).collect()
+    table = spark.createDataFrame
+    masters = table([(1, "n", "c", "GROUP,SHANGHAI", "REVIEW", 3), (2, "n", "c", "BEIJING", "AUTO_MERGE", 2), (3, "n", "c", "GROUP", "NEW", 1)], "mdm_code long, standard_name string, category string, plants string, decision string, source_count int")
+    assert sorted(r[0] for r in run("flt1_plant_visible", {"plant": "BEIJING"}, masters=masters)) == [2]
+    assert sorted(r[0] for r in run("flt2_distributable", {"plant": "BEIJING"}, masters=masters)) == [1, 2, 3]
+    assert sorted(r[0] for r in run("flt1_plant_visible", {"plant": "GROUP"}, masters=masters)) == [1, 2, 3]
+    reviews = table([(7, 1, "SHANGHAI", "PENDING")], "review_id long, mdm_code long, plant_code string, status string")
+    decided = lambda action, plant: {r["mdm_code"]: (r["decision"], r["confidence"] and float(r["confidence"]), r["review"]) for r in run("st1_review_decisions", masters=masters, reviews=reviews, decisions=table([(7, action, plant)], "review_id long, action string, plant_code string"))}[1]
+    assert decided("MERGE", "GROUP") == ("AUTO_MERGE", 0.95, "RESOLVED") and decided("NEW", "SHANGHAI")[:2] == ("CONFIRMED_NEW", 1.0)
+    assert decided("SKIP", "GROUP") == ("REVIEW", None, "SKIPPED") and decided("MERGE", "BEIJING") == ("REVIEW", None, "OUT_OF_SCOPE")
+    issues = table([(1, "S", "BEIJING", "X", "d", "HIGH", "OPEN", 1), (2, "S", "GROUP", "X", "d", "HIGH", "RESOLVED", 1)], "row_id long, system_source string, plant_code string, code string, dimension string, severity string, status string, due_in int")
+    asked = lambda row, wanted, why, own: {r["row_id"]: (r["status"], r["outcome"]) for r in run("st2_issue_transitions", issues=issues, issue_requests=table([(row, "X", wanted, why, own)], "row_id long, code string, wanted string, resolution string, own string"))}[row]
+    assert asked(1, "RESOLVED", "", "GROUP") == ("OPEN", "NO_RESOLUTION") and asked(1, "RESOLVED", "done", "BEIJING") == ("RESOLVED", "DONE")
+    assert asked(1, "ACKNOWLEDGED", "", "SHANGHAI") == ("OPEN", "OUT_OF_SCOPE") and asked(2, "WAIVED", "x", "GROUP") == ("RESOLVED", "NO_SUCH_STEP")
+    tasks = table([(1, 2, "SAP", "BEIJING"), (2, 2, "SAP", "SHANGHAI"), (3, 1, "SAP", "SHANGHAI"), (4, 9, "SAP", "BEIJING")], "task_id long, mdm_code long, target_system string, plant string")
+    assert {r["task_id"]: r["reason"] for r in run("st7_deliveries", masters=masters, tasks=tasks)} == {1: "", 2: "OUT_OF_SCOPE", 3: "NOT_APPROVED", 4: "UNKNOWN_CODE"}
+    versions = table([(1, 1, "VALIDATED", 1, "h"), (2, 1, "VALIDATED", 2, "h"), (3, 2, "DRAFT", 1, "h")], "version_id long, catalog long, status string, created long, source_hash string")
+    wanted = table([(1, 2, 1), (2, 3, 3)], "catalog long, target long, expected_current long")
+    assert {r["version_id"]: r["status"] for r in run("st4_publish", versions=versions, publish_requests=wanted)} == {1: "RETIRED", 2: "PUBLISHED", 3: "DRAFT"}
+    members = table([("a", "6312", "", "", ""), ("a", "6312", "50", "", "304"), ("b", "1", "", "", ""), ("b", "2", "", "", "")], "component string, model string, dn string, pressure string, material string")
+    assert {r["component"]: r["conflict"] for r in run("ag2_conflicts", attributed=members)} == {"a": False, "b": True}
+
+
+def test_quality_counts_anomalies(spark):
+    rows = spark.createDataFrame([(i, f"M{i}", "SAP", "6312轴承", "d", "轴承", "件") for i in range(4)], "row_id long, material_code string, system_source string, material_name string, description string, category string, unit string")
+    got = {r["system"]: r for r in quality.quality_report(rows, rows.where("row_id = 1").select("row_id")).collect()}
+    assert got[None]["accuracy"] == 75.0 and got["SAP"]["accuracy"] == 100.0 and got[None]["score"] == 95.0 and got[None]["suggestions"] == "REVIEW_ANOMALIES"
+    nothing = quality.quality_report(rows.limit(0)).collect()
+    assert [r["score"] for r in nothing] == [0.0] or nothing == []
+
+
+def test_index_rebuilds_changed_texts_only(spark):
+    table = spark.createDataFrame
+    old = knowledge.build_index(table([(1, "gate valve"), (2, "pump"), (3, None)], "key long, content string"))
+    new = knowledge.build_index(table([(1, "gate valve"), (2, "pump DN50"), (4, "pump DN50")], "key long, content string"), current=old)
+    rows = {r["key"]: r for r in new.collect()}
+    assert set(rows) == {1, 2, 4} and rows[2]["w"] == rows[4]["w"] and abs(sum(x * x for x in rows[1]["w"]) - 1) < 1e-9
+    assert {r["key"]: list(r["idx"]) for r in old.collect()}[3] == []
+    pairs = table([(1, "SKF 6312", "SKF 6312"), (2, "a", "b"), (3, "", "")], "id long, a string, b string")
+    assert {r["id"]: (r["dense"], r["chars"]) for r in knowledge.text_pairs(pairs).collect()} == {1: (1.0, 1.0), 2: (0.0, 0.0), 3: (0.0, 1.0)}
 
 
 def test_access_and_redaction(spark):
