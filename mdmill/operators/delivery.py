@@ -11,7 +11,12 @@ from pyspark.sql import types as T
 
 from mdmill.functions import rules, semantics, text
 from mdmill.operators.retrieve import blocks
-from mdmill.session import save
+from mdmill.session import gather, save
+
+
+# Words by which an instruction asks for one golden record, or for all.
+ONE_WORDS, ALL_WORDS = r"(?i)(?:一个|一条|最相似|第一条|top\s*1)", "(?:全部|所有|整批|批量|新增主数据)"
+# End of fixed values.
 
 
 @F.pandas_udf(T.DoubleType())
@@ -65,7 +70,7 @@ def rank_masters(intents: DataFrame, masters: DataFrame, k: int = 20) -> DataFra
     kinds, _ = save(kinds, "kinds")
     whole = text.standardize(F.concat_ws(" ", "text", *(F.nullif(F.col(f), F.lit("")) for f in rules.RANK_WEIGHTS)))
     want, _ = save(asked.select("id", whole.alias("whole"), *(std(f).alias(f"want_{f}") for f in rules.RANK_WEIGHTS)), "wanted")
-    scored = None
+    scored = []
     for part in blocks(want, "id"):
         fields = [*((f"want_{f}", f"has_{f}", f, w) for f, w in rules.RANK_WEIGHTS.items()), ("whole", "has_name", "query", 0.10)]
         rated = kinds.drop(*rules.RANK_WEIGHTS).crossJoin(part).select(
@@ -79,8 +84,8 @@ def rank_masters(intents: DataFrame, masters: DataFrame, k: int = 20) -> DataFra
         under = sum((F.when(F.col(f"s_{f}").isNotNull(), w).otherwise(0.0) for f, w in weight.items()), F.lit(0.0))
         exact = some & ~sum((F.when(F.col(f"s_{f}") < 0.86, 1).otherwise(0) for f in given), F.lit(0)).cast("boolean")
         rated = rated.select("id", "kind", F.round(F.least(F.lit(0.99), top / under), 4).alias("similarity"), exact.alias("exact"))
-        scored = rated if scored is None else scored.unionByName(rated)
-    scored, _ = save(scored.where("similarity >= 0.30"), "ranked")
+        scored.append(rated)
+    scored, _ = save(gather(scored).where("similarity >= 0.30"), "ranked")
     rows = free.join(kinds.select("kind", *rules.RANK_WEIGHTS), list(rules.RANK_WEIGHTS)).select("kind", "row_id", "plant_codes")
     gate = F.arrays_overlap("plants", "plant_codes") | F.array_contains("plant_codes", "GROUP")
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "row_id")
@@ -92,10 +97,34 @@ def rank_masters(intents: DataFrame, masters: DataFrame, k: int = 20) -> DataFra
     return ranked.select("id", "row_id", "similarity", level.alias("level"), "exact", "rank", act.alias("actionable"))
 
 
-def plan_tasks(intents: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(id, row_id, target_system, target_plant, task_id): a task for each actionable master, system and plant of an instruction."""
-    chosen = ranked.where("actionable").select("id", "row_id")
+def selection_modes(intents: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(id, selection_mode): TOP_ONE or ALL if the text says so, else EXPLICIT (a choice is needed) for several actionable masters, SINGLE for one or none."""
+    several = ranked.where("actionable").groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("n"))
+    mode = (
+        F.when(F.col("text").rlike(ONE_WORDS), "TOP_ONE").when(F.col("text").rlike(ALL_WORDS), "ALL").when(F.coalesce("n", F.lit(0)) > 1, "EXPLICIT").otherwise("SINGLE")
+    )
+    return intents.join(several, F.col("id") == F.col("__id"), "left").select("id", mode.alias("selection_mode"))
+
+
+def plan_tasks(intents: DataFrame, ranked: DataFrame, masters: DataFrame | None = None) -> DataFrame:
+    """(id, row_id, target_system, target_plant, task_id, selection_mode, eligible, selected, status): a task for each actionable master, system and plant.
+
+    masters (row_id, plant_codes) tell whether a plant may get a record: it or
+    GROUP is named. Selected are eligible tasks of the best master where one is
+    asked for. Instructions without a target system have no tasks.
+    """
+    chosen = ranked.where("actionable").select("id", "row_id", "rank")
     spread = intents.select("id", F.explode("targets").alias("target_system"), "plants").select("id", "target_system", F.explode("plants").alias("target_plant"))
-    tasks = chosen.join(spread, "id")
+    tasks = chosen.join(spread, "id").join(selection_modes(intents, ranked), "id")
+    eligible = F.lit(True)
+    if masters is not None:
+        tasks = tasks.join(masters.select("row_id", "plant_codes"), "row_id")
+        eligible = F.array_contains("plant_codes", F.col("target_plant")) | F.array_contains("plant_codes", "GROUP")
     key = F.concat_ws("|", F.col("id").cast("string"), F.col("row_id").cast("string"), "target_system", "target_plant")
-    return tasks.withColumn("task_id", F.concat(F.lit("TASK-"), F.upper(F.substring(F.sha1(key), 1, 12))))
+    tasks = tasks.withColumns({"task_id": F.concat(F.lit("TASK-"), F.upper(F.substring(F.sha1(key), 1, 12))), "eligible": eligible})
+    best = F.col("rank") == F.min("rank").over(Window.partitionBy("id"))
+    picked = (F.col("selection_mode") == "TOP_ONE") & best & F.col("eligible")
+    status = F.when(F.col("eligible"), "PENDING_CONFIRMATION").otherwise("OUT_OF_SCOPE")
+    return tasks.withColumns({"selected": picked, "status": status}).select(
+        "id", "row_id", "target_system", "target_plant", "task_id", "selection_mode", "eligible", "selected", "status"
+    )

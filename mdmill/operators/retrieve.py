@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mdmill.functions import rules, text
 from mdmill.functions.semantics import bare, hashed_vectors, lexical_similarity, pieces, terms
-from mdmill.session import save
+from mdmill.session import gather, save
 
 #: A tree or query table up to so many rows is broadcast; a larger one is joined in blocks of that size.
 BLOCK_ROWS = 5_000
@@ -35,22 +35,22 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, aliases: DataFrame, k:
     ev = hashed_vectors(tree, pieces(bare(F.col("content")))).select(F.col("id").alias("code"), "idx", F.col("w").alias("v"))
     cosine = qv.join(ev, "idx").groupBy("id", "code").agg(F.sum(F.col("w") * F.col("v")).alias("vector"))
     words = F.filter(F.transform(F.split("keywords", ","), bare), lambda w: w != "")
-    rated = None
+    rated = []
     for part in blocks(aliases.withColumns({"words": words, "kt": terms(F.col("keywords"))}), "target"):
         hit = F.exists("words", lambda w: bare(F.col("text")).contains(w))
         likeness = lexical_similarity(F.col("text"), F.col("keywords"), F.col("t"), F.col("kt"))
         rule = F.when(hit, 1.0).when(likeness >= 0.6, 0.65).otherwise(likeness * 0.5)
-        some = asked.crossJoin(part).select("id", F.col("target").alias("code"), rule.alias("rule"))
-        rated = some if rated is None else rated.unionByName(some)
-    rated = rated.groupBy("id", "code").agg(F.max("rule").alias("rule"))
-    lexical = None
+        rated.append(asked.crossJoin(part).select("id", F.col("target").alias("code"), rule.alias("rule")))
+    rated = gather(rated).groupBy("id", "code").agg(F.max("rule").alias("rule"))
+    lexical = []
     for part in blocks(tree.drop("id"), "code"):
         some = asked.crossJoin(part).select(
             "id", "code",
             lexical_similarity(F.col("text"), F.col("content"), F.col("t"), F.col("ct")).alias("lexical"),
             F.regexp_replace("text", "[^0-9]", "").contains(F.col("code")).alias("exact"),
         )
-        lexical = some if lexical is None else lexical.unionByName(some)
+        lexical.append(some)
+    lexical = gather(lexical)
     a, b, c = rules.RETRIEVAL_WEIGHTS
     scored = lexical.join(rated, ["id", "code"], "left").join(cosine, ["id", "code"], "left").select(
         "id", "code",
@@ -110,7 +110,7 @@ def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and",
     kinds, _ = save(kinds.withColumns({"grams": F.array_distinct(pairs_of(F.col("whole"))), "letters": letters(F.col("whole"))}), "whole")
     asked = search_conditions(queries).withColumn("q_whole", text.standardize(F.col("text")))
     asked, _ = save(asked.withColumns({"q_grams": F.array_distinct(pairs_of(F.col("q_whole"))), "q_letters": letters(F.col("q_whole"))}), "asked")
-    found = None
+    found = []
     for part in blocks(asked, "query_id"):
         pair = kinds.crossJoin(part)
         stated, hits, score = F.lit(0), F.lit(0), F.lit(0.0)
@@ -139,7 +139,8 @@ def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and",
         if mode == "fuzzy":
             some = some.withColumn("score", F.when(F.col("score") > 0, F.col("score") * 1.15 + 0.03).otherwise(F.col("score")))
         some = some.where(passes & (F.col("score") > 0)).select("query_id", "kind", F.round(F.least("score", F.lit(0.99)), 4).alias("score"), "matched", "required")
-        found = some if found is None else found.unionByName(some)
+        found.append(some)
+    found, _ = save(gather(found), "found")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "kind")
     first = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     least = first.groupBy("query_id").agg(F.min("score").alias("least"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdmill.functions.text import dense_cosine
+from mdmill.session import gather
 
 #: Query tables up to so many rows are broadcast; larger ones are searched in blocks.
 QUERY_ROWS = 10_000
@@ -18,7 +19,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     to QUERY_ROWS rows it is broadcast, beyond it is split by a hash.
     """
     parts = -(-queries.count() // QUERY_ROWS) or 1
-    out = None
+    out = []
     for part in range(parts):
         some = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)
         some = F.broadcast(some.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
@@ -26,6 +27,5 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
             "query_id", "vec_id", F.round(dense_cosine(F.col("q"), F.col("embedding")), 6).alias("score")
         )
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+        out.append(scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+    return gather(out)

@@ -128,7 +128,8 @@ def ranks(spark, sf_dir):
 
 def plan(spark, sf_dir):
     asked = delivery.parse_intents(_instructions(spark, sf_dir).where("id % 50 = 0"))
-    return delivery.plan_tasks(asked, delivery.rank_masters(asked, _masters(spark, sf_dir)))
+    masters = _masters(spark, sf_dir)
+    return delivery.plan_tasks(asked, delivery.rank_masters(asked, masters), masters)
 
 
 def _graph(spark, sf_dir):

@@ -56,6 +56,18 @@ def save(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def gather(parts) -> DataFrame:
+    """The union of parts; more than one are written to one scratch table one after another, so no plan grows with their number."""
+    parts = list(parts)
+    if len(parts) == 1:
+        return parts[0]
+    spark = parts[0].sparkSession
+    path = f"{scratch_root(spark)}/parts-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later step reads."""
     jvm = spark.sparkContext._jvm

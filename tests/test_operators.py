@@ -100,6 +100,10 @@ def test_delivery_plan(spark):
     got = ranked.orderBy("rank").collect()
     assert [r["row_id"] for r in got] == [1, 2] and got[0]["exact"] and got[0]["level"] == "HIGH" and not got[1]["actionable"]
     assert sorted((r["row_id"], r["target_system"]) for r in delivery.plan_tasks(intent, ranked).collect()) == [(1, "SAP"), (1, "WMS")]
+    tasks = delivery.plan_tasks(intent, ranked, masters).collect()
+    assert {(r["selection_mode"], r["eligible"], r["selected"], r["status"]) for r in tasks} == {("SINGLE", True, False, "PENDING_CONFIRMATION")}
+    one = intent.withColumn("text", F.concat("text", F.lit(" 最相似")))
+    assert all(r["selected"] and r["selection_mode"] == "TOP_ONE" for r in delivery.plan_tasks(one, ranked, masters).collect())
 
 
 def test_ranges(spark):
