@@ -8,6 +8,7 @@ import hashlib
 import itertools
 import struct
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -23,8 +24,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 BLOCK = 1 << 16
 #: Bytes that the remembered pre-tokens and their ids may take, about; then a codec starts afresh.
 REMEMBERED = 48 << 20
-#: Bytes that an entry takes besides its characters.
-ENTRY_BYTES = 250
+#: Bytes that an entry takes besides its characters, and those of one that remembers a count.
+ENTRY_BYTES, COUNT_BYTES = 250, 160
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -87,6 +88,7 @@ class Codec:
         self.text = [str(i) for i in range(len(pieces))]
         self.seen: dict[str, str] = {}
         self.held = 0
+        self.numbers: dict[str, int] = {}
 
     def pre_tokens(self, text: str):
         """Blocks of at most BLOCK pre-tokens."""
@@ -103,11 +105,24 @@ class Codec:
             self.seen.clear()
             self.held = 0
             new = list(set(block))
-        mapped = [w.encode("utf-8", "replace").decode("latin-1").translate(self.table) for w in new]
-        for word, ids in zip(new, self.model.encode(mapped, num_threads=1)):
+        for word, ids in zip(new, self._ids(new)):
             self.seen[word] = " ".join([self.text[i] for i in ids])
             self.held += ENTRY_BYTES + len(word) + len(self.seen[word])
 
+    def count(self, block: list[str]) -> np.ndarray:
+        """How many ids each pre-token has; only counts are remembered, apart from the ids."""
+        new = list(set(block).difference(self.numbers))
+        if new:
+            if len(self.numbers) * COUNT_BYTES > REMEMBERED:
+                self.numbers.clear()
+                new = list(set(block))
+            self.numbers.update(zip(new, map(len, self._ids(new))))
+        return np.fromiter(map(self.numbers.__getitem__, block), np.int64, len(block))
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        mapped = [w.encode("utf-8", "replace").decode("latin-1").translate(self.table) for w in words]
+        return self.model.encode(mapped, num_threads=1)
+
     def encode_blocks(self, text: str):
         """The ids of each block as decimal numbers joined by spaces."""
         for block in self.pre_tokens(text):

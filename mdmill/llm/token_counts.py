@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,23 +23,18 @@ class TokenTree:
 
     def __init__(self, codec: Codec, text: str):
         self.codec, self.text = codec, text
-        leaves = []
+        tokens, chars = [], []
         for block in codec.pre_tokens(text):
-            codec.learn(block)
-            for i in range(0, len(block), LEAF):
-                words = block[i : i + LEAF]
-                leaves.append((self._count(words), sum(map(len, words))))
-        self.width = 1 << max(0, len(leaves) - 1).bit_length()
-        pad = [(0, 0)] * (self.width - len(leaves))
-        self.tokens, self.chars = ([0] * self.width + [x[i] for x in leaves + pad] for i in (0, 1))
+            starts = np.arange(0, len(block), LEAF)
+            tokens += np.add.reduceat(codec.count(block), starts).tolist()
+            chars += np.add.reduceat(np.fromiter(map(len, block), np.int64, len(block)), starts).tolist()
+        self.width = 1 << max(0, len(tokens) - 1).bit_length()
+        pad = [0] * (self.width - len(tokens))
+        self.tokens, self.chars = [0] * self.width + tokens + pad, [0] * self.width + chars + pad
         for node in range(self.width - 1, 0, -1):
             self._sum(node)
         self.encoded = len(text)
 
-    def _count(self, words: list[str]) -> int:
-        seen = self.codec.seen
-        return sum(seen[w].count(" ") + 1 for w in words)
-
     def _sum(self, node: int) -> None:
         self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
         self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -87,11 +83,10 @@ class TokenTree:
         else:
             leaf = 2 * self.width - 1
         self.encoded += end - from_char
-        self.codec.learn(words)
         touched = range(first, leaf + 1)
         for node in touched:
             self.tokens[node], self.chars[node] = 0, 0
-        self.tokens[first], self.chars[first] = self._count(words), end - from_char
+        self.tokens[first], self.chars[first] = int(self.codec.count(words).sum()), end - from_char
         level = {node // 2 for node in touched} - {0}
         while level:
             for node in level:
