@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -89,8 +90,6 @@ def test_sharding_splits_a_hot_group(spark):
 
 
 def test_exact_dedup(docs, plain):
-    import re
-
     rows = by_id(exact_dedup.find_copies(docs, hash_all=True))
     groups = {}
     for r in docs.collect():
@@ -325,3 +324,19 @@ def test_pipeline_stages(docs, spark):
         if name != "byte_bpe":
             assert rows.columns == before.columns
     assert rows.count() > 0
+    nothing = empty(docs)
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, "")
+        assert nothing.isEmpty(), name
+
+
+def test_pipeline_keeps_what_brute_force_keeps(docs, plain, spark):
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_exact_copies(spark, docs, "").collect() if r["doc_id"] is not None}
+    first = {}
+    for i, text in sorted(plain.items()):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text), i)
+    assert kept == set(first.values())
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.encode().lower().split()) else set() for i, t in plain.items()}
+    near = corpus_pipeline.drop_near_copies(spark, docs, "").where("doc_id IS NOT NULL").select("doc_id").distinct().collect()
+    alone = {i for i, s in sets.items() if not any(j != i and len(s & t) and 100 * len(s & t) >= 80 * len(s | t) for j, t in sets.items())}
+    assert alone <= {r["doc_id"] for r in near} and len(near) < len(plain)
