@@ -55,12 +55,11 @@ CATEGORY_PATTERNS = [
     ("润滑油", "润滑油|液压油|齿轮油|柴油机油|锂基脂|lubricant|oil|grease"),
     ("螺栓", "螺栓|螺柱|bolt|stud"),
 ]
-#: In these < and > stand for the borders of an ASCII word.
 MODEL_PATTERNS = [
-    "<cm0?4b[-–—]?0?\\d{2,3}>", "<6[23]\\d{2}[-]?\\d?[a-z0-9]*>", "<z9?4\\d[hwp][-]?\\d{1,3}[cp]?",
-    "<yb3[-–—]?\\d{3}[mls][-]?\\d", "<eja\\d{3}[ae]?>", "<3051[a-z0-9]*>", "<pmp\\d{2}>", "<hp\\d{4}[a-z]*\\d*>",
-    "<paf[-–—]?\\d[-–—]?0\\.\\d{2}>", "<ac[-–—]?\\d{3}>", "<jcg[-–—]?\\d{3}>", "<lx[-–—]?\\d{3}>", "<sx[-–—]?\\d{3}>",
-    "<cng[-–—]?\\d{2}>", "<m1[6-9]|m[2-3][0-9]?>", "<p320>", "<l-hm46>",
+    "\\bcm0?4b[-–—]?0?\\d{2,3}\\b", "\\b6[23]\\d{2}[-]?\\d?[a-z0-9]*\\b", "\\bz9?4\\d[hwp][-]?\\d{1,3}[cp]?",
+    "\\byb3[-–—]?\\d{3}[mls][-]?\\d", "\\beja\\d{3}[ae]?\\b", "\\b3051[a-z0-9]*\\b", "\\bpmp\\d{2}\\b", "\\bhp\\d{4}[a-z]*\\d*\\b",
+    "\\bpaf[-–—]?\\d[-–—]?0\\.\\d{2}\\b", "\\bac[-–—]?\\d{3}\\b", "\\bjcg[-–—]?\\d{3}\\b", "\\blx[-–—]?\\d{3}\\b", "\\bsx[-–—]?\\d{3}\\b",
+    "\\bcng[-–—]?\\d{2}\\b", "\\bm1[6-9]|m[2-3][0-9]?\\b", "\\bp320\\b", "\\bl-hm46\\b",
 ]
 INCHES = {"3": "80", "4": "100", "6": "150", "8": "200", "10": "250", "12": "300"}
 PRESSURE_PATTERNS = [
@@ -73,12 +72,11 @@ PRESSURE_PATTERNS = [
     ("10MPa", "10mpa|pn100|100公斤|100bar"),
     ("25MPa", "25mpa|250bar"),
 ]
-#: ~ before a pattern: it must not be followed by l.
 MATERIAL_PATTERNS = [
     ("全氟醚", "全氟醚|ffkm|kalrez"), ("35CrMoA", "35crmo"), ("丁腈橡胶", "丁腈|nbr"), ("硅橡胶", "硅橡胶|vmq|silicone"),
     ("氟橡胶", "氟橡胶|fkm|viton|氟胶"), ("碳化硅", "碳化硅|sic"), ("铬钼钢", "铬钼钢|crmo"),
-    ("哈氏合金", "哈氏合金|c276|hastelloy"), ("钛合金", "钛合金|钛材|titanium|(?:^|[^a-z0-9])ti(?:[^a-z0-9]|$)"),
-    ("316L", "316l|sus316l"), ("316", "~316|316ss|sus316"), ("304L", "304l|cf3"), ("304", "~304|304ss|cf8|sus304"),
+    ("哈氏合金", "哈氏合金|c276|hastelloy"), ("钛合金", "钛合金|钛材|titanium|(?<![a-z0-9])ti(?![a-z0-9])"),
+    ("316L", "316l|sus316l"), ("316", "(316|316ss|sus316)(?!l)"), ("304L", "304l|cf3"), ("304", "(304|304ss|cf8|sus304)(?!l)"),
     ("2205", "2205|双相钢|duplex"), ("Q235", "q235|q235b"), ("铸钢", "铸钢|碳钢|wcb"),
 ]
 PLANT_ALIASES = {
@@ -118,6 +116,24 @@ GOVERN_WORDS = ("治理", "归并", "查重", "闭环", "质量评估", "审核"
 RETRIEVAL_WEIGHTS, AUTO_SCORE, AUTO_MARGIN = (0.45, 0.30, 0.25), 0.68, 0.08
 SEARCH_WEIGHTS = {"model": 0.50, "brand": 0.25, "dn": 0.20, "pressure": 0.20, "material": 0.20, "category": 0.30}
 RANK_WEIGHTS = {"brand": 0.20, "model": 0.35, "name": 0.30}
+FIELD_LABELS = {
+    "brand": ("品牌", "brand"), "model": ("型号", "model"), "name": ("备品备件名称", "物料名称", "备件名称", "零件名称", "名称", "name"),
+}
+LABEL_ENDS = "品牌|型号|备品备件名称|物料名称|备件名称|零件名称|发往|同步到|分发到"
+KEYWORD_BREAK = r"[\s、,，/；;|]+"
+#: Categories of the standard that are searched without a tree: id, category, code prefix, title, words.
+STANDARDS = [
+    ("SYT-MDM-48-SEAL", "机械密封", "MDM-48", "泵用机械密封适配分类", "机械密封 机封 端面密封 mechanical seal face seal 波纹管 集装式"),
+    ("SYT-MDM-51-BEARING", "深沟球轴承", "MDM-51", "滚动轴承适配分类", "轴承 滚动轴承 深沟球轴承 bearing SKF FAG NSK NTN"),
+    ("SYT-MDM-53-GATE", "闸阀", "MDM-53", "工业闸阀适配分类", "闸阀 闸板阀 gate valve Z41 Z941 法兰连接"),
+    ("SYT-MDM-51-ORING", "O型圈", "MDM-51", "O型密封圈适配分类", "O型圈 O-Ring 密封圈 FKM NBR 氟橡胶 丁腈橡胶"),
+    ("SYT-MDM-52-FLANGE", "法兰", "MDM-52", "管法兰适配分类", "法兰 flange 对焊法兰 平焊法兰 盲法兰 WN PL BL RF"),
+    ("SYT-MDM-51-BOLT", "螺栓", "MDM-51", "紧固件适配分类", "螺栓 螺柱 双头螺栓 bolt stud bolt 紧固件"),
+    ("SYT-MDM-51-OIL", "润滑油", "MDM-51", "工业润滑介质适配分类", "润滑油 润滑脂 液压油 齿轮油 柴油机油 lubricant grease oil"),
+    ("SYT-MDM-51-FILTER", "滤芯", "MDM-51", "工业过滤元件适配分类", "滤芯 过滤器 滤材 filter element 液压油滤芯 空气滤芯"),
+    ("SYT-MDM-58-PT", "压力变送器", "MDM-58", "压力测量仪表适配分类", "压力变送器 transmitter pressure transmitter 3051 EJA STG 4-20mA"),
+    ("SYT-MDM-58-MOTOR", "防爆电机", "MDM-58", "防爆驱动设备适配分类", "防爆电机 隔爆电机 explosion-proof motor ex motor YB3 Exd"),
+]
 EXCLUDE_WORDS = "不要|排除|不含|非|without|exclude"
 LEADER_EDGE = 0.85
 # End of fixed values.

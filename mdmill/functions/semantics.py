@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +110,30 @@ def command_route(c: Column) -> Column:
     return F.when(deliver, route("DISTRIBUTE", 0.96)).when(_any(low, rules.GOVERN_WORDS), route("GOVERN", 0.9)).otherwise(route("SEARCH", 0.82))
 
 
-def bracketed(c: Column) -> Column:
-    """Texts in brackets that stand before the destination, in order."""
-    before = F.split(c, "发往|同步到|分发到|发送到|发到", 2)[0]
-    return F.transform(F.regexp_extract_all(before, F.lit(r"[【\[]([^】\]]+)[】\]]"), 1), text.clean)
+def delivery_filters(c: Column) -> Column:
+    """struct(brand, model, name) that an instruction asks for; '' where it does not say.
+
+    A field is what follows its label inside brackets, else after its label in
+    the text. Brackets before the destination that hold no label, system or
+    plant fill brand, model and name by their place, unless a label did.
+    """
+    inside = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"[【\[]([^】\]]+)[】\]]"), 1), text.clean), lambda x: x != "")
+    every = [w for words in rules.FIELD_LABELS.values() for w in words]
+    before = F.split(c, "发往|同步到|分发到|发送到", 2)[0]
+    named = lambda x, words: reduce(lambda a, b: a | b, (x.contains(w.lower()) for w in words))
+    systems = [a for names in rules.TARGET_SYSTEMS.values() for a in names]
+    bare_item = lambda x: ~(named(F.lower(x), every) | named(F.lower(x), systems) | named(F.lower(x), rules.PLANT_ALIASES) | F.lower(x).isin(*(s.lower() for s in rules.TARGET_SYSTEMS)))
+    placed = F.filter(inside(before), bare_item)
+    out = []
+    for i, (field, words) in enumerate(rules.FIELD_LABELS.items()):
+
+        def labelled(item):
+            values = (text.clean(F.regexp_extract(item, rf"(?iU)^{w}\s*[:：=]?\s*(.+)$", 1)) for w in words)
+            return F.coalesce(*(F.when((v != "") & ~v.isin(*words), v) for v in values))
+
+        boxed = F.get(F.filter(F.transform(inside(c), labelled), lambda v: v.isNotNull()), F.lit(0))
+        loose = rf"(?iU)(?:{'|'.join(words)})\s*[:：=]?\s*[【\[]?([^】\],，;；]+?)[】\]]?(?=\s*(?:{rules.LABEL_ENDS}|$))"
+        free = text.clean(F.regexp_extract(c, loose, 1))
+        said = F.when((free != "") & ~F.lower(free).isin(*words), free)
+        out.append(F.coalesce(boxed, said, F.get(placed, F.lit(i)), F.lit("")).alias(field))
+    return F.struct(*out)

@@ -69,7 +69,8 @@ def brand(c: Column) -> Column:
 
 
 def model(c: Column) -> Column:
-    java = [p.replace("<", "(?<![A-Za-z0-9_])").replace(">", "(?![A-Za-z0-9_])") for p in rules.MODEL_PATTERNS]
+    """The first model pattern found, in upper case; letters, digits and underscores of ASCII alone make words."""
+    java = [re.sub(r"^\\b", "(?<![A-Za-z0-9_])", p).replace(r"\b", "(?![A-Za-z0-9_])") for p in rules.MODEL_PATTERNS]
     found = F.coalesce(*(F.nullif(F.regexp_extract(clean(c), "(?i)" + p, 0), F.lit("")) for p in java), F.lit(""))
     return F.regexp_replace(F.upper(found), "[–—]", "-")
 
@@ -87,8 +88,7 @@ def pressure(c: Column) -> Column:
 
 
 def material(c: Column) -> Column:
-    java = [(v, f"(?:{p[1:]})(?!l)" if p[0] == "~" else p) for v, p in rules.MATERIAL_PATTERNS]
-    return F.coalesce(_first(java, clean(c)), F.lit(""))
+    return F.coalesce(_first(rules.MATERIAL_PATTERNS, clean(c)), F.lit(""))
 
 
 def char_jaccard(a: Column, b: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Paths (with a star: all that start so), methods (with ! all but this one) and the permission they need;
 # the first match wins, and '' is open to everyone.
@@ -56,3 +60,31 @@ def redact(details: Column) -> Column:
     """A map of details with the values of secret keys replaced and other values cut at 500 characters."""
     secret = lambda k: F.lower(F.replace(k, F.lit("-"), F.lit("_"))).rlike("|".join(MARKERS))
     return F.transform_values(details, lambda k, v: F.when(secret(k), "[REDACTED]").otherwise(F.substring(v, 1, 500)))
+
+
+def _redacted(value, depth: int = 0):
+    """A JSON value without secrets: 8 levels, 100 entries a level, texts of 500 characters."""
+    if depth > 8:
+        return "[MAX_DEPTH]"
+    if isinstance(value, dict):
+        secret = lambda key: any(m in key.lower().replace("-", "_") for m in MARKERS)
+        kept = ((k[:100], v) for k, v in list(value.items())[:100])
+        return {k: "[REDACTED]" if secret(k) else _redacted(v, depth + 1) for k, v in kept}
+    if isinstance(value, list):
+        return [_redacted(v, depth + 1) for v in value[:100]]
+    return value[:500] if isinstance(value, str) else value
+
+
+@F.pandas_udf(T.StringType())
+def redact_json(details: pd.Series) -> pd.Series:
+    """JSON texts with the values of secret keys replaced at every level; a text that is no JSON is cut at 500 characters, null stays null."""
+
+    def one(text):
+        if text is None:
+            return None
+        try:
+            return json.dumps(_redacted(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, RecursionError):
+            return text[:500]
+
+    return details.map(one)

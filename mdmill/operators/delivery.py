@@ -34,22 +34,22 @@ def short_similarity(a: Column, b: Column) -> Column:
 def parse_intents(instructions: DataFrame) -> DataFrame:
     """instructions (id, text) with targets, plants, mode, brand, model, name and confidence.
 
-    Texts in brackets before the destination are brand, model and name in that
-    order; without them brand and model are looked for in the text.
+    Brand, model and name are what the labels and brackets of the text say
+    (semantics.delivery_filters); without them brand and model are looked for
+    before the destination.
     """
     t = F.col("text")
     before = F.split(t, "发往|同步到|分发到|发送到|发到", 2)[0]
-    part = lambda i: F.coalesce(F.get(semantics.bracketed(t), F.lit(i)), F.lit(""))
-    out = instructions.withColumns(
+    out = instructions.withColumn("said", semantics.delivery_filters(t)).withColumns(
         {
             "targets": semantics.target_systems(t),
             "plants": semantics.target_plants(t),
             "mode": semantics.delivery_mode(t),
-            "brand": F.coalesce(F.nullif(part(0), F.lit("")), text.brand(before)),
-            "model": F.coalesce(F.nullif(part(1), F.lit("")), text.model(before)),
-            "name": part(2),
+            "brand": F.coalesce(F.nullif(F.col("said.brand"), F.lit("")), text.brand(before)),
+            "model": F.coalesce(F.nullif(F.col("said.model"), F.lit("")), text.model(before)),
+            "name": F.col("said.name"),
         }
-    )
+    ).drop("said")
     sure = F.lit(0.45) + F.when(F.size("targets") > 0, 0.35).otherwise(0.0) + F.when(F.concat("brand", "model", "name") != "", 0.15).otherwise(0.0)
     return out.withColumn("confidence", F.round(F.least(F.lit(0.98), sure), 2))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdmill.functions import rules, text
@@ -23,18 +23,22 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, aliases: DataFrame, k:
     """(query_id, code, score, rule, lexical, vector, rank, margin, decision): the k best entries of each query.
 
     queries (query_id, text), entries (code, content), aliases (target,
-    keywords split by commas). An entry scores by the aliases that point to it,
-    shared terms and hashed vectors; its code in the query counts as a full hit.
-    Equal texts are scored once. Ties go to the smaller code. decision looks at
-    the best score and its lead over the next.
+    keywords). An entry scores by the aliases that point to it, shared terms
+    and hashed vectors; its code in the query counts as a full hit. Targets of
+    aliases outside the tree are candidates too, by the keywords of one
+    alias (the greatest), once an alias hits. Equal texts are scored once. Ties go to the
+    smaller code. decision looks at the best score and its lead over the next.
     """
     asked = queries.groupBy("text").agg(F.min("query_id").alias("id"))
     asked, _ = save(asked.withColumn("t", terms(F.col("text"))), "asked")
-    tree, _ = save(entries.select("code", "content").withColumns({"ct": terms(F.col("content")), "id": F.col("code")}), "tree")
+    outside = aliases.join(entries.select(F.col("code").alias("target")), "target", "left_anti")
+    outside = outside.groupBy(F.col("target").alias("code")).agg(F.max("keywords").alias("content")).withColumn("outside", F.lit(True))
+    tree = entries.select("code", "content", F.lit(False).alias("outside")).unionByName(outside)
+    tree, _ = save(tree.withColumns({"ct": terms(F.col("content")), "id": F.col("code")}), "tree")
     qv = hashed_vectors(asked, pieces(bare(F.col("text")))).select(F.col("id"), "idx", "w")
     ev = hashed_vectors(tree, pieces(bare(F.col("content")))).select(F.col("id").alias("code"), "idx", F.col("w").alias("v"))
     cosine = qv.join(ev, "idx").groupBy("id", "code").agg(F.sum(F.col("w") * F.col("v")).alias("vector"))
-    words = F.filter(F.transform(F.split("keywords", ","), bare), lambda w: w != "")
+    words = F.filter(F.transform(F.split("keywords", rules.KEYWORD_BREAK), bare), lambda w: w != "")
     rated = []
     for part in blocks(aliases.withColumns({"words": words, "kt": terms(F.col("keywords"))}), "target"):
         hit = F.exists("words", lambda w: bare(F.col("text")).contains(w))
@@ -47,12 +51,13 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, aliases: DataFrame, k:
         some = asked.crossJoin(part).select(
             "id", "code",
             lexical_similarity(F.col("text"), F.col("content"), F.col("t"), F.col("ct")).alias("lexical"),
-            F.regexp_replace("text", "[^0-9]", "").contains(F.col("code")).alias("exact"),
+            (~F.col("outside") & F.regexp_replace("text", "[^0-9]", "").contains(F.col("code"))).alias("exact"),
+            "outside",
         )
         lexical.append(some)
     lexical = gather(lexical)
     a, b, c = rules.RETRIEVAL_WEIGHTS
-    scored = lexical.join(rated, ["id", "code"], "left").join(cosine, ["id", "code"], "left").select(
+    scored = lexical.join(rated, ["id", "code"], "left").where("NOT outside OR rule > 0").join(cosine, ["id", "code"], "left").select(
         "id", "code",
         F.when(F.col("exact"), 1.0).otherwise(F.coalesce("rule", F.lit(0.0))).alias("rule"),
         F.when(F.col("exact"), 1.0).otherwise(F.col("lexical")).alias("lexical"),
@@ -66,7 +71,27 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, aliases: DataFrame, k:
     decided = top.withColumns({"margin": F.round(lead, 6), "first": first}).where(F.col("rank") <= k)
     verdict = F.when((F.col("first") >= rules.AUTO_SCORE) & (F.col("margin") >= rules.AUTO_MARGIN), "AUTO_RECOMMEND").otherwise("REVIEW")
     known = queries.join(asked.select("text", "id"), "text").select("query_id", "id")
-    return known.join(decided, "id").select("query_id", "code", "score", "rule", "lexical", "vector", "rank", "margin", verdict.alias("decision"))
+    shown = (F.round(c, 6).alias(c) for c in ("rule", "lexical", "vector"))
+    return known.join(decided, "id").select("query_id", "code", "score", *shown, "rank", "margin", verdict.alias("decision"))
+
+
+def citations(rows: DataFrame, excerpt: Column) -> DataFrame:
+    """rows with citation_id, the place of each in its source file, one row a place; rows that repeat a place keep the greatest record hash.
+
+    rows (standard_no, version_label, filename, source_sha256, sheet, row_no,
+    cell_range, record_sha256); excerpt is a text over their columns.
+    """
+    place = F.concat(F.upper(F.substring("source_sha256", 1, 12)), F.lit("#"), "sheet", F.lit("!"), F.col("row_no").cast("string"))
+    fields = ["standard_no", "version_label", "filename", "source_sha256", "sheet", "row_no", "cell_range", "record_sha256"]
+    cited = rows.select(place.alias("citation_id"), *fields, excerpt.alias("excerpt"))
+    last = F.max_by(F.struct(*fields, "excerpt"), "record_sha256").alias("c")
+    return cited.groupBy("citation_id").agg(last).select("citation_id", "c.*")
+
+
+def with_citations(results: DataFrame, cited: DataFrame) -> DataFrame:
+    """results of hybrid_search with the array citation_ids of cited (code, citation_id), in order; empty where a code has none."""
+    ids = cited.groupBy("code").agg(F.sort_array(F.collect_set("citation_id")).alias("citation_ids"))
+    return results.join(ids, "code", "left").withColumn("citation_ids", F.coalesce("citation_ids", F.array().cast("array<string>")))
 
 
 def search_conditions(queries: DataFrame) -> DataFrame:
@@ -93,14 +118,21 @@ def search_conditions(queries: DataFrame) -> DataFrame:
     )
 
 
-def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and", k: int = 20) -> DataFrame:
+def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and", k: int = 20, suggestions: int = 0) -> DataFrame:
     """(query_id, row_id, score, matched, required, rank): the k best masters of each query, ties by row_id.
 
     masters are enriched records with `name`. mode `and` asks for all stated
-    conditions, `or` for one, `fuzzy` for one or a likeness in words. Equal
-    masters are scored once, and take their places by row_id.
+    conditions, `or` for one, `fuzzy` for one or a likeness in words. A column
+    qty_min of queries asks for masters with so many records (source_count of
+    masters). Equal masters are scored once, and take their places by row_id.
+    With suggestions, a query of mode `and` that finds nothing lists so many
+    masters that meet at least half of its conditions, by share met and score,
+    and a column `suggestion` tells them from results.
     """
-    keys = ["name", *rules.SEARCH_WEIGHTS]
+    if suggestions and mode != "and":
+        raise ValueError("suggestions are for the mode `and`")
+    counted = "qty_min" in queries.columns
+    keys = ["name", *rules.SEARCH_WEIGHTS, *(["source_count"] if counted else [])]
     rows = masters.withColumn("category", F.col("std_category")).select("row_id", *keys)
     kinds, _ = save(rows.groupBy(*keys).agg(F.min("row_id").alias("kind")), "kinds")
     words = F.lower(F.concat_ws(" ", "name", "category", "model", "brand", "dn", "pressure", "material"))
@@ -124,6 +156,10 @@ def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and",
         ranged = F.col("q_dn_from").isNotNull()
         within = ranged & F.coalesce(F.expr("try_cast(dn AS BIGINT)").between(F.col("q_dn_from"), F.col("q_dn_to")), F.lit(False))
         stated, hits, score = stated + ranged.cast("int"), hits + within.cast("int"), score + F.when(within, 0.20).otherwise(0.0)
+        if counted:
+            asks = F.col("qty_min").isNotNull()
+            enough = asks & F.coalesce(F.col("source_count") >= F.col("qty_min"), F.lit(False))
+            stated, hits, score = stated + asks.cast("int"), hits + enough.cast("int"), score + F.when(enough, 0.10).otherwise(0.0)
         overlap = F.size(F.array_intersect("q_grams", "grams")) / F.size("q_grams")
         alike = F.size(F.array_intersect("q_letters", "letters")) / F.greatest(F.size(F.array_union("q_letters", "letters")), F.lit(1))
         rated = pair.where((F.col("q_exclude") == "") | ~F.col("whole").contains(F.lower("q_exclude"))).select(
@@ -138,14 +174,30 @@ def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and",
         }[mode]
         if mode == "fuzzy":
             some = some.withColumn("score", F.when(F.col("score") > 0, F.col("score") * 1.15 + 0.03).otherwise(F.col("score")))
-        some = some.where(passes & (F.col("score") > 0)).select("query_id", "kind", F.round(F.least("score", F.lit(0.99)), 4).alias("score"), "matched", "required")
-        found.append(some)
+        kept = passes & (F.col("score") > 0)
+        if suggestions:
+            kept |= (F.col("matched") > 0) & (F.try_divide("matched", "required") >= 0.5)
+        found.append(some.where(kept).select("query_id", "kind", "score", "matched", "required"))
     found, _ = save(gather(found), "found")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "kind")
-    first = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    least = first.groupBy("query_id").agg(F.min("score").alias("least"))
-    open_kinds = found.join(least, "query_id").where("score >= least").drop("least")
+    near = (F.col("required") > 0) & (F.col("matched") < F.col("required")) if suggestions else F.lit(False)
+    value = F.when(near, F.least(F.col("score") * 0.75 + F.try_divide("matched", "required") * 0.20, F.lit(0.89))).otherwise(F.least("score", F.lit(0.99)))
+    found = found.select("query_id", "kind", F.round(value, 4).alias("score"), "matched", "required", near.alias("suggestion"))
     members = rows.join(kinds.select(*keys, "kind"), keys).select("kind", "row_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    ranked = open_kinds.join(members, "kind").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "row_id", "score", "matched", "required", "rank")
+
+    def best_rows(some: DataFrame, first: list, k: int) -> DataFrame:
+        """The k best rows of each query: kinds that cannot reach them go before their rows are listed."""
+        best = Window.partitionBy("query_id").orderBy(*first, "kind")
+        least = some.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy("query_id").agg(F.max("place").alias("least"))
+        tied = some.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(*first)))
+        order = Window.partitionBy("query_id").orderBy(*first, "row_id")
+        reach = tied.join(least, "query_id").where("place <= least").join(members, "kind")
+        return reach.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    out = ["query_id", "row_id", "score", "matched", "required", "rank"]
+    ranked = best_rows(found.where("NOT suggestion"), [F.desc("score")], k)
+    if not suggestions:
+        return ranked.select(*out)
+    answered = found.where("NOT suggestion").select("query_id").distinct()
+    near = found.where("suggestion").join(answered, "query_id", "left_anti")
+    near = best_rows(near, [F.desc(F.try_divide("matched", "required")), F.desc("score")], suggestions)
+    return ranked.unionByName(near).select(*out, "suggestion")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mdmill import registry_extra, registry_operators
+from mdmill import registry_extra, registry_operators, registry_search
 from mdmill.functions import rules, text
 from mdmill.operators import audit, quality, resolve, vectors
 from mdmill.plans import governance, relations, statements, transitions
@@ -35,8 +35,9 @@ def _attribute(name):
 
 def _cases(patterns, subject: str, rest: str) -> str:
     def arm(value, pattern):
-        p = {"~316|316ss|sus316": "316([^l]|$)", "~304|304ss|cf8|sus304": "(304|cf8)([^l]|$)"}.get(pattern, pattern)
-        return f"WHEN regexp_matches({subject}, '{p}', 'i') THEN '{value}'"
+        # The engine of the SQL cannot look around.
+        taken = pattern.replace("(?!l)", "([^l]|$)").replace("(?<![a-z0-9])", "(^|[^a-z0-9])").replace("(?![a-z0-9])", "([^a-z0-9]|$)")
+        return f"WHEN regexp_matches({subject}, '{taken}', 'i') THEN '{value}'"
 
     return "CASE " + " ".join(arm(v, p) for v, p in patterns) + f" ELSE {rest} END"
 
@@ -50,7 +51,7 @@ def _category_sql(name="material_name", raw="category") -> str:
 def _attribute_sql(subject: str = TEXT) -> dict[str, str]:
     """The SQL of each attribute of `subject`."""
     model = ", ".join(
-        "nullif(regexp_extract(%s, '%s', 0, 'i'), '')" % (subject, p.replace("<", "\\b").replace(">", "\\b")) for p in rules.MODEL_PATTERNS
+        "nullif(regexp_extract(%s, '%s', 0, 'i'), '')" % (subject, p) for p in rules.MODEL_PATTERNS
     )
     brands = " ".join(f"WHEN contains(lower({subject}), '{b.lower()}') THEN '{b}'" for b in rules.BRANDS)
     inch = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.INCHES.items())
@@ -126,7 +127,8 @@ def term_frequency(spark, sf_dir):
     rows = enrich(materials(spark, sf_dir))
     standard = text.standardize(F.concat_ws(" ", "material_name", "description"))
     tokens = text.semantic_tokens(*(F.col(a) for a in resolve.ATTRIBUTES), standard)
-    return rows.select("row_id", F.explode(tokens).alias("token")).groupBy("row_id", "token").agg(F.count("*").alias("tf"))
+    counts = rows.select("row_id", F.explode(tokens).alias("token")).groupBy("row_id", "token").agg(F.count("*").alias("n"))
+    return counts.select("row_id", "token", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("row_id")), 6).alias("tf"))
 
 
 def match_pairs(spark, sf_dir):
@@ -159,6 +161,7 @@ QUERIES = {
     **{name: _statement(name) for name in STATEMENTS},
     **registry_operators.QUERIES,
     **registry_extra.QUERIES,
+    **registry_search.QUERIES,
     "txt1_standardize": standardized,
     "txt2_category": _attribute("std_category"),
     "txt3_brand": _attribute("brand"),
@@ -202,6 +205,7 @@ ORACLE_SQL = {
     },
     **registry_operators.oracle_sql(_ATTRIBUTES),
     **registry_extra.oracle_sql(_attribute_sql, _standard_sql()),
+    **registry_search.oracle_sql(_attribute_sql, _standard_sql(), _category_sql),
     "txt1_standardize": _standard_sql(),
     "txt12_char_jaccard": f"""{M}, p AS (SELECT a.row_id, list_distinct(string_split(regexp_replace(lower(a.material_name), '\\s+', '', 'g'), '')) AS x,
  list_distinct(string_split(regexp_replace(lower(b.material_name), '\\s+', '', 'g'), '')) AS y FROM m a JOIN m b ON b.row_id = a.row_id + 4)

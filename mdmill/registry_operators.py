@@ -77,12 +77,13 @@ def routes(spark, sf_dir):
 
 
 def standard_tree(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Entries and aliases: categories by material, and each category's synonyms."""
+    """Entries and aliases: categories by material, each category's synonyms, and an alias that points out of the tree."""
     rows = enrich(materials(spark, sf_dir))
     entries = rows.groupBy("std_category", "material").agg(F.lpad(F.min("row_id").cast("string"), 8, "0").alias("code"))
     words = F.create_map(*(x for k, v in rules.SYNONYMS.items() for x in (F.lit(k), F.lit(",".join(v)))))
     aliases = entries.select(F.col("code").alias("target"), F.concat_ws(",", "std_category", words[F.col("std_category")]).alias("keywords"))
-    return entries.select("code", F.concat_ws(" / ", "std_category", "material").alias("content")), aliases
+    outside = spark.createDataFrame([("X-BRASS", "brass,steel")], "target string, keywords string")
+    return entries.select("code", F.concat_ws(" / ", "std_category", "material").alias("content")), aliases.unionByName(outside)
 
 
 def hybrid(spark, sf_dir):
@@ -100,7 +101,9 @@ def classified(spark, sf_dir):
 
 
 def conditions(spark, sf_dir):
-    return retrieve.search_conditions(_texts(spark, sf_dir).withColumnRenamed("row_id", "query_id")).drop("text")
+    more = F.when(F.col("row_id") % 6 == 0, " 不要304").when(F.col("row_id") % 6 == 1, " DN50-150").otherwise("")
+    asked = _texts(spark, sf_dir).select(F.col("row_id").alias("query_id"), F.concat("text", more).alias("text"))
+    return retrieve.search_conditions(asked).drop("text")
 
 
 def attribute_search(spark, sf_dir):
