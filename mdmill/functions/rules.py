@@ -90,6 +90,11 @@ CONNECTORS = {
     "MES": ("mes-rest", "MES_MATERIAL"), "WMS": ("wms-rest", "WMS_ITEM"), "采购": ("procurement-rest", "PURCHASE_ITEM"),
     "CSV": ("file-import", "CSV_ROW"),
 }
+PROVENANCE_HEADERS = {
+    "id": ("源记录id", "源记录编号", "原记录id", "业务主键", "source_record_id", "record_id", "object_id"),
+    "table": ("源表", "来源表", "业务对象", "source_table", "table_name", "object_type"),
+    "url": ("源记录链接", "来源链接", "source_url", "record_url", "deep_link"),
+}
 REQUIRED = [
     ("material_code", "物料编码", "HIGH"), ("material_name", "物料名称", "HIGH"), ("description", "物料描述", "MEDIUM"),
     ("category", "物料分类", "MEDIUM"), ("unit", "计量单位", "MEDIUM"), ("system_source", "来源系统", "HIGH"),

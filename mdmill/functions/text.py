@@ -109,11 +109,18 @@ def dense_cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.coalesce(value, F.lit(0.0))).otherwise(0.0)
 
 
-def semantic_tokens(record_model, record_brand, record_dn, record_pressure, record_material, standard: Column) -> Column:
-    """Attributes (model three times, the others twice), the first six CJK runs, and character 2- and 3-grams."""
+def plain(standard: Column) -> Column:
+    """The first 400 CJK characters, letters and digits of a standardised text."""
+    return F.substring(F.regexp_replace(standard, "[^一-龥a-z0-9]", ""), 1, 400)
+
+
+def semantic_tokens(record_model, record_brand, record_dn, record_pressure, record_material, standard: Column, bare: Column) -> Column:
+    """Attributes (model three times, the others twice), the first six CJK runs, and character 2- and 3-grams of bare, the plain text.
+
+    Both texts should be columns of a stored table: as expressions they would be worked out again for every gram.
+    """
     twice = lambda c: F.when(c != "", F.array_repeat(c, 2)).otherwise(F.array().cast("array<string>"))
     runs = F.slice(F.regexp_extract_all(standard, F.lit("([一-龥]{2,5})"), 1), 1, 6)
-    bare = F.substring(F.regexp_replace(standard, "[^一-龥a-z0-9]", ""), 1, 400)
     none = F.array().cast("array<string>")
     grams = lambda n: F.when(
         F.length(bare) >= n,

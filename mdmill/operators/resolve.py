@@ -42,12 +42,9 @@ def match_pairs(records: DataFrame) -> DataFrame:
     key = ["material_name", "description", "std_category"]
     whole = F.concat_ws(" ", "material_name", "description", F.lit(""))
     items = records.groupBy(*key).agg(F.min("row_id").alias("id"), *(F.first(a).alias(a) for a in ATTRIBUTES))
-    items = items.withColumns(
-        {
-            "tokens": text.semantic_tokens(*(F.col(a) for a in ATTRIBUTES), text.standardize(whole)),
-            "semantic": text.standardize(F.concat_ws(" ", *key)),
-        }
-    )
+    items, _ = save(items.withColumns({"standard": text.standardize(whole), "semantic": text.standardize(F.concat_ws(" ", *key))}), "standard")
+    items, _ = save(items.withColumn("plain", text.plain(F.col("standard"))), "plain")
+    items = items.withColumn("tokens", text.semantic_tokens(*(F.col(a) for a in (*ATTRIBUTES, "standard", "plain"))))
     items, _ = save(
         items.withColumn(
             "letters",

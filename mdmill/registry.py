@@ -11,7 +11,7 @@ from mdmill import registry_extra, registry_operators, registry_search
 from mdmill.functions import rules, text
 from mdmill.operators import audit, quality, resolve, vectors
 from mdmill.plans import governance, relations, statements, transitions
-from mdmill.session import scratch_root, table
+from mdmill.session import save, scratch_root, table
 from mdmill.sources.materials import MATERIALS_SQL, enrich, materials
 from mdmill.streaming.issues import issues_through_stream
 
@@ -126,7 +126,9 @@ def char_similarity(spark, sf_dir):
 def term_frequency(spark, sf_dir):
     rows = enrich(materials(spark, sf_dir))
     standard = text.standardize(F.concat_ws(" ", "material_name", "description"))
-    tokens = text.semantic_tokens(*(F.col(a) for a in resolve.ATTRIBUTES), standard)
+    rows, _ = save(rows.select("row_id", *resolve.ATTRIBUTES, standard.alias("standard")), "standard")
+    rows, _ = save(rows.withColumn("plain", text.plain(F.col("standard"))), "plain")
+    tokens = text.semantic_tokens(*(F.col(a) for a in (*resolve.ATTRIBUTES, "standard", "plain")))
     counts = rows.select("row_id", F.explode(tokens).alias("token")).groupBy("row_id", "token").agg(F.count("*").alias("n"))
     return counts.select("row_id", "token", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("row_id")), 6).alias("tf"))
 

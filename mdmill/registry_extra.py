@@ -232,17 +232,22 @@ def oracle_sql(attribute_sql, standard: str) -> dict[str, str]:
         f"({i}, '{c}', '{text_of}')" for i, (c, text_of) in enumerate((c, " ".join([c, *rules.SYNONYMS.get(c, [])]).strip()) for c, _ in rules.CATEGORY_PATTERNS)
     )
     fold = standard.replace(f"{M} SELECT row_id, ", "").rsplit(" AS standard FROM m", 1)[0]
-    words = fold.replace("lower(trim(material_name || ' ' || description))", "lower(trim(words))")
+    on = lambda c: fold.replace("lower(trim(material_name || ' ' || description))", f"lower(trim({c}))")
+    words = on("words")
+    some = lambda c, v: f"CASE WHEN {c} <> '' THEN {v} ELSE [] END"
     pad = lambda x: "".join(f"\\x{b ^ x:02X}" for b in b"ledger-key".ljust(64, b"\0"))
-    body = ", ".join(f"'{f}': {f}" for f in sorted(source.FIELDS))
+    body = ", ".join(f"'{f}': {f}" for f in sorted([*source.FIELDS, "extra"]))
     return {
         "txt14_hash_embedding": f"""{M}, x AS (SELECT row_id, {fold} AS t FROM m), y AS (SELECT min(row_id) AS id, t FROM x GROUP BY t), {vectors(f"SELECT id, {bare('t')} AS b FROM y")}, w AS ({unit}) SELECT id, idx, round(w, 6) AS w FROM w""",
         "str1_streamed_blocks": CHAIN_SQL + " SELECT b.chain, b.event_id, b.height, previous_hash, block_hash, payload_hash FROM b JOIN e ON e.chain = b.chain AND e.height = b.height",
         "wn3_hmac": f"""WITH e AS (SELECT user_id AS chain, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS height, sha256(concat_ws('|', event_id, event_type, printf('%.4f', value::DOUBLE))) AS p FROM events)
  SELECT chain, height, sha256('{pad(0x5C)}'::BLOB || unhex(sha256('{pad(0x36)}'::BLOB || p::BLOB))) AS signature FROM e""",
-        "prj8_provenance": f"""{M} SELECT row_id, CASE WHEN material_code <> '' THEN material_code ELSE printf('ROW-%06d', row_id) END AS source_id,
- CASE system_source WHEN 'SAP' THEN 'MARA' WHEN 'EAM' THEN 'EAM_MATERIAL' WHEN '采购' THEN 'PURCHASE_ITEM' ELSE 'CSV_ROW' END AS source_table,
- CASE WHEN system_source IN ('SAP', 'EAM', '采购') THEN 'CONFIGURED' ELSE 'DEMO' END AS status, sha256(to_json({{'batch': 'B1', {body}}})::VARCHAR) AS record_hash FROM m""",
+        "prj8_provenance": f"""{M}, x AS (SELECT *, CASE WHEN row_id % 4 = 1 THEN concat('X ', row_id) WHEN material_code <> '' THEN material_code ELSE printf('ROW-%06d', row_id) END AS source_id,
+  CASE WHEN row_id % 4 = 3 THEN 'T 1' ELSE CASE system_source WHEN 'SAP' THEN 'MARA' WHEN 'EAM' THEN 'EAM_MATERIAL' WHEN '采购' THEN 'PURCHASE_ITEM' ELSE 'CSV_ROW' END END AS source_table,
+  CASE system_source WHEN 'SAP' THEN 'demo://sap-odata' WHEN 'EAM' THEN 'https://eam.example/api' WHEN '采购' THEN 'demo://procurement-rest' ELSE 'demo://file-import' END AS base,
+  CASE row_id % 4 WHEN 1 THEN json_object('Record ID', concat('X ', row_id), 'note', 'n') WHEN 2 THEN json_object('来源链接', concat('https://e/', row_id)) WHEN 3 THEN json_object('deep_link', 'ftp://x', '源表', 'T 1') ELSE json_object() END AS extra FROM m)
+ SELECT row_id, source_id, source_table, CASE WHEN row_id % 4 = 2 OR system_source = 'EAM' THEN 'CONFIGURED' ELSE 'DEMO' END AS status,
+ CASE WHEN row_id % 4 = 2 THEN concat('https://e/', row_id) ELSE concat(base, '/', replace(source_table, ' ', '%20'), '/', replace(source_id, ' ', '%20')) END AS source_url, sha256(to_json({{{body}}})::VARCHAR) AS record_hash FROM x""",
         "src1_csv_batch": f"{M} SELECT {fields}, plant_code, concat('r', row_id) AS note FROM m",
         "prj2_normalized": f"{M} SELECT {fields}, plant_code, concat('r', row_id) AS note FROM m",
         "src2_json_batch": f"{M} SELECT {fields}, CASE WHEN row_id % 5 = 0 THEN 'BEIJING' ELSE plant_code END AS plant_code FROM m",
@@ -279,6 +284,16 @@ def oracle_sql(attribute_sql, standard: str) -> dict[str, str]:
  t AS (SELECT mdm_code, concat_ws(' ', standard_name, category, comments) AS content FROM {masters} LEFT JOIN c ON c.id = mdm_code), """
         + vectors(f"SELECT mdm_code AS id, {bare('content')} AS b FROM t").replace("{", "{{").replace("}", "}}").replace("{{{{", "{{").replace("}}}}", "}}")
         + """, n AS (SELECT id, count(*) AS dims FROM v GROUP BY id) SELECT mdm_code, 'masters' AS namespace, content, sha256(content) AS content_hash, coalesce(dims, 0) AS dims FROM t LEFT JOIN n ON n.id = mdm_code""").replace("{{", "{").replace("}}", "}"),
+        "jn1_match_pairs": f"""{e}, i AS (SELECT material_name, description, std_category, min(row_id) AS id, any_value(model) AS model, any_value(brand) AS brand, any_value(dn) AS dn, any_value(pressure) AS pressure, any_value(material) AS material FROM e GROUP BY ALL),
+ f AS (SELECT *, {on("concat(material_name, ' ', description)")} AS std, {letters(on("concat(material_name, ' ', description, ' ', std_category)"))} AS chars FROM i), b AS (SELECT *, substring(regexp_replace(std, '[^一-龥a-z0-9]', '', 'g'), 1, 400) AS b FROM f),
+ l AS (SELECT id, list_concat({some('model', '[model, model, model]')}, {some('brand', '[brand, brand]')}, {some('dn', "['DN' || dn, 'DN' || dn]")}, {some('pressure', '[pressure, pressure]')}, {some('material', '[material, material]')},
+  regexp_extract_all(std, '[一-龥]{{2,5}}')[1:6], list_transform(range(1, len(b)), lambda k: substring(b, k, 2)), list_transform(range(1, len(b) - 1), lambda k: substring(b, k, 3))) AS l FROM b),
+ n AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(CASE WHEN len(l) = 0 THEN ['empty'] ELSE l END) AS token FROM l) GROUP BY ALL), w AS (SELECT id, token, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM n),
+ p AS (SELECT x.id AS src, y.id AS dst, CASE WHEN x.brand <> '' AND x.brand = y.brand THEN 0.15 ELSE 0 END + CASE WHEN x.material <> '' AND x.material = y.material THEN 0.10 ELSE 0 END AS bonus, len(list_intersect(x.chars, y.chars))::DOUBLE AS common, len(x.chars) + len(y.chars) AS total
+  FROM f x JOIN f y ON x.id < y.id AND (x.model = '' OR y.model = '' OR x.model = y.model) AND (x.pressure = '' OR y.pressure = '' OR x.pressure = y.pressure) AND (x.dn = '' OR y.dn = '' OR x.dn = y.dn)),
+ c AS (SELECT x.id AS src, y.id AS dst, sum(x.w * y.w) AS cosine FROM w x JOIN w y ON x.token = y.token AND x.id < y.id GROUP BY ALL)
+ SELECT id AS src, row_id AS dst FROM e JOIN i USING (material_name, description, std_category) WHERE row_id <> id
+ UNION ALL SELECT p.src, p.dst FROM p LEFT JOIN c ON c.src = p.src AND c.dst = p.dst WHERE coalesce(cosine, 0) + bonus::DOUBLE >= 0.55 - 1e-12 OR common / (total - common) >= 0.85""",
         "tk5_reference_evidence": f"""{M}, q AS (SELECT row_id AS query_id, {bare("material_name || ' ' || description")} AS q FROM m WHERE row_id % 50 = 0),
  r AS (SELECT s_suppkey AS reference_id, {bare("concat('DN', s_nationkey * 10, ' ', 'GB/T ', s_suppkey, ' ', 'gate valve ', s_name, ' ', '304')")} AS c FROM supplier),
  t AS (SELECT query_id, reference_id, q, c, list_distinct({cut('q')}) AS x, list_distinct({cut('c')}) AS y FROM q CROSS JOIN r),

@@ -64,7 +64,11 @@ def golden_codes(spark, sf_dir):
 
 
 def provenances(spark, sf_dir):
-    return materials(spark, sf_dir).select("row_id", provenance("B1").alias("p")).select("row_id", "p.*")
+    """Records of which some name their id, table or link in columns of their own."""
+    extra = F.expr("""CASE row_id % 4 WHEN 1 THEN map('Record ID', concat('X ', row_id), 'note', 'n') WHEN 2 THEN map('来源链接', concat('https://e/', row_id))
+     WHEN 3 THEN map('deep_link', 'ftp://x', '源表', 'T 1') ELSE map() END""")
+    rows = provenance(materials(spark, sf_dir).withColumn("_extra", extra), {"eam-rest": "https://eam.example/api/"})
+    return rows.select("row_id", "provenance.*")
 
 
 def intents(spark, sf_dir):

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdmill.functions import text
+from mdmill.functions import rules, text
 
 FIELDS = ["material_code", "system_source", "material_name", "description", "category", "unit", "create_time", "plant_code"]
 
@@ -102,6 +102,11 @@ ALIASES = {
 # End of fixed values.
 
 
+def header_key(header: str | None) -> str:
+    """A header in lower case without white space, separators and brackets; text.header_key is the same for columns."""
+    return re.sub(r"[\s_\-./\\()（）\[\]【】:：]+", "", (header or "").strip().lower())
+
+
 def map_headers(headers: list[str]) -> dict[str, str]:
     """{field: header} for the headers of one table: each field in turn takes its best free header.
 
@@ -109,7 +114,7 @@ def map_headers(headers: list[str]) -> dict[str, str]:
     aliases beat shorter ones, then the order of aliases and headers decides.
     Short aliases (one CJK or three Latin letters) only match whole headers.
     """
-    key = lambda h: re.sub(r"[\s_\-./\\()（）\[\]【】:：]+", "", (h or "").strip().lower())
+    key = header_key
     found: dict[str, str] = {}
     for field, names in ALIASES.items():
         best = (0, "")
@@ -126,13 +131,43 @@ def map_headers(headers: list[str]) -> dict[str, str]:
     return found
 
 
-def provenance(batch: str):
-    """struct(source_id, source_table, status, record_hash) of a record: its code, else a number from row_id, and the hash of its fields."""
-    code = F.coalesce(F.nullif(F.col("material_code"), F.lit("")), F.format_string("ROW-%06d", F.col("row_id")))
+def _extra_value(extra, aliases):
+    """The first non-blank value of a map of unmapped columns under a header that equals an alias; null if there is none."""
+    named = lambda alias: F.filter(F.map_entries(extra), lambda e: (text.header_key(e["key"]) == header_key(alias)) & (text.clean(e["value"]) != ""))
+    return F.coalesce(*(F.nullif(text.clean(F.get(named(a), F.lit(0))["value"]), F.lit("")) for a in aliases))
+
+
+def provenance(records: DataFrame, base_urls: dict[str, str] | None = None) -> DataFrame:
+    """records with a struct provenance(source_id, source_table, status, source_url, record_hash).
+
+    Id and table come from unmapped columns (`_extra`) that name them, else
+    from the code, or from row_id, and the source system. The URL is that of an
+    unmapped column if it is http(s), else it is made under the base URL of the
+    system's connector; without one it is a demo URL, and the status DEMO. The
+    hash is over all fields and `_extra`.
+    """
+    extra = F.col("_extra") if "_extra" in records.columns else F.create_map().cast("map<string,string>")
+    extra = F.coalesce(extra, F.create_map().cast("map<string,string>"))
     where = text.connector(F.col("system_source"))
-    status = F.when(where["connector"] == "file-import", "DEMO").otherwise("CONFIGURED")
-    body = F.to_json(F.struct(F.lit(batch).alias("batch"), *(F.col(f) for f in sorted(FIELDS))), {"ignoreNullFields": "false"})
-    return F.struct(code.alias("source_id"), where["source_table"].alias("source_table"), status.alias("status"), F.sha2(body, 256).alias("record_hash"))
+    found = {k: _extra_value(extra, names) for k, names in rules.PROVENANCE_HEADERS.items()}
+    numbered = F.format_string("ROW-%06d", F.col("row_id"))
+    own = F.coalesce(found["id"], F.nullif(text.clean(F.col("material_code")), F.lit("")), numbered)
+    source = F.coalesce(found["table"], where["source_table"])
+    given = F.when(F.lower(found["url"]).rlike("^https?://"), found["url"])
+    bases = F.create_map(*(F.lit(x) for k, v in (base_urls or {}).items() for x in (k, v.rstrip("/")))) if base_urls else F.create_map().cast("map<string,string>")
+    quoted = lambda c: F.replace(F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    rows = records.withColumns({"__id": own, "__table": source, "__given": given, "__connector": where["connector"]})
+    base = F.try_element_at(bases, F.col("__connector"))
+    made = F.concat(F.coalesce(base, F.concat(F.lit("demo://"), "__connector")), F.lit("/"), quoted(F.col("__table")), F.lit("/"), quoted(F.col("__id")))
+    status = F.when(F.col("__given").isNotNull() | base.isNotNull(), "CONFIGURED").otherwise("DEMO")
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(extra)))
+    fields = [(f, F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in FIELDS]
+    body = F.to_json(F.struct(*(c.alias(f) for f, c in sorted([*fields, ("extra", ordered)], key=lambda pair: pair[0]))))
+    shown = F.struct(
+        F.col("__id").alias("source_id"), F.col("__table").alias("source_table"), status.alias("status"),
+        F.coalesce("__given", made).alias("source_url"), F.sha2(body, 256).alias("record_hash"),
+    )
+    return rows.withColumn("provenance", shown).drop("__id", "__table", "__given", "__connector")
 
 
 def extra_text(extra):
