@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mdmill.functions import semantics
 from mdmill.operators import access, indexing, knowledge, retrieve
+from mdmill.sources import materials
 
 CASES = [
     ("把【品牌：SKF】【型号 6312】发往上海厂SAP系统", ("SKF", "6312", "")),
@@ -100,3 +101,15 @@ def test_citations_and_suggestions(spark):
     seen = {(r["query_id"], r["row_id"]): (r["suggestion"], r["matched"], r["required"]) for r in found}
     assert seen[1, 1] == (False, 3, 3) and (1, 2) not in seen
     assert seen[2, 1] == (True, 3, 4) and seen[2, 2] == (True, 3, 4)
+
+
+def test_provenance(spark):
+    rows = [(1, "M1", "SAP", {"Record ID": " X/1 ", "来源链接": "HTTPS://e/1"}), (2, "M*2", "EAM", {"deep_link": "ftp://x", "源表": "T 1"}), (3, "", None, None)]
+    df = spark.createDataFrame(rows, "row_id long, material_code string, system_source string, _extra map<string,string>")
+    df = df.withColumns({f: F.lit("") for f in materials.FIELDS if f not in df.columns})
+    found = {r["row_id"]: r["provenance"] for r in materials.provenance(df, {"eam-rest": "https://eam/"}).collect()}
+    assert (found[1]["source_id"], found[1]["source_table"], found[1]["status"], found[1]["source_url"]) == ("X/1", "MARA", "CONFIGURED", "HTTPS://e/1")
+    assert (found[2]["status"], found[2]["source_url"]) == ("CONFIGURED", "https://eam/T%201/M%2A2")
+    assert (found[3]["status"], found[3]["source_url"]) == ("DEMO", "demo://file-import/CSV_ROW/ROW-000003")
+    bare = {r["row_id"]: r["provenance"] for r in materials.provenance(df.drop("_extra")).collect()}
+    assert bare[2]["status"] == "DEMO" and bare[3]["record_hash"] == found[3]["record_hash"]
