@@ -7,7 +7,10 @@ from mdmill.llm import (
     language,
     mixing,
     ngram_join,
+    periods,
+    resampling,
     sharding,
+    simhash,
     suffix_dedup,
     token_counts,
     toxicity,
@@ -24,9 +27,13 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_language_id": language.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_simhash_anchors": simhash.op12_simhash_anchors,
+    "op13_periodic_runs": periods.op13_periodic_runs,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_poisson_mix": mixing.OP5_SQL,
+    "op11_importance_resampling": resampling.OP11_SQL,
 }
