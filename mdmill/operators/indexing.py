@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdmill.functions import rules, text
 from mdmill.functions.semantics import DIMENSION, bare, hashed_vectors, pieces
 from mdmill.operators.knowledge import build_index
-from mdmill.operators.retrieve import blocks
-from mdmill.session import gather, save
+from mdmill.operators.vectors import build_cells, search_cells
+from mdmill.session import save
 
 
 def dense_vectors(items: DataFrame, words: Column, dimension: int = DIMENSION) -> DataFrame:
@@ -35,19 +35,13 @@ def search_index(queries: DataFrame, index: DataFrame, k: int = 5, namespace: st
     rows = index if namespace is None else index.where(F.col("namespace") == namespace)
     if plant is not None and plant != "GROUP":
         rows = rows.where(F.array_contains("plant_codes", plant) | F.array_contains("plant_codes", "GROUP"))
-    rows = rows.select("key", "idx", "w")
     asked = queries.groupBy("text").agg(F.min("query_id").alias("id"))
     vectors = dense_vectors(asked.select("id", "text"), pieces(bare(F.col("text"))))
     asked, _ = save(asked.join(vectors, "id", "left"), "asked")
-    best = Window.partitionBy("id").orderBy(F.desc("score"), "key")
-    dot = F.aggregate(F.zip_with("idx", "w", lambda i, w: F.get("vector", i) * w), F.lit(0.0), lambda s, v: s + v)
-    score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.coalesce(dot, F.lit(0.0)))), 6)
-    found = []
-    for part in blocks(asked.select("id", "vector"), "id"):
-        some = rows.crossJoin(part).select("id", "key", score.alias("score"))
-        found.append(some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-    known = queries.join(asked.select("text", "id"), "text").select("query_id", "id")
-    return known.join(gather(found), "id").select("query_id", "key", "score", "rank")
+    cells = build_cells(rows.select("key", "idx", "w"), DIMENSION)
+    found = search_cells(asked.select(F.col("id").alias("query_id"), "vector"), cells, k, DIMENSION)
+    known = queries.join(asked.select("text", F.col("id").alias("of")), "text").select("query_id", "of")
+    return known.join(found.withColumnRenamed("query_id", "of"), "of").select("query_id", "key", "score", "rank")
 
 
 def standard_index(spark: SparkSession) -> DataFrame:
