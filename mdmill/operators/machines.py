@@ -269,7 +269,7 @@ def activate_versions(versions: DataFrame, requests: DataFrame) -> tuple[DataFra
     first = versions.select("catalog", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("action"), F.col("version_id").alias("target"), F.lit(None).cast(number).alias("expected_current"), "status")
     asked = requests.select("catalog", F.lit(1).alias("kind"), F.col("seq").cast("long").alias("seq"), "action", F.col("target").cast(number).alias("target"), F.col("expected_current").cast(number).alias("expected_current"), F.lit(None).cast("string").alias("status"))
     met = first.unionByName(asked).repartition("catalog").sortWithinPartitions("catalog", "kind", "seq", "target")
-    schema = StructType([*met.schema.fields]).add("outcome", "string").add("previous", number if number != "int" else "integer")
+    schema = StructType([*met.schema.fields]).add("outcome", "string").add("previous", versions.schema["version_id"].dataType)
     kinds = _arrow(schema)
     takes = {"PUBLISH": ("VALIDATED",), "ROLLBACK": ("RETIRED", "VALIDATED"), "VALIDATE": ("DRAFT", "VALIDATED")}
 

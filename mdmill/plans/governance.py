@@ -7,6 +7,10 @@ from mdmill.plans.statements import APPROVED, REACHES
 
 VALUES = {"ag13_issue_capture": {"batch": "B1"}, "ag9_plant_summary": {}, "txt25_citations": {"version": "v1", "sheet": "items"}}
 
+#: The fields of a golden record that its index text holds, blank ones left out.
+INDEX_FIELDS = ("standard_name", "category", "brand", "model", "dn", "pressure", "material", "source_systems")
+#: Steps of a workflow.
+WORKFLOW_STEPS = 8
 #: Violations of a standard tree, by rule.
 TREE_RULES = [
     ("REQUIRED", "coalesce(trim(full_code), '') = '' OR coalesce(trim(item_name), '') = '' OR coalesce(trim(major_name), '') = ''"),
@@ -26,8 +30,7 @@ STATEMENTS = {
  SELECT m.mdm_code, concat('Golden record ', m.mdm_code, ' (', standard_name, ') joins ', coalesce(sources, 0), ' source rows of ', coalesce(systems, 0), ' systems; decision ', decision,
   CASE decision WHEN 'REVIEW' THEN '; attributes differ, rules R006/R008' WHEN 'NEW' THEN '; no match, rule R007' ELSE '; attributes agree, rules R001/R005' END, CASE WHEN review IS NULL THEN '' ELSE concat('; review ', review) END) AS sentence
  FROM {masters} m LEFT JOIN s ON s.mdm_code = m.mdm_code LEFT JOIN r ON r.mdm_code = m.mdm_code""",
-    "txt35_index_text": """SELECT m.mdm_code, concat_ws(' ', nullif(standard_name, ''), nullif(m.category, ''), nullif(plants, ''), nullif(decision, ''), CAST(m.mdm_code AS VARCHAR(20)), nullif(material_code, ''), nullif(description, ''), nullif(unit, '')) AS content
- FROM {masters} m LEFT JOIN {materials} r ON r.row_id = m.mdm_code""",
+    "txt35_index_text": f"""SELECT mdm_code, concat_ws(' ', {', '.join(f"nullif(trim({c}), '')" for c in INDEX_FIELDS)}) AS content FROM {{golden}}""",
     # Aggregates of golden records.
     "ag2_conflicts": """SELECT component, count(DISTINCT nullif(model, '')) AS models, count(DISTINCT nullif(dn, '')) AS dns, count(DISTINCT nullif(pressure, '')) AS pressures, count(DISTINCT nullif(material, '')) AS materials,
  count(DISTINCT nullif(model, '')) > 1 OR count(DISTINCT nullif(dn, '')) > 1 OR count(DISTINCT nullif(pressure, '')) > 1 OR count(DISTINCT nullif(material, '')) > 1 AS conflict FROM {attributed} GROUP BY component""",
@@ -59,7 +62,9 @@ STATEMENTS = {
     "ag18_tree_stats": "SELECT count(DISTINCT major) AS major, count(DISTINCT middle) AS middle, count(DISTINCT minor) AS minor, count(*) AS n FROM {entries}",
     "ag19_compliance": """SELECT classification, count(*) AS batches, count(CASE WHEN held THEN 1 END) AS holds, count(DISTINCT owner) AS owners, max(r.n) AS active_rules
  FROM {batches} CROSS JOIN (SELECT count(CASE WHEN active THEN 1 END) AS n FROM {rules}) r GROUP BY classification""",
-    "ag20_workflow_progress": """SELECT batch_id, count(DISTINCT CASE WHEN status = 'COMPLETED' THEN step_id END) AS completed, count(*) AS steps, count(*) = count(CASE WHEN status = 'COMPLETED' THEN 1 END) AS closed_loop FROM {steps} GROUP BY batch_id""",
+    "ag20_workflow_progress": f"""WITH s AS (SELECT batch_id, step_code, status FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, step_code ORDER BY ts DESC, step_id DESC) AS k FROM {{steps}}) x WHERE k = 1)
+ SELECT batch_id, count(CASE WHEN status = 'COMPLETED' THEN 1 END) AS completed_steps, {WORKFLOW_STEPS} AS total_steps, round(100.0 * count(CASE WHEN status = 'COMPLETED' THEN 1 END) / {WORKFLOW_STEPS}, 1) + 0e0 AS progress,
+  count(CASE WHEN status = 'COMPLETED' THEN 1 END) = {WORKFLOW_STEPS} AS closed_loop FROM s GROUP BY batch_id""",
     "ag21_review_progress": """SELECT plant_code, count(CASE WHEN status = 'PENDING' THEN 1 END) AS pending, count(CASE WHEN status <> 'PENDING' THEN 1 END) AS resolved,
  round(100.0 * count(CASE WHEN status <> 'PENDING' THEN 1 END) / count(*), 1) + 0e0 AS percent FROM {reviews} GROUP BY plant_code""",
     "ag22_delivery_summary": """SELECT batch_id, plant_code, count(CASE WHEN success THEN 1 END) AS success, count(CASE WHEN NOT success THEN 1 END) AS failed,

@@ -31,16 +31,20 @@ RELATIONS = {
     "principals": "user_id, display",
     "issues": "row_id, system_source, plant_code, code, dimension, severity, status, due_in",
     "rules": "code, rule_id, active, dimension, default_severity, due_days",
-    "steps": "batch_id, step_id, ts, status, metrics",
+    "steps": "batch_id, step_id, step_code, ts, status, metrics: the history of workflow steps",
+    "blocks": "batch_id, height, step_code, ts, status, metrics: fingerprints of steps in a ledger",
+    "golden": "mdm_code, standard_name, category, brand, model, dn, pressure, material, source_systems",
+    "version_entries": "entries with version_id",
+    "version_aliases": "aliases with version_id",
     "versions": "version_id, catalog, status, created, source_hash",
-    "reviews": "review_id, mdm_code, plant_code, status",
+    "reviews": "review_id, mdm_code, plants, plant_code, status",
     "decisions": "review_id, action, plant_code",
     "tasks": "task_id, mdm_code, target_system, plant",
     "selected": "mdm_code",
     "plants": "plant",
     "systems": "target_system",
     "issue_requests": "row_id, code, wanted, resolution, own",
-    "lifecycle": "request_id, name, category, plant_code, status",
+    "lifecycle": "request_id, name, description, category, brand, mdm_code, plant_code, status",
     "lifecycle_updates": "request_id, wanted, granted",
     "publish_requests": "catalog, target, expected_current",
     "assessments": "control, maturity, status",
@@ -91,10 +95,13 @@ STANDINS = {
  UNION ALL SELECT 'DUPLICATE_CODE', 'DQR-4', true, 'uniqueness', 'HIGH', 2 UNION ALL SELECT 'CATEGORY_UNRESOLVED', 'DQR-5', false, 'conformity', 'LOW', 10""",
     "issues": """SELECT row_id, system_source, plant_code, f.code, dimension, default_severity AS severity,
  CASE row_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ACKNOWLEDGED' WHEN 2 THEN 'RESOLVED' ELSE 'WAIVED' END AS status, due_days + row_id % 9 AS due_in FROM {found} f JOIN {rules} r ON f.code = r.code""",
-    "steps": """SELECT user_id AS batch_id, event_id AS step_id, ts, CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'RUNNING' END AS status, props AS metrics FROM {events}""",
-    "versions": """SELECT o_orderkey AS version_id, o_custkey AS catalog, CASE o_orderstatus WHEN 'F' THEN 'VALIDATED' WHEN 'O' THEN 'DRAFT' ELSE 'RETIRED' END AS status,
- o_orderdate AS created, concat('h', o_orderkey % 7) AS source_hash FROM {orders}""",
-    "reviews": """SELECT mdm_code AS review_id, mdm_code, CASE WHEN plants LIKE '%SHANGHAI%' THEN 'SHANGHAI' ELSE 'GROUP' END AS plant_code,
+    "steps": """SELECT user_id AS batch_id, event_id AS step_id, CASE event_id % 8 WHEN 0 THEN 'INGEST' WHEN 1 THEN 'STANDARDIZE' WHEN 2 THEN 'VECTOR_INDEX' WHEN 3 THEN 'GRAPH_DEDUPE' WHEN 4 THEN 'REVIEW' WHEN 5 THEN 'QUALITY'
+ WHEN 6 THEN 'DISTRIBUTE' ELSE 'FEEDBACK' END AS step_code, ts, CASE WHEN user_id % 4 = 0 AND event_type = 'view' THEN 'COMPLETED' ELSE CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'RUNNING' END END AS status, props AS metrics FROM {events}""",
+    "versions": """SELECT version_id, catalog, CASE WHEN place = 2 THEN 'PUBLISHED' WHEN o_orderstatus = 'F' THEN 'VALIDATED' WHEN o_orderstatus = 'O' THEN 'DRAFT' ELSE 'RETIRED' END AS status, created, source_hash
+ FROM (SELECT o_orderkey AS version_id, o_custkey AS catalog, o_orderstatus, o_orderdate AS created, concat('h', o_orderkey % 7) AS source_hash, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM {orders}) x""",
+    "version_entries": "SELECT version_id, e.* FROM {versions} v JOIN {entries} e ON e.major = CAST(10 + version_id % 50 AS VARCHAR(9))",
+    "version_aliases": "SELECT DISTINCT version_id, a.alias, a.keywords, a.target FROM {version_entries} e JOIN {aliases} a ON a.target = e.full_code",
+    "reviews": """SELECT mdm_code AS review_id, mdm_code, plants, CASE WHEN plants LIKE '%SHANGHAI%' THEN 'SHANGHAI' ELSE 'GROUP' END AS plant_code,
  CASE WHEN mdm_code % 4 = 0 THEN 'RESOLVED' ELSE 'PENDING' END AS status FROM {masters} WHERE decision = 'REVIEW'""",
     "decisions": """SELECT review_id, CASE review_id % 3 WHEN 0 THEN 'MERGE' WHEN 1 THEN 'NEW' ELSE 'SKIP' END AS action,
  CASE WHEN review_id % 5 = 0 THEN 'BEIJING' ELSE 'GROUP' END AS plant_code FROM {reviews}""",
@@ -105,11 +112,15 @@ STANDINS = {
  CASE WHEN description LIKE '%PN16%' THEN '1.6MPa' ELSE '' END AS pressure FROM {materials}""",
     "issue_requests": """SELECT row_id, code, CASE row_id % 3 WHEN 0 THEN 'ACKNOWLEDGED' WHEN 1 THEN 'RESOLVED' ELSE 'OPEN' END AS wanted,
  CASE WHEN row_id % 2 = 0 THEN 'mended' ELSE '' END AS resolution, CASE WHEN row_id % 5 = 0 THEN 'BEIJING' ELSE 'GROUP' END AS own FROM {issues}""",
-    "lifecycle": "SELECT row_id AS request_id, material_name AS name, category, plant_code, CASE row_id % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'REVIEWED' ELSE 'APPROVED' END AS status FROM {materials}",
+    "lifecycle": "SELECT row_id AS request_id, material_name AS name, description, category, CASE WHEN row_id % 4 = 0 THEN 'SKF' ELSE '' END AS brand, CASE WHEN row_id % 10 = 0 THEN 'MDM-1' WHEN row_id % 10 = 1 THEN 'NEW-1' ELSE '' END AS mdm_code, plant_code, CASE row_id % 3 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'REVIEWED' ELSE 'APPROVED' END AS status FROM {materials}",
     "lifecycle_updates": """SELECT row_id AS request_id, CASE row_id % 5 WHEN 0 THEN 'REVIEWED' WHEN 1 THEN 'APPROVED' WHEN 2 THEN 'ARCHIVED' ELSE 'REJECTED' END AS wanted,
  CASE WHEN row_id % 2 = 0 THEN 'lifecycle.review' ELSE 'lifecycle.approve' END AS granted FROM {materials} WHERE row_id % 4 <> 3""",
-    "publish_requests": "SELECT catalog, max(version_id) AS target, min(version_id) AS expected_current FROM {versions} GROUP BY catalog",
+    "publish_requests": """SELECT catalog, max(version_id) AS target, CASE catalog % 3 WHEN 0 THEN min(version_id) WHEN 1 THEN max(CASE WHEN status = 'PUBLISHED' THEN version_id END) END AS expected_current
+ FROM {versions} GROUP BY catalog""",
     "assessments": """SELECT row_id AS control, row_id % 7 AS maturity, CASE row_id % 4 WHEN 0 THEN 'IMPLEMENTED' WHEN 1 THEN 'MONITORED' WHEN 2 THEN 'PLANNED' ELSE 'DONE' END AS status FROM {materials}""",
+    "blocks": """SELECT batch_id, step_id AS height, step_code, ts, status, CASE WHEN step_id % 11 = 0 THEN 'changed' ELSE metrics END AS metrics FROM {steps} WHERE step_id % 7 <> 0 AND NOT (batch_id % 5 = 0 AND step_code = 'QUALITY')""",
+    "golden": """SELECT p_partkey AS mdm_code, p_name AS standard_name, p_type AS category, p_brand AS brand, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE concat('M', p_size) END AS model, CAST(p_size AS VARCHAR(9)) AS dn,
+ CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE '1.6MPa' END AS pressure, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '304' END AS material, CASE WHEN p_partkey % 2 = 0 THEN 'SAP,EAM' ELSE 'WMS' END AS source_systems FROM {part}""",
     "holds": "SELECT batch_id, step_id, ts, status = 'COMPLETED' AS held FROM {steps}",
 }
 RETENTION = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.RETENTION_DAYS.items())

@@ -6,6 +6,7 @@ and, where a request is refused, why.
 
 from __future__ import annotations
 
+from mdmill.functions import rules
 from mdmill.plans.statements import APPROVED, REACHES
 
 ISSUE_EDGES = """edges AS (SELECT 'OPEN' AS a, 'ACKNOWLEDGED' AS b UNION ALL SELECT 'OPEN', 'RESOLVED' UNION ALL SELECT 'OPEN', 'WAIVED' UNION ALL SELECT 'ACKNOWLEDGED', 'OPEN'
@@ -13,6 +14,8 @@ ISSUE_EDGES = """edges AS (SELECT 'OPEN' AS a, 'ACKNOWLEDGED' AS b UNION ALL SEL
 LIFECYCLE_EDGES = """edges AS (SELECT 'PENDING' AS a, 'REVIEWED' AS b, 'lifecycle.review' AS permission UNION ALL SELECT 'PENDING', 'REJECTED', 'lifecycle.review' UNION ALL SELECT 'REVIEWED', 'APPROVED', 'lifecycle.approve'
  UNION ALL SELECT 'REVIEWED', 'REJECTED', 'lifecycle.approve' UNION ALL SELECT 'APPROVED', 'ARCHIVED', 'lifecycle.approve')"""
 
+CODE_PREFIX = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.CODE_PREFIXES.items()) + " ELSE 'MDM-X' END"
+
 STATEMENTS = {
     "st1_review_decisions": """WITH d AS (SELECT r.review_id, r.mdm_code, q.action, q.plant_code IN ('GROUP', r.plant_code) AS in_scope FROM {reviews} r JOIN {decisions} q ON q.review_id = r.review_id WHERE r.status = 'PENDING')
  SELECT m.mdm_code, CASE WHEN NOT coalesce(in_scope, false) OR action = 'SKIP' THEN m.decision WHEN action = 'MERGE' THEN 'AUTO_MERGE' ELSE 'CONFIRMED_NEW' END AS decision,
@@ -26,12 +29,13 @@ STATEMENTS = {
  FROM r LEFT JOIN edges ON status = a AND wanted = b""",
     "st3_lifecycle": f"""WITH {LIFECYCLE_EDGES} SELECT l.request_id, coalesce(b, l.status) AS status,
   CASE WHEN wanted IS NULL THEN 'NO_REQUEST' WHEN b IS NULL THEN 'REFUSED' ELSE 'DONE' END AS outcome,
-  CASE WHEN b = 'APPROVED' THEN concat('MDM-X-', upper(substring(sha256(concat(category, '|', name, '|', l.request_id)), 1, 8))) END AS minted
+  CASE WHEN b = 'APPROVED' AND (mdm_code = '' OR mdm_code LIKE 'NEW-%') THEN concat({CODE_PREFIX}, '-', upper(substring(sha1(concat(category, '|', name, '|', l.request_id)), 1, 8))) END AS minted
  FROM {{lifecycle}} l LEFT JOIN {{lifecycle_updates}} u ON u.request_id = l.request_id LEFT JOIN edges ON l.status = a AND wanted = b AND granted = permission""",
-    "st4_publish": """WITH c AS (SELECT catalog, min(version_id) AS current FROM {versions} GROUP BY catalog),
- p AS (SELECT v.catalog, v.version_id AS target FROM {versions} v JOIN {publish_requests} q ON q.catalog = v.catalog AND q.target = v.version_id JOIN c ON c.catalog = v.catalog AND c.current = q.expected_current WHERE v.status IN ('VALIDATED', 'RETIRED'))
- SELECT v.version_id, v.catalog, CASE WHEN p.target IS NULL THEN v.status WHEN v.version_id = p.target THEN 'PUBLISHED' WHEN v.version_id = c.current THEN 'RETIRED' ELSE v.status END AS status,
-  CASE WHEN v.version_id = p.target AND v.status = 'RETIRED' THEN 'ROLLBACK' WHEN v.version_id = p.target THEN 'PUBLISH' ELSE '' END AS event FROM {versions} v JOIN c ON c.catalog = v.catalog LEFT JOIN p ON p.catalog = v.catalog""",
+    "st4_publish": """WITH c AS (SELECT catalog, version_id AS current FROM {versions} WHERE status = 'PUBLISHED'),
+ p AS (SELECT v.catalog, v.version_id AS target FROM {versions} v JOIN {publish_requests} q ON q.catalog = v.catalog AND q.target = v.version_id LEFT JOIN c ON c.catalog = v.catalog
+  WHERE v.status IN ('VALIDATED', 'RETIRED') AND (q.expected_current IS NULL OR q.expected_current IS NOT DISTINCT FROM c.current))
+ SELECT v.version_id, v.catalog, CASE WHEN p.target IS NULL THEN v.status WHEN v.version_id = p.target THEN 'PUBLISHED' WHEN v.status = 'PUBLISHED' THEN 'RETIRED' ELSE v.status END AS status,
+  CASE WHEN v.version_id = p.target AND v.status = 'RETIRED' THEN 'ROLLBACK' WHEN v.version_id = p.target THEN 'PUBLISH' ELSE '' END AS event FROM {versions} v LEFT JOIN p ON p.catalog = v.catalog""",
     "st4_idempotent_source": "SELECT catalog, source_hash, min(version_id) AS version_id, count(*) AS submitted FROM {versions} GROUP BY catalog, source_hash",
     "st5_assessments": """SELECT control, maturity, status, CASE WHEN maturity NOT BETWEEN 1 AND 5 THEN 'BAD_MATURITY' WHEN status NOT IN ('IMPLEMENTED', 'MONITORED', 'PLANNED') THEN 'BAD_STATUS' ELSE 'STORED' END AS outcome FROM {assessments}""",
     "st6_changed_steps": """SELECT step_id AS event_id, status FROM (SELECT step_id, status, metrics, lag(status) OVER (PARTITION BY batch_id ORDER BY ts, step_id) AS old, lag(metrics) OVER (PARTITION BY batch_id ORDER BY ts, step_id) AS old_metrics

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mdmill.functions import rules, text
 from mdmill.operators import audit, knowledge, lineage, resolve
 from mdmill.operators.components import connected_components
-from mdmill.plans import relations
+from mdmill.plans import governance, relations
 from mdmill.session import scratch_root, table
 from mdmill.sources import materials as source
 from mdmill.sources.materials import MATERIALS_SQL, enrich, materials
@@ -165,8 +165,7 @@ def likeness_of_pairs(spark, sf_dir):
 
 def vector_index(spark, sf_dir):
     """The index of golden records and what was said of them, built anew over an index of which some texts have changed."""
-    masters = relations.standin(spark, sf_dir, "masters")
-    contents = masters.select(F.col("mdm_code").alias("key"), F.concat_ws(" ", "standard_name", "category").alias("content"))
+    contents = relations.run_standins(spark, sf_dir, governance.STATEMENTS["txt35_index_text"]).withColumnRenamed("mdm_code", "key")
     said = relations.standin(spark, sf_dir, "deliveries").where("batch_id % 10 = 0").groupBy(F.col("mdm_code").alias("key"))
     comments = said.agg(F.array_join(F.sort_array(F.collect_set("comment")), " ").alias("comments"))
     old = knowledge.build_index(contents)
@@ -281,7 +280,7 @@ def oracle_sql(attribute_sql, standard: str) -> dict[str, str]:
  w AS ({unit}), d AS (SELECT x.id, sum(x.w * y.w) AS dense FROM w x JOIN w y ON y.id = x.id + 4 AND x.idx = y.idx GROUP BY x.id)
  SELECT t.id, round(greatest(-1, least(1, coalesce(dense, 0))), 6)::DOUBLE AS dense, round(len(list_intersect({letters('a')}, {letters('b')})) / len(list_distinct(list_concat({letters('a')}, {letters('b')})))::DOUBLE, 6) AS chars FROM t LEFT JOIN d ON d.id = t.id""",
         "er5_vector_index": relations.oracle("""WITH c AS (SELECT mdm_code AS id, string_agg(DISTINCT comment, ' ' ORDER BY comment) AS comments FROM {deliveries} WHERE batch_id % 10 = 0 GROUP BY mdm_code),
- t AS (SELECT mdm_code, concat_ws(' ', standard_name, category, comments) AS content FROM {masters} LEFT JOIN c ON c.id = mdm_code), """
+ g AS (""" + governance.STATEMENTS["txt35_index_text"] + """), t AS (SELECT mdm_code, concat_ws(' ', content, '工厂反馈 ' || comments) AS content FROM g LEFT JOIN c ON c.id = mdm_code), """
         + vectors(f"SELECT mdm_code AS id, {bare('content')} AS b FROM t").replace("{", "{{").replace("}", "}}").replace("{{{{", "{{").replace("}}}}", "}}")
         + """, n AS (SELECT id, count(*) AS dims FROM v GROUP BY id) SELECT mdm_code, 'masters' AS namespace, content, sha256(content) AS content_hash, coalesce(dims, 0) AS dims FROM t LEFT JOIN n ON n.id = mdm_code""").replace("{{", "{").replace("}}", "}"),
         "jn1_match_pairs": f"""{e}, i AS (SELECT material_name, description, std_category, min(row_id) AS id, any_value(model) AS model, any_value(brand) AS brand, any_value(dn) AS dn, any_value(pressure) AS pressure, any_value(material) AS material FROM e GROUP BY ALL),

@@ -165,9 +165,12 @@ def test_statements_over_own_tables(spark):
     assert asked(1, "ACKNOWLEDGED", "", "SHANGHAI") == ("OPEN", "OUT_OF_SCOPE") and asked(2, "WAIVED", "x", "GROUP") == ("RESOLVED", "NO_SUCH_STEP")
     tasks = table([(1, 2, "SAP", "BEIJING"), (2, 2, "SAP", "SHANGHAI"), (3, 1, "SAP", "SHANGHAI"), (4, 9, "SAP", "BEIJING")], "task_id long, mdm_code long, target_system string, plant string")
     assert {r["task_id"]: r["reason"] for r in run("st7_deliveries", masters=masters, tasks=tasks)} == {1: "", 2: "OUT_OF_SCOPE", 3: "NOT_APPROVED", 4: "UNKNOWN_CODE"}
-    versions = table([(1, 1, "VALIDATED", 1, "h"), (2, 1, "VALIDATED", 2, "h"), (3, 2, "DRAFT", 1, "h")], "version_id long, catalog long, status string, created long, source_hash string")
-    wanted = table([(1, 2, 1), (2, 3, 3)], "catalog long, target long, expected_current long")
-    assert {r["version_id"]: r["status"] for r in run("st4_publish", versions=versions, publish_requests=wanted)} == {1: "RETIRED", 2: "PUBLISHED", 3: "DRAFT"}
+    versions = table([(1, 1, "RETIRED", 1, "h"), (2, 1, "PUBLISHED", 2, "h"), (3, 1, "VALIDATED", 3, "h"), (4, 2, "DRAFT", 1, "h"), (5, 3, "VALIDATED", 1, "h")], "version_id long, catalog long, status string, created long, source_hash string")
+    published = lambda *asked: {r["version_id"]: r["status"] for r in run("st4_publish", versions=versions, publish_requests=table(list(asked), "catalog long, target long, expected_current long"))}
+    assert published((1, 3, 2), (2, 4, None), (3, 5, None)) == {1: "RETIRED", 2: "RETIRED", 3: "PUBLISHED", 4: "DRAFT", 5: "PUBLISHED"}
+    assert published((1, 3, 1)) == {1: "RETIRED", 2: "PUBLISHED", 3: "VALIDATED", 4: "DRAFT", 5: "VALIDATED"}
+    assert published((1, 1, 2))[1] == "PUBLISHED"
+    assert [tuple(r) for r in run("jn6_active_version", versions=versions)] == [(1, 2)]
     members = table([("a", "6312", "", "", ""), ("a", "6312", "50", "", "304"), ("b", "1", "", "", ""), ("b", "2", "", "", "")], "component string, model string, dn string, pressure string, material string")
     assert {r["component"]: r["conflict"] for r in run("ag2_conflicts", attributed=members)} == {"a": False, "b": True}
 
