@@ -90,6 +90,9 @@ CONNECTORS = {
     "MES": ("mes-rest", "MES_MATERIAL"), "WMS": ("wms-rest", "WMS_ITEM"), "采购": ("procurement-rest", "PURCHASE_ITEM"),
     "CSV": ("file-import", "CSV_ROW"),
 }
+CONNECTOR_NAMES = {
+    "SAP": "SAP ERP OData", "ERP": "ERP 主数据接口", "EAM": "EAM 设备物资接口", "MES": "MES 物料接口", "WMS": "WMS 库存物料接口", "采购": "采购平台物料接口", "CSV": "文件接入适配器",
+}
 PROVENANCE_HEADERS = {
     "id": ("源记录id", "源记录编号", "原记录id", "业务主键", "source_record_id", "record_id", "object_id"),
     "table": ("源表", "来源表", "业务对象", "source_table", "table_name", "object_type"),

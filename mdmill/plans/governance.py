@@ -55,10 +55,10 @@ STATEMENTS = {
  SELECT concat('DQI-', upper(substring(sha256(concat(:batch, ':', row_id, ':', f.code)), 1, 16))) AS issue_id, row_id, f.code, rule_id, dimension, coalesce(default_severity, 'MEDIUM') AS severity,
   CASE coalesce(default_severity, 'MEDIUM') WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 5 ELSE 10 END AS due_days FROM f JOIN {rules} r ON r.code = f.code WHERE active""",
     "ag14_issue_summary": """SELECT status, dimension, count(*) AS n, count(CASE WHEN status IN ('OPEN', 'ACKNOWLEDGED') AND due_in < 8 THEN 1 END) AS overdue FROM {issues} GROUP BY status, dimension""",
-    "ag15_controls_by_domain": """SELECT category AS domain, count(*) AS controls, count(CASE WHEN decision = 'NEW' THEN 1 END) AS implemented, count(CASE WHEN decision = 'REVIEW' THEN 1 END) AS monitored FROM {masters} GROUP BY category""",
+    "ag15_controls_by_domain": """SELECT domain, count(*) AS controls, count(CASE WHEN status = 'IMPLEMENTED' THEN 1 END) AS implemented, count(CASE WHEN status = 'MONITORED' THEN 1 END) AS monitored,
+ count(CASE WHEN status = 'PLANNED' THEN 1 END) AS planned, round(avg(maturity), 2) AS maturity FROM {controls} GROUP BY domain""",
     "ag16_feedback_by_code": """SELECT mdm_code, avg(rating) AS rating, avg(CASE WHEN accepted THEN 1 ELSE 0 END) AS acceptance, listagg(comment, ';') WITHIN GROUP (ORDER BY comment) AS comments, count(*) AS n FROM {deliveries} GROUP BY mdm_code""",
-    "ag17_vector_stats": """SELECT provider, dimension, namespace, count(*) AS n, max(vec_id) AS newest FROM (SELECT CASE WHEN vec_id % 4 = 0 THEN 'remote' ELSE 'local' END AS provider, 64 AS dimension, label AS namespace, vec_id FROM {embeddings}) v
- GROUP BY provider, dimension, namespace""",
+    "ag17_vector_stats": "SELECT provider, dimension, namespace, count(*) AS n, max(vec_id) AS newest FROM {vectors} GROUP BY provider, dimension, namespace",
     "ag18_tree_stats": "SELECT count(DISTINCT major) AS major, count(DISTINCT middle) AS middle, count(DISTINCT minor) AS minor, count(*) AS n FROM {entries}",
     "ag19_compliance": """SELECT classification, count(*) AS batches, count(CASE WHEN held THEN 1 END) AS holds, count(DISTINCT owner) AS owners, max(r.n) AS active_rules
  FROM {batches} CROSS JOIN (SELECT count(CASE WHEN active THEN 1 END) AS n FROM {rules}) r GROUP BY classification""",

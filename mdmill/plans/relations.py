@@ -26,7 +26,11 @@ RELATIONS = {
     "batches": "batch_id, owner, created, classification, held, record_count",
     "entries": "full_code, major, middle, minor, major_name, middle_name, minor_name, item_name, example",
     "aliases": "alias, keywords, target",
-    "requests": "event_id, user_id, kind, own, clearance, asked",
+    "requests": "event_id, user_id, kind, own, clearance, asked, client_ip",
+    "snapshots": "batch_id: batches whose masters were kept",
+    "links": "batch_id, mapping_id, record_id: mappings whose record is known",
+    "controls": "control, domain, status, maturity",
+    "vectors": "vec_id, provider, dimension, namespace",
     "scopes": "event_id, own, plant: a row for each plant that a request names",
     "principals": "user_id, display",
     "issues": "row_id, system_source, plant_code, code, dimension, severity, status, due_in",
@@ -81,7 +85,12 @@ STANDINS = {
  LEFT JOIN (SELECT min(full_code) AS code, CAST(major AS INT) AS k FROM {sheet} GROUP BY major) t ON 10 + s_nationkey = k""",
     "requests": """SELECT event_id, user_id, event_type AS kind, CASE user_id % 3 WHEN 0 THEN 'GROUP' WHEN 1 THEN 'SHANGHAI' ELSE 'BEIJING' END AS own,
  CASE WHEN user_id % 2 = 0 THEN 'PUBLIC' ELSE 'INTERNAL' END AS clearance,
- CASE event_id % 4 WHEN 0 THEN ' shanghai ' WHEN 1 THEN 'BEIJING' WHEN 2 THEN 'Group' ELSE '' END AS asked FROM {events}""",
+ CASE event_id % 4 WHEN 0 THEN ' shanghai ' WHEN 1 THEN 'BEIJING' WHEN 2 THEN 'Group' ELSE '' END AS asked,
+ concat('10.0.0.', user_id % 256) AS client_ip FROM {events}""",
+    "snapshots": "SELECT DISTINCT batch_id FROM {mappings} WHERE batch_id % 4 > 0",
+    "links": "SELECT batch_id, mapping_id, mdm_code AS record_id FROM {mappings} WHERE mapping_id % 5 = 0",
+    "controls": """SELECT row_id AS control, category AS domain, CASE row_id % 4 WHEN 0 THEN 'IMPLEMENTED' WHEN 1 THEN 'MONITORED' WHEN 2 THEN 'PLANNED' ELSE 'PARTIAL' END AS status, 1 + row_id % 5 AS maturity FROM {materials}""",
+    "vectors": "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'remote' ELSE 'local' END AS provider, 64 AS dimension, label AS namespace FROM {embeddings}",
     "scopes": "SELECT event_id, own, asked AS plant FROM {requests} UNION ALL SELECT event_id, own, CASE WHEN event_id % 5 = 0 THEN own ELSE asked END FROM {requests}",
     "principals": "SELECT c_custkey AS user_id, c_name AS display FROM {customer} WHERE c_nationkey < 20",
     "policies": "SELECT 'view' AS kind, '*' AS plants, 'INTERNAL' AS levels UNION ALL SELECT 'click', 'SHANGHAI,BEIJING', '*' UNION ALL SELECT 'purchase', 'GROUP', 'PUBLIC,INTERNAL'",

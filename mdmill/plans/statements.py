@@ -30,7 +30,7 @@ STATEMENTS = {
  FROM {requests} r JOIN {policies} p ON r.kind = p.kind""",
     "flt7_egress_gate": """SELECT d.batch_id, d.line, b.classification, coalesce(b.classification IN ('PUBLIC', 'INTERNAL'), false) AS external_ai
  FROM {deliveries} d LEFT JOIN {batches} b ON d.batch_id = b.batch_id""",
-    "flt9_masked_ip": "SELECT event_id, CASE WHEN :reader = 'GROUP_ADMIN' THEN concat('10.0.0.', user_id % 256) ELSE 'masked' END AS client_ip FROM {requests}",
+    "flt9_masked_ip": "SELECT event_id, CASE WHEN :reader = 'GROUP_ADMIN' THEN client_ip ELSE 'masked' END AS client_ip FROM {requests}",
     "flt10_actor": """SELECT event_id, CASE WHEN p.user_id IS NOT NULL THEN concat(display, ' (', r.user_id, ')') ELSE coalesce(nullif(trim(asked), ''), 'system') END AS actor
  FROM {requests} r LEFT JOIN {principals} p ON r.user_id = p.user_id""",
     # Ids of issues, sources and tasks.
@@ -53,7 +53,7 @@ STATEMENTS = {
  FROM {batches} b LEFT JOIN {deliveries} d ON d.batch_id = b.batch_id WHERE b.created < CAST(:today AS DATE) GROUP BY b.batch_id, b.held""",
     "src10_purge_guard": """SELECT owner, count(*) AS batches, count(CASE WHEN held THEN 1 END) AS holds, count(CASE WHEN held THEN 1 END) = 0 AS may_purge FROM {batches} GROUP BY owner""",
     "src13_rebuild_snapshot": """SELECT batch_id, m.mdm_code, standard_name, decision, count(*) AS mappings, avg(similarity) AS similarity, count(DISTINCT p.system_source) AS systems
- FROM {mappings} p JOIN {masters} m ON p.mdm_code = m.mdm_code WHERE NOT EXISTS (SELECT 1 FROM {reviews} r WHERE r.mdm_code = p.mdm_code AND r.plant_code = p.plant_code) GROUP BY batch_id, m.mdm_code, standard_name, decision""",
+ FROM {mappings} p JOIN {masters} m ON p.mdm_code = m.mdm_code WHERE NOT EXISTS (SELECT 1 FROM {snapshots} s WHERE s.batch_id = p.batch_id) GROUP BY batch_id, m.mdm_code, standard_name, decision""",
     "src14_latest_batch": f"""WITH newest AS (SELECT batch_id FROM (SELECT batch_id, row_number() OVER (PARTITION BY owner ORDER BY created DESC, batch_id DESC) AS rn FROM {{batches}}) x WHERE rn = 1)
  SELECT d.batch_id, m.mdm_code, m.decision, count(*) AS deliveries FROM newest n JOIN {{deliveries}} d ON d.batch_id = n.batch_id JOIN {{masters}} m ON m.mdm_code = d.mdm_code
  WHERE {VISIBLE} OR concat(',', plants, ',') LIKE '%,GROUP,%' GROUP BY d.batch_id, m.mdm_code, m.decision""",
@@ -71,10 +71,10 @@ STATEMENTS = {
  SELECT batch_id, mapping_id, row_id, 'KEY' AS how FROM near UNION ALL SELECT rest.batch_id, mapping_id, row_id, 'NEXT_FREE' FROM rest JOIN free ON rest.batch_id = free.batch_id AND rest.j = free.j""",
     "jn3_backfill_links": """WITH r AS (SELECT batch_id, row_id, system_source, material_code, plant_code, material_name,
   row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY row_id) AS k FROM {records} c
-  WHERE NOT EXISTS (SELECT 1 FROM {selected} s WHERE s.mdm_code = c.row_id)),
+  WHERE NOT EXISTS (SELECT 1 FROM {links} s WHERE s.batch_id = c.batch_id AND s.record_id = c.row_id)),
  m AS (SELECT batch_id, mapping_id, system_source, material_code, plant_code, material_name,
   row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY mapping_id) AS k FROM {mappings} p
-  WHERE NOT EXISTS (SELECT 1 FROM {selected} s WHERE s.mdm_code = p.mdm_code))
+  WHERE NOT EXISTS (SELECT 1 FROM {links} s WHERE s.mapping_id = p.mapping_id))
  SELECT m.batch_id, mapping_id, row_id FROM m JOIN r ON m.batch_id = r.batch_id AND m.system_source = r.system_source AND m.material_code = r.material_code
   AND m.plant_code = r.plant_code AND m.material_name = r.material_name AND m.k = r.k""",
     "jn4_first_decision": """WITH f AS (SELECT * FROM (SELECT p.batch_id, p.material_code, p.plant_code, d.decision, p.mdm_code,
@@ -99,7 +99,7 @@ STATEMENTS = {
  FROM {requests} r JOIN {policies} p ON r.kind = p.kind""",
     "flt7_egress_gate": """SELECT d.batch_id, d.line, b.classification, coalesce(b.classification IN ('PUBLIC', 'INTERNAL'), false) AS external_ai
  FROM {deliveries} d LEFT JOIN {batches} b ON d.batch_id = b.batch_id""",
-    "flt9_masked_ip": "SELECT event_id, CASE WHEN :reader = 'GROUP_ADMIN' THEN concat('10.0.0.', user_id % 256) ELSE 'masked' END AS client_ip FROM {requests}",
+    "flt9_masked_ip": "SELECT event_id, CASE WHEN :reader = 'GROUP_ADMIN' THEN client_ip ELSE 'masked' END AS client_ip FROM {requests}",
     "flt10_actor": """SELECT event_id, CASE WHEN p.user_id IS NOT NULL THEN concat(display, ' (', r.user_id, ')') ELSE coalesce(nullif(trim(asked), ''), 'system') END AS actor
  FROM {requests} r LEFT JOIN {principals} p ON r.user_id = p.user_id""",
     # Ids of issues, sources and tasks.
@@ -122,7 +122,7 @@ STATEMENTS = {
  FROM {batches} b LEFT JOIN {deliveries} d ON d.batch_id = b.batch_id WHERE b.created < CAST(:today AS DATE) GROUP BY b.batch_id, b.held""",
     "src10_purge_guard": """SELECT owner, count(*) AS batches, count(CASE WHEN held THEN 1 END) AS holds, count(CASE WHEN held THEN 1 END) = 0 AS may_purge FROM {batches} GROUP BY owner""",
     "src13_rebuild_snapshot": """SELECT batch_id, m.mdm_code, standard_name, decision, count(*) AS mappings, avg(similarity) AS similarity, count(DISTINCT p.system_source) AS systems
- FROM {mappings} p JOIN {masters} m ON p.mdm_code = m.mdm_code WHERE NOT EXISTS (SELECT 1 FROM {reviews} r WHERE r.mdm_code = p.mdm_code AND r.plant_code = p.plant_code) GROUP BY batch_id, m.mdm_code, standard_name, decision""",
+ FROM {mappings} p JOIN {masters} m ON p.mdm_code = m.mdm_code WHERE NOT EXISTS (SELECT 1 FROM {snapshots} s WHERE s.batch_id = p.batch_id) GROUP BY batch_id, m.mdm_code, standard_name, decision""",
     "src14_latest_batch": f"""WITH newest AS (SELECT batch_id FROM (SELECT batch_id, row_number() OVER (PARTITION BY owner ORDER BY created DESC, batch_id DESC) AS rn FROM {{batches}}) x WHERE rn = 1)
  SELECT d.batch_id, m.mdm_code, m.decision, count(*) AS deliveries FROM newest n JOIN {{deliveries}} d ON d.batch_id = n.batch_id JOIN {{masters}} m ON m.mdm_code = d.mdm_code
  WHERE {VISIBLE} OR concat(',', plants, ',') LIKE '%,GROUP,%' GROUP BY d.batch_id, m.mdm_code, m.decision""",
@@ -140,10 +140,10 @@ STATEMENTS = {
  SELECT batch_id, mapping_id, row_id, 'KEY' AS how FROM near UNION ALL SELECT rest.batch_id, mapping_id, row_id, 'NEXT_FREE' FROM rest JOIN free ON rest.batch_id = free.batch_id AND rest.j = free.j""",
     "jn3_backfill_links": """WITH r AS (SELECT batch_id, row_id, system_source, material_code, plant_code, material_name,
   row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY row_id) AS k FROM {records} c
-  WHERE NOT EXISTS (SELECT 1 FROM {selected} s WHERE s.mdm_code = c.row_id)),
+  WHERE NOT EXISTS (SELECT 1 FROM {links} s WHERE s.batch_id = c.batch_id AND s.record_id = c.row_id)),
  m AS (SELECT batch_id, mapping_id, system_source, material_code, plant_code, material_name,
   row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY mapping_id) AS k FROM {mappings} p
-  WHERE NOT EXISTS (SELECT 1 FROM {selected} s WHERE s.mdm_code = p.mdm_code))
+  WHERE NOT EXISTS (SELECT 1 FROM {links} s WHERE s.mapping_id = p.mapping_id))
  SELECT m.batch_id, mapping_id, row_id FROM m JOIN r ON m.batch_id = r.batch_id AND m.system_source = r.system_source AND m.material_code = r.material_code
   AND m.plant_code = r.plant_code AND m.material_name = r.material_name AND m.k = r.k""",
     "jn4_first_decision": """WITH f AS (SELECT * FROM (SELECT p.batch_id, p.material_code, p.plant_code, d.decision, p.mdm_code,
