@@ -103,7 +103,10 @@ def issues_due(spark, sf_dir):
 
 
 def streamed_issues(spark, sf_dir):
-    return issues_through_stream(materials(spark, sf_dir), f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}")
+    """Issues of records that arrive in order of their ids, in two batches; codes taken twice in a batch included."""
+    rows = materials(spark, sf_dir).withColumns({"batch_id": F.col("row_id") % 2, "arrived": F.timestamp_seconds(F.col("row_id") + 1_700_000_000)})
+    found = issues_through_stream(rows, f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}")
+    return found.select("issue_id", "row_id", "code", "field", "severity")
 
 
 def duplicates(spark, sf_dir):
@@ -222,7 +225,9 @@ ORACLE_SQL = {
     "prj7_connectors": f"""{M} SELECT row_id, CASE system_source WHEN 'SAP' THEN 'sap-odata' WHEN 'EAM' THEN 'eam-rest' WHEN '采购' THEN 'procurement-rest' ELSE 'file-import' END AS connector,
  CASE system_source WHEN 'SAP' THEN 'MARA' WHEN 'EAM' THEN 'EAM_MATERIAL' WHEN '采购' THEN 'PURCHASE_ITEM' ELSE 'CSV_ROW' END AS source_table FROM m""",
     "prj9_record_issues": f"{M} {_ISSUES}",
-    "str3_streamed_issues": f"{M} {_ISSUES}",
+    "str3_streamed_issues": f"""{M}, d AS (SELECT row_id, count(*) OVER (PARTITION BY row_id % 2, system_source, plant_code, material_code) AS n, material_code FROM m),
+ i AS ({_ISSUES} UNION ALL SELECT row_id, 'DUPLICATE_CODE', 'material_code', 'HIGH' FROM d WHERE n > 1 AND material_code <> '')
+ SELECT 'DQI-' || upper(substring(sha256(concat_ws('|', row_id % 2, row_id, code)), 1, 16)) AS issue_id, row_id, code, field, severity FROM i""",
     "ag6_quality_report": f"""{M}, r AS (SELECT CASE WHEN system_source = '' THEN '未分类' ELSE system_source END AS system, * FROM m),
  q AS (SELECT system, CASE WHEN grouping(system) = 1 THEN round(100 - count(CASE WHEN row_id % 97 = 0 THEN 1 END) / count(*) * 100, 1) ELSE 100.0 END::DOUBLE AS accuracy, count(*) AS record_count,
   CASE WHEN grouping(system) = 1 THEN concat_ws(',', CASE WHEN round(avg({_FILLED}) / 6 * 100, 1) < 90 THEN 'COMPLETE_KEY_FIELDS' END, 'REVIEW_ANOMALIES') ELSE '' END AS suggestions, round(avg({_FILLED}) / 6 * 100, 1) AS completeness,

@@ -63,9 +63,11 @@ def _replace(spark: SparkSession, path: str, old: DataFrame, new: DataFrame) ->
     return sorted(r["bucket"] for r in differ)
 
 
-def merge(spark: SparkSession, path: str, changes: DataFrame, newest: str) -> list[int]:
+def merge(spark: SparkSession, path: str, changes: DataFrame, newest: str | None) -> list[int]:
     """Upsert changes by the table's keys; the row with the greatest `newest` stays, on equal ones that of changes, and of those the greatest.
 
+    Without a `newest` rows are inserted where their key is absent; stored rows stay.
+
     Returns the buckets that were rewritten. Columns that changes lack become
     null in new rows; columns that the table lacks are an error. Null keys are
     keys like others.
@@ -81,7 +83,8 @@ def merge(spark: SparkSession, path: str, changes: DataFrame, newest: str) -> li
     old = table.where(F.col("bucket").isin(touched))
     both = old.withColumn("__from", F.lit(0)).unionByName(fresh.withColumn("__from", F.lit(1)), allowMissingColumns=True)
     values = [c for c in own if c not in keys]
-    best = F.max_by(F.struct(*values), F.struct(newest, "__from", F.xxhash64(*values))) if values else F.lit(None)
+    order = F.struct(*([newest, "__from"] if newest else [-F.col("__from")]), F.xxhash64(*values)) if values else None
+    best = F.max_by(F.struct(*values), order) if values else F.lit(None)
     merged = both.groupBy("bucket", *keys).agg(best.alias("__row"))
     merged = merged.select(*(F.col(c) if c in keys else F.col(f"__row.`{c}`").alias(c) for c in own), "bucket")
     changed = _replace(spark, path, old, merged)

@@ -3,44 +3,68 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from mdmill.operators.audit import GENESIS
-from mdmill.session import save
+from mdmill.session import save, scratch_root
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Files that one trigger reads, and rows of a frame that a chain gives out at a time.
+FILES_PER_TRIGGER, ROWS = 64, 10_000
 BLOCK = "chain long, event_id long, height long, previous_hash string, payload_hash string, block_hash string"
 
 
-def _chain(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    height, last = state.get if state.exists else (0, GENESIS)
-    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"], kind="stable")  # one key's rows of one micro-batch
-    out = []
-    for event, payload in zip(rows["event_id"], rows["payload_hash"]):
-        height, before = height + 1, last
-        last = hashlib.sha256(f"{height}|{before}|{payload}".encode()).hexdigest()
-        out.append((key[0], event, height, before, payload, last))
-    state.update((height, last))
-    yield pd.DataFrame(out, columns=["chain", "event_id", "height", "previous_hash", "payload_hash", "block_hash"])
+class _Chain(StatefulProcessor):
+    """The height and last hash of a chain; a chain that was stored before starts behind its head."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "height long, last string")
 
-def stream_blocks(ledger: DataFrame) -> DataFrame:
-    """Append a stream (chain, ts, event_id, payload_hash) to its chains; state is the height and last hash of a chain.
+    def handleInitialState(self, key, initial: pd.DataFrame, timers) -> None:
+        self.head.update((int(initial["height"].iloc[0]), str(initial["block_hash"].iloc[0])))
 
-    A micro-batch is chained by time; a late event is appended, never inserted.
+    def handleInputRows(self, key, frames: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        height, last = self.head.get() if self.head.exists() else (0, GENESIS)
+        rows = pd.concat([f[["ts", "event_id", "payload_hash"]] for f in frames])  # of one trigger, see FILES_PER_TRIGGER
+        rows = rows.sort_values(["ts", "event_id"], kind="stable")
+        for i in range(0, len(rows), ROWS):
+            some, out = rows.iloc[i : i + ROWS], []
+            for event, payload in zip(some["event_id"], some["payload_hash"]):
+                height, before = height + 1, last
+                last = hashlib.sha256(f"{height}|{before}|{payload}".encode()).hexdigest()
+                out.append((key[0], event, height, before, payload, last))
+            yield pd.DataFrame(out, columns=["chain", "event_id", "height", "previous_hash", "payload_hash", "block_hash"])
+        self.head.update((height, last))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_blocks(ledger: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Append a stream (chain, ts, event_id, payload_hash) to its chains, behind heads (chain, height, block_hash) of stored ones.
+
+    State is the height and last hash of a chain, in RocksDB. What arrives
+    between two triggers is chained by time; a later event is appended, never
+    inserted.
     """
-    return ledger.groupBy("chain").applyInPandasWithState(_chain, BLOCK, "height long, last string", "append", GroupStateTimeout.NoTimeout)
+    ledger.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    first = heads.select("chain", "height", "block_hash").groupBy("chain") if heads is not None else None
+    return ledger.groupBy("chain").transformWithStateInPandas(_Chain(), BLOCK, "Append", "None", first)
 
 
-def blocks_through_stream(ledger: DataFrame, folder: str) -> DataFrame:
+def blocks_through_stream(ledger: DataFrame, folder: str, heads: DataFrame | None = None, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """Run a ledger through a one-shot stream of its Parquet files in order of time, a bounded number of files a trigger; the blocks it wrote."""
     spark = ledger.sparkSession
-    source, path = save(ledger, "ledger")
+    path = f"{scratch_root(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(path)
     query = (
-        stream_blocks(spark.readStream.schema(source.schema).parquet(path))
+        stream_blocks(spark.readStream.schema(ledger.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path), heads)
         .writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True).start(f"{folder}/blocks")
     )
