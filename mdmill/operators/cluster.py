@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mdmill.functions import rules, text
+from mdmill.operators.components import connected_components
 from mdmill.session import drop, save
 
 KEYS = ["std_category", "model", "brand", "dn", "pressure"]
 TREES, SAMPLE = 100, 256
+#: Edges of undecided items that one task decides in order.
+TASK_EDGES = 200_000
 
 
 def leader_clusters(records: DataFrame) -> DataFrame:
@@ -19,9 +24,8 @@ def leader_clusters(records: DataFrame) -> DataFrame:
 
     A match has the same category, no two different models, sizes or pressures,
     and a character similarity of LEADER_EDGE. Rows with the same attributes are
-    one item, which acts when its first row does. Leaders are found in rounds:
-    an item whose earlier matches all follow someone leads, one with an earlier
-    match that leads follows the earliest such.
+    one item, which acts when its first row does; an item follows the earliest
+    leader it matches.
     """
     spark = records.sparkSession
     items = records.groupBy(*KEYS).agg(F.min("row_id").alias("id"))
@@ -40,14 +44,7 @@ def leader_clusters(records: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("letters_1", "letters_2"))
     alike = both / (F.size("letters_1") + F.size("letters_2") - both)
     edges, _ = save(pairs.withColumn("alike", alike).where(F.col("alike") >= rules.LEADER_EDGE).select("id", "before", "alike"), "edges")
-    state, path = save(items.select("id", F.lit("open").alias("state")), "state")
-    while not state.where("state = 'open'").isEmpty():
-        seen = edges.join(state.select(F.col("id").alias("before"), F.col("state").alias("s")), "before").groupBy("id")
-        seen = seen.agg(F.max(F.col("s") == "leads").alias("led"), F.max(F.col("s") == "open").alias("waits"))
-        turn = F.when(F.col("state") != "open", F.col("state")).when(F.coalesce("led", F.lit(False)), "follows").when(F.coalesce("waits", F.lit(False)), "open").otherwise("leads")
-        old = path
-        state, path = save(state.join(seen, "id", "left").select("id", turn.alias("state")), "state")
-        drop(spark, old)
+    state, _ = leaders_in_order(items.select("id"), edges.select("id", "before"))
     leads = state.where("state = 'leads'").select(F.col("id").alias("before"))
     follows = edges.join(leads, "before").groupBy("id").agg(F.min(F.struct("before", "alike")).alias("m"))
     followers = state.where("state = 'follows'").join(follows, "id").select("id", F.col("m.before").alias("leader"), F.col("m.alike").alias("score"))
@@ -55,6 +52,69 @@ def leader_clusters(records: DataFrame) -> DataFrame:
     return records.join(items.select(*KEYS, "id"), KEYS).join(placed, "id").select("row_id", "leader", F.round("score", 6).alias("score"))
 
 
+def leaders_in_order(items: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> tuple[DataFrame, int]:
+    """((id, state), rounds): state is `leads` for the items that the sequential rule makes leaders, else `follows`.
+
+    items (id), edges (id, before) with before < id. In the order of ids an item
+    leads unless an earlier match leads. Every round a component of undecided
+    items with up to task_edges edges is decided whole, in order, by one task;
+    of a larger one the first items are, as many as that many edges join, for
+    which later ones do not matter. Then what a new leader reaches follows, so
+    a large component falls apart. Who is left without an edge leads.
+    """
+    spark = items.sparkSession
+    kind = items.schema["id"].dataType
+    state, state_path = save(items.select("id", F.lit("open").alias("state")), "state")
+    open_edges, edges_path = save(edges.select("id", "before"), "open")
+    fractions = [2.0**-k for k in range(1, 25)]
+    rounds = 0
+    while not open_edges.isEmpty():
+        rounds += 1
+        found, _ = save(connected_components(open_edges, "id", "before").select(F.col("id").alias("of"), "component"), "components")
+        grouped, grouped_path = save(open_edges.join(found, F.col("id") == F.col("of")).select("component", "id", "before"), "grouped")
+        sizes = grouped.groupBy("component").agg(F.count("*").alias("n"), F.percentile_approx("id", fractions, 100_000).alias("cuts"), F.min("id").alias("first"))
+        fit = F.array_max(F.filter(F.arrays_zip(F.lit(fractions).alias("f"), F.col("cuts").alias("c")), lambda x: x["f"] * F.col("n") <= task_edges))["c"]
+        large = sizes.where(F.col("n") > task_edges).select(F.col("component").alias("big"), F.coalesce(fit, "first").alias("last"))
+        some = grouped.join(large, F.col("component") == F.col("big"), "left").where("last IS NULL OR id <= last").select("component", "id", "before")
+        decided, decided_path = save(some.repartition("component").sortWithinPartitions("component", "id", "before").mapInArrow(_decide, T.StructType().add("id", kind).add("state", "string")), "decided")
+        turned = state.join(decided.select("id", F.col("state").alias("now")), "id", "left").select("id", F.coalesce("now", "state").alias("state"))
+        turned, turned_path = save(turned, "turned")
+        led = open_edges.join(turned.where("state = 'leads'").select(F.col("id").alias("before")), "before").select("id", F.lit(True).alias("led")).distinct()
+        old = (state_path, edges_path, grouped_path, decided_path, turned_path)
+        turn = F.when((F.col("state") == "open") & F.col("led"), "follows").otherwise(F.col("state"))
+        state, state_path = save(turned.join(led, "id", "left").select("id", turn.alias("state")), "state")
+        waiting = state.where("state = 'open'").select("id")
+        open_edges, edges_path = save(open_edges.join(waiting, "id", "left_semi").join(waiting.withColumnRenamed("id", "before"), "before", "left_semi").select("id", "before"), "open")
+        drop(spark, *old)
+    return state.select("id", F.when(F.col("state") == "follows", "follows").otherwise("leads").alias("state")), rounds
+
+
+def _decide(batches):
+    """The sequential rule over edges sorted by (component, id): (id, state) of each item, once all its edges were seen."""
+    component, leads, at, lead = None, {}, None, True
+    for batch in batches:
+        said = []
+        for c, item, before in zip(*(x.to_pylist() for x in batch.columns)):
+            if (c, item) != (component, at):
+                if at is not None:
+                    leads[at] = lead
+                    said.append((at, lead))
+                if c != component:
+                    component, leads = c, {}
+                at, lead = item, True
+            if before not in leads:
+                leads[before] = True
+                said.append((before, True))
+            lead = lead and not leads[before]
+        yield _said(said, kind := batch.schema.field("id").type)
+    if at is not None:
+        yield _said([(at, lead)], kind)
+
+
+def _said(said: list, kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in said], kind), pa.array(["leads" if x else "follows" for _, x in said], pa.string())], names=["id", "state"])
+
+
 def _depth_left(n: float) -> float:
     """Mean depth of an unsuccessful search among n rows."""
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
