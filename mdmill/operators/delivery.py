@@ -2,33 +2,25 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from mdmill.functions import rules, semantics, text
-from mdmill.operators.retrieve import blocks
-from mdmill.session import gather, save
+from mdmill.operators import likeness
+from mdmill.session import save
 
 
 # Words by which an instruction asks for one golden record, or for all.
 ONE_WORDS, ALL_WORDS = r"(?i)(?:一个|一条|最相似|第一条|top\s*1)", "(?:全部|所有|整批|批量|新增主数据)"
+RANK_WEIGHTS = {**rules.RANK_WEIGHTS, "category": 0.15}
 # End of fixed values.
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+#: Likeness from which a master is listed.
+LEAST = 0.30
 
 
 def short_similarity(a: Column, b: Column) -> Column:
     """Likeness of two standardized short texts: 1 if equal, 0.92 if one holds the other, else at most 0.9 by characters and order; 0 if one is blank."""
-    edit = text.char_jaccard(a, b) * 0.55 + sequence_ratio(a, b) * 0.45
-    near = F.round(F.least(F.lit(0.9), edit), 4)
-    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.92).otherwise(near)
+    return likeness.likeness(likeness.parts(a), likeness.parts(b), likeness.sequence_ratio(a, b))
 
 
 def parse_intents(instructions: DataFrame) -> DataFrame:
@@ -57,44 +49,92 @@ def parse_intents(instructions: DataFrame) -> DataFrame:
 def rank_masters(intents: DataFrame, masters: DataFrame, k: int = 20) -> DataFrame:
     """(id, row_id, similarity, level, exact, rank, actionable): approved masters an instruction may mean, best first.
 
-    masters (row_id, brand, model, name, plant_codes as an array, approved).
-    Approval and plants are gates; brand, model, name and the whole text add by
-    their weights. Equal field values are compared once. Under 0.30 nothing is
-    listed; actionable are the exact ones, else those from 0.55, else the first.
+    masters (row_id, brand, model, name, plant_codes as an array, approved, and
+    category where instructions have one). Approval and plants are gates; brand,
+    model, name, category and the whole text add by their weights. Under 0.30
+    nothing is listed; actionable are the exact ones, else those from 0.55, else
+    the first. A category has no say in what is exact.
+
+    Instructions that want the same and masters with the same fields meet once.
+    They meet where a field, or the text and the name, may be 0.30 alike
+    (likeness.candidates); a mean of less is not listed. Each pair has an upper
+    bound from character counts. The k best by that bound are compared in full,
+    and of the others those whose bound reaches the k-th similarity so found.
     """
-    asked, _ = save(intents.select("id", "plants", "text", *rules.RANK_WEIGHTS), "intents")
-    free = masters.where("approved").select("row_id", "plant_codes", *rules.RANK_WEIGHTS)
-    kinds, _ = save(free.groupBy(*rules.RANK_WEIGHTS).agg(F.min("row_id").alias("kind")), "kinds")
-    std = lambda c: text.standardize(F.col(c))
-    kinds = kinds.select("kind", *(std(f).alias(f"has_{f}") for f in rules.RANK_WEIGHTS), *rules.RANK_WEIGHTS)
-    kinds, _ = save(kinds, "kinds")
-    whole = text.standardize(F.concat_ws(" ", "text", *(F.nullif(F.col(f), F.lit("")) for f in rules.RANK_WEIGHTS)))
-    want, _ = save(asked.select("id", whole.alias("whole"), *(std(f).alias(f"want_{f}") for f in rules.RANK_WEIGHTS)), "wanted")
-    scored = []
-    for part in blocks(want, "id"):
-        fields = [*((f"want_{f}", f"has_{f}", f, w) for f, w in rules.RANK_WEIGHTS.items()), ("whole", "has_name", "query", 0.10)]
-        rated = kinds.drop(*rules.RANK_WEIGHTS).crossJoin(part).select(
-            "id", "kind",
-            *(F.when(F.col(a) != "", short_similarity(F.col(a), F.col(b))).alias(f"s_{f}") for a, b, f, _ in fields),
-        )
-        given = list(rules.RANK_WEIGHTS)
-        some = F.coalesce(*(F.col(f"s_{f}") for f in given)).isNotNull()
-        weight = {**rules.RANK_WEIGHTS, "query": F.when(some, 0.10).otherwise(0.35)}
-        top = sum((F.coalesce(F.col(f"s_{f}"), F.lit(0.0)) * w for f, w in weight.items()), F.lit(0.0))
-        under = sum((F.when(F.col(f"s_{f}").isNotNull(), w).otherwise(0.0) for f, w in weight.items()), F.lit(0.0))
-        exact = some & ~sum((F.when(F.col(f"s_{f}") < 0.86, 1).otherwise(0) for f in given), F.lit(0)).cast("boolean")
-        rated = rated.select("id", "kind", F.round(F.least(F.lit(0.99), top / under), 4).alias("similarity"), exact.alias("exact"))
-        scored.append(rated)
-    scored, _ = save(gather(scored).where("similarity >= 0.30"), "ranked")
-    rows = free.join(kinds.select("kind", *rules.RANK_WEIGHTS), list(rules.RANK_WEIGHTS)).select("kind", "row_id", "plant_codes")
+    weights = {f: w for f, w in RANK_WEIGHTS.items() if f in intents.columns and f in masters.columns}
+    fields = list(weights)
+    asked, _ = save(intents.select("id", F.array_sort("plants").alias("plants"), "text", *fields), "intents")
+    free = masters.where("approved").select("row_id", "plant_codes", *fields)
+    standard = lambda c: likeness.parts(text.standardize(F.coalesce(F.col(c), F.lit(""))))
+    whole = likeness.parts(text.standardize(F.concat_ws(" ", "text", *(F.nullif(F.col(f), F.lit("")) for f in fields))))
+    kinds, _ = save(free.groupBy(*fields).agg(F.min("row_id").alias("kind")), "kinds")
+    has, _ = save(kinds.select("kind", *(standard(f).alias(f"has_{f}") for f in fields)), "has")
+    same = asked.groupBy("plants", "text", *fields).agg(F.min("id").alias("want"))
+    known, _ = save(asked.join(same, ["plants", "text", *fields]).select("id", "want"), "known")
+    wants, _ = save(same.select("want", "plants", whole.alias("want_query"), *(standard(f).alias(f"want_{f}") for f in fields)), "wants")
+    compared = [*((f"want_{f}", f"has_{f}", f) for f in fields), ("want_query", "has_name", "query")]
+
+    met = None
+    for a, b, _f in compared:
+        left, right = wants.select("want", F.col(f"{a}.text").alias("t")).where("t <> ''"), has.select("kind", F.col(f"{b}.text").alias("u")).where("u <> ''")
+        distinct = lambda df, c: df.where(f"{c}.text <> ''").select(F.col(c).alias("p")).dropDuplicates(["p"])
+        texts = likeness.candidates(distinct(wants, a), distinct(has, b), LEAST)
+        texts, _ = save(texts.join(distinct(wants, a), F.col("want") == F.col("p.text")).select(F.col("p").alias("x"), "has").join(distinct(has, b), F.col("has") == F.col("p.text")).where(likeness.most_alike(F.col("x"), F.col("p")) >= LEAST).select(F.col("x.text").alias("t"), F.col("has").alias("u")), "alike")
+        some = left.join(texts, "t").join(right, "u").select("want", "kind")
+        met = some if met is None else met.unionByName(some)
+    wanted = lambda a, f: F.col(f"{a}.text") != "" if f != "query" else F.lit(True)
+    pairs = met.distinct().join(wants.drop("plants"), "want").join(has, "kind")
+    # Stored field by field: in one expression the likenesses would be worked out many times.
+    most, _ = save(pairs.select("want", "kind", *(F.when(wanted(a, f), likeness.most_alike(F.col(a), F.col(b))).alias(f) for a, b, f in compared)), "most")
+    bounded = most.select("want", "kind", _mean({f: F.col(f) for _, _, f in compared}, weights)[0].alias("most"))
+    places = Window.partitionBy("want").orderBy(F.desc("most"), "kind")
+    # A kind counts for what it bounds only if a plant that is asked for may have one of its rows.
     gate = F.arrays_overlap("plants", "plant_codes") | F.array_contains("plant_codes", "GROUP")
-    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "row_id")
-    ranked = scored.join(rows, "kind").join(asked.select("id", "plants"), "id").where(gate).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    best = Window.partitionBy("id")
+    rows = free.join(kinds, fields).select("kind", "row_id", "plant_codes")
+    codes = rows.select("kind", "plant_codes").distinct()
+    open_kinds = bounded.where(F.col("most") >= LEAST).join(codes, "kind").join(wants.select("want", "plants"), "want").where(gate).select("want", "kind", "most").distinct()
+    bounded, _ = save(open_kinds.withColumn("place", F.row_number().over(places)), "bounded")
+    first, _ = save(_exact(bounded.where(F.col("place") <= k), wants, has, compared, weights, wanted), "first")
+    least = first.groupBy("want").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(LEAST).alias("least"))
+    rest = bounded.where(F.col("place") > k).join(least, "want").where(F.col("most") >= F.col("least"))
+    second, _ = save(_exact(rest, wants, has, compared, weights, wanted), "second")
+    scored = first.unionByName(second).where(F.col("similarity") >= LEAST)
+
+    order = Window.partitionBy("want").orderBy(F.desc("similarity"), "row_id")
+    ranked = scored.join(rows, "kind").join(wants.select("want", "plants"), "want").where(gate).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = Window.partitionBy("want")
     ranked = ranked.withColumns({"any_exact": F.max("exact").over(best), "top": F.max("similarity").over(best)})
     act = F.when(F.col("any_exact"), F.col("exact")).when(F.col("top") >= 0.55, F.col("similarity") >= 0.55).otherwise(F.col("rank") == 1)
     level = F.when(F.col("similarity") >= 0.82, "HIGH").when(F.col("similarity") >= 0.60, "MEDIUM").otherwise("LOW")
-    return ranked.select("id", "row_id", "similarity", level.alias("level"), "exact", "rank", act.alias("actionable"))
+    return known.join(ranked, "want").select("id", "row_id", "similarity", level.alias("level"), "exact", "rank", act.alias("actionable"))
+
+
+def _mean(scores: dict[str, Column], weights: dict[str, float]) -> tuple[Column, Column]:
+    """(similarity, exact) of the fields' likenesses; those of fields that are not wanted are null."""
+    given = [f for f in scores if f != "query"]
+    some = F.coalesce(*(scores[f] for f in given)).isNotNull()
+    weight = {**{f: F.lit(weights[f]) for f in given}, "query": F.when(some, 0.10).otherwise(0.35)}
+    top = sum((F.coalesce(scores[f], F.lit(0.0)) * w for f, w in weight.items()), F.lit(0.0))
+    under = sum((F.when(scores[f].isNotNull(), w).otherwise(0.0) for f, w in weight.items()), F.lit(0.0))
+    named = [scores[f] for f in given if f != "category"]
+    exact = F.coalesce(*named).isNotNull() & ~sum((F.when(s < 0.86, 1).otherwise(0) for s in named), F.lit(0)).cast("boolean")
+    return F.round(F.least(F.lit(0.99), top / under), 4), exact
+
+
+def _exact(pairs: DataFrame, wants: DataFrame, has: DataFrame, compared, weights, wanted) -> DataFrame:
+    """(want, kind, similarity, exact) of pairs (want, kind), each text pair given to the matcher once."""
+    whole, _ = save(pairs.select("want", "kind").join(wants.drop("plants"), "want").join(has, "kind"), "pairs")
+    unsettled = [whole.where(wanted(a, f) & ~likeness.settled(F.col(a), F.col(b))).select(F.col(f"{a}.text").alias("a"), F.col(f"{b}.text").alias("b")) for a, b, f in compared]
+    every = unsettled[0]
+    for some in unsettled[1:]:
+        every = every.unionByName(some)
+    of = likeness.ratios(every)
+    for a, b, f in compared:
+        whole = whole.join(of.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("ratio").alias(f"ratio_{f}")), (F.col(f"{a}.text") == F.col("__a")) & (F.col(f"{b}.text") == F.col("__b")), "left").drop("__a", "__b")
+    scores = [F.when(wanted(a, f), likeness.likeness(F.col(a), F.col(b), F.coalesce(f"ratio_{f}", F.lit(0.0)))).alias(f) for a, b, f in compared]
+    rated, _ = save(whole.select("want", "kind", *scores), "rated")
+    similarity, exact = _mean({f: F.col(f) for _, _, f in compared}, weights)
+    return rated.select("want", "kind", similarity.alias("similarity"), exact.alias("exact"))
 
 
 def selection_modes(intents: DataFrame, ranked: DataFrame) -> DataFrame:

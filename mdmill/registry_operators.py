@@ -129,13 +129,14 @@ def anomalies(spark, sf_dir):
 
 
 def ranks(spark, sf_dir):
-    asked = delivery.parse_intents(_instructions(spark, sf_dir).where("id % 50 = 0"))
+    asked, _ = save(delivery.parse_intents(_instructions(spark, sf_dir).where("id % 50 = 0")), "intents")
     return delivery.rank_masters(asked, _masters(spark, sf_dir))
 
 
 def plan(spark, sf_dir):
-    asked = delivery.parse_intents(_instructions(spark, sf_dir).where("id % 50 = 0"))
-    masters = _masters(spark, sf_dir)
+    """Tasks of every instruction."""
+    asked, _ = save(delivery.parse_intents(_instructions(spark, sf_dir)), "intents")
+    masters, _ = save(_masters(spark, sf_dir), "masters")
     return delivery.plan_tasks(asked, delivery.rank_masters(asked, masters), masters)
 
 
