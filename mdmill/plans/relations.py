@@ -130,6 +130,21 @@ STANDINS = {
     "blocks": """SELECT batch_id, step_id AS height, step_code, ts, status, CASE WHEN step_id % 11 = 0 THEN 'changed' ELSE metrics END AS metrics FROM {steps} WHERE step_id % 7 <> 0 AND NOT (batch_id % 5 = 0 AND step_code = 'QUALITY')""",
     "golden": """SELECT p_partkey AS mdm_code, p_name AS standard_name, p_type AS category, p_brand AS brand, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE concat('M', p_size) END AS model, CAST(p_size AS VARCHAR(9)) AS dn,
  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE '1.6MPa' END AS pressure, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '304' END AS material, CASE WHEN p_partkey % 2 = 0 THEN 'SAP,EAM' ELSE 'WMS' END AS source_systems FROM {part}""",
+    "graph_batches": "SELECT DISTINCT batch_id, concat('file ', batch_id) AS filename FROM {records}",
+    "graph_steps": """SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY step_code) AS ordinal, step_code, lower(step_code) AS name, status, 10 * length(status) AS progress
+ FROM (SELECT batch_id, step_code, max(status) AS status FROM {steps} WHERE batch_id < 40 GROUP BY batch_id, step_code) x""",
+    "graph_masters": "SELECT DISTINCT p.batch_id, p.mdm_code AS place, p.mdm_code, standard_name, category, decision, m.plants FROM {mappings} p JOIN {masters} m ON m.mdm_code = p.mdm_code",
+    "graph_mappings": """SELECT p.batch_id, mapping_id, CASE WHEN mapping_id % 9 = 0 THEN NULL ELSE p.mdm_code END AS record_id, p.mdm_code, system_source, material_code AS original_code, material_name AS original_name, plant_code, similarity, decision,
+ CASE WHEN mapping_id % 4 = 0 THEN concat('S-', mapping_id) END AS source_record_id, 'T' AS source_table, '' AS source_url, sha256(concat(material_code, material_name)) AS record_hash, CASE WHEN system_source LIKE '%SAP%' THEN 'sap-odata' ELSE 'file-import' END AS connector_id
+ FROM {mappings} p JOIN {masters} m ON m.mdm_code = p.mdm_code WHERE mapping_id % 3 = 0""",
+    "graph_issues": "SELECT p.batch_id, mapping_id, code, dimension AS field, severity, CASE WHEN mapping_id % 2 = 0 THEN '' ELSE concat(code, '!') END AS message FROM {graph_mappings} p JOIN {issues} i ON i.row_id = p.mdm_code",
+    "graph_reviews": """SELECT DISTINCT p.batch_id, review_id, r.mdm_code, r.plants, 'conflict' AS reason, CASE r.status WHEN 'PENDING' THEN 'REVIEW' ELSE r.status END AS status, 0.5 AS confidence FROM {reviews} r JOIN {mappings} p ON p.mdm_code = r.mdm_code""",
+    "graph_deliveries": """SELECT p.batch_id, t.task_id AS delivery_id, t.mdm_code, target_system, t.plant AS plant_code, CASE WHEN t.task_id % 3 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status
+ FROM {tasks} t JOIN (SELECT DISTINCT batch_id, mdm_code FROM {mappings}) p ON p.mdm_code = t.mdm_code WHERE t.task_id % 7 = 0""",
+    "graph_feedback": "SELECT batch_id, delivery_id AS feedback_id, mdm_code, plant_code, delivery_id % 2 = 0 AS accepted, 1 + delivery_id % 5 AS rating, concat('c', delivery_id) AS comment FROM {graph_deliveries} WHERE status = 'SUCCESS'",
+    "graph_blocks": """SELECT batch_id, height, status AS event_type, CASE height % 5 WHEN 0 THEN 'BATCH' WHEN 1 THEN 'MASTER' WHEN 2 THEN 'DISTRIBUTION' WHEN 3 THEN 'WORKFLOW_STEP' ELSE 'PROFILE' END AS entity_type,
+ CASE height % 5 WHEN 0 THEN CAST(batch_id AS VARCHAR(9)) WHEN 1 THEN CAST(height % 300 AS VARCHAR(9)) WHEN 2 THEN CASE WHEN height % 2 = 0 THEN 'SHANGHAI' ELSE 'BEIJING' END WHEN 3 THEN step_code ELSE 'default' END AS entity_id,
+ sha256(concat(height, 'b')) AS block_hash, sha256(concat(height, 'p')) AS payload_hash, sha256(concat(height, 'o')) AS previous_hash FROM {blocks} WHERE batch_id < 40""",
     "holds": "SELECT batch_id, step_id, ts, status = 'COMPLETED' AS held FROM {steps}",
 }
 RETENTION = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.RETENTION_DAYS.items())

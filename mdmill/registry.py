@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mdmill import registry_extra, registry_operators, registry_search, registry_states, registry_stored
 from mdmill.functions import rules, text
 from mdmill.operators import audit, quality, resolve, vectors
-from mdmill.plans import governance, relations, statements, transitions
+from mdmill.plans import governance, graph, relations, statements, transitions
 from mdmill.session import save, scratch_root, table
 from mdmill.sources.materials import MATERIALS_SQL, enrich, materials
 from mdmill.streaming.issues import issues_through_stream
@@ -169,6 +169,7 @@ QUERIES = {
     **registry_search.QUERIES,
     **registry_states.QUERIES,
     **registry_stored.QUERIES,
+    **graph.QUERIES,
     "txt1_standardize": standardized,
     "txt2_category": _attribute("std_category"),
     "txt3_brand": _attribute("brand"),
@@ -215,6 +216,7 @@ ORACLE_SQL = {
     **registry_search.oracle_sql(_attribute_sql, _standard_sql(), _category_sql),
     **registry_states.ORACLE_SQL,
     **registry_stored.ORACLE_SQL,
+    **graph.ORACLE_SQL,
     "txt1_standardize": _standard_sql(),
     "txt12_char_jaccard": f"""{M}, p AS (SELECT a.row_id, list_distinct(string_split(regexp_replace(lower(a.material_name), '\\s+', '', 'g'), '')) AS x,
  list_distinct(string_split(regexp_replace(lower(b.material_name), '\\s+', '', 'g'), '')) AS y FROM m a JOIN m b ON b.row_id = a.row_id + 4)
