@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from mdmill.llm.common import maybe_in, membership_bitmap, text_of
 from mdmill.session import save, table
 
+#: Where leaves end; what stands before a cut tells whether it took a blank, so no two texts have the same leaves.
+LEAF_ENDS = r"(?<=[.!?]) |(?<=[。！？；，、])|(?<=\S{10}) "
 #: Hex digits of a leaf that a fingerprint shows.
 MARK = 8
 #: First hex digits of a paragraph's digest that end a section, one in eight.
@@ -19,8 +21,10 @@ WINDOW_ROWS, QUANTILES = 2000, 64
 def merkle_tree(df: DataFrame, text: Column, name: str) -> DataFrame:
     """df with `name`: struct(root, sections, paragraphs, leaves).
 
-    A paragraph is a line; its leaves are its sentences (cut after . ! or ? and
-    one space), so that a one-line text still has branches. A section is a run
+    A paragraph is a line; its leaves are its sentences, so that a one-line
+    text still has branches: LEAF_ENDS cuts at the blank after . ! or ?, behind
+    full-width stops and commas, and, for texts without stops, at the blank
+    after a word of ten characters or more. A section is a run
     of paragraphs that ends where a paragraph's digest says so; an edit thus
     moves no border but its own. Every inner digest is the SHA-256 of its
     children's, and no cut loses a character: roots are equal when the texts are.
@@ -32,7 +36,7 @@ def merkle_tree(df: DataFrame, text: Column, name: str) -> DataFrame:
     return (
         df.withColumn(
             p,
-            F.transform(F.split(text, "\n", -1), lambda line: F.transform(F.split(line, "(?<=[.!?]) ", -1), sha)),
+            F.transform(F.split(text, "\n", -1), lambda line: F.transform(F.split(line, LEAF_ENDS, -1), sha)),
         )
         .withColumn(d, F.transform(p, joined))
         .withColumn(s, F.transform(F.split(F.array_join(F.transform(d, ended), ""), "\n", -1), sha))
@@ -62,12 +66,32 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(both / F.size(F.array_union(leaves(a), leaves(b))))
 
 
-def differing_paragraphs(a: str, b: str) -> Column:
-    """Numbers (from 0) of the paragraphs of tree b that tree a lacks; equal roots need no look below."""
-    numbered = F.transform(f"{b}.paragraphs", lambda h, i: F.struct(i.alias("i"), h.alias("h")))
-    new = F.filter(numbered, lambda x: ~F.array_contains(F.col(f"{a}.paragraphs"), x["h"]))
-    none = F.array().cast("array<int>")
-    return F.when(F.col(f"{a}.root") == F.col(f"{b}.root"), none).otherwise(F.transform(new, lambda x: x["i"]))
+def _sectioned(tree: str) -> Column:
+    """The sections of a tree as structs: digest, number of the first paragraph, digests of its paragraphs."""
+    d, sections = F.col(f"{tree}.paragraphs"), F.col(f"{tree}.sections")
+    ends = F.filter(F.transform(d, lambda h, i: F.when(F.substring(h, 1, 1).isin(*SECTION_ENDS), i)), lambda i: i.isNotNull())
+    first = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + 1)
+    past = lambda k: F.coalesce(F.get(ends, k) + 1, F.size(d))
+    return F.transform(sections, lambda h, k: F.struct(h.alias("digest"), first(k).alias("first"), F.slice(d, first(k) + 1, past(k) - first(k)).alias("paragraphs")))
+
+
+def edited_ranges(a: str, b: str) -> Column:
+    """Ranges (first, last) of paragraphs, from 0, that tree b has and tree a lacks, in order.
+
+    A descent: equal roots end it. Else sections are compared, and only the
+    paragraphs of sections that the other tree lacks are looked at, against
+    those of its sections that this one lacks. Neighbours make one range. What
+    was deleted are the ranges of the trees the other way round. A paragraph
+    that moved with its whole section is not edited.
+    """
+    lacking = lambda x, y: F.filter(_sectioned(x), lambda s: ~F.array_contains(F.col(f"{y}.sections"), s["digest"]))
+    old = F.flatten(F.transform(lacking(a, b), lambda s: s["paragraphs"]))
+    numbered = F.flatten(F.transform(lacking(b, a), lambda s: F.transform(s["paragraphs"], lambda h, i: F.struct(h.alias("h"), (s["first"] + i).alias("i")))))
+    new = F.transform(F.filter(numbered, lambda x: ~F.array_contains(old, x["h"])), lambda x: x["i"])
+    begins = F.filter(new, lambda i: ~F.array_contains(new, i - 1))
+    ends = F.filter(new, lambda i: ~F.array_contains(new, i + 1))
+    ranges = F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("first"), y.alias("last")))
+    return F.when(F.col(f"{a}.root") == F.col(f"{b}.root"), F.array().cast("array<struct<first:int,last:int>>")).otherwise(ranges)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,7 +150,7 @@ def with_next(rows: DataFrame, *carried: str) -> DataFrame:
 
 
 def edits(docs: DataFrame) -> DataFrame:
-    """The fingerprints of every text, of its edited text, and their likeness.
+    """The fingerprints of every text, of its edited text, their likeness, and the ranges of paragraphs that the edit touched.
 
     The edited text has the last quarter of the text (floor) replaced by as
     many first code points of the next document's text, or all of it if that is
@@ -141,6 +165,7 @@ def edits(docs: DataFrame) -> DataFrame:
     edited = with_next(rows, "text", "fp").select(
         "doc_id",
         n.cast("long").alias("n_chars"),
+        "text",
         "fp",
         "next_fp",
         F.concat(
@@ -149,8 +174,8 @@ def edits(docs: DataFrame) -> DataFrame:
         ).alias("edited"),
     )
     return (
-        merkle_tree(edited, F.col("edited"), "tree")
-        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint("tree").alias("efp"))
+        merkle_tree(merkle_tree(edited, F.col("edited"), "tree"), F.col("text"), "was")
+        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint("tree").alias("efp"), edited_ranges("was", "tree").alias("edited_ranges"))
         .select(
             "doc_id",
             "n_chars",
@@ -159,6 +184,7 @@ def edits(docs: DataFrame) -> DataFrame:
             F.col("efp").alias("edited_fingerprint"),
             likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
             likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+            "edited_ranges",
         )
     )
 

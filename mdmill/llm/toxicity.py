@@ -108,10 +108,10 @@ class Grammar:
     often as they stand, weak ones by how dense they are in the text.
     """
 
-    def __init__(self, lexicon: dict[str, tuple[float, int]]):
+    def __init__(self, lexicon: dict[str, tuple[float, int]], machine: Transducer | None = None):
         self.words = {w: x for w, x in lexicon.items() if not w.endswith("*")}
         self.stems = {w[:-1]: x for w, x in lexicon.items() if w.endswith("*")}
-        self.machine = negation_machine().compose(target_machine()).compose(report_machine())
+        self.machine = machine or negation_machine().compose(target_machine()).compose(report_machine())
         self.scan = ahocorasick.Automaton()
         for w in chain(self.words, self.stems, THREATS):
             self.scan.add_word(w, w)
@@ -137,6 +137,17 @@ class Grammar:
             sums[times > 1] += factor * weight / times
         return sums[0], sums[1]
 
+    def meant(self, lower: str) -> list[str]:
+        """The words that would count in full as insults: neither negated nor reported."""
+        out = []
+        for clause in _CLAUSE.split(lower):
+            state = self.machine.start
+            for word in _WORD.findall(clause):
+                if self.machine.step(state, "insult")[2] >= 1.0:
+                    out.append(word)
+                state = self.machine.step(state, self.read(word)[0])[0]
+        return out
+
     def document(self, text: str) -> float:
         """The sum over the clauses that hold a candidate; texts without one are not cut into words."""
         lower = text.lower()
@@ -171,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame):
     Labels count only where the document is not held out. A bounded draw of
     labelled rows is used (FIT_TOXIC and FIT_CLEAN, by a hash of the id); the
     ids are broadcast, 12,000 or so at most. Of texts that share their least
-    word hash, as copies do, one counts. A feature is taken with the least of
+    word hash, as copies do, one counts. Words count where the machines let an
+    insult weigh in full: what stands only negated or reported in clean texts
+    is no mark of them. A feature is taken with the least of
     TIMES at which it tells toxic documents on either of two folds and still
     does on the other; so chance finds drop out. Rows with a null id or label
     are not learned from, null texts count as empty.
@@ -183,13 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame):
     texts, _ = save(texts.repartition(24), "labelled")
 
     def to_features(frames):
+        grammar = Grammar({})
         for pdf in frames:
             toxic, key, rows = [], [], []
             for label, text in zip(pdf["toxic"], pdf["text"]):
                 lower = text.lower()
                 words = _WORD.findall(lower)
+                meant = grammar.meant(lower)
                 grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
-                held = Counter(f for w in words for f in features({w}))
+                held = Counter(f for w in meant for f in features({w}))
                 times = [max(1, min(TIMES[-1], int(n / stretch(lower)))) for n in held.values()]
                 toxic.append(label)
                 key.append(int(pd.util.hash_array(np.array(grams, object)).astype(np.int64).min()))
