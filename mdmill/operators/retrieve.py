@@ -75,6 +75,31 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, aliases: DataFrame, k:
     return known.join(decided, "id").select("query_id", "code", "score", *shown, "rank", "margin", verdict.alias("decision"))
 
 
+def classify(queries: DataFrame, entries: DataFrame, aliases: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    """(query_id, code, path, confidence, candidates, decision, needs_review, evidence_ids), a row for each query (query_id, text).
+
+    code is the best entry, path its content cut at ' / ' (null for a target
+    outside the tree), candidates the best three as (code, score), evidence_ids
+    the citations of the best (cited: code, citation_id). A query that is blank
+    or finds nothing is UNRESOLVED and needs a person, as all but
+    AUTO_RECOMMEND do.
+    """
+    asked = queries.where(text.clean(F.col("text")) != "")
+    ranked = F.sort_array(F.collect_list(F.struct("rank", "code", "score")))
+    found = hybrid_search(asked, entries, aliases, 3).groupBy(F.col("query_id").alias("__q")).agg(ranked.alias("r"), F.first("decision").alias("decision"))
+    paths = entries.groupBy(F.col("code").alias("__code")).agg(F.split(F.min("content"), " / ").alias("path"))
+    best = found.withColumn("code", F.col("r")[0]["code"]).join(paths, F.col("code") == F.col("__code"), "left")
+    if cited is not None:
+        best = with_citations(best, cited).withColumnRenamed("citation_ids", "evidence_ids")
+    else:
+        best = best.withColumn("evidence_ids", F.array().cast("array<string>"))
+    decision = F.coalesce("decision", F.lit("UNRESOLVED"))
+    return queries.select("query_id").join(best, F.col("query_id") == F.col("__q"), "left").select(
+        "query_id", "code", "path", F.col("r")[0]["score"].alias("confidence"), F.transform("r", lambda x: F.struct(x["code"].alias("code"), x["score"].alias("score"))).alias("candidates"),
+        decision.alias("decision"), (decision != "AUTO_RECOMMEND").alias("needs_review"), F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence_ids"),
+    )
+
+
 def citations(rows: DataFrame, excerpt: Column) -> DataFrame:
     """rows with citation_id, the place of each in its source file, one row a place; rows that repeat a place keep the greatest record hash.
 

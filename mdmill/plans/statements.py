@@ -15,6 +15,7 @@ VALUES = {
     "src9_retention_report": {"today": "1997-01-01"},
     "src14_latest_batch": {"plant": "SHANGHAI"},
     "jn7_record_lineage": {"plant": "SHANGHAI"},
+    "jn7_lineage_rows": {"plant": "SHANGHAI"},
     "tk7_first_mappings": {"most": 3},
     "txt23_issue_ids": {"batch": "B1"},
 }
@@ -84,6 +85,7 @@ STATEMENTS = {
  LEFT JOIN {version_aliases} a ON a.version_id = v.version_id AND a.target = e.full_code WHERE v.status = 'PUBLISHED'""",
     "jn6_active_version": "SELECT catalog, version_id FROM {versions} WHERE status = 'PUBLISHED'",
     "jn7_record_lineage": {"plant": "SHANGHAI"},
+    "jn7_lineage_rows": {"plant": "SHANGHAI"},
     "tk7_first_mappings": {"most": 3},
     "txt23_issue_ids": {"batch": "B1"},
 }
@@ -164,6 +166,18 @@ STATEMENTS = {
  SELECT m.mdm_code, coalesce(sources, 0) AS sources, coalesce(systems, 0) AS systems, coalesce(batches, 0) AS batches, coalesce(deliveries, 0) AS deliveries, last_batch,
   coalesce(systems, 0) + coalesce(batches, 0) + coalesce(down.plants, 0) + coalesce(targets, 0) AS degree
  FROM {masters} m LEFT JOIN up ON up.mdm_code = m.mdm_code LEFT JOIN down ON down.mdm_code = m.mdm_code""",
+    "jn7_lineage_rows": """WITH p AS (SELECT DISTINCT r.row_id, r.batch_id, p.mapping_id, p.mdm_code FROM {records} r JOIN {mappings} p ON p.batch_id = r.batch_id AND p.material_code = r.material_code AND p.plant_code = r.plant_code
+  WHERE :plant IN ('', 'GROUP') OR r.plant_code IN ('GROUP', :plant)), c AS (SELECT DISTINCT row_id, mdm_code FROM p)
+ SELECT row_id, 'MAPPING' AS kind, CAST(mapping_id AS VARCHAR(40)) AS ref, CAST(mdm_code AS VARCHAR(40)) AS status FROM p
+ UNION ALL SELECT row_id, 'MASTER', CAST(m.mdm_code AS VARCHAR(40)), decision FROM c JOIN {masters} m ON m.mdm_code = c.mdm_code
+ UNION ALL SELECT row_id, 'REVIEW', CAST(review_id AS VARCHAR(40)), status FROM c JOIN {reviews} r ON r.mdm_code = c.mdm_code
+ UNION ALL SELECT row_id, 'DELIVERY', concat(batch_id, '/', line, '/', target_system), CASE WHEN success THEN 'SUCCESS' ELSE 'FAILED' END FROM c JOIN {deliveries} d ON d.mdm_code = c.mdm_code WHERE :plant IN ('', 'GROUP') OR plant_code = :plant
+ UNION ALL SELECT row_id, 'FEEDBACK', concat(batch_id, '/', line), concat(rating, CASE WHEN accepted THEN ' accepted' ELSE ' refused' END) FROM c JOIN {deliveries} d ON d.mdm_code = c.mdm_code WHERE success AND (:plant IN ('', 'GROUP') OR plant_code = :plant)
+ UNION ALL SELECT DISTINCT p.row_id, 'PROOF', CAST(height AS VARCHAR(40)), block_hash FROM p JOIN {graph_blocks} b ON b.batch_id = p.batch_id AND b.entity_type = 'MASTER' AND b.entity_id = CAST(p.mdm_code AS VARCHAR(40))""",
+    "jn8_lineage_rows": """WITH n AS (SELECT mdm_code, 'UP' AS side, 'SYSTEM' AS kind, system_source AS ref, batch_id FROM {mappings} UNION ALL SELECT mdm_code, 'UP', 'BATCH', CAST(batch_id AS VARCHAR(40)), batch_id FROM {mappings}
+  UNION ALL SELECT mdm_code, 'DOWN', 'PLANT', plant_code, batch_id FROM {deliveries} UNION ALL SELECT mdm_code, 'DOWN', 'TARGET_SYSTEM', target_system, batch_id FROM {deliveries} WHERE success),
+ g AS (SELECT mdm_code, side, kind, ref, count(*) AS n, max(batch_id) AS last_batch FROM n GROUP BY mdm_code, side, kind, ref)
+ SELECT g.*, count(*) OVER (PARTITION BY mdm_code) AS degree FROM g""",
     "jn9_semi_delivered": "SELECT mdm_code FROM {masters} m WHERE EXISTS (SELECT 1 FROM {deliveries} d WHERE d.mdm_code = m.mdm_code AND success)",
     "jn10_anti_approved": f"SELECT mdm_code FROM {{selected}} s WHERE NOT EXISTS (SELECT 1 FROM {{masters}} m WHERE m.mdm_code = s.mdm_code AND decision IN {APPROVED})",
     "jn11_task_expansion": f"""SELECT concat('TASK-', upper(substring(sha256(concat(mdm_code, ':', target_system, ':', plant)), 1, 12))) AS task_id, mdm_code, target_system, plant,

@@ -79,12 +79,27 @@ def citation_rows(spark, sf_dir):
     return rows.select("citation_id", "filename", "row_no", "cell_range", "record_sha256", "excerpt")
 
 
-def cited_search(spark, sf_dir):
-    """The best entry of each text with where it and its category stand in the source files."""
+def _cited(spark, sf_dir) -> DataFrame:
+    """Two places of each entry: in the tree's file, and in that of its aliases."""
     entries, _ = standard_tree(spark, sf_dir)
     place = F.concat(F.upper(F.substring(F.sha2(F.split("content", " / ")[0], 256), 1, 12)), F.lit("#tree!"), F.col("code").cast("long").cast("string"))
     head = F.concat(F.upper(F.substring(F.sha2("content", 256), 1, 12)), F.lit("#alias!1"))
-    cited = entries.select("code", place.alias("citation_id")).unionByName(entries.select("code", head.alias("citation_id")))
+    return entries.select("code", place.alias("citation_id")).unionByName(entries.select("code", head.alias("citation_id")))
+
+
+def classification(spark, sf_dir):
+    """The classification of each record, blank ones included, with its path and evidence."""
+    asked = _texts(spark, sf_dir).select(F.col("row_id").alias("query_id"), F.when(F.col("row_id") % 11 == 0, " ").otherwise(F.col("text")).alias("text"))
+    found = retrieve.classify(asked, *standard_tree(spark, sf_dir), _cited(spark, sf_dir))
+    return found.select(
+        "query_id", "code", F.array_join("path", "|").alias("path"), "confidence", F.array_join(F.transform("candidates", lambda c: c["code"]), ",").alias("candidates"),
+        "decision", "needs_review", F.array_join("evidence_ids", ",").alias("evidence_ids"),
+    )
+
+
+def cited_search(spark, sf_dir):
+    """The best entry of each text with where it and its category stand in the source files."""
+    cited = _cited(spark, sf_dir)
     best = hybrid(spark, sf_dir).where("rank = 1")
     return retrieve.with_citations(best, cited).select("query_id", "code", F.array_join("citation_ids", ",").alias("citation_ids"))
 
@@ -117,6 +132,7 @@ QUERIES = {
     "er7_model_vectors": embedded,
     "txt25_citation_rows": citation_rows,
     "er9_cited_search": cited_search,
+    "er10_classification": classification,
     "tk3_suggestions": suggestions,
     "txt30_delivery_filters": delivery_filters,
     "flt8_nested_redaction": redacted_trees,
@@ -208,6 +224,10 @@ def oracle_sql(attribute_sql, standard: str, category_sql) -> dict[str, str]:
         "txt32_conditions": f"""{e}, {asks("SELECT row_id AS query_id, concat(text, CASE row_id % 6 WHEN 0 THEN ' 不要304' WHEN 1 THEN ' DN50-150' ELSE '' END) AS text FROM e")} SELECT * EXCLUDE (text, std) FROM asked""",
         "er9_hybrid_search": f"{found} SELECT * FROM h",
         "er10_classify": f"""{found} SELECT query_id, max(CASE WHEN rank = 1 THEN code END) AS code, string_agg(code, ',' ORDER BY rank) AS candidates, any_value(decision) <> 'AUTO_RECOMMEND' AS needs_review FROM h GROUP BY query_id""",
+        "er10_classification": f"""{found}, y AS (SELECT code, content, std_category, upper(substring(sha256(std_category), 1, 12)) || '#tree!' || code::BIGINT AS one, upper(substring(sha256(content), 1, 12)) || '#alias!1' AS two FROM (SELECT code, std_category, concat_ws(' / ', std_category, material) AS content FROM t)),
+ g AS (SELECT query_id, max(CASE WHEN rank = 1 THEN code END) AS code, max(CASE WHEN rank = 1 THEN score END) AS confidence, string_agg(code, ',' ORDER BY rank) AS candidates, any_value(decision) AS decision FROM h WHERE query_id % 11 > 0 GROUP BY query_id)
+ SELECT e.row_id AS query_id, g.code, replace(y.content, ' / ', '|') AS path, confidence, candidates, coalesce(decision, 'UNRESOLVED') AS decision, coalesce(decision, 'UNRESOLVED') <> 'AUTO_RECOMMEND' AS needs_review,
+  coalesce(least(one, two) || ',' || greatest(one, two), '') AS evidence_ids FROM e LEFT JOIN g ON g.query_id = e.row_id LEFT JOIN y ON y.code = g.code""",
         "er9_cited_search": f"""{found}, y AS (SELECT code, content, upper(substring(sha256(std_category), 1, 12)) || '#tree!' || code::BIGINT AS one, upper(substring(sha256(content), 1, 12)) || '#alias!1' AS two
  FROM (SELECT code, std_category, concat_ws(' / ', std_category, material) AS content FROM t)) SELECT query_id, h.code, coalesce(least(one, two) || ',' || greatest(one, two), '') AS citation_ids FROM h LEFT JOIN y ON y.code = h.code WHERE rank = 1""",
         "er13_attribute_search": f"""{search(fifty, False)}, v AS (SELECT query_id, row_id, round(least(score, 0.99), 4)::DOUBLE AS score, matched, required FROM z WHERE (required = 0 OR matched = required) AND score > 0),
