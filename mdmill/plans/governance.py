@@ -5,8 +5,12 @@ from __future__ import annotations
 from mdmill.plans.relations import RETENTION
 from mdmill.plans.statements import APPROVED, REACHES
 
-VALUES = {"ag13_issue_capture": {"batch": "B1"}, "ag9_plant_summary": {}, "txt25_citations": {"version": "v1", "sheet": "items"}}
+VALUES = {"ag3_rule_codes": {"method": "JACCARD"}, "ag13_issue_capture": {"batch": "B1"}, "ag9_plant_summary": {}, "txt25_citations": {"version": "v1", "sheet": "items"}}
 
+# Words of an explanation.
+EXPLAINED = (("brand", "品牌"), ("model", "型号"), ("dn", "口径"), ("pressure", "压力"))
+LABELS = "WHEN 'AUTO_MERGE' THEN '自动归并' WHEN 'REVIEW' THEN '人工复核' WHEN 'NEW' THEN '建议新建' WHEN 'CONFIRMED_NEW' THEN '审核后新建'"
+# End of fixed values.
 #: The fields of a golden record that its index text holds, blank ones left out.
 INDEX_FIELDS = ("standard_name", "category", "brand", "model", "dn", "pressure", "material", "source_systems")
 #: Steps of a workflow.
@@ -26,15 +30,16 @@ STATEMENTS = {
     "txt25_citations": """SELECT citation, sheet, row_no, full_code, item_name FROM (SELECT concat(upper(substring(sha256(concat(:version, '|', major)), 1, 12)), '#', :sheet, '!', substring(full_code, 5, 4)) AS citation,
   :sheet AS sheet, substring(full_code, 5, 4) AS row_no, full_code, item_name, row_number() OVER (PARTITION BY major, substring(full_code, 5, 4) ORDER BY full_code, item_name, middle_name, major_name) AS k FROM {entries}) x WHERE k = 1""",
     "txt27_retention_end": f"SELECT batch_id, CAST(created + CASE classification {RETENTION} END * INTERVAL '1' DAY AS DATE) AS until FROM {{batches}}",
-    "txt34_explanations": """WITH s AS (SELECT mdm_code, count(*) AS sources, count(DISTINCT system_source) AS systems FROM {mappings} GROUP BY mdm_code), r AS (SELECT mdm_code, max(review_id) AS review FROM {reviews} GROUP BY mdm_code)
- SELECT m.mdm_code, concat('Golden record ', m.mdm_code, ' (', standard_name, ') joins ', coalesce(sources, 0), ' source rows of ', coalesce(systems, 0), ' systems; decision ', decision,
-  CASE decision WHEN 'REVIEW' THEN '; attributes differ, rules R006/R008' WHEN 'NEW' THEN '; no match, rule R007' ELSE '; attributes agree, rules R001/R005' END, CASE WHEN review IS NULL THEN '' ELSE concat('; review ', review) END) AS sentence
- FROM {masters} m LEFT JOIN s ON s.mdm_code = m.mdm_code LEFT JOIN r ON r.mdm_code = m.mdm_code""",
+    "txt34_explanations": f"""WITH c AS (SELECT mdm_code, listagg(line, '；') WITHIN GROUP (ORDER BY line) AS risks FROM (SELECT mdm_code, concat(field, '存在冲突（', vals, '）') AS line FROM {{conflicts}}) x GROUP BY mdm_code)
+ SELECT m.mdm_code, concat('系统将 ', source_count, ' 条来源记录归入黄金编码 ', m.mdm_code, '。', '治理决策为', CASE decision {LABELS} ELSE decision END, '，置信度 ', CAST(CAST(confidence AS DECIMAL(5, 2)) AS VARCHAR(9)), '。',
+  CASE WHEN concat({', '.join(f"coalesce(trim({f}), '')" for f, _ in EXPLAINED)}) <> '' THEN concat('主要依据：', concat_ws('、', {', '.join(f"CASE WHEN coalesce(trim({f}), '') <> '' THEN '{word}一致' END" for f, word in EXPLAINED)}), '。') ELSE '' END,
+  CASE WHEN risks IS NOT NULL THEN concat('风险提示：', risks, '，因此需要人工复核。') WHEN source_count > 1 THEN '关键属性未发现硬冲突，可按当前规则建议归并。' ELSE '未检索到可安全归并的同物记录，建议作为新增候选。' END) AS sentence
+ FROM {{masters}} m JOIN {{golden}} g ON g.mdm_code = m.mdm_code LEFT JOIN c ON c.mdm_code = m.mdm_code""",
     "txt35_index_text": f"""SELECT mdm_code, concat_ws(' ', {', '.join(f"nullif(trim({c}), '')" for c in INDEX_FIELDS)}) AS content FROM {{golden}}""",
     # Aggregates of golden records.
     "ag2_conflicts": """SELECT component, count(DISTINCT nullif(model, '')) AS models, count(DISTINCT nullif(dn, '')) AS dns, count(DISTINCT nullif(pressure, '')) AS pressures, count(DISTINCT nullif(material, '')) AS materials,
  count(DISTINCT nullif(model, '')) > 1 OR count(DISTINCT nullif(dn, '')) > 1 OR count(DISTINCT nullif(pressure, '')) > 1 OR count(DISTINCT nullif(material, '')) > 1 AS conflict FROM {attributed} GROUP BY component""",
-    "ag3_rule_codes": """SELECT p.mapping_id, p.mdm_code, concat_ws('/', CASE decision WHEN 'NEW' THEN 'R007' WHEN 'REVIEW' THEN 'R006/R008' ELSE 'R001/R005' END, CASE WHEN m.plants LIKE '%,%' THEN 'R009' END) AS rules,
+    "ag3_rule_codes": """SELECT p.mapping_id, p.mdm_code, concat(CASE decision WHEN 'NEW' THEN 'R007' WHEN 'REVIEW' THEN 'R006/R008' ELSE 'R001/R005' END, '/R010-', :method, CASE WHEN anomaly_count > 0 THEN '/R009' ELSE '' END) AS rules,
  decision = 'REVIEW' AS to_review FROM {mappings} p JOIN {masters} m ON m.mdm_code = p.mdm_code""",
     "ag7_batch_summary": """SELECT count(*) AS masters, CAST(sum(source_count) AS BIGINT) AS records, count(CASE WHEN decision = 'AUTO_MERGE' THEN 1 END) AS merged, count(CASE WHEN decision = 'REVIEW' THEN 1 END) AS review,
  count(CASE WHEN decision IN ('NEW', 'CONFIRMED_NEW') THEN 1 END) AS fresh, round(100.0 * (sum(source_count) - count(*)) / sum(source_count), 1) + 0e0 AS compression FROM {masters}""",
@@ -51,7 +56,7 @@ STATEMENTS = {
     "ag12_duplicate_codes": """WITH n AS (SELECT system_source, plant_code, material_code, count(*) AS n FROM {materials} WHERE material_code <> '' GROUP BY system_source, plant_code, material_code)
  SELECT row_id, n FROM {materials} m JOIN n ON m.system_source = n.system_source AND m.plant_code = n.plant_code AND m.material_code = n.material_code WHERE n > 1""",
     "ag13_issue_capture": """WITH n AS (SELECT system_source, plant_code, material_code FROM {materials} WHERE material_code <> '' GROUP BY system_source, plant_code, material_code HAVING count(*) > 1),
- f AS (SELECT row_id, code FROM {found} UNION SELECT row_id, 'DUPLICATE_CODE' FROM {materials} m JOIN n ON m.system_source = n.system_source AND m.plant_code = n.plant_code AND m.material_code = n.material_code)
+ f AS (SELECT row_id, code FROM {found} UNION SELECT row_id, 'LINEAGE_MISSING' FROM {origins} WHERE coalesce(source_record_id, '') = '' OR coalesce(record_hash, '') = '' UNION SELECT row_id, 'DUPLICATE_CODE' FROM {materials} m JOIN n ON m.system_source = n.system_source AND m.plant_code = n.plant_code AND m.material_code = n.material_code)
  SELECT concat('DQI-', upper(substring(sha256(concat(:batch, ':', row_id, ':', f.code)), 1, 16))) AS issue_id, row_id, f.code, rule_id, dimension, coalesce(default_severity, 'MEDIUM') AS severity,
   CASE coalesce(default_severity, 'MEDIUM') WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 5 ELSE 10 END AS due_days FROM f JOIN {rules} r ON r.code = f.code WHERE active""",
     "ag14_issue_summary": """SELECT status, dimension, count(*) AS n, count(CASE WHEN status IN ('OPEN', 'ACKNOWLEDGED') AND due_in < 8 THEN 1 END) AS overdue FROM {issues} GROUP BY status, dimension""",
@@ -71,7 +76,8 @@ STATEMENTS = {
  listagg(hash, ',') WITHIN GROUP (ORDER BY hash) AS hashes FROM (SELECT batch_id, plant_code, success, substring(sha256(concat(mdm_code, '|', plant_code, '|', target_system)), 1, 16) AS hash FROM {deliveries}) d GROUP BY batch_id, plant_code""",
     "ag23_tree_violations": " UNION ALL ".join(f"SELECT full_code, item_name, '{name}' AS violation FROM {{entries}} WHERE {test}" for name, test in TREE_RULES)
     + """ UNION ALL SELECT e.full_code, e.item_name, 'DUPLICATE' FROM {entries} e JOIN (SELECT full_code FROM {entries} GROUP BY full_code HAVING count(*) > 1) d ON d.full_code = e.full_code
- UNION ALL SELECT coalesce(target, ''), CAST(alias AS VARCHAR(20)), 'ALIAS_CODE' FROM {aliases} WHERE coalesce(length(target), 0) <> 8""",
+ UNION ALL SELECT coalesce(target, ''), CAST(alias AS VARCHAR(20)), 'ALIAS_CODE' FROM {aliases} WHERE coalesce(length(target), 0) <> 8
+ UNION ALL SELECT what, concat(n, ' expected, ', found, ' found'), 'EXPECTED_COUNT' FROM (SELECT what, n, CASE what WHEN 'entries' THEN (SELECT count(*) FROM {entries}) ELSE (SELECT count(*) FROM {aliases}) END AS found FROM {expected}) c WHERE n <> found""",
     "ag24_source_issues": """SELECT i.row_id, coalesce(nullif(i.system_source, ''), 'CSV导入') AS source, i.plant_code, i.code, i.dimension, i.severity, i.status, material_code AS source_id FROM {issues} i JOIN {materials} m ON m.row_id = i.row_id""",
     "ag25_step_metrics": """WITH d AS (SELECT batch_id, count(DISTINCT mdm_code) AS masters, count(*) AS deliveries, count(CASE WHEN success THEN 1 END) AS delivered, count(CASE WHEN accepted THEN 1 END) AS feedback FROM {deliveries} GROUP BY batch_id)
  SELECT b.batch_id, record_count, coalesce(masters, 0) AS masters, coalesce(deliveries, 0) AS deliveries, coalesce(delivered, 0) AS delivered, coalesce(feedback, 0) AS feedback FROM {batches} b LEFT JOIN d ON d.batch_id = b.batch_id""",

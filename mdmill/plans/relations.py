@@ -20,7 +20,10 @@ from mdmill.sources.materials import MATERIALS_SQL
 RELATIONS = {
     "materials": "row_id, material_code, system_source, material_name, description, category, unit, create_time, plant_code",
     "records": "materials with batch_id",
-    "masters": "mdm_code, standard_name, category, plants, decision, source_count",
+    "masters": "mdm_code, standard_name, category, plants, decision, source_count, anomaly_count, confidence",
+    "origins": "row_id, source_record_id, record_hash: where records come from",
+    "conflicts": "mdm_code, field, vals: fields of golden records whose members differ",
+    "expected": "what (entries, aliases), n",
     "mappings": "mapping_id, batch_id, mdm_code, system_source, material_code, plant_code, material_name, similarity",
     "deliveries": "batch_id, line, mdm_code, plant_code, target_system, success, accepted, rating, comment",
     "batches": "batch_id, owner, created, classification, held, record_count",
@@ -64,7 +67,8 @@ STANDINS = {
     "records": "SELECT row_id % 40 AS batch_id, * FROM {materials}",
     "masters": """SELECT p_partkey AS mdm_code, p_name AS standard_name, p_type AS category,
  CASE WHEN p_partkey % 5 = 0 THEN 'GROUP' WHEN p_partkey % 5 = 1 THEN 'GROUP,SHANGHAI' WHEN p_partkey % 5 = 2 THEN 'BEIJING' ELSE 'SHANGHAI,BEIJING' END AS plants,
- CASE WHEN p_size % 7 = 0 THEN 'NEW' WHEN p_size % 7 = 1 THEN 'REVIEW' ELSE 'AUTO_MERGE' END AS decision, 1 + p_size % 4 AS source_count FROM {part}""",
+ CASE WHEN p_size % 7 = 0 THEN 'NEW' WHEN p_size % 7 = 1 THEN 'REVIEW' ELSE 'AUTO_MERGE' END AS decision, 1 + p_size % 4 AS source_count,
+ CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE 0 END AS anomaly_count, CASE WHEN p_size % 7 = 1 THEN 0.62 ELSE 0.95 END AS confidence FROM {part}""",
     "lines": """SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus
  FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "mappings": """SELECT l_orderkey * 10 + l_linenumber AS mapping_id, row_id % 40 AS batch_id, l_partkey AS mdm_code, system_source, material_code, plant_code,
@@ -101,7 +105,7 @@ STANDINS = {
  UNION ALL SELECT row_id, system_source, plant_code, 'ODD_CODE' FROM {materials} WHERE row_id % 31 = 0""",
     "rules": """SELECT 'MISSING_UNIT' AS code, 'DQR-1' AS rule_id, true AS active, 'completeness' AS dimension, 'MEDIUM' AS default_severity, 5 AS due_days
  UNION ALL SELECT 'MISSING_DESCRIPTION', 'DQR-2', true, 'completeness', 'MEDIUM', 5 UNION ALL SELECT 'MISSING_SYSTEM_SOURCE', 'DQR-3', true, 'lineage', 'HIGH', 2
- UNION ALL SELECT 'DUPLICATE_CODE', 'DQR-4', true, 'uniqueness', 'HIGH', 2 UNION ALL SELECT 'CATEGORY_UNRESOLVED', 'DQR-5', false, 'conformity', 'LOW', 10""",
+ UNION ALL SELECT 'DUPLICATE_CODE', 'DQR-4', true, 'uniqueness', 'HIGH', 2 UNION ALL SELECT 'LINEAGE_MISSING', 'DQR-6', true, 'lineage', 'HIGH', 2 UNION ALL SELECT 'CATEGORY_UNRESOLVED', 'DQR-5', false, 'conformity', 'LOW', 10""",
     "issues": """SELECT row_id, system_source, plant_code, f.code, dimension, default_severity AS severity,
  CASE row_id % 4 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'ACKNOWLEDGED' WHEN 2 THEN 'RESOLVED' ELSE 'WAIVED' END AS status, due_days + row_id % 9 AS due_in FROM {found} f JOIN {rules} r ON f.code = r.code""",
     "steps": """SELECT user_id AS batch_id, event_id AS step_id, CASE event_id % 8 WHEN 0 THEN 'INGEST' WHEN 1 THEN 'STANDARDIZE' WHEN 2 THEN 'VECTOR_INDEX' WHEN 3 THEN 'GRAPH_DEDUPE' WHEN 4 THEN 'REVIEW' WHEN 5 THEN 'QUALITY'
@@ -145,6 +149,9 @@ STANDINS = {
     "graph_blocks": """SELECT batch_id, height, status AS event_type, CASE height % 5 WHEN 0 THEN 'BATCH' WHEN 1 THEN 'MASTER' WHEN 2 THEN 'DISTRIBUTION' WHEN 3 THEN 'WORKFLOW_STEP' ELSE 'PROFILE' END AS entity_type,
  CASE height % 5 WHEN 0 THEN CAST(batch_id AS VARCHAR(9)) WHEN 1 THEN CAST(height % 300 AS VARCHAR(9)) WHEN 2 THEN CASE WHEN height % 2 = 0 THEN 'SHANGHAI' ELSE 'BEIJING' END WHEN 3 THEN step_code ELSE 'default' END AS entity_id,
  sha256(concat(height, 'b')) AS block_hash, sha256(concat(height, 'p')) AS payload_hash, sha256(concat(height, 'o')) AS previous_hash FROM {blocks} WHERE batch_id < 40""",
+    "origins": "SELECT row_id, CASE WHEN row_id % 23 = 0 THEN '' ELSE material_code END AS source_record_id, CASE WHEN row_id % 29 = 0 THEN NULL ELSE sha256(concat(material_code, '|', material_name)) END AS record_hash FROM {materials}",
+    "conflicts": "SELECT mdm_code, 'dn' AS field, '50 / 80' AS vals FROM {masters} WHERE decision = 'REVIEW' UNION ALL SELECT mdm_code, 'model', concat('A', mdm_code, ' / B') FROM {masters} WHERE decision = 'REVIEW' AND mdm_code % 2 = 0",
+    "expected": "SELECT 'entries' AS what, count(*) AS n FROM {entries} UNION ALL SELECT 'aliases', 12",
     "holds": "SELECT batch_id, step_id, ts, status = 'COMPLETED' AS held FROM {steps}",
 }
 RETENTION = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.RETENTION_DAYS.items())
