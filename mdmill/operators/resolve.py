@@ -35,7 +35,7 @@ def match_pairs(records: DataFrame) -> DataFrame:
 
     records are enriched, with row_id. Rows with equal texts are one item and
     linked to its least row. Items are compared only if they share a rare token
-    (prefix filter on the cosine) or a rare character (prefix filter on the
+    (prefix filter on the cosine, with what brand and material add) or a rare character (prefix filter on the
     character sets), which loses no pair that qualifies. Two different
     non-blank models, pressures or sizes forbid a pair.
     """
@@ -54,24 +54,29 @@ def match_pairs(records: DataFrame) -> DataFrame:
     )
     same = records.join(items.select(*key, "id"), key).where("row_id <> id").select(F.col("id").alias("src"), F.col("row_id").alias("dst"))
     weights, _ = save(token_weights(items), "weights")
-    prefix = weights.where(F.col("rest") >= LEAST_COSINE - 1e-9).select("id", "token")
+    prefix = weights.where(F.col("rest") >= LEAST_COSINE - 1e-9).select("id", "token", "rest")
     letters = items.select("id", F.size("letters").alias("n"), F.explode("letters").alias("token"))
     common = letters.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     first = letters.join(common, "token").withColumn("place", place)
-    first = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * rules.SEMANTIC_EDGE - 1e-9) + 1).select("id", "token")
+    first = first.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * rules.SEMANTIC_EDGE - 1e-9) + 1).select("id", "token", F.lit(1.0).alias("rest"))
     # Items that differ in a stated model, pressure or size never match: the guards hold before pairs are made,
-    # and letter sets of sizes too far apart are not paired at all.
-    guard = items.select("id", F.size("letters").alias("size"), "model", "pressure", "dn")
+    # and letter sets of sizes too far apart are not paired at all. The cosine of two items is at most the product of what
+    # their vectors weigh from the first common token on, so that product must reach what brand and material leave to reach.
+    guard = items.select("id", F.size("letters").alias("size"), "model", "pressure", "dn", "brand", "material")
+    equal = lambda a: (F.col(a) != "") & (F.col(a) == F.col(f"{a}_o"))
+    needed = rules.EDGE - F.when(equal("brand"), rules.SAME_BRAND).otherwise(0.0) - F.when(equal("material"), rules.SAME_MATERIAL).otherwise(0.0)
 
     def meet(keys, sized):
         own = keys.join(guard, "id")
-        other = own.select("token", *(F.col(c).alias(f"{c}_o") for c in ("id", "size", "model", "pressure", "dn")))
+        other = own.select("token", *(F.col(c).alias(f"{c}_o") for c in ("id", "rest", "size", "model", "pressure", "dn", "brand", "material")))
         both = own.join(other, "token").where("id < id_o")
         for a in ("model", "pressure", "dn"):
             both = both.where(f"{a} = '' OR {a}_o = '' OR {a} = {a}_o")
         if sized:
             both = both.where(F.least("size", "size_o") >= F.greatest("size", "size_o") * rules.SEMANTIC_EDGE - 1e-9)
+        else:
+            both = both.where(F.col("rest") * F.col("rest_o") >= needed - 1e-9)
         return both.select("id", F.col("id_o").alias("other"))
 
     pairs = meet(prefix, False).union(meet(first, True)).distinct()
