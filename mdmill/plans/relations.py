@@ -27,6 +27,7 @@ RELATIONS = {
     "mappings": "mapping_id, batch_id, mdm_code, system_source, material_code, plant_code, material_name, similarity",
     "deliveries": "batch_id, line, mdm_code, plant_code, target_system, success, accepted, rating, comment",
     "batches": "batch_id, owner, created, classification, held, record_count",
+    "sheet": "entries as their file holds them, with row_no, the row of the file",
     "entries": "full_code, major, middle, minor, major_name, middle_name, minor_name, item_name, example",
     "aliases": "alias, keywords, target",
     "requests": "event_id, user_id, kind, own, clearance, asked, client_ip",
@@ -80,10 +81,10 @@ STANDINS = {
     "batches": """SELECT o_orderkey AS batch_id, o_custkey AS owner, o_orderdate AS created,
  CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'RESTRICTED' WHEN '2' THEN 'CONFIDENTIAL' WHEN '3' THEN 'INTERNAL' ELSE 'PUBLIC' END AS classification,
  o_custkey % 11 = 0 AS held, 1 + o_orderkey % 5 AS record_count FROM {orders}""",
-    "sheet": """SELECT DISTINCT lpad(CAST(10 + p_size % 50 AS VARCHAR(9)), 2, '0') AS major, concat(10 + p_size % 50, lpad(CAST(length(p_type) AS VARCHAR(9)), 2, '0')) AS middle,
+    "sheet": """SELECT x.*, 1 + row_number() OVER (ORDER BY full_code, major_name, middle_name, item_name) AS row_no FROM (SELECT DISTINCT lpad(CAST(10 + p_size % 50 AS VARCHAR(9)), 2, '0') AS major, concat(10 + p_size % 50, lpad(CAST(length(p_type) AS VARCHAR(9)), 2, '0')) AS middle,
  concat(10 + p_size % 50, lpad(CAST(length(p_type) AS VARCHAR(9)), 2, '0'), lpad(CAST(length(p_brand) AS VARCHAR(9)), 2, '0')) AS minor,
  concat(10 + p_size % 50, lpad(CAST(length(p_type) AS VARCHAR(9)), 2, '0'), lpad(CAST(length(p_brand) AS VARCHAR(9)), 2, '0'), lpad(CAST(length(p_name) AS VARCHAR(9)), 2, '0')) AS full_code,
- p_type AS major_name, p_brand AS middle_name, p_name AS item_name FROM {part}""",
+ p_type AS major_name, p_brand AS middle_name, p_name AS item_name FROM {part}) x""",
     "entries": "SELECT full_code, major, middle, minor, major_name, middle_name, middle_name AS minor_name, item_name, concat('e ', item_name) AS example FROM {sheet}",
     "aliases": """SELECT s_suppkey AS alias, s_name AS keywords, CASE WHEN s_suppkey % 3 = 0 THEN 'x' ELSE code END AS target FROM {supplier}
  LEFT JOIN (SELECT min(full_code) AS code, CAST(major AS INT) AS k FROM {sheet} GROUP BY major) t ON 10 + s_nationkey = k""",

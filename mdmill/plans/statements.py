@@ -39,7 +39,7 @@ STATEMENTS = {
  concat('SRC-', upper(substring(sha256(concat(:batch, ':', system_source, ':', material_code, ':', row_id)), 1, 16))) AS source_id,
  concat('TASK-', upper(substring(sha256(concat(material_code, ':', plant_code)), 1, 12))) AS task_id FROM {materials}""",
     # Sources and sinks.
-    "src3_standard_rows": """SELECT full_code, major_name, item_name, concat('A', full_code, ':G', full_code) AS cells, sha256(concat(full_code, '|', major_name, '|', middle_name, '|', item_name)) AS row_hash
+    "src3_standard_rows": """SELECT row_no, full_code, major_name, item_name, concat('A', row_no, ':G', row_no) AS cells, sha256(concat(full_code, '|', major_name, '|', middle_name, '|', item_name)) AS row_hash
  FROM {sheet} WHERE trim(concat(full_code, major_name, middle_name, item_name)) <> ''""",
     "src3_alias_scope": """SELECT alias, target, CASE WHEN e.full_code IS NULL THEN 'EXTERNAL_BOUNDARY' ELSE 'IN_TREE' END AS scope
  FROM {aliases} a LEFT JOIN (SELECT DISTINCT full_code FROM {entries}) e ON target = e.full_code""",
@@ -109,7 +109,7 @@ STATEMENTS = {
  concat('SRC-', upper(substring(sha256(concat(:batch, ':', system_source, ':', material_code, ':', row_id)), 1, 16))) AS source_id,
  concat('TASK-', upper(substring(sha256(concat(material_code, ':', plant_code)), 1, 12))) AS task_id FROM {materials}""",
     # Sources and sinks.
-    "src3_standard_rows": """SELECT full_code, major_name, item_name, concat('A', full_code, ':G', full_code) AS cells, sha256(concat(full_code, '|', major_name, '|', middle_name, '|', item_name)) AS row_hash
+    "src3_standard_rows": """SELECT row_no, full_code, major_name, item_name, concat('A', row_no, ':G', row_no) AS cells, sha256(concat(full_code, '|', major_name, '|', middle_name, '|', item_name)) AS row_hash
  FROM {sheet} WHERE trim(concat(full_code, major_name, middle_name, item_name)) <> ''""",
     "src3_alias_scope": """SELECT alias, target, CASE WHEN e.full_code IS NULL THEN 'EXTERNAL_BOUNDARY' ELSE 'IN_TREE' END AS scope
  FROM {aliases} a LEFT JOIN (SELECT DISTINCT full_code FROM {entries}) e ON target = e.full_code""",
