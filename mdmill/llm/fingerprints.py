@@ -69,14 +69,24 @@ def likeness(a: Column, b: Column) -> Column:
 def _sectioned(tree: str) -> Column:
     """The sections of a tree as structs: digest, number of the first paragraph, digests of its paragraphs."""
     d, sections = F.col(f"{tree}.paragraphs"), F.col(f"{tree}.sections")
-    ends = F.filter(F.transform(d, lambda h, i: F.when(F.substring(h, 1, 1).isin(*SECTION_ENDS), i)), lambda i: i.isNotNull())
-    first = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + 1)
-    past = lambda k: F.coalesce(F.get(ends, k) + 1, F.size(d))
-    return F.transform(sections, lambda h, k: F.struct(h.alias("digest"), first(k).alias("first"), F.slice(d, first(k) + 1, past(k) - first(k)).alias("paragraphs")))
+    # Behind each border the number of the next section's first paragraph; a text that ends with a border has an empty last section.
+    marked = F.transform(d, lambda h, i: F.when(F.substring(h, 1, 1).isin(*SECTION_ENDS), i + 1))
+    begins = F.concat(F.array(F.lit(0)), F.array_compact(marked))
+    ends = F.concat(F.array_compact(marked), F.array(F.size(d)))
+    return F.transform(
+        F.arrays_zip(sections.alias("digest"), begins.alias("first"), ends.alias("past")),
+        lambda s: F.struct(s["digest"].alias("digest"), s["first"].alias("first"), (s["past"] - s["first"]).alias("n")),
+    )
+
+
+def _kept(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that later lambdas read: a generator between keeps them from being worked out anew for each element."""
+    df = df.withColumn("__kept", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return df.withColumns({n: F.col(f"__kept.{n}") for n in columns}).drop("__kept")
 
 
-def edited_ranges(a: str, b: str) -> Column:
-    """Ranges (first, last) of paragraphs, from 0, that tree b has and tree a lacks, in order.
+def with_edited_ranges(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with `name`: ranges (first, last) of paragraphs, from 0, that tree b has and tree a lacks, in order.
 
     A descent: equal roots end it. Else sections are compared, and only the
     paragraphs of sections that the other tree lacks are looked at, against
@@ -84,14 +94,22 @@ def edited_ranges(a: str, b: str) -> Column:
     was deleted are the ranges of the trees the other way round. A paragraph
     that moved with its whole section is not edited.
     """
-    lacking = lambda x, y: F.filter(_sectioned(x), lambda s: ~F.array_contains(F.col(f"{y}.sections"), s["digest"]))
-    old = F.flatten(F.transform(lacking(a, b), lambda s: s["paragraphs"]))
-    numbered = F.flatten(F.transform(lacking(b, a), lambda s: F.transform(s["paragraphs"], lambda h, i: F.struct(h.alias("h"), (s["first"] + i).alias("i")))))
-    new = F.transform(F.filter(numbered, lambda x: ~F.array_contains(old, x["h"])), lambda x: x["i"])
-    begins = F.filter(new, lambda i: ~F.array_contains(new, i - 1))
-    ends = F.filter(new, lambda i: ~F.array_contains(new, i + 1))
-    ranges = F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("first"), y.alias("last")))
-    return F.when(F.col(f"{a}.root") == F.col(f"{b}.root"), F.array().cast("array<struct<first:int,last:int>>")).otherwise(ranges)
+    rows = _kept(df, {a: F.col(a), b: F.col(b), "__same": F.col(f"{a}.root") == F.col(f"{b}.root")})
+    none = lambda c: F.when(~F.col("__same"), c).otherwise(F.slice(c, 1, 0))
+    # Sections that only one tree has, by sets of digests; their rows are picked by a look at that short set.
+    rows = _kept(rows, {"__sa": none(_sectioned(a)), "__sb": none(_sectioned(b)), "__oa": F.array_except(f"{a}.sections", f"{b}.sections"), "__ob": F.array_except(f"{b}.sections", f"{a}.sections")})
+    mine = lambda sections, only: F.filter(sections, lambda s: F.array_contains(only, s["digest"]))
+    rows = _kept(rows, {"__sa": mine(F.col("__sa"), F.col("__oa")), "__sb": mine(F.col("__sb"), F.col("__ob"))})
+    cut = lambda tree, sections: F.flatten(F.transform(sections, lambda s: F.slice(F.col(f"{tree}.paragraphs"), s["first"] + 1, s["n"])))
+    numbers = F.flatten(F.transform("__sb", lambda s: F.when(s["n"] > 0, F.sequence(s["first"], s["first"] + s["n"] - 1)).otherwise(F.array().cast("array<int>"))))
+    rows = _kept(rows, {"__old": F.array_distinct(cut(a, F.col("__sa"))), "__new": F.arrays_zip(cut(b, F.col("__sb")).alias("h"), numbers.alias("i"))})
+    rows = _kept(rows, {"__fresh": F.array_except(F.transform("__new", lambda x: x["h"]), F.col("__old"))})
+    rows = _kept(rows, {"__at": F.transform(F.filter("__new", lambda x: F.array_contains("__fresh", x["h"])), lambda x: x["i"])})
+    # The numbers rise: a range begins where the number before is not one less, and ends where the next is not one more.
+    first = F.filter("__at", lambda i, k: (k == 0) | (F.get("__at", k - 1) != i - 1))
+    last = F.filter("__at", lambda i, k: (k == F.size("__at") - 1) | (F.get("__at", k + 1) != i + 1))
+    ranges = F.zip_with(first, last, lambda x, y: F.struct(x.alias("first"), y.alias("last")))
+    return rows.withColumn(name, ranges).drop("__same", "__sa", "__sb", "__oa", "__ob", "__old", "__new", "__fresh", "__at")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,9 +191,10 @@ def edits(docs: DataFrame) -> DataFrame:
             F.substring(F.col("next_text"), F.lit(1), cut),
         ).alias("edited"),
     )
+    trees = merkle_tree(merkle_tree(edited, F.col("edited"), "tree"), F.col("text"), "was")
     return (
-        merkle_tree(merkle_tree(edited, F.col("edited"), "tree"), F.col("text"), "was")
-        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint("tree").alias("efp"), edited_ranges("was", "tree").alias("edited_ranges"))
+        with_edited_ranges(trees, "was", "tree", "edited_ranges")
+        .select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", fingerprint("tree").alias("efp"), "edited_ranges")
         .select(
             "doc_id",
             "n_chars",

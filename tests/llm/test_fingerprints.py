@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from mdmill.llm import fingerprints
-from mdmill.llm.fingerprints import edited_ranges, fingerprint, likeness, merkle_tree
+from mdmill.llm.fingerprints import fingerprint, likeness, merkle_tree, with_edited_ranges
 
 ENDS = re.compile(r"(?<=[.!?]) |(?<=[。！？；，、])|(?<=\S{10}) ")
 
@@ -90,7 +90,8 @@ def test_trees_ranges_and_likeness_on_random_edits(spark):
             pairs.append(("\n".join(lines), "\n".join(edited(rnd, lines))))
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
     df = merkle_tree(merkle_tree(df, F.col("a"), "t"), F.col("b"), "u").withColumns({"f": fingerprint("t"), "g": fingerprint("u")})
-    for r in df.select("i", "t", "f", edited_ranges("t", "u").alias("new"), edited_ranges("u", "t").alias("gone"), likeness(F.col("f"), F.col("g")).alias("near")).collect():
+    df = with_edited_ranges(with_edited_ranges(df, "t", "u", "new"), "u", "t", "gone")
+    for r in df.select("i", "t", "f", "new", "gone", likeness(F.col("f"), F.col("g")).alias("near")).collect():
         a, b = pairs[r["i"]]
         assert r["t"]["leaves"] == tree(a)[2] and r["f"].split(":")[0] == tree(a)[0]
         assert [tuple(x) for x in r["new"]] == ranges(a, b), (a, b)

@@ -68,7 +68,7 @@ def test_fingerprints(docs, plain, spark):
     assert fingerprints.edits(empty(docs)).count() == 0
     two = spark.createDataFrame([(1, "a. b.\nc d.\ne.")], "doc_id long, text string").withColumn("other", F.lit("a. b.\nc x.\ne."))
     two = fingerprints.merkle_tree(fingerprints.merkle_tree(two, F.col("text"), "t"), F.col("other"), "u")
-    assert two.select(fingerprints.edited_ranges("t", "u").alias("p")).first()["p"] == [(1, 1)]
+    assert fingerprints.with_edited_ranges(two, "t", "u", "p").first()["p"] == [(1, 1)]
 
 
 def test_sharding(docs, plain):
