@@ -84,76 +84,6 @@ STATEMENTS = {
     "jn5_published_entries": """SELECT v.version_id, v.catalog, v.source_hash, e.full_code, e.item_name, a.alias FROM {versions} v JOIN {version_entries} e ON e.version_id = v.version_id
  LEFT JOIN {version_aliases} a ON a.version_id = v.version_id AND a.target = e.full_code WHERE v.status = 'PUBLISHED'""",
     "jn6_active_version": "SELECT catalog, version_id FROM {versions} WHERE status = 'PUBLISHED'",
-    "jn7_record_lineage": {"plant": "SHANGHAI"},
-    "jn7_lineage_rows": {"plant": "SHANGHAI"},
-    "tk7_first_mappings": {"most": 3},
-    "txt23_issue_ids": {"batch": "B1"},
-}
-
-STATEMENTS = {
-    # Scopes.
-    "flt1_plant_visible": f"SELECT mdm_code FROM {{masters}} WHERE {VISIBLE}",
-    "flt2_distributable": f"SELECT mdm_code FROM {{masters}} WHERE {VISIBLE} OR concat(',', plants, ',') LIKE '%,GROUP,%'",
-    "flt3_identity_scope": "SELECT event_id, CASE WHEN own <> 'GROUP' THEN own WHEN trim(asked) = '' THEN 'GROUP' ELSE upper(trim(asked)) END AS plant FROM {requests}",
-    "flt4_requested_scope": """SELECT event_id, min(CASE WHEN own = 'GROUP' OR coalesce(trim(plant), '') = '' OR upper(trim(plant)) = own THEN 1 ELSE 0 END) = 1 AS allowed
- FROM {scopes} GROUP BY event_id""",
-    "flt6_knowledge_acl": """SELECT event_id, (plants = '*' OR concat(',', plants, ',') LIKE concat('%,', own, ',%')) AND (levels = '*' OR concat(',', levels, ',') LIKE concat('%,', clearance, ',%')) AS allowed
- FROM {requests} r JOIN {policies} p ON r.kind = p.kind""",
-    "flt7_egress_gate": """SELECT d.batch_id, d.line, b.classification, coalesce(b.classification IN ('PUBLIC', 'INTERNAL'), false) AS external_ai
- FROM {deliveries} d LEFT JOIN {batches} b ON d.batch_id = b.batch_id""",
-    "flt9_masked_ip": "SELECT event_id, CASE WHEN :reader = 'GROUP_ADMIN' THEN client_ip ELSE 'masked' END AS client_ip FROM {requests}",
-    "flt10_actor": """SELECT event_id, CASE WHEN p.user_id IS NOT NULL THEN concat(display, ' (', r.user_id, ')') ELSE coalesce(nullif(trim(asked), ''), 'system') END AS actor
- FROM {requests} r LEFT JOIN {principals} p ON r.user_id = p.user_id""",
-    # Ids of issues, sources and tasks.
-    "txt23_issue_ids": """SELECT row_id, concat('DQI-', upper(substring(sha256(concat(:batch, ':', row_id, ':MISSING_UNIT')), 1, 16))) AS issue_id,
- concat('SRC-', upper(substring(sha256(concat(:batch, ':', system_source, ':', material_code, ':', row_id)), 1, 16))) AS source_id,
- concat('TASK-', upper(substring(sha256(concat(material_code, ':', plant_code)), 1, 12))) AS task_id FROM {materials}""",
-    # Sources and sinks.
-    "src3_standard_rows": """SELECT row_no, full_code, major_name, item_name, concat('A', row_no, ':G', row_no) AS cells, sha256(concat(full_code, '|', major_name, '|', middle_name, '|', item_name)) AS row_hash
- FROM {sheet} WHERE trim(concat(full_code, major_name, middle_name, item_name)) <> ''""",
-    "src3_alias_scope": """SELECT alias, target, CASE WHEN e.full_code IS NULL THEN 'EXTERNAL_BOUNDARY' ELSE 'IN_TREE' END AS scope
- FROM {aliases} a LEFT JOIN (SELECT DISTINCT full_code FROM {entries}) e ON target = e.full_code""",
-    "src6_upsert_latest": """SELECT batch_id, step_code, step_id, status, metrics FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, step_code ORDER BY ts DESC, step_id DESC) AS rn FROM {steps}) x WHERE rn = 1""",
-    "src7_insert_absent": """SELECT DISTINCT d.mdm_code, d.plant_code FROM {deliveries} d WHERE NOT EXISTS (SELECT 1 FROM {reviews} r WHERE r.mdm_code = d.mdm_code AND r.plant_code = d.plant_code)""",
-    "src8_payload_hashes": f"""WITH p AS (SELECT mdm_code, target_system, plant, concat(chr(123), '"mdm_code":', mdm_code, ',"plant_code":"', plant, '","target_system":"', target_system, '"', chr(125)) AS payload
-  FROM {{masters}} m CROSS JOIN {{systems}} CROSS JOIN {{plants}} WHERE {REACHES.format('plant')})
- SELECT mdm_code, target_system, plant, payload, sha256(concat(payload)) AS payload_hash FROM p""",
-    "src9_retention_delete": """WITH gone AS (SELECT batch_id FROM {batches} WHERE NOT held AND created < CAST(:today AS DATE))
- SELECT d.batch_id, count(*) AS kept FROM {deliveries} d WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.batch_id = d.batch_id) GROUP BY d.batch_id""",
-    "src9_retention_report": """SELECT b.batch_id, b.held, CASE WHEN b.held THEN 'HELD' ELSE 'DELETE' END AS action, count(d.batch_id) AS rows_of_it
- FROM {batches} b LEFT JOIN {deliveries} d ON d.batch_id = b.batch_id WHERE b.created < CAST(:today AS DATE) GROUP BY b.batch_id, b.held""",
-    "src10_purge_guard": """SELECT owner, count(*) AS batches, count(CASE WHEN held THEN 1 END) AS holds, count(CASE WHEN held THEN 1 END) = 0 AS may_purge FROM {batches} GROUP BY owner""",
-    "src13_rebuild_snapshot": """SELECT batch_id, m.mdm_code, standard_name, decision, count(*) AS mappings, avg(similarity) AS similarity, count(DISTINCT p.system_source) AS systems
- FROM {mappings} p JOIN {masters} m ON p.mdm_code = m.mdm_code WHERE NOT EXISTS (SELECT 1 FROM {snapshots} s WHERE s.batch_id = p.batch_id) GROUP BY batch_id, m.mdm_code, standard_name, decision""",
-    "src14_latest_batch": f"""WITH newest AS (SELECT batch_id FROM (SELECT batch_id, row_number() OVER (PARTITION BY owner ORDER BY created DESC, batch_id DESC) AS rn FROM {{batches}}) x WHERE rn = 1)
- SELECT d.batch_id, m.mdm_code, m.decision, count(*) AS deliveries FROM newest n JOIN {{deliveries}} d ON d.batch_id = n.batch_id JOIN {{masters}} m ON m.mdm_code = d.mdm_code
- WHERE {VISIBLE} OR concat(',', plants, ',') LIKE '%,GROUP,%' GROUP BY d.batch_id, m.mdm_code, m.decision""",
-    "src16_pending_reviews": """SELECT r.review_id, m.mdm_code, m.standard_name, m.plants, m.source_count, r.plant_code FROM {reviews} r JOIN {masters} m ON m.mdm_code = r.mdm_code WHERE r.status = 'PENDING'""",
-    "src16_golden_view": "SELECT mdm_code, standard_name, category, decision, plants, source_count FROM {masters} WHERE decision <> 'REVIEW'",
-    # Joins.
-    "jn2_rank_links": """WITH r AS (SELECT batch_id, row_id, system_source, material_code, plant_code, material_name,
-  row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY row_id) AS k FROM {records}),
- m AS (SELECT batch_id, mapping_id, system_source, material_code, plant_code, material_name,
-  row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY mapping_id) AS k FROM {mappings}),
- near AS (SELECT m.batch_id, m.mapping_id, r.row_id FROM m JOIN r ON m.batch_id = r.batch_id AND m.system_source = r.system_source AND m.material_code = r.material_code
-  AND m.plant_code = r.plant_code AND m.material_name = r.material_name AND m.k = r.k),
- free AS (SELECT batch_id, row_id, row_number() OVER (PARTITION BY batch_id ORDER BY row_id) AS j FROM r WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.row_id = r.row_id AND n.batch_id = r.batch_id)),
- rest AS (SELECT batch_id, mapping_id, row_number() OVER (PARTITION BY batch_id ORDER BY mapping_id) AS j FROM m WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.mapping_id = m.mapping_id))
- SELECT batch_id, mapping_id, row_id, 'KEY' AS how FROM near UNION ALL SELECT rest.batch_id, mapping_id, row_id, 'NEXT_FREE' FROM rest JOIN free ON rest.batch_id = free.batch_id AND rest.j = free.j""",
-    "jn3_backfill_links": """WITH r AS (SELECT batch_id, row_id, system_source, material_code, plant_code, material_name,
-  row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY row_id) AS k FROM {records} c
-  WHERE NOT EXISTS (SELECT 1 FROM {links} s WHERE s.batch_id = c.batch_id AND s.record_id = c.row_id)),
- m AS (SELECT batch_id, mapping_id, system_source, material_code, plant_code, material_name,
-  row_number() OVER (PARTITION BY batch_id, system_source, material_code, plant_code, material_name ORDER BY mapping_id) AS k FROM {mappings} p
-  WHERE NOT EXISTS (SELECT 1 FROM {links} s WHERE s.mapping_id = p.mapping_id))
- SELECT m.batch_id, mapping_id, row_id FROM m JOIN r ON m.batch_id = r.batch_id AND m.system_source = r.system_source AND m.material_code = r.material_code
-  AND m.plant_code = r.plant_code AND m.material_name = r.material_name AND m.k = r.k""",
-    "jn4_first_decision": """WITH f AS (SELECT * FROM (SELECT p.batch_id, p.material_code, p.plant_code, d.decision, p.mdm_code,
-  row_number() OVER (PARTITION BY p.batch_id, p.material_code, p.plant_code ORDER BY mapping_id) AS k FROM {mappings} p JOIN {masters} d ON d.mdm_code = p.mdm_code) x WHERE k = 1)
- SELECT r.row_id, f.mdm_code, coalesce(f.decision, 'UNMAPPED') AS decision FROM {records} r LEFT JOIN f ON r.batch_id = f.batch_id AND r.material_code = f.material_code AND r.plant_code = f.plant_code""",
-    "jn5_published_entries": """SELECT v.version_id, v.catalog, e.full_code, e.item_name, a.alias FROM {versions} v JOIN {entries} e ON e.major = CAST(10 + v.version_id % 50 AS VARCHAR(9))
- LEFT JOIN {aliases} a ON a.target = e.full_code WHERE v.status = 'VALIDATED'""",
-    "jn6_active_version": """SELECT catalog, version_id FROM (SELECT catalog, version_id, row_number() OVER (PARTITION BY catalog ORDER BY created DESC, version_id DESC) AS k FROM {versions} WHERE status = 'VALIDATED') x WHERE k = 1""",
     "jn7_record_lineage": f"""WITH p AS (SELECT batch_id, material_code, plant_code, mdm_code, count(*) AS mappings FROM {{mappings}} GROUP BY batch_id, material_code, plant_code, mdm_code),
  d AS (SELECT mdm_code, count(*) AS deliveries, count(CASE WHEN success THEN 1 END) AS delivered, count(CASE WHEN accepted THEN 1 END) AS accepted FROM {{deliveries}} GROUP BY mdm_code),
  v AS (SELECT mdm_code, count(*) AS reviews, count(CASE WHEN status = 'PENDING' THEN 1 END) AS pending FROM {{reviews}} GROUP BY mdm_code)
