@@ -33,6 +33,21 @@ def _materials(spark, copies):
     return spark.createDataFrame(rows, "row_id long, material_code string, system_source string, material_name string, description string, category string, unit string, create_time string, plant_code string")
 
 
+def test_category_candidates_once_a_text(spark, written):
+    seen = written(knowledge)
+    rows = enrich(_materials(spark, 40))
+    found = knowledge.category_candidates(rows).collect()
+    assert seen["kinds"] == 3
+    of = {}
+    for r in found:
+        of.setdefault(r["row_id"], []).append((r["rank"], r["category"], r["score"]))
+    assert len(of) == 120 and all(len(x) == 3 for x in of.values())
+    assert all(sorted(of[i]) == sorted(of[i % 3]) for i in of)
+    given = spark.createDataFrame([(3, "螺栓", 1.0)], "row_id long, category string, rag double")
+    more = {(r["row_id"], r["category"]): r["score"] for r in knowledge.category_candidates(rows, given).collect()}
+    assert more[(3, "螺栓")] == 0.32 and more[(6, "深沟球轴承")] == next(s for _, c, s in of[6] if c == "深沟球轴承")
+
+
 def test_reference_evidence_once_a_text(spark, written, monkeypatch):
     seen = written(knowledge)
     monkeypatch.setattr(knowledge, "KNOWN_ROWS", 7)
