@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mdmill.functions import rules, text
 from mdmill.functions.semantics import bare, hashed_vectors, lexical_similarity, pieces, terms
-from mdmill.session import gather, save
+from mdmill.session import gather, save, spread
 
 #: A tree or query table up to so many rows is broadcast; a larger one is joined in blocks of that size.
 BLOCK_ROWS = 5_000
@@ -149,7 +149,9 @@ def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and",
     masters are enriched records with `name`. mode `and` asks for all stated
     conditions, `or` for one, `fuzzy` for one or a likeness in words. A column
     qty_min of queries asks for masters with so many records (source_count of
-    masters). Equal masters are scored once, and take their places by row_id.
+    masters). Equal queries are asked and equal masters scored once; of equal
+    masters, which take their places by row_id, the first ones are all that can
+    be listed.
     With suggestions, a query of mode `and` that finds nothing lists so many
     masters that meet at least half of its conditions, by share met and score,
     and a column `suggestion` tells them from results.
@@ -159,13 +161,21 @@ def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and",
     counted = "qty_min" in queries.columns
     keys = ["name", *rules.SEARCH_WEIGHTS, *(["source_count"] if counted else [])]
     rows = masters.withColumn("category", F.col("std_category")).select("row_id", *keys)
-    kinds, _ = save(rows.groupBy(*keys).agg(F.min("row_id").alias("kind")), "kinds")
+    equal = Window.partitionBy(*keys).orderBy("row_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = rows.withColumns({"kind": F.first("row_id").over(equal), "place": F.row_number().over(equal)}).where(F.col("place") <= max(k, suggestions))
+    members, _ = save(first, "members")
+    kinds, _ = save(spread(members.where("place = 1")).select(*keys, "kind"), "kinds")
+    members = members.select("kind", "row_id")
     words = F.lower(F.concat_ws(" ", "name", "category", "model", "brand", "dn", "pressure", "material"))
     pairs_of = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
     letters = lambda c: F.filter(F.array_distinct(F.split(F.regexp_replace(c, r"(?U)\s+", ""), "")), lambda x: x != "")
     kinds = kinds.withColumn("whole", text.standardize(words))
     kinds, _ = save(kinds.withColumns({"grams": F.array_distinct(pairs_of(F.col("whole"))), "letters": letters(F.col("whole"))}), "whole")
-    asked = search_conditions(queries).withColumn("q_whole", text.standardize(F.col("text")))
+    alike = F.to_json(F.struct("text", *(["qty_min"] if counted else [])))
+    known, _ = save(queries.withColumn("__asked", alike), "queries")
+    once = known.groupBy("__asked").agg(F.min("query_id").alias("query_id"), F.first("text").alias("text"), *([F.first("qty_min").alias("qty_min")] if counted else []))
+    known = known.select(F.col("query_id").alias("__query"), "__asked").join(once.select("__asked", "query_id"), "__asked").drop("__asked")
+    asked = search_conditions(spread(once.drop("__asked"))).withColumn("q_whole", text.standardize(F.col("text")))
     asked, _ = save(asked.withColumns({"q_grams": F.array_distinct(pairs_of(F.col("q_whole"))), "q_letters": letters(F.col("q_whole"))}), "asked")
     found = []
     for part in blocks(asked, "query_id"):
@@ -207,7 +217,6 @@ def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and",
     near = (F.col("required") > 0) & (F.col("matched") < F.col("required")) if suggestions else F.lit(False)
     value = F.when(near, F.least(F.col("score") * 0.75 + F.try_divide("matched", "required") * 0.20, F.lit(0.89))).otherwise(F.least("score", F.lit(0.99)))
     found = found.select("query_id", "kind", F.round(value, 4).alias("score"), "matched", "required", near.alias("suggestion"))
-    members = rows.join(kinds.select(*keys, "kind"), keys).select("kind", "row_id")
 
     def best_rows(some: DataFrame, first: list, k: int) -> DataFrame:
         """The k best rows of each query: kinds that cannot reach them go before their rows are listed."""
@@ -218,11 +227,11 @@ def attribute_search(queries: DataFrame, masters: DataFrame, mode: str = "and",
         reach = tied.join(least, "query_id").where("place <= least").join(members, "kind")
         return reach.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    out = ["query_id", "row_id", "score", "matched", "required", "rank"]
+    out = [F.col("__query").alias("query_id"), "row_id", "score", "matched", "required", "rank"]
     ranked = best_rows(found.where("NOT suggestion"), [F.desc("score")], k)
     if not suggestions:
-        return ranked.select(*out)
+        return ranked.join(known, "query_id").select(*out)
     answered = found.where("NOT suggestion").select("query_id").distinct()
     near = found.where("suggestion").join(answered, "query_id", "left_anti")
     near = best_rows(near, [F.desc(F.try_divide("matched", "required")), F.desc("score")], suggestions)
-    return ranked.unionByName(near).select(*out, "suggestion")
+    return ranked.unionByName(near).join(known, "query_id").select(*out, "suggestion")

@@ -64,3 +64,12 @@ def test_reference_evidence_once_a_text(spark, written, monkeypatch):
     for r in pairs.select("query_id", "reference_id", score.alias("score")).collect():
         every.setdefault(r["query_id"], []).append((-r["score"], r["reference_id"]))
     assert found == {(q, n + 1): (i, -s) for q, x in every.items() for n, (s, i) in enumerate(sorted(x)[:3])}
+
+
+def test_equal_masters_are_listed_by_their_first_rows(spark, written):
+    seen = written(retrieve)
+    rows = semantics.shown_attributes(enrich(_materials(spark, 40))).withColumn("name", semantics.standard_name())
+    asked = spark.createDataFrame([(i, "SKF bearing") for i in range(9)], "query_id long, text string")
+    found = sorted((r["query_id"], r["rank"], r["row_id"]) for r in retrieve.attribute_search(asked, rows, k=4).collect())
+    assert seen["asked"] == 1 and seen["members"] <= 12
+    assert found == [(q, n + 1, 3 * n) for q in range(9) for n in range(4)]
