@@ -66,6 +66,21 @@ def test_reference_evidence_once_a_text(spark, written, monkeypatch):
     assert found == {(q, n + 1): (i, -s) for q, x in every.items() for n, (s, i) in enumerate(sorted(x)[:3])}
 
 
+def test_attribute_search_once_a_text(spark, written):
+    seen = written(retrieve)
+    rows = semantics.shown_attributes(enrich(_materials(spark, 40))).withColumns({"name": semantics.standard_name(), "source_count": F.col("row_id") % 4})
+    asked = spark.createDataFrame([(i, ["SKF bearing", "gate valve", "SKF 304"][i % 3], 3 if i % 2 else None) for i in range(30)], "query_id long, text string, qty_min int")
+    found = retrieve.attribute_search(asked, rows, k=5, suggestions=4).collect()
+    assert seen["asked"] == 6 and seen["members"] <= 12 * 5
+    of = {}
+    for r in found:
+        of.setdefault(r["query_id"], []).append((r["rank"], r["row_id"], r["score"], r["suggestion"]))
+    assert set(of) == set(range(30)) and all(sorted(of[i]) == sorted(of[i % 6]) for i in of)
+    # Bearings with three sources or more: row_id is a multiple of 3 and 3 modulo 4.
+    assert [x[1] for x in sorted(of[3])] == [3, 15, 27, 39, 51]
+    assert [x[1] for x in sorted(of[0])] == [0, 3, 6, 9, 12]
+
+
 def test_equal_masters_are_listed_by_their_first_rows(spark, written):
     seen = written(retrieve)
     rows = semantics.shown_attributes(enrich(_materials(spark, 40))).withColumn("name", semantics.standard_name())
