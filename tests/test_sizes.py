@@ -88,3 +88,13 @@ def test_equal_masters_are_listed_by_their_first_rows(spark, written):
     found = sorted((r["query_id"], r["rank"], r["row_id"]) for r in retrieve.attribute_search(asked, rows, k=4).collect())
     assert seen["asked"] == 1 and seen["members"] <= 12
     assert found == [(q, n + 1, 3 * n) for q in range(9) for n in range(4)]
+
+
+def test_published_entries_are_those_of_the_statement(spark):
+    from mdmill import registry
+
+    data = "/root/testdata/sf0.001"
+    found = registry.published_entries(spark, data)
+    plain = registry._statement("jn5_published_entries")(spark, data).select(found.columns)
+    assert found.count() == plain.count() > 0
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
