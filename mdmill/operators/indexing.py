@@ -9,16 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdmill.functions import rules, text
-from mdmill.functions.semantics import DIMENSION, bare, hashed_vectors, pieces
+from mdmill.functions.semantics import DIMENSION, bare, pieces, sparse_vectors
 from mdmill.operators.knowledge import build_index
 from mdmill.operators.vectors import build_cells, search_cells
-from mdmill.session import save
+from mdmill.session import save, spread
 
 
 def dense_vectors(items: DataFrame, words: Column, dimension: int = DIMENSION) -> DataFrame:
-    """(id, vector): hashed_vectors as whole arrays; text without pieces has no row."""
-    places = F.map_from_entries(F.collect_list(F.struct("idx", "w")))
-    sparse = hashed_vectors(items, words, dimension).groupBy("id").agg(places.alias("m"))
+    """(id, vector): sparse_vectors as whole arrays; text without pieces has no row."""
+    sparse = sparse_vectors(items, words, dimension).withColumn("m", F.map_from_arrays("idx", "w"))
     whole = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     return sparse.select("id", whole.alias("vector"))
 
@@ -65,9 +64,8 @@ def reindex(chunks: DataFrame, current: DataFrame, version, dimension: int) -> D
     """
     fresh = chunks.where(F.col("version_id") == version)
     texts = fresh.select(F.col("content_hash").alias("id"), "content").dropDuplicates(["id"])
-    pair = F.sort_array(F.collect_list(F.struct("idx", "w")))
-    vectors = hashed_vectors(texts, pieces(bare(F.col("content"))), dimension).groupBy("id").agg(pair.alias("v"))
-    part = lambda f, kind: F.coalesce(F.transform("v", lambda x: x[f]), F.array().cast(f"array<{kind}>")).alias(f)
+    vectors = sparse_vectors(spread(texts), pieces(bare(F.col("content"))), dimension)
+    part = lambda f, kind: F.coalesce(f, F.array().cast(f"array<{kind}>")).alias(f)
     made = fresh.join(vectors, F.col("content_hash") == F.col("id"), "left").select(
         "chunk_id", "version_id", F.lit(dimension).alias("dimension"), "content_hash", part("idx", "int"), part("w", "double")
     )
