@@ -38,3 +38,33 @@ def test_index_of_equal_texts_and_none(spark):
     rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "ab"), (4, "!")], "key long, content string")
     found = {r["key"]: (r["idx"], r["w"]) for r in knowledge.build_index(rows).collect()}
     assert found[1] == found[3] and found[2] == ([], []) and found[1][0] == sorted(found[1][0]) and len(found[4][0]) == 1
+
+
+def test_text_pairs_once_a_pair(spark, written):  # noqa: F811
+    seen = written(knowledge)
+    texts = [("ab1", "ab1"), ("SKF 6310", "skf63"), (None, "x"), ("", "")]
+    pairs = spark.createDataFrame([(i, *texts[i % 4]) for i in range(40)], "id long, a string, b string")
+    found = {r["id"]: (r["dense"], r["chars"]) for r in knowledge.text_pairs(pairs).collect()}
+    assert seen["rated"] == 4 and len(found) == 40
+    assert found[0] == (1.0, 1.0) and found[2] == (0.0, 0.0) and found[3] == (0.0, 1.0) and 0 < found[1][0] < 1
+    assert all(found[i] == found[i % 4] for i in found)
+
+
+def test_frequencies_are_counted_inside_the_row(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "b"]), (2, ["x"]), (3, [])], "id long, t array<string>")
+    from mdmill.functions import text
+
+    found = rows.select("id", text.frequencies(F.col("t")).alias("f"))
+    assert {r["id"]: [tuple(x) for x in r["f"]] for r in found.collect()} == {1: [("a", 0.25), ("b", 0.75)], 2: [("x", 1.0)], 3: []}
+
+
+@pytest.mark.parametrize("name, stored", [("txt14_hash_embedding", "standard"), ("txt32_conditions", "conditions"), ("txt16_lexical", "kinds")])
+def test_equal_texts_are_read_once(spark, written, monkeypatch, name, stored):  # noqa: F811
+    from mdmill import registry_operators, session
+
+    seen = written(session) if stored == "kinds" else written(registry_operators)
+    names = [f"bolt {i % 5}" for i in range(60)]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "row_id long, material_name string").withColumn("description", F.lit("304"))
+    monkeypatch.setattr(registry_operators, "materials", lambda *_: rows)
+    found = registry_operators.QUERIES[name](spark, "").collect()
+    assert seen[stored] <= 30 and len(found) == {"txt32_conditions": 60, "txt16_lexical": 56}.get(name, len(found))
