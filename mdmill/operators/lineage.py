@@ -17,11 +17,11 @@ def lineage_graph(records: DataFrame, mappings: DataFrame, deliveries: DataFrame
     records (row_id, system_source, plant_code, std_category), mappings
     (batch_id, row_id, mdm_code), deliveries (mdm_code, target_system,
     plant_code), issues (row_id, code). Nodes are (node, type), edges (src,
-    dst, relation) with one undirected edge a pair; of several relations the
-    last in the alphabet stays. Blank ends have no edge.
+    dst, relation) with one undirected edge a pair. Blank ends have no edge.
     """
     tag = lambda t, c: F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.concat(F.lit(t + ":"), F.col(c).cast("string")))
-    edge = lambda df, a, b, r: df.select(tag(*a).alias("a"), tag(*b).alias("b"), F.lit(r).alias("relation")).distinct()
+    # Ends are told apart before they become texts. No two kinds join the same types of nodes, so no pair has two relations.
+    edge = lambda df, a, b, r: df.select(F.col(a[1]).alias("x"), F.col(b[1]).alias("y")).distinct().select(tag(a[0], "x").alias("a"), tag(b[0], "y").alias("b"), F.lit(r).alias("relation"))
     parts = [
         edge(mappings, ("BATCH", "batch_id"), ("MASTER", "mdm_code"), "CONTAINS"),
         edge(mappings, ("RAW", "row_id"), ("MASTER", "mdm_code"), "MERGED_INTO"),
@@ -36,7 +36,7 @@ def lineage_graph(records: DataFrame, mappings: DataFrame, deliveries: DataFrame
     for part in parts[1:]:
         edges = edges.unionByName(part)
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
-    edges = edges.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.max("relation").alias("relation"))
+    edges = edges.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "relation")
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes.withColumn("type", F.substring_index("node", ":", 1)), edges
 

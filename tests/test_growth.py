@@ -68,3 +68,18 @@ def test_equal_texts_are_read_once(spark, written, monkeypatch, name, stored):
     monkeypatch.setattr(registry_operators, "materials", lambda *_: rows)
     found = registry_operators.QUERIES[name](spark, "").collect()
     assert seen[stored] <= 30 and len(found) == {"txt32_conditions": 60, "txt16_lexical": 56}.get(name, len(found))
+
+
+def test_lineage_edges_are_told_apart_once(spark):
+    from mdmill.operators import lineage
+
+    records = spark.createDataFrame([(1, "SAP", "SH", "x"), (2, "", "BJ", "x")], "row_id long, system_source string, plant_code string, std_category string")
+    mappings = spark.createDataFrame([(7, 1, 1), (7, 1, 1), (8, 2, None)], "batch_id long, row_id long, mdm_code long")
+    deliveries = spark.createDataFrame([(1, "WMS", "SH")] * 3, "mdm_code long, target_system string, plant_code string")
+    issues = spark.createDataFrame([(2, "NO_SOURCE")], "row_id long, code string")
+    _, edges = lineage.lineage_graph(records, mappings, deliveries, issues)
+    assert _plan(edges).count("Exchange hashpartitioning") == 8  # one a kind of edge, none over all
+    assert sorted(tuple(r) for r in edges.collect()) == sorted([
+        ("BATCH:7", "MASTER:1", "CONTAINS"), ("MASTER:1", "RAW:1", "MERGED_INTO"), ("RAW:1", "SYSTEM:SAP", "FROM_SYSTEM"), ("PLANT:SH", "RAW:1", "AT_PLANT"), ("PLANT:BJ", "RAW:2", "AT_PLANT"),
+        ("CATEGORY:x", "RAW:1", "CLASSIFIED_AS"), ("CATEGORY:x", "RAW:2", "CLASSIFIED_AS"), ("ISSUE:NO_SOURCE", "RAW:2", "HAS_ISSUE"), ("MASTER:1", "TARGET_SYSTEM:WMS", "DELIVERED_TO"), ("MASTER:1", "PLANT:SH", "USED_AT"),
+    ])
