@@ -12,7 +12,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,7 +22,7 @@ from pyspark.sql.types import StructType
 from mdmill.functions import semantics, text
 from mdmill.session import save
 
-#: A machine's step: (state, request) -> (state after, outcome).
+#: A machine's step: (state, request) -> (state after, outcome); it sees a request without its key and place.
 Step = Callable[[str, dict], tuple[str, str]]
 
 # The edges of the machines, with what an edge asks for.
@@ -53,6 +55,38 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int):
             yield row[:keys], row[keys], dict(zip(names[keys + 1 :], row[keys + 1 :]))
 
 
+def _coded(column: pa.Array) -> tuple[np.ndarray, int]:
+    """A number for each value, equal ones alike, and how many there are."""
+    try:
+        coded = pc.dictionary_encode(column, null_encoding="encode")
+    except pa.ArrowNotImplementedError:  # lists and structs
+        coded = pc.dictionary_encode(pa.array([repr(v) for v in column.to_pylist()], pa.string()))
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+
+
+def _kinds(columns: list[pa.Array], rows: int) -> tuple[np.ndarray, list[tuple]]:
+    """The kind of each row, rows of equal values alike, and the values of each kind."""
+    kind, n = np.zeros(rows, np.int64), 1
+    for column in columns:
+        code, more = _coded(column)
+        kind, n = kind * more + code, n * more
+        if n > rows:
+            seen, kind = np.unique(kind, return_inverse=True)
+            n = len(seen)
+    _, first, kind = np.unique(kind, return_index=True, return_inverse=True)
+    return kind, list(zip(*(c.take(pa.array(first)).to_pylist() for c in columns))) if columns else [()]
+
+
+def _heads(columns: list[pa.Array], rows: int) -> np.ndarray:
+    """Is a row the first, or other in these columns than the row before?"""
+    out = np.zeros(rows, bool)
+    out[:1] = True
+    for column in columns:
+        code = _coded(column)[0]
+        out[1:] |= code[1:] != code[:-1]
+    return out
+
+
 def apply_in_order(states: DataFrame, requests: DataFrame, keys: list[str], step: Step, alphabet: tuple[str, ...] | None = None, order: str = "seq") -> DataFrame:
     """requests with `before`, `after` and `outcome`: each acts on the state that the one before it left.
 
@@ -65,7 +99,8 @@ def apply_in_order(states: DataFrame, requests: DataFrame, keys: list[str], step
     known = states.select(*keys, F.col("state").alias("__start"))
     rows = requests.join(known, keys, "left").select(*keys, "__start", *rest)
     schema = StructType([*(requests.schema[c] for c in (*keys, *rest))]).add("before", "string").add("after", "string").add("outcome", "string")
-    in_order = [*keys, order, *(c for c in rest if c != order)]
+    own = [c for c in rest if c != order]
+    in_order = [*keys, order, *own]
     parts = max(1, int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     starts = {}
     if alphabet:
@@ -79,21 +114,29 @@ def apply_in_order(states: DataFrame, requests: DataFrame, keys: list[str], step
     def run(batches):
         at = state = None
         for batch in batches:
-            out = []
-            for key, start, request in _runs(iter([batch]), len(keys)):
-                part = request.pop("__part")
-                if (part, key) != at:
-                    at, state = (part, key), starts.get((part, key), start)
-                before = state
-                if state is None:
-                    outcome = "UNKNOWN"
-                else:
-                    state, outcome = step(state, request)
-                out.append((*key, *request.values(), before, state, outcome))
-            columns = list(zip(*out)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=schema.names)
+            n = batch.num_rows
+            if not n:
+                continue
+            keyed, starting, part = batch.columns[: len(keys)], batch.column(len(keys)), batch.column("__part")
+            place = lambda i: (part[i].as_py(), tuple(c[i].as_py() for c in keyed))  # noqa: E731, B023
+            first, opens = _heads([part, *keyed], n), _heads([part], n)
+            first[0] = place(0) != at
+            kind, values = _kinds([batch.column(c) for c in own], n)
+            known, results, taken = {}, [], []
+            for i, (new, opening, k, start) in enumerate(zip(first.tolist(), opens.tolist(), kind.tolist(), starting.to_numpy(zero_copy_only=False).tolist())):
+                if new:
+                    # Only the first key of a part may have begun in an earlier one.
+                    state = starts.get(place(i), start) if opening and starts else start
+                came = known.get((state, k))
+                if came is None:
+                    came = known[state, k] = len(results)
+                    results.append((state, *((None, "UNKNOWN") if state is None else step(state, dict(zip(own, values[k]))))))
+                taken.append(came)
+                state = results[came][1]
+            at, taken = place(n - 1), pa.array(taken)
+            became = [pa.array(c, pa.string()).take(taken) for c in zip(*results)]
+            yield pa.RecordBatch.from_arrays([*keyed, *(batch.column(c) for c in rest), *became], names=schema.names)
 
-    kinds = _arrow(schema)
     return met.select(*keys, "__start", *rest, "__part").mapInArrow(run, schema)
 
 
@@ -136,7 +179,10 @@ def _starts(placed: DataFrame, keys: list[str], step: Step, alphabet, order: str
 
     schema = StructType([placed.schema["__part"], *(placed.schema[k] for k in keys)]).add("start", "string")
     rest = [c for c in in_order if c not in keys]
-    composed = placed.select(*keys, "__start", *rest, "__part").repartition("__part").sortWithinPartitions("__part", *in_order)
+    # Parts of keys that lie in several tasks are all that is composed.
+    cut = F.broadcast(several.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))))
+    some = placed.join(cut, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], "left_semi")
+    composed = some.select(*keys, "__start", *rest, "__part").repartition("__part").sortWithinPartitions("__part", *in_order)
     parts = composed.mapInArrow(compose, StructType.fromDDL(schema.toDDL() + ", became array<string>"))
     found, now = {}, {}
     for r in sorted(parts.collect(), key=lambda r: r["__part"]):  # at most two rows a part

@@ -110,3 +110,20 @@ def test_publishing_and_rolling_back_versions(spark):
     assert {r["q"]: r["version_id"] for r in machines.searchable(states, want, True).collect()}[2] == 3
     with pytest.raises(ValueError, match="more than one"):
         machines.activate_versions(versions.withColumn("status", F.lit("PUBLISHED")), events)
+
+
+def test_requests_of_a_kind_are_worked_out_once(spark):
+    """A task asks the step once for each state and kind of request, not for each row; lists are values too."""
+    asked = spark.range(4000).select((F.col("id") % 500).alias("task_id"), F.col("id").alias("seq"), (F.col("id") % 3 > 0).alias("confirmed"), F.lit("NEW").alias("decision"), (F.col("id") % 7 > 0).alias("reaches"), F.array(F.lit("x")).alias("tags"))
+    states = spark.range(499).select(F.col("id").alias("task_id"), F.lit("PENDING").alias("state"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def step(state, q):
+        calls.add(1)
+        assert q["tags"] == ["x"] and "seq" not in q
+        return machines.delivery_step(state, q)
+
+    applied = machines.apply_in_order(states, asked, ["task_id"], step, None).collect()
+    want, _ = folded({(k,): "PENDING" for k in range(499)}, [r.asDict() for r in asked.collect()], ["task_id"], machines.delivery_step)
+    assert {((r["task_id"],), r["seq"]): (r["before"], r["after"], r["outcome"]) for r in applied} == want
+    assert 0 < calls.value < 1000
