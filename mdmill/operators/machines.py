@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mdmill.functions import semantics, text
-from mdmill.session import save
+from mdmill.session import save, worked_out_once
 
 #: A machine's step: (state, request) -> (state after, outcome); it sees a request without its key and place.
 Step = Callable[[str, dict], tuple[str, str]]
@@ -275,13 +275,15 @@ def minted_masters(lifecycle: DataFrame, applied: DataFrame) -> DataFrame:
     approved = applied.where("outcome = 'DONE' AND after = 'APPROVED'").select("request_id").distinct()
     rows = lifecycle.join(approved, "request_id").where("coalesce(mdm_code, '') = '' OR mdm_code LIKE 'NEW-%'")
     whole = F.concat_ws(" ", text.clean(F.col("name")), text.clean(F.col("description")))
-    said = lambda c, read: F.coalesce(F.nullif(text.clean(F.col(c)), F.lit("")), read)
+    read = {"brand": text.brand, "model": text.model, "dn": text.dn, "pressure": text.pressure, "material": text.material}
+    rows = worked_out_once(rows, {"__whole": whole}, {f"__{c}": of(F.col("__whole")) for c, of in read.items()})
+    said = lambda c: F.coalesce(F.nullif(text.clean(F.col(c)), F.lit("")), F.col(f"__{c}"))
     code = semantics.golden_code(F.col("category"), F.concat_ws("|", "category", "name", F.col("request_id").cast("string")))
-    brand, model, name = said("brand", text.brand(whole)), said("model", text.model(whole)), text.clean(F.col("name"))
+    brand, model, name = said("brand"), said("model"), text.clean(F.col("name"))
     parts = F.array(brand, model, name, F.when(name.contains(text.clean(F.col("category"))), "").otherwise(F.col("category")))
     made = rows.select(
         code.alias("mdm_code"), F.array_join(F.array_distinct(F.filter(parts, lambda p: p != "")), " ").alias("standard_name"), "category",
-        model.alias("model"), brand.alias("brand"), text.dn(whole).alias("dn"), text.pressure(whole).alias("pressure"), text.material(whole).alias("material"),
+        model.alias("model"), brand.alias("brand"), *(F.col(f"__{c}").alias(c) for c in ("dn", "pressure", "material")),
         F.lit(0).alias("source_count"), F.lit("lifecycle").alias("source_systems"), F.lit("NEW").alias("decision"), F.lit(1.0).alias("confidence"),
         F.regexp_extract(code, "^(.*)-", 1).alias("code_prefix"), "plant_code", "request_id",
     )

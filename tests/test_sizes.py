@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mdmill import session
 from mdmill.functions import semantics
-from mdmill.operators import knowledge, retrieve
+from mdmill.operators import knowledge, machines, retrieve
 from mdmill.sources.materials import enrich
 
 
@@ -109,3 +110,13 @@ def test_equal_texts_are_standardized_once(spark, written):
     found = session.worked_out_once(rows, {"__t": F.col("material_name")}, {"standard": text.standardize(F.col("__t"))})
     assert seen["kinds"] == 3 and found.columns == ["row_id", "material_name", "standard"]
     assert found.count() == 90 and found.where(~F.col("standard").eqNullSafe(text.standardize(F.col("material_name")))).isEmpty()
+
+
+def test_minted_masters_read_equal_texts_once(spark, written):
+    seen = written(session)
+    asked = [(i, ("DN50 gate valve SKF", "Acme bolt M8")[i % 2], ("PN16 304", None)[i % 2], "闸阀", "", "", "GROUP", None) for i in range(60)]
+    rows = spark.createDataFrame(asked, "request_id long, name string, description string, category string, brand string, model string, plant_code string, mdm_code string")
+    applied = rows.select("request_id", F.lit(1).alias("seq"), F.lit("APPROVED").alias("after"), F.lit("DONE").alias("outcome"))
+    found = machines.minted_masters(rows, applied).collect()
+    assert seen["kinds"] == 2
+    assert {(r["request_id"] % 2, r["brand"], r["dn"], r["material"]) for r in found} == {(0, "SKF", "50", "304"), (1, "", "", "")} and len({r["mdm_code"] for r in found}) == 60
