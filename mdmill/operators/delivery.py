@@ -90,7 +90,10 @@ def rank_masters(intents: DataFrame, masters: DataFrame, k: int = 20) -> DataFra
     places = Window.partitionBy("want").orderBy(F.desc("most"), "kind")
     # A kind counts for what it bounds only if a plant that is asked for may have one of its rows.
     gate = F.arrays_overlap("plants", "plant_codes") | F.array_contains("plant_codes", "GROUP")
+    # Of equal masters with equal plants the first k by row_id are all that can be listed.
+    copies = Window.partitionBy("kind", "plant_codes").orderBy("row_id")
     rows = free.join(kinds, fields).select("kind", "row_id", "plant_codes")
+    rows, _ = save(rows.withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k).drop("place"), "listed")
     codes = rows.select("kind", "plant_codes").distinct()
     open_kinds = bounded.where(F.col("most") >= LEAST).join(codes, "kind").join(wants.select("want", "plants"), "want").where(gate).select("want", "kind", "most").distinct()
     bounded, _ = save(open_kinds.withColumn("place", F.row_number().over(places)), "bounded")

@@ -74,3 +74,17 @@ def test_ranking_is_that_of_all_pairs(spark, monkeypatch, k, category):
         assert sum(calls) < 0.05 * fields_compared
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_of_equal_masters_the_first_ones_are_listed(spark, monkeypatch):
+    """Ranks over many copies of a master, of several plants, are those of the whole list; no more than k copies of a plant meet the instructions."""
+    seen, plain = {}, delivery.save
+    monkeypatch.setattr(delivery, "save", lambda df, name="t": seen.setdefault(name, plain(df, name)) if name == "listed" else plain(df, name))
+    asked = spark.createDataFrame([(1, "SKF 6310 发往上海厂SAP", ["SHANGHAI"], "SKF", "6310", ""), (2, "SKF 6310 发往北京WMS", ["BEIJING"], "SKF", "6310", "")], "id long, text string, plants array<string>, brand string, model string, name string")
+    rows = [(i, "SKF", ("6310", "6311")[i % 2], "SKF bearing", [("SHANGHAI", "BEIJING", "GROUP")[i % 3]], True) for i in range(60)]
+    masters = spark.createDataFrame(rows, "row_id long, brand string, model string, name string, plant_codes array<string>, approved boolean")
+    few = {tuple(r) for r in delivery.rank_masters(asked, masters, 3).select("id", "row_id", "similarity", "rank").collect()}
+    assert seen["listed"][0].count() == 2 * 3 * 3
+    seen.clear()
+    whole = {tuple(r) for r in delivery.rank_masters(asked, masters, 60).where("rank <= 3").select("id", "row_id", "similarity", "rank").collect()}
+    assert few == whole and len(few) == 6
