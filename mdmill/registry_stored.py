@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mdmill.functions import rules
 from mdmill.plans import relations
-from mdmill.session import scratch_root
+from mdmill.session import save, scratch_root
 from mdmill.sources import stored
 from mdmill.sources.connectors import connector_registry
 from mdmill.sources.materials import materials
@@ -87,7 +87,7 @@ def retention_left(spark, sf_dir):
 def units(spark, sf_dir):
     """Rows of the five tables of two published units, of which the first was published again without its odd batches."""
     root = _folder(spark, "units")
-    tables = {n: _rows(spark, sf_dir, sql) for n, sql in UNIT.items()}
+    tables = {n: save(_rows(spark, sf_dir, sql), n)[0] for n, sql in UNIT.items()}
     part = lambda where: {n: df.where(where) for n, df in tables.items()}
     stored.publish(spark, root, "low", part("batch_id < 20"))
     stored.publish(spark, root, "high", part("batch_id >= 20"))

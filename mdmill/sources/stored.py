@@ -173,7 +173,8 @@ def published(spark: SparkSession, root: str, name: str) -> DataFrame:
         names = {folder.rstrip("/").rsplit("/", 1)[1]: batch for batch, folder in some}
         units = spark.createDataFrame(list(names.items()), "__folder string, unit string")
         rows = spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*(f for _, f in some))
-        rows = rows.withColumn("__folder", F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/[^/]*$", 1)).join(units, "__folder").drop("__folder")
+        # A row a published batch, as the manifests are: broadcast, as a shuffle by folder brings a whole unit into one task.
+        rows = rows.withColumn("__folder", F.regexp_extract(F.col("_metadata.file_path"), "/([0-9a-f]{32})/[^/]*$", 1)).join(F.broadcast(units), "__folder").drop("__folder")
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 

@@ -83,3 +83,23 @@ def test_lineage_edges_are_told_apart_once(spark):
         ("BATCH:7", "MASTER:1", "CONTAINS"), ("MASTER:1", "RAW:1", "MERGED_INTO"), ("RAW:1", "SYSTEM:SAP", "FROM_SYSTEM"), ("PLANT:SH", "RAW:1", "AT_PLANT"), ("PLANT:BJ", "RAW:2", "AT_PLANT"),
         ("CATEGORY:x", "RAW:1", "CLASSIFIED_AS"), ("CATEGORY:x", "RAW:2", "CLASSIFIED_AS"), ("ISSUE:NO_SOURCE", "RAW:2", "HAS_ISSUE"), ("MASTER:1", "TARGET_SYSTEM:WMS", "DELIVERED_TO"), ("MASTER:1", "PLANT:SH", "USED_AT"),
     ])
+
+
+@pytest.fixture
+def nothing_small(spark):
+    """Tables are joined as large ones are, unless the code says that one is small."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_a_unit_is_not_brought_into_one_task(spark, tmp_path, nothing_small):
+    from mdmill.sources import stored
+
+    rows = spark.range(40).select((F.col("id") % 4).alias("batch_id"), "id")
+    for unit in ("low", "high"):
+        stored.publish(spark, str(tmp_path), unit, {"t": rows.where(f"id {'<' if unit == 'low' else '>='} 9")})
+    found = stored.published(spark, str(tmp_path), "t")
+    assert "Exchange hashpartitioning" not in _plan(found)
+    assert {r["unit"]: r["count"] for r in found.groupBy("unit").count().collect()} == {"low": 9, "high": 31}
