@@ -102,10 +102,12 @@ def _batch(source: str) -> str:
     return source.split()[0] + ".batch_id" if " JOIN " in source else "batch_id"
 
 
-def _parts(specs: list, head: str, pair) -> str:
-    """The union of all parts; pair makes one or more select lists of a part's attributes."""
+def _parts(specs: list, head: str, pair, some=lambda spec: True) -> str:
+    """The union of all parts, or of some; pair makes one or more select lists of a part's attributes."""
     out = []
     for turn, (source, section, place, *ends, kind, attributes) in enumerate(specs):
+        if not some(specs[turn]):
+            continue
         named = {head: f"'{kind}'"} | attributes
         names = ("node",) if len(ends) == 1 else ("a", "b")
         columns = ", ".join(f"{e} AS {n}" for e, n in zip(ends, names))
@@ -128,16 +130,47 @@ def attributes(spark: SparkSession, plant: str = "GROUP", **tables: DataFrame) -
     What the plant sees is stored once; every part reads it once. An edge to a
     node that is not there (an audit block of a master out of sight) is none.
     """
+    seen = _seen(spark, plant, tables)
+    nodes, _ = save(_last(_flat(spark, NODES, "node_type", seen), "batch_id", "node"), "nodes")
+    return nodes, _edges(spark, seen, nodes.where("name = 'node_type'"))
+
+
+def _sure(edge: tuple) -> bool:
+    """Does each row of a part of EDGES have a node at its second end? A part of NODES makes it from the same row, or a view has looked: v_a keeps mappings of seen masters only."""
+    source, end, relation = edge[0], edge[4], edge[5]
+    return relation == "MAPPED_TO" or any(end == n[3] and n[0] in (source, source.split(" WHERE ")[0]) for n in NODES)
+
+
+def edge_attributes(spark: SparkSession, plant: str = "GROUP", **tables: DataFrame) -> DataFrame:
+    """The edges of attributes() alone: of nodes only the names are made."""
+    seen = _seen(spark, plant, tables)
+    return _edges(spark, seen, relations.run(spark, _parts(NODES, "node_type", lambda _: ["0 AS k"]), None, **seen))
+
+
+def _seen(spark: SparkSession, plant: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     seen = dict(tables)
     for name, sql in VIEWS.items():
         seen[name], _ = save(relations.run(spark, sql, {"plant": plant}, **seen), name)
-    flat = lambda specs, head: relations.run(spark, _parts(specs, head, _map), None, **seen).select("*", F.explode("attributes").alias("name", "value")).drop("attributes")
-    last = F.max_by("value", F.struct("section", "place", "turn", "value"))
-    nodes, _ = save(flat(NODES, "node_type").groupBy("batch_id", "node", "name").agg(last.alias("value")), "nodes")
-    there = nodes.where("name = 'node_type'").select("batch_id", F.col("node").alias("b"))
-    edges = flat(EDGES, "relation").join(there, ["batch_id", "b"], "left_semi")
-    ends = [F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")]
-    return nodes, edges.groupBy("batch_id", *ends, "name").agg(last.alias("value"))
+    return seen
+
+
+def _flat(spark: SparkSession, specs: list, head: str, seen: dict[str, DataFrame], some=lambda spec: True) -> DataFrame:
+    return relations.run(spark, _parts(specs, head, _map, some), None, **seen).select("*", F.explode("attributes").alias("name", "value")).drop("attributes")
+
+
+def _last(rows: DataFrame, *keys) -> DataFrame:
+    """The last writer's value of each key and name."""
+    return rows.groupBy(*keys, "name").agg(F.max_by("value", F.struct("section", "place", "turn", "value")).alias("value"))
+
+
+def _edges(spark: SparkSession, seen: dict[str, DataFrame], nodes: DataFrame) -> DataFrame:
+    """The edges; only ends that may lack a node are looked up, so that the few nodes in which most edges end (plants, categories) do not meet all of them."""
+    sure = _flat(spark, EDGES, "relation", seen, _sure).where("batch_id IS NOT NULL AND b IS NOT NULL")
+    doubtful, _ = save(_flat(spark, EDGES, "relation", seen, lambda e: not _sure(e)), "doubtful")
+    wanted, _ = save(doubtful.select("batch_id", "b").distinct(), "wanted")
+    there = nodes.select("batch_id", F.col("node").alias("b")).join(wanted, ["batch_id", "b"], "left_semi").distinct()
+    edges = sure.unionByName(doubtful.join(there, ["batch_id", "b"], "left_semi"))
+    return _last(edges, "batch_id", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
 def governance_graph(spark: SparkSession, plant: str = "GROUP", **tables: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,13 +191,20 @@ def governance_graph(spark: SparkSession, plant: str = "GROUP", **tables: DataFr
 PLANT = "SHANGHAI"
 
 
+#: What several stand-ins of the graph read: it is made once.
+SHARED = ("mappings", "issues")
+
+
 def _standins(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {n: save(relations.standin(spark, sf_dir, n), n)[0] for n in GRAPH_RELATIONS}
+    made: dict[str, DataFrame] = {}
+    for name in (*SHARED, *GRAPH_RELATIONS):
+        made[name], _ = save(relations.standin(spark, sf_dir, name, made), name)
+    return {n: made[n] for n in GRAPH_RELATIONS}
 
 
 QUERIES = {
     "gr1_node_attributes": lambda spark, sf_dir: attributes(spark, PLANT, **_standins(spark, sf_dir))[0],
-    "gr1_edge_attributes": lambda spark, sf_dir: attributes(spark, PLANT, **_standins(spark, sf_dir))[1],
+    "gr1_edge_attributes": lambda spark, sf_dir: edge_attributes(spark, PLANT, **_standins(spark, sf_dir)),
 }
 _HEAD = "WITH " + ", ".join(f"{n} AS ({sql})" for n, sql in VIEWS.items())
 _NODES = _parts(NODES, "node_type", _long)

@@ -103,3 +103,16 @@ def test_a_unit_is_not_brought_into_one_task(spark, tmp_path, nothing_small):
     found = stored.published(spark, str(tmp_path), "t")
     assert "Exchange hashpartitioning" not in _plan(found)
     assert {r["unit"]: r["count"] for r in found.groupBy("unit").count().collect()} == {"low": 9, "high": 31}
+
+
+def test_edges_look_up_doubtful_ends_only(spark, written):  # noqa: F811
+    from mdmill.plans import graph, relations
+
+    seen = written(graph)
+    data = "/root/testdata/sf0.001"
+    edges = graph.QUERIES["gr1_edge_attributes"](spark, data)
+    assert seen["mappings"] > 0 and "nodes" not in seen
+    marks = {r["src"] for r in edges.where("name = 'relation' AND value = 'FINGERPRINTS'").select("src").collect()}
+    assert 0 < len(marks) <= seen["doubtful"] < edges.count() / 2
+    shared = {"mappings": spark.createDataFrame([(7, 0, 5)], "mapping_id long, batch_id long, mdm_code long")}
+    assert not any("lineitem" in f for f in relations.standin(spark, data, "graph_reviews", shared).inputFiles())
