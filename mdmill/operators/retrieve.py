@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mdmill.functions import rules, text
-from mdmill.functions.semantics import bare, hashed_vectors, lexical_similarity, pieces, terms
+from mdmill.functions.semantics import bare, bare_similarity, hashed_vectors, pieces, terms
 from mdmill.session import gather, save, spread
 
 #: A tree or query table up to so many rows is broadcast; a larger one is joined in blocks of that size.
@@ -29,29 +29,31 @@ def hybrid_search(queries: DataFrame, entries: DataFrame, aliases: DataFrame, k:
     alias (the greatest), once an alias hits. Equal texts are scored once. Ties go to the
     smaller code. decision looks at the best score and its lead over the next.
     """
-    asked = queries.groupBy("text").agg(F.min("query_id").alias("id"))
-    asked, _ = save(asked.withColumn("t", terms(F.col("text"))), "asked")
+    asked = spread(queries.groupBy("text").agg(F.min("query_id").alias("id")))
+    asked, _ = save(asked.withColumns({"t": terms(F.col("text")), "bare": bare(F.col("text")), "digits": F.regexp_replace("text", "[^0-9]", "")}), "asked")
+    one = asked.drop("text")
     outside = aliases.join(entries.select(F.col("code").alias("target")), "target", "left_anti")
     outside = outside.groupBy(F.col("target").alias("code")).agg(F.max("keywords").alias("content")).withColumn("outside", F.lit(True))
     tree = entries.select("code", "content", F.lit(False).alias("outside")).unionByName(outside)
-    tree, _ = save(tree.withColumns({"ct": terms(F.col("content")), "id": F.col("code")}), "tree")
-    qv = hashed_vectors(asked, pieces(bare(F.col("text")))).select(F.col("id"), "idx", "w")
-    ev = hashed_vectors(tree, pieces(bare(F.col("content")))).select(F.col("id").alias("code"), "idx", F.col("w").alias("v"))
+    tree, _ = save(tree.withColumns({"ct": terms(F.col("content")), "held": bare(F.col("content")), "id": F.col("code")}), "tree")
+    qv = hashed_vectors(asked, pieces(F.col("bare"))).select(F.col("id"), "idx", "w")
+    ev = hashed_vectors(tree, pieces(F.col("held"))).select(F.col("id").alias("code"), "idx", F.col("w").alias("v"))
     cosine = qv.join(ev, "idx").groupBy("id", "code").agg(F.sum(F.col("w") * F.col("v")).alias("vector"))
     words = F.filter(F.transform(F.split("keywords", rules.KEYWORD_BREAK), bare), lambda w: w != "")
     rated = []
-    for part in blocks(aliases.withColumns({"words": words, "kt": terms(F.col("keywords"))}), "target"):
-        hit = F.exists("words", lambda w: bare(F.col("text")).contains(w))
-        likeness = lexical_similarity(F.col("text"), F.col("keywords"), F.col("t"), F.col("kt"))
+    named, _ = save(aliases.select("target", words.alias("words"), terms(F.col("keywords")).alias("kt"), bare(F.col("keywords")).alias("held")), "named")
+    for part in blocks(named, "target"):
+        hit = F.exists("words", lambda w: F.col("bare").contains(w))
+        likeness = bare_similarity(F.col("bare"), F.col("held"), F.col("t"), F.col("kt"))
         rule = F.when(hit, 1.0).when(likeness >= 0.6, 0.65).otherwise(likeness * 0.5)
-        rated.append(asked.crossJoin(part).select("id", F.col("target").alias("code"), rule.alias("rule")))
+        rated.append(one.crossJoin(part).select("id", F.col("target").alias("code"), rule.alias("rule")))
     rated = gather(rated).groupBy("id", "code").agg(F.max("rule").alias("rule"))
     lexical = []
-    for part in blocks(tree.drop("id"), "code"):
-        some = asked.crossJoin(part).select(
+    for part in blocks(tree.drop("id", "content"), "code"):
+        some = one.crossJoin(part).select(
             "id", "code",
-            lexical_similarity(F.col("text"), F.col("content"), F.col("t"), F.col("ct")).alias("lexical"),
-            (~F.col("outside") & F.regexp_replace("text", "[^0-9]", "").contains(F.col("code"))).alias("exact"),
+            bare_similarity(F.col("bare"), F.col("held"), F.col("t"), F.col("ct")).alias("lexical"),
+            (~F.col("outside") & F.col("digits").contains(F.col("code"))).alias("exact"),
             "outside",
         )
         lexical.append(some)

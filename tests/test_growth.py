@@ -116,3 +116,24 @@ def test_edges_look_up_doubtful_ends_only(spark, written):  # noqa: F811
     assert 0 < len(marks) <= seen["doubtful"] < edges.count() / 2
     shared = {"mappings": spark.createDataFrame([(7, 0, 5)], "mapping_id long, batch_id long, mdm_code long")}
     assert not any("lineitem" in f for f in relations.standin(spark, data, "graph_reviews", shared).inputFiles())
+
+
+def test_texts_of_a_search_are_bared_once(spark, monkeypatch):
+    from mdmill.operators import retrieve
+
+    saved = {}
+    plain = retrieve.save
+
+    def save(df, name="t"):
+        out = plain(df, name)
+        saved[name] = out[0]
+        return out
+
+    monkeypatch.setattr(retrieve, "save", save)
+    asked = spark.createDataFrame([(1, "Gate Valve 7"), (2, "bolt"), (3, "bolt")], "query_id long, text string")
+    entries = spark.createDataFrame([("7", "gate valve"), ("8", "Bolt M8")], "code string, content string")
+    aliases = spark.createDataFrame([("8", "stud,BO LT")], "target string, keywords string")
+    found = retrieve.hybrid_search(asked, entries, aliases)
+    assert {r["id"]: (r["bare"], r["digits"]) for r in saved["asked"].collect()} == {1: ("gatevalve7", "7"), 2: ("bolt", "")}
+    best = {r["query_id"]: (r["code"], r["rule"]) for r in found.where("rank = 1").collect()}
+    assert best == {1: ("7", 1.0), 2: ("8", 1.0), 3: ("8", 1.0)}
