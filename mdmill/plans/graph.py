@@ -141,6 +141,11 @@ def _sure(edge: tuple) -> bool:
     return relation == "MAPPED_TO" or any(end == n[3] and n[0] in (source, source.split(" WHERE ")[0]) for n in NODES)
 
 
+def node_attributes(spark: SparkSession, plant: str = "GROUP", **tables: DataFrame) -> DataFrame:
+    """The nodes of attributes() alone, not stored."""
+    return _last(_flat(spark, NODES, "node_type", _seen(spark, plant, tables)), "batch_id", "node")
+
+
 def edge_attributes(spark: SparkSession, plant: str = "GROUP", **tables: DataFrame) -> DataFrame:
     """The edges of attributes() alone: of nodes only the names are made."""
     seen = _seen(spark, plant, tables)
@@ -203,7 +208,7 @@ def _standins(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 QUERIES = {
-    "gr1_node_attributes": lambda spark, sf_dir: attributes(spark, PLANT, **_standins(spark, sf_dir))[0],
+    "gr1_node_attributes": lambda spark, sf_dir: node_attributes(spark, PLANT, **_standins(spark, sf_dir)),
     "gr1_edge_attributes": lambda spark, sf_dir: edge_attributes(spark, PLANT, **_standins(spark, sf_dir)),
 }
 _HEAD = "WITH " + ", ".join(f"{n} AS ({sql})" for n, sql in VIEWS.items())

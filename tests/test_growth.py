@@ -137,3 +137,11 @@ def test_texts_of_a_search_are_bared_once(spark, monkeypatch):
     assert {r["id"]: (r["bare"], r["digits"]) for r in saved["asked"].collect()} == {1: ("gatevalve7", "7"), 2: ("bolt", "")}
     best = {r["query_id"]: (r["code"], r["rule"]) for r in found.where("rank = 1").collect()}
     assert best == {1: ("7", 1.0), 2: ("8", 1.0), 3: ("8", 1.0)}
+
+
+def test_nodes_are_made_from_shared_standins_and_not_stored(spark, written):  # noqa: F811
+    from mdmill.plans import graph
+
+    seen = written(graph)
+    nodes = graph.QUERIES["gr1_node_attributes"](spark, "/root/testdata/sf0.001")
+    assert seen["mappings"] > 0 and "nodes" not in seen and nodes.columns == ["batch_id", "node", "name", "value"]
