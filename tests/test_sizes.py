@@ -101,6 +101,22 @@ def test_published_entries_are_those_of_the_statement(spark):
     assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
 
 
+def test_published_entries_are_dealt_to_tasks_by_the_rows_they_give(spark, written, monkeypatch):
+    from mdmill import registry
+
+    # Inputs this small were merged into one task, which then gave all rows.
+    assert registry.published_entries(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    seen = written(knowledge)
+    monkeypatch.setattr(knowledge, "ENTRIES", 4)
+    tree = [("10", f"10{i % 3}", f"n{i % 5}", None if i % 7 == 0 else i % 11) for i in range(60)] + [("11", "111", "n", 1)] * 2 + [("12", "121", None, None)]
+    tree = spark.createDataFrame(tree, "major string, full_code string, item_name string, alias long")
+    versions = spark.createDataFrame([(i, i % 4, f"h{i}", str(10 + i % 4)) for i in range(40)] + [(99, None, None, None)], "version_id long, catalog long, source_hash string, major string")
+    found, plain = knowledge.published(tree, versions), versions.join(tree, "major").drop("major")
+    assert found.columns == plain.columns and found.count() == plain.count() == 10 * (60 + 2 + 1) and seen == {"tree": 63, "published": 41}
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    assert knowledge.published(tree.limit(0), versions).isEmpty() and knowledge.published(tree, versions.limit(0)).isEmpty()
+
+
 def test_equal_texts_are_standardized_once(spark, written):
     from mdmill import session
     from mdmill.functions import text
