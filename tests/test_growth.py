@@ -1,12 +1,14 @@
 """Steps whose memory or time must not grow faster than the input: no shuffle of what a row makes by itself, equal texts once."""
 
+import random
+from collections import Counter
 from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
 
 from mdmill.functions import semantics
-from mdmill.operators import knowledge
+from mdmill.operators import components, knowledge, lineage
 from tests.test_sizes import written  # noqa: F401
 
 
@@ -145,3 +147,62 @@ def test_nodes_are_made_from_shared_standins_and_not_stored(spark, written):  #
     seen = written(graph)
     nodes = graph.QUERIES["gr1_node_attributes"](spark, "/root/testdata/sf0.001")
     assert seen["mappings"] > 0 and "nodes" not in seen and nodes.columns == ["batch_id", "node", "name", "value"]
+
+
+def _lineage(spark, mappings, records, deliveries, issues, batch="long", code="long", given_code="long"):
+    return (
+        spark.createDataFrame(records, "row_id long, system_source string, plant_code string, std_category string"),
+        spark.createDataFrame(mappings, f"batch_id {batch}, row_id long, mdm_code {code}"),
+        spark.createDataFrame(deliveries, f"mdm_code {given_code}, target_system string, plant_code string"),
+        spark.createDataFrame(issues, "row_id long, code string"),
+    )
+
+
+def _same_stats(parts, tables):
+    """lineage_stats against a count of texts in Python; tables are the rows of mappings, records, deliveries and issues."""
+    mappings, records, deliveries, issues = tables
+    ends = [("BATCH", b, "MASTER", m) for b, _, m in mappings] + [("RAW", r, "MASTER", m) for _, r, m in mappings] + [("RAW", r, "ISSUE", c) for r, c in issues]
+    ends += [("RAW", r, kind, x[i]) for r, *x in records for i, kind in enumerate(("SYSTEM", "PLANT", "CATEGORY"))]
+    ends += [("MASTER", m, kind, x[i]) for m, *x in deliveries for i, kind in enumerate(("TARGET_SYSTEM", "PLANT"))]
+    edges = {(f"{a}:{x}", f"{b}:{y}") for a, x, b, y in ends if x not in (None, "") and y not in (None, "")}
+    nodes = {n for e in edges for n in e}
+    of = {n: n for n in nodes}
+    for a, b in edges:
+        of = {n: of[b] if c == of[a] else c for n, c in of.items()}
+    want = Counter("type " + n.split(":")[0] for n in nodes) | {"nodes": len(nodes), "edges": len(edges), "components": len(set(of.values()))}
+    found = [tuple(r) for r in lineage.lineage_stats(*parts).collect()]
+    assert sorted(found) == sorted(want.items())
+    return dict(found)
+
+
+def test_lineage_stats_make_no_graph(spark, written):  # noqa: F811
+    from mdmill import registry_operators
+
+    mappings = [(i % 50, i % 40, i % 40) for i in range(400)]
+    records = [(i, ("SAP", "EAM")[i % 2], "P", f"c{i % 3}") for i in range(45)]
+    deliveries = [(i % 40, ("SAP", "WMS")[i % 2], "P") for i in range(90)]
+    parts = _lineage(spark, mappings, records, deliveries, [(1, "X"), (2, "")])
+    got = _same_stats(parts, (mappings, records, deliveries, [(1, "X"), (2, "")]))
+    assert got["components"] == 1 and got["type RAW"] == 45
+    assert got == {r["measure"]: r["n"] for r in lineage.graph_stats(*lineage.lineage_graph(*parts)).collect()}
+    # Components are looked for among the systems, plants and so on alone; before, all edges were written in each round.
+    seen = written(components)
+    got = {r["measure"]: r["n"] for r in registry_operators.QUERIES["gr2_graph_stats"](spark, "/root/testdata/sf0.001").collect()}
+    assert got["components"] == 1 and got["nodes"] > 1000 and 0 < seen["edges"] < 40
+
+
+def test_lineage_stats_of_many_components(spark):
+    # Codes without a delivery, rows without a record, blank ends, batches between components, a batch of null, rows that repeat.
+    mappings = [(1, 1, 1), (1, 1, 1), (2, 2, 2), (3, 3, 3), (3, 4, 4), (4, None, 5), (None, 6, 6), (5, 50, 51), (6, 52, 51), (7, 60, 61), (8, 60, None), (9, None, None), (10, 70, 71), (10, 72, 73), (11, None, 73), (11, None, 74)]
+    records = [(1, "SAP", "", None), (2, "EAM", "P2", "c"), (3, "", None, ""), (4, "WMS", "P3", ""), (80, "", "P4", "d"), (81, "OLD", "P4", ""), (81, "OLDER", "", ""), (None, "X", "Y", "Z")]
+    deliveries = [(1, "T1", ""), (2, "", "P2"), (2, "T2", ""), (90, "T3", "P9"), (90, "T4", ""), (None, "T5", "P5"), (91, "", None)]
+    issues = [(1, "I1"), (95, "I2"), (96, "I2"), (96, None)]
+    assert _same_stats(_lineage(spark, mappings, records, deliveries, issues), (mappings, records, deliveries, issues))["components"] > 5
+    texts = [(b and str(b), r, m and str(m)) for b, r, m in mappings] + [("", 1, "1"), ("12", 1, "")]
+    _same_stats(_lineage(spark, texts, records, deliveries, issues, "string", "string"), (texts, records, deliveries, issues))
+    assert _same_stats(_lineage(spark, [], [], [], []), ([], [], [], [])) == {"components": 0, "edges": 0, "nodes": 0}
+    rnd = random.Random(4)
+    pick = lambda: rnd.choice([None, *range(30)])
+    text = lambda p: rnd.choice([None, "", *(f"{p}{i}" for i in range(30))])
+    tables = [(pick(), pick(), pick()) for _ in range(30)], [(pick(), text("s"), text("p"), text("c")) for _ in range(15)], [(pick(), text("t"), text("p")) for _ in range(15)], [(pick(), text("i")) for _ in range(10)]
+    _same_stats(_lineage(spark, *tables), tables)
